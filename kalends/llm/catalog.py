@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_output
+from . import mixing, packing, sharding, simhash, token_output, weak_rules
 from .common import read_table
 
 
@@ -18,12 +18,24 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_output, op10_packing)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_output, op5_quality_rules, op6_sharding, op8_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
