@@ -100,8 +100,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         e = encoder(vocabulary)
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
-                ids = e.encode(t) + end
+            for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
+                ids = raw + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_buckets, scratch_dir
+from .common import n_buckets, scratch_dir, stage
 from .tokens import END_ID, encoder, vocabulary_path
 
 MAGIC = b"KTB1"
 #: Tokens of a block and of a shard, about; a document is never cut.
 BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 23
+#: Documents that are coded or decoded together.
+BATCH_ROWS = 512
 _HEAD = struct.Struct("<4sIQQ")
 #: Lengths of the four values that a control byte stands for.
 LENGTHS = np.stack([((np.arange(256) >> 2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
@@ -84,31 +86,63 @@ def unpack_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [i if h else None for h, i in zip(has.tolist(), ids.tolist())], counts, ranks[inside]
 
 
-def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """How often each id, the end id included, occurs in all documents: id, n. At most one row per id of the vocabulary."""
+def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n tokens, control and data bytes of every document's ids, coded as they are; the end id is the last."""
 
     def run(batches):
         e = encoder(vocabulary)
-        total = np.zeros(e.size, np.int64)
         for b in batches:
-            held: list[bytes] = []
-            for t in b.column(0).cast(pa.large_binary()).to_pylist():
-                held.append(e.encode(t))
-                if len(held) == 256:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=e.size)
-                    held.clear()
-            total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=e.size)
-            total[END_ID] += b.num_rows
+            held = []
+            for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
+                ids = np.frombuffer(raw + _END + b"\0" * (-(len(raw) + 4) % 16), "<u4")
+                held.append((d, len(raw) // 4 + 1, *encode_ranks(ids)))
+                if len(held) == BATCH_ROWS:
+                    yield _batch(held)
+                    held = []
+            yield _batch(held)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, control binary, data binary")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "n", "control", "data"]
+    )
+
+
+def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All values of encoded rows, padding included, and which are no padding."""
+    n = b.column("n").to_numpy()
+    control, data = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8) for c in ("control", "data"))
+    padded = -(-n // 4) * 4
+    inside = np.arange(int(padded.sum())) - np.repeat(np.cumsum(padded) - padded, padded) < np.repeat(n, padded)
+    return decode_ranks(control, data), inside
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """How often each id occurs in all encoded documents: id, n. At most one row per id of the vocabulary."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            ids, inside = _ids(b)
+            now = np.bincount(ids[inside], minlength=len(total))
+            now[: len(total)] += total
+            total = now
         ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("n", "control", "data").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes path/ranks (id, rank) and path/blocks. Only the ranks, bounded by the vocabulary, pass the driver."""
-    vocabulary = vocabulary or vocabulary_path()
-    counted = sorted(((r["n"], r["id"]) for r in token_counts(docs, vocabulary).collect()), key=lambda x: (-x[0], x[1]))
+    """Writes path/ranks (id, rank) and path/blocks; texts are encoded once, to a staged table.
+
+    Only the ranks, bounded by the vocabulary, pass the driver.
+    """
+    rows = stage(encoded(docs, vocabulary or vocabulary_path()))
+    counted = sorted(((r["n"], r["id"]) for r in token_counts(rows).collect()), key=lambda x: (-x[0], x[1]))
     spark = docs.sparkSession
     ids = [i for _, i in counted]
     spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -117,7 +151,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_token
     shards = n_buckets(sum(n for n, _ in counted), shard_tokens)
 
     def run(batches):
-        e, shard = encoder(vocabulary), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         block, before, held, doc_ids, counts, ranks = 0, 0, 0, [], [], []
 
         def flush():
@@ -126,23 +160,25 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_token
                 names=["shard", "block", "before", "n_tokens", "payload"],
             )
 
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
-                r = rank_of[np.frombuffer(e.encode(t) + _END, "<u4")]
-                if held and held + len(r) > block_tokens:
-                    yield flush()
-                    block, before, held, doc_ids, counts, ranks = block + 1, before + held, 0, [], [], []
-                doc_ids.append(d)
-                counts.append(len(r))
-                ranks.append(r)
-                held += len(r)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(at, BATCH_ROWS)
+                values, inside = _ids(b)
+                values, end = rank_of[values[inside]], 0
+                for d, n in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist()):
+                    if held and held + n > block_tokens:
+                        yield flush()
+                        block, before, held, doc_ids, counts, ranks = block + 1, before + held, 0, [], [], []
+                    doc_ids.append(d)
+                    counts.append(n)
+                    ranks.append(values[end : end + n])
+                    held, end = held + n, end + n
         if held:
             yield flush()
 
     (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "control", "data")
         .mapInArrow(run, "shard int, block int, before long, n_tokens long, payload binary")
         .write.parquet(f"{path}/blocks")
     )
@@ -178,7 +214,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Writes docs to a folder of its own in the shared folder and reads the files back.
 
     Null and empty texts hold the end id alone. Documents come in ascending doc_id order, nulls first, equal ids in
-    the order of their texts; repeated rows are written as often as they come. Other columns are ignored. An
+    the order of their codes; repeated rows are written as often as they come. Other columns are ignored. An
     empty table gives an empty result.
     """
     path = scratch_dir(docs.sparkSession)

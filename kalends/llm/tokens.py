@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -10,8 +11,10 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: Every document ends with this id.
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
+REMEMBERED = 300_000
+#: Bytes of text whose unknown words are learnt together, about.
+TOGETHER = 1 << 20
 _TAIL = ".,|;:!?"
 _encoders: dict[str, WordEncoder] = {}
 
@@ -48,41 +51,56 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.remembered = remembered
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers; none for null or empty."""
-        words = (text or b"").split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in self.words}
-            if len(self.words) + len(new) > self.remembered:
-                self.words.clear()
-                self.stems.clear()
-                new = set(words)
-            self._learn(new)
-            return b"".join([self.words[w] for w in words])
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """encode() of many texts."""
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and size < TOGETHER:
+                size += len(texts[upto] or b"")
+                upto += 1
+            split = [(t or b"").split() for t in texts[at:upto]]
+            get = self.words.get
+            found = [[get(w) for w in words] for words in split]
+            unknown = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+            if unknown:
+                self._learn(unknown)
+                get = self.words.get
+            for words, ids in zip(split, found):
+                yield b"".join([get(w) if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+            at = upto
 
     def _learn(self, words: set[bytes]) -> None:
+        if len(self.words) > self.remembered:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
         plain, other, stems, tails = [], [], set(), set()
         for w in words:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             s = w.decode()
             stem = s.rstrip(_TAIL)
             if stem.isalpha():
                 tail, stem = s[len(stem) :].encode(), stem.encode().lower()
                 plain.append((w, stem, tail))
-                if stem not in self.stems:
+                if stem not in known:
                     stems.add(stem)
-                if tail and tail not in self.stems:
+                if tail and tail not in known:
                     tails.add(tail)
             else:
                 other.append(w)
         self._learn_letters(list(stems))
-        self._learn_singly(list(tails), self.stems)
-        self._learn_singly(other, self.words)
+        self._learn_singly([*other, *tails])
         for w, stem, tail in plain:
-            self.words[w] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+            known[w] = known[stem] + known[tail] if tail else known[stem]
 
     def _learn_letters(self, stems: list[bytes]) -> None:
         """Words of letters alone: encoded in one go and cut where a token ends a word."""
@@ -92,10 +110,10 @@ class WordEncoder:
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw = ids.astype("<u4").tobytes()
-                self.stems.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+                self.words.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
             else:
-                self._learn_singly(part, self.stems)
+                self._learn_singly(part)
 
-    def _learn_singly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _learn_singly(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        into.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        self.words.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in found)))
