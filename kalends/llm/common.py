@@ -53,6 +53,21 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a single long column up to which a table is broadcast, some 16 MB; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few_enough(ids: DataFrame) -> bool:
+    """Whether a staged table of one long column is small enough to broadcast."""
+    return ids.count() <= BROADCAST_ROWS
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in ids(doc_id). Texts move only if ids are too many to broadcast."""
+    ids = stage(ids)
+    return docs.join(F.broadcast(ids) if few_enough(ids) else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def n_buckets(rows: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket rows each; grows with the data, 1 at least."""
     return max(1, -(-rows // per_bucket))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 
@@ -12,10 +13,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Every document ends with this id.
 END_ID = 1
 #: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Bytes of text whose unknown words are learnt together, about.
-TOGETHER = 1 << 20
-_TAIL = ".,|;:!?"
+TOGETHER = 2 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -66,19 +66,20 @@ class WordEncoder:
                 size += len(texts[upto] or b"")
                 upto += 1
             split = [(t or b"").split() for t in texts[at:upto]]
-            get = self.words.get
-            found = [[get(w) for w in words] for words in split]
-            unknown = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+            distinct = set().union(*split)
+            unknown = distinct.difference(self.words)
             if unknown:
-                self._learn(unknown)
-                get = self.words.get
-            for words, ids in zip(split, found):
-                yield b"".join([get(w) if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+                self._learn(unknown, distinct)
+            known = self.words
+            near = {w: known[w] for w in distinct}.__getitem__
+            for words in split:
+                yield b"".join(map(near, words))
             at = upto
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes], needed: set[bytes]) -> None:
+        """Adds words; a full generation becomes the older one, and then all needed words are added."""
         if len(self.words) > self.remembered:
-            self.words, self.older = {}, self.words
+            self.words, self.older, words = {}, self.words, needed
         known, older = self.words, self.older
         plain, other, stems, tails = [], [], set(), set()
         for w in words:
@@ -87,7 +88,7 @@ class WordEncoder:
                 known[w] = ids
                 continue
             s = w.decode()
-            stem = s.rstrip(_TAIL)
+            stem = s.rstrip(punctuation)
             if stem.isalpha():
                 tail, stem = s[len(stem) :].encode(), stem.encode().lower()
                 plain.append((w, stem, tail))
@@ -106,7 +107,7 @@ class WordEncoder:
         """Words of letters alone: encoded in one go and cut where a token ends a word."""
         for at in range(0, len(stems), 4096):
             part = stems[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw = ids.astype("<u4").tobytes()
