@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, link_trust, mixing, neighbours, packing, sharding, simhash, token_output, weak_rules
+from . import chat, ctw, link_trust, mixing, neighbours, packing, sharding, simhash, token_output, weak_rules
 from .common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_url_filters, op2_simhash, op3_token_output, op5_quality_rules, op6_sharding, op7_chat_formatting, op8_mixing,
+        op1_url_filters, op2_simhash, op3_token_output, op4_lm_scoring, op5_quality_rules, op6_sharding, op7_chat_formatting, op8_mixing,
         op9_neighbours, op10_packing,
     )
     return {f.__name__: f for f in found}
