@@ -2,8 +2,8 @@
 
 A source's target over its size is the number of copies each of its documents is expected to have. The whole part
 is certain. For the rest every document has an inclusion probability p; documents are ranked by u / (1 - u) over
-p / (1 - p), u being a hash of doc_id, and the source takes the leading ones until their words fill what is left of
-its target. Ranks are cut by buckets of rank, so no source, however large, is sorted in one task.
+p / (1 - p), u being a hash of doc_id, and the source takes the leading ones as long as their words fit in what is left
+of its target; where the next one is too long, later ones that fit come before it. Ranks are cut by buckets of rank, so no source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ MAX_COPIES = 3
 SEED = "mix-1"
 #: Rows of a source that are sorted together, about.
 SORTED_ROWS = 5_000
+#: Times that documents at the cut are gone through for some that still fit in what is left of the target.
+FILLS = 3
 #: Sources up to which their table, a row each, is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -51,8 +53,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     """doc_id, size, source, source_size, target, copies and taken (copies x size) of every document.
 
     preference: a positive column that documents of a source are favoured by, in proportion; none: all alike. No
-    document has more than max_copies. A source's taken words differ from its target by half a document at the
-    cut at most. Null texts have size 0; documents of size 0 take no words. Documents of a null source form one
+    document has more than max_copies. A source's taken words stay below its target by less than the
+    shortest document left at the cut. Null texts have size 0; documents of size 0 take no words. Documents of a null source form one
     source. Equal u (rows that repeat a doc_id) go by doc_id and size; a rerun takes the same. Other columns are
     ignored; an empty table gives an empty result.
     """
@@ -88,9 +90,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     clear = F.col("bucket").isNull() | F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))
     extra = F.coalesce(F.col("bucket") < F.coalesce("cut", F.lit(buckets)), F.lit(False)) & (F.col("left") > 0)
     sure = ranked.where(clear).withColumn("extra", F.coalesce(extra, F.lit(False)))
-    order = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size")
-    middle = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    close = ranked.where(~clear).withColumn("extra", middle <= F.col("left"))
+    close = ranked.where(~clear).withColumn("extra", F.lit(False)).withColumn("gap", F.col("left") - F.col("before"))
+    order = source.orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(FILLS):
+        fits = F.when(~F.col("extra") & (F.col("size") <= F.col("gap")), F.col("size")).otherwise(0)
+        close = close.withColumn("fit", fits).withColumn("upto", F.sum("fit").over(order))
+        close = close.withColumn("now", ~F.col("extra") & (F.col("size") <= F.col("gap")) & (F.col("upto") <= F.col("gap")))
+        close = close.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(source)).withColumn("extra", F.col("extra") | F.col("now"))
+    close = close.drop("gap", "fit", "upto", "now")
     copies = F.col("whole") + F.col("extra").cast("long")
     return sure.unionByName(close).select(
         "doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets
+from .common import n_buckets, stage
 
 SHARDS = 40
 #: Rows that one window numbers, about.
@@ -101,7 +101,7 @@ def shard(docs: DataFrame, leaves: tuple[Leaf, ...] | None = None, per_bucket: i
     digest = docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    placed = place(place(digest, leaves), grown(leaves), into="grown_shard")
-    return numbered(placed, docs.count(), per_bucket).select(
+    placed = stage(place(place(digest, leaves), grown(leaves), into="grown_shard"))
+    return numbered(placed, placed.count(), per_bucket).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
