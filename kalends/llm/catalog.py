@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE}
+    return {"op7_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op9_neighbours": neighbours.ORACLE}

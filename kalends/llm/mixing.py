@@ -102,3 +102,62 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     return sure.unionByName(close).select(
         "doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
+
+
+def _fill(n: int) -> str:
+    """The n-th pass over documents at the cut, as SQL."""
+    return f"""
+fit{n} AS (
+  SELECT *, NOT extra AND size <= gap AND sum(CASE WHEN NOT extra AND size <= gap THEN size ELSE 0 END) OVER (
+    PARTITION BY source ORDER BY rank, u, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap AS now FROM fill{n - 1}
+), fill{n} AS (
+  SELECT * EXCLUDE (now, extra, gap), extra OR now AS extra,
+    gap - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM fit{n}
+),"""
+
+
+ORACLE = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM sized GROUP BY source
+), leveled AS (
+  SELECT *, CAST(source_size AS DOUBLE) * {MAX_COPIES} AS most,
+    CAST(sum(source_size) OVER () - coalesce(sum(source_size * {MAX_COPIES}) OVER (
+      ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sums
+), shares AS (
+  SELECT source AS s, source_size, CASE WHEN most <= level * w OR free IS NULL THEN most ELSE free * w END AS target
+  FROM (SELECT *, max(CASE WHEN most > level * w THEN level END) OVER () AS free FROM leveled)
+), scored AS (
+  SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM (
+    SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p FROM (
+      SELECT *, CASE WHEN source_size > 0 THEN least({MAX_COPIES}.0, target / source_size) ELSE 0.0 END AS expected
+      FROM sized JOIN shares ON source IS NOT DISTINCT FROM s))
+), bucketed AS (
+  SELECT *, least(floor(rank / (1 + rank) * b), b - 1) AS bucket
+  FROM scored, (SELECT greatest(1, ceil(count(*) / {SORTED_ROWS}.0)) AS b FROM documents)
+), run AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM (
+    SELECT source, bucket, sum(size) AS words, target - sum(sum(size * whole)) OVER (PARTITION BY source) AS remains
+    FROM bucketed GROUP BY source, bucket, target)
+  WHERE bucket IS NOT NULL
+), cut AS (
+  SELECT source AS c, any_value(remains) AS remains, min(CASE WHEN upto >= remains THEN bucket END) AS cut_at,
+    min(CASE WHEN upto >= remains THEN upto - words END) AS words_before FROM run GROUP BY source
+), ranked AS (
+  SELECT * FROM bucketed LEFT JOIN cut ON source IS NOT DISTINCT FROM c
+), fill0 AS (
+  SELECT doc_id, source, size, source_size, target, whole, rank, u, FALSE AS extra, remains - words_before AS gap FROM ranked WHERE bucket = cut_at
+),{"".join(map(_fill, range(1, FILLS + 1)))} chosen AS (
+  SELECT doc_id, source, size, source_size, target, whole, extra FROM fill{FILLS}
+  UNION ALL
+  SELECT doc_id, source, size, source_size, target, whole, coalesce(bucket < coalesce(cut_at, b) AND remains > 0, FALSE)
+  FROM ranked WHERE (bucket = cut_at) IS NOT TRUE
+)
+SELECT doc_id, size, source, source_size, target, whole + CAST(extra AS BIGINT) AS copies, (whole + CAST(extra AS BIGINT)) * size AS taken FROM chosen
+"""

@@ -171,3 +171,14 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, query_block: int
         best = best.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLE = f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_reduce(list_transform(range(1, len(e.embedding) + 1), lambda i:
+        (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE))
+      ), lambda a, b: a + b)) AS score
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0))
+WHERE rank <= {K}
+"""
