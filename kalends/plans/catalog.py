@@ -1,15 +1,449 @@
-"""The registered queries and the SQL that must give the same rows."""
+"""The registered queries: every operator applied to whole tables, beside the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import hashing, period, strict, text, url
+from ..operators import derive, merge, quality, runs, serve
+from ..sources import html, landing, slots
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__], _sql[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Reads
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.when(status == "F", False).when(status == "O", True).when(F.col("o_orderkey") % 2 == 0, True).alias("is_active"), F.when(status != "P", F.col("o_orderdate")).alias("start_at"), "o_totalprice")
+
+
+_LISTED = """listed AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN FALSE WHEN o_orderstatus = 'O' THEN TRUE WHEN o_orderkey % 2 = 0 THEN TRUE END AS is_active,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS start_at, o_totalprice FROM orders)"""
+
+
+@register(f"WITH {_LISTED} SELECT o_orderkey, start_at, o_totalprice FROM listed WHERE is_active IS TRUE ORDER BY start_at ASC NULLS LAST, o_orderkey LIMIT 20 OFFSET 40")
+def active_page(spark, sf_dir):
+    return serve.page(serve.active(_listed(spark, sf_dir)), "start_at", "o_orderkey", 20, 40).select("o_orderkey", "start_at", "o_totalprice")
+
+
+@register(f"WITH {_LISTED} SELECT count(o_orderkey) AS total FROM listed WHERE is_active IS TRUE")
+def active_count(spark, sf_dir):
+    return serve.active(_listed(spark, sf_dir)).agg(F.count("o_orderkey").alias("total"))
+
+
+@register("""WITH firsts AS (SELECT event_type, min(event_id) AS f FROM events GROUP BY event_type),
+  leading AS (SELECT * FROM firsts ORDER BY f LIMIT 3)
+  SELECT e.event_id, e.event_type FROM events e LEFT JOIN leading l ON e.event_type = l.event_type AND e.event_id = l.f ORDER BY l.f IS NULL, e.event_id LIMIT 3""")
+def representative_samples(spark, sf_dir):
+    return serve.representatives(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
+@register("""SELECT o_orderkey, o_orderstatus, coalesce(lines, '') AS lines, coalesce(n, 0) AS n FROM orders LEFT JOIN (
+  SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey
+) ON o_orderkey = l_orderkey""")
+def nested_children(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    nested = serve.nested_children(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", ["l_linenumber", "l_partkey"])
+    shown = F.array_join(F.transform("children", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
+    return nested.select("o_orderkey", "o_orderstatus", shown.alias("lines"), F.size("children").alias("n"))
+
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 9 HOUR, '%Y. %-m. %-d. %H:%M') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y. %-m. %-d.') ELSE '일정 미정' END AS shown FROM orders""")
+def card_dates(spark, sf_dir):
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    at, day = F.when(k == 0, F.col("o_orderdate").cast("timestamp")), F.when(k <= 1, F.col("o_orderdate").cast("date"))
+    return o.select("o_orderkey", serve.shown_date(at, day).alias("shown"))
+
+
+# Merges
+
+
+def _base(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.lit(1).alias("seen_run"))
+
+
+def _delta(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    return o.select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"), F.lit(2).alias("seen_run"), (F.col("o_orderkey") % 2 == 0).alias("complete"))
+
+
+_BASE = "b AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, 1 AS seen_run FROM orders WHERE o_orderkey % 10 <> 0)"
+_DELTA = "d AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 'N' AS o_orderstatus, 2 AS seen_run, o_orderkey % 2 = 0 AS complete FROM orders WHERE o_orderkey % 3 = 0)"
+_MERGED = f"""WITH {_BASE}, {_DELTA}, m AS (
+  SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey, coalesce(d.o_totalprice, b.o_totalprice) AS o_totalprice,
+    coalesce(d.o_orderstatus, b.o_orderstatus) AS o_orderstatus, b.o_orderpriority, coalesce(d.seen_run, b.seen_run) AS seen_run,
+    CASE WHEN d.o_orderkey IS NULL THEN 'keep' WHEN b.o_orderkey IS NULL THEN 'insert' ELSE 'update' END AS action
+  FROM b FULL JOIN d ON b.o_orderkey = d.o_orderkey)"""
+_COLUMNS = ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "seen_run"]
+
+
+def _merged(spark, sf_dir):
+    joined = merge.actions(_base(spark, sf_dir), _delta(spark, sf_dir), ["o_orderkey"])
+    return merge.merged(joined, _COLUMNS, ["o_totalprice", "o_orderstatus", "seen_run"])
+
+
+@register(f"{_MERGED} SELECT * FROM m")
+def upsert_merge(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@register(f"{_MERGED} SELECT action, count(*) AS n FROM m GROUP BY action")
+def merge_counts(spark, sf_dir):
+    return merge.action_counts(_merged(spark, sf_dir))
+
+
+@register(f"""WITH {_BASE}, {_DELTA} SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey,
+  CASE WHEN b.o_orderkey IS NULL OR d.complete THEN d.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
+  CASE WHEN b.o_orderkey IS NULL OR d.complete THEN d.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus, b.o_orderpriority, coalesce(d.seen_run, b.seen_run) AS seen_run,
+  CASE WHEN d.o_orderkey IS NULL THEN 'keep' WHEN b.o_orderkey IS NULL THEN 'insert' WHEN d.complete THEN 'update' ELSE 'touch' END AS action
+  FROM b FULL JOIN d ON b.o_orderkey = d.o_orderkey""")
+def incomplete_touch(spark, sf_dir):
+    joined = merge.actions(_base(spark, sf_dir), _delta(spark, sf_dir), ["o_orderkey"], F.col("d.complete"))
+    return merge.merged(joined, _COLUMNS, ["o_totalprice", "o_orderstatus", "seen_run"], ["seen_run"])
+
+
+@register("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL),
+  b AS (SELECT * FROM l WHERE l_linenumber <> 3), d AS (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS l_quantity FROM l WHERE l_orderkey % 4 = 0)
+  SELECT coalesce(b.l_orderkey, d.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, d.l_linenumber) AS l_linenumber, coalesce(d.l_quantity, b.l_quantity) AS l_quantity,
+    CASE WHEN d.l_orderkey IS NULL THEN 'keep' WHEN b.l_orderkey IS NULL THEN 'insert' ELSE 'update' END AS action
+  FROM b FULL JOIN d ON b.l_orderkey = d.l_orderkey AND b.l_linenumber = d.l_linenumber""")
+def child_upsert(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    delta = lines.where("l_orderkey % 4 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
+    return merge.children(lines.where("l_linenumber <> 3"), delta, ["l_orderkey", "l_linenumber"], ["l_quantity"])
+
+
+@register("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def dedupe_last_wins(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return merge.last_wins(e, ["user_id"], "at").select("user_id", "event_id", "event_type", "value")
+
+
+@register("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (value > 50) IS NOT TRUE,
+  CASE WHEN value > 50 THEN -event_id ELSE event_id END) AS n FROM events) WHERE n = 1""")
+def dedupe_complete_wins(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("complete", F.col("value") > 50)
+    return merge.last_wins(e.withColumn("at", F.col("event_id")), ["user_id"], "at", "complete").select("user_id", "event_id", "event_type")
+
+
+_PARTS = """p AS (SELECT p_partkey, p_brand AS source_code, p_size > 5 AS is_active, CASE WHEN k IS NOT NULL THEN 7 WHEN p_partkey % 2 = 0 THEN 6 END AS last_seen_run_id
+  FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45) ON p_partkey = k)"""
+
+
+@register(f"""WITH {_PARTS} SELECT p_partkey, source_code, is_active AND NOT (source_code IN ('Brand#11', 'Brand#12', 'Brand#13') AND last_seen_run_id IS DISTINCT FROM 7) AS is_active FROM p""")
+def stale_deactivate(spark, sf_dir):
+    seen = _t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("seen")).distinct()
+    parts = _t(spark, sf_dir, "part").join(seen, "p_partkey", "left").select(
+        "p_partkey", F.col("p_brand").alias("source_code"), (F.col("p_size") > 5).alias("is_active"), F.when(F.col("seen"), 7).when(F.col("p_partkey") % 2 == 0, 6).alias("last_seen_run_id")
+    )
+    stale = runs.unseen(7, ["Brand#11", "Brand#12", "Brand#13"])
+    return parts.select("p_partkey", "source_code", F.when(stale, False).otherwise(F.col("is_active")).alias("is_active"))
+
+
+# Keys, digests, URLs
+
+
+@register("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'LEC_' || page_id ELSE 'urlsha256:' || sha256(url) END AS item_key FROM pages")
+def item_key(spark, sf_dir):
+    known = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("LEC_"), F.col("page_id").cast("string")))
+    return _t(spark, sf_dir, "pages").select("page_id", url.item_key(known, F.col("url")).alias("item_key"))
+
+
+@register("""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), ';jsessionid=[^/?#&;]*', '', 'i') AS canonical,
+  regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]+$', '') AS host FROM pages""")
+def url_canonical(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", url.canonical(F.col("url")).alias("canonical"), url.host(F.col("url")).alias("host"))
+
+
+@register("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'EXP' ELSE 'external' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'EXP_' || page_id END AS resource_id,
+  CASE WHEN page_id % 2 = 0 THEN 'F4' || page_id WHEN page_id % 3 = 0 THEN 'F401' ELSE 'F601' END AS menu FROM pages""")
+def resource_ids(spark, sf_dir):
+    n = F.col("page_id")
+    ids = F.when(n % 3 == 0, F.concat(F.lit("rsrcUnqId=EXP_"), n.cast("string"))).when(n % 3 == 1, F.lit("rsrcUnqId=EXP_1&rsrcUnqId=EXP_2")).otherwise(F.lit("rsrcUnqId=OTHER_1"))
+    whole = F.concat(F.lit("https://Site.Example.net/view?"), ids, F.when(n % 2 == 0, F.concat(F.lit("&mnu_code=F4"), n.cast("string"))).otherwise(""))
+    kind, found = url.resource(whole, ("site.example.net",))
+    return _t(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), found.alias("resource_id"), url.menu_code(whole, kind).alias("menu"))
+
+
+@register("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00","o_orderpriority":"' || o_orderpriority
+  || '","o_orderstatus":"' || o_orderstatus || '","o_price":"' || regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR), '\\.?0+$', '') || '","unknown":null}') AS content_hash FROM orders""")
+def content_hash(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderpriority", "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(12,2)").alias("o_price"), F.lit(None).cast("string").alias("unknown"),
+    )
+    return o.select("o_orderkey", hashing.content_hash(o, [c for c in o.columns if c != "o_orderkey"]).alias("content_hash"))
+
+
+# JSON
+
+
+def _props(spark, sf_dir):
+    payload = F.when(F.col("event_id") % 7 == 0, F.col("props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    return _t(spark, sf_dir, "events").select("event_id", "user_id", payload.alias("payload"))
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@register(f"""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 0 END AS pos, CASE WHEN event_id % 7 <> 0 THEN {_K} END AS k,
+  CASE WHEN event_id % 7 = 0 THEN 'payload is not a JSON array' END AS error FROM events""")
+def json_slots(spark, sf_dir):
+    r = slots.rows(_props(spark, sf_dir)).withColumn("k", strict.nonnegative_int(F.try_variant_get("row", "$.k", "variant"), "k"))
+    return r.select("event_id", "pos", F.col("k.value").alias("k"), F.coalesce("error", "k.error").alias("error"))
+
+
+@register(f"""SELECT event_id, CASE WHEN user_id % 50 <= {_K} THEN {_K} - user_id % 50 END AS available,
+  CASE WHEN user_id % 50 > {_K} THEN 'reserved exceeds capacity' END AS error FROM events WHERE event_id % 7 <> 0""")
+def available(spark, sf_dir):
+    k = strict.nonnegative_int(F.try_variant_get("row", "$.k", "variant"), "k")["value"]
+    left = slots.rows(_props(spark, sf_dir)).where("error is null").withColumn("left", strict.available(k, F.col("user_id") % 50))
+    return left.select("event_id", F.col("left.value").alias("available"), F.col("left.error").alias("error"))
+
+
+# Texts
+
+
+@register(r"SELECT doc_id, md5(collapsed) AS collapsed_md5 FROM (SELECT doc_id, nullif(regexp_replace(regexp_replace(text, '[^\S\n]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '') AS collapsed FROM documents)")
+def text_collapse(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapsed(F.col("text"))).alias("collapsed_md5"))
+
+
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@register(f"SELECT doc_id, md5(nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)), '')) AS lines_md5 FROM (SELECT doc_id, {_LINES} AS l FROM documents)")
+def line_dedupe(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.unique_lines(F.col("text"))).alias("lines_md5"))
+
+
+@register(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, '.')) AS x, generate_subscripts(string_split(text, '.'), 1) AS i FROM documents),
+  p AS (SELECT doc_id, i, regexp_replace(split_part(x, ',', 1), '^\s+|\s+$', '', 'g') AS label, regexp_replace(substr(x, strpos(x, ',') + 1), '^\s+|\s+$', '', 'g') AS value FROM l WHERE strpos(x, ',') > 0)
+  SELECT doc_id, label, value FROM p WHERE label <> '' AND value <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY i DESC) = 1""")
+def label_values(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(text.label_values(F.split("text", r"\."), ",")).alias("label", "value"))
+
+
+_SECTIONS = r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+  x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+  h AS (SELECT *, starts_with(line, 'The') AS heading FROM x),
+  o AS (SELECT *, last_value(CASE WHEN heading THEN contains(line, 'and') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS open FROM h),
+  k AS (SELECT doc_id, i, regexp_replace(line, '\s+', ' ', 'g') AS line FROM o WHERE coalesce(open, FALSE) OR (NOT heading AND contains(line, 'that'))),
+  f AS (SELECT doc_id, line, min(i) AS i FROM k GROUP BY ALL)
+  SELECT doc_id, md5(g.t) AS lines_md5 FROM documents LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM f GROUP BY doc_id) g USING (doc_id)"""
+
+
+@register(_SECTIONS)
+def target_lines(spark, sf_dir):
+    found = text.target_lines(F.col("text"), words=("that",), headings=("and",), section="The", bullets="")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(found).alias("lines_md5"))
+
+
+@register("SELECT doc_id, contains(lower(text), 'licensed under') OR contains(lower(text), 'access denied') AS blocked FROM documents")
+def block_page_filter(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.is_block_page(F.col("text"), ("licensed under", "access denied")).alias("blocked"))
+
+
+@register("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS INTEGER) END AS n,
+  CASE WHEN l_linenumber % 3 = 0 THEN TRUE WHEN l_linenumber % 3 = 1 THEN FALSE END AS is_free FROM lineitem""")
+def numeric_texts(spark, sf_dir):
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
+    number, fee = F.concat(F.lit(" "), q, F.when(n % 2 == 0, "명").otherwise("")), F.when(n % 3 == 0, "무 료").when(n % 3 == 1, "유료").otherwise("1,000원")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.plain_integer(number).alias("n"), text.free_value(fee).alias("is_free"))
+
+
+# Periods
+
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 1 THEN {_DAY} END AS start_day, CASE WHEN o_orderkey % 5 > 1 THEN strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') END AS end_day,
+  CASE WHEN o_orderkey % 5 = 1 THEN 'invalid date' END AS error FROM orders""")
+def date_range(spark, sf_dir):
+    k, day = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyy-MM-dd")
+    value = F.when(k == 0, "상시 접수").when(k == 1, "2026-13-40 ~ 2026-12-01").otherwise(F.concat(F.lit("기간 "), day, F.lit(" ~ "), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "yyyy-MM-dd")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", period.date_range(value).alias("r")).select("o_orderkey", F.col("r.start").cast("string").alias("start_day"), F.col("r.end").cast("string").alias("end_day"), "r.error")
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN strftime(CAST({_DAY} || ' 10:30:00' AS TIMESTAMP) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') END AS start_utc,
+  CASE WHEN o_orderkey % 4 <= 1 THEN {_DAY} END AS start_date, CASE WHEN o_orderkey % 4 = 1 THEN 'period ends before it starts' END AS error FROM orders""")
+def period_precision(spark, sf_dir):
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
+    value = F.when(k > 1, F.concat(day, F.lit(" 10:30 ~ "), day, F.lit(" 12:00"))).when(k == 1, F.concat(day, F.lit(" 12:00 ~ "), day, F.lit(" 10:30")))
+    r = _t(spark, sf_dir, "orders").withColumn("r", period.datetime_range(value))
+    start = period.date_unless_known(F.col("r.start"), F.col("o_orderdate").cast("date"))
+    return r.select("o_orderkey", F.date_format("r.start", "yyyy-MM-dd HH:mm:ss").alias("start_utc"), start.cast("string").alias("start_date"), "r.error")
+
+
+# Quality, counts and runs
+
+
+@register("""SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_filter([CASE WHEN NOT (l_discount <= 0.05) THEN 'discount' END, CASE WHEN NOT (l_quantity >= 5) THEN 'quantity' END,
+  CASE WHEN NOT (CASE WHEN l_returnflag <> 'N' THEN l_tax < 0.04 END) THEN 'tax' END], lambda x: x IS NOT NULL), ',') AS violations FROM lineitem) WHERE violations <> ''""")
+def quality_violations(spark, sf_dir):
+    rules = {"discount": F.col("l_discount") <= 0.05, "quantity": F.col("l_quantity") >= 5, "tax": F.when(F.col("l_returnflag") != "N", F.col("l_tax") < 0.04)}
+    _, rejected = quality.split(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_quantity", "l_returnflag", "l_tax"), rules)
+    return rejected.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("violations", ",").alias("violations"))
+
+
+@register("SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def dup_keys(spark, sf_dir):
+    return quality.duplicates(_t(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5")), "text_md5")
+
+
+@register("""SELECT count(*) AS items, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase,
+  count(*) - count(*) FILTER (event_type = 'view') AS internal, count(*) FILTER (value IS NULL OR value < 10) AS low FROM events""")
+def kind_counts(spark, sf_dir):
+    kinds = [F.count_if(F.col("event_type") == k).alias(k) for k in ("click", "view", "purchase")]
+    low = F.count_if(F.col("value").isNull() | (F.col("value") < 10)).alias("low")
+    return _t(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("items"), *kinds, (F.count(F.lit(1)) - F.count_if(F.col("event_type") == "view")).alias("internal"), low)
+
+
+def _pages(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", (F.expr("event_id div 120")).alias("run"), (F.expr("event_id div 12") % 10 + 1).alias("page"))
+    p = e.groupBy("run", "page").agg(F.count_if(F.col("user_id") % 40 != 0).alias("list_count"), F.sum("user_id").alias("s"))
+    return p.select(
+        "run", "page", "list_count", (F.col("s") % 11 != 0).alias("succeeded"), F.when((F.col("page") < 10) | (F.col("s") % 5 == 0), F.col("page") + 1).alias("next_page"),
+        (F.col("s") % 3 != 0).alias("pagination_detected"), F.when(F.col("s") % 13 == 0, 1).otherwise(0).alias("detail_failures"), F.when(F.col("s") % 17 == 0, 1).otherwise(0).alias("error_count"),
+    )
+
+
+_RUNS = """p AS (SELECT run, page, list_count, s % 11 <> 0 AS succeeded, CASE WHEN page < 10 OR s % 5 = 0 THEN page + 1 END AS next_page, s % 3 <> 0 AS detected, s % 13 = 0 AS detail_bad, s % 17 = 0 AS bad FROM (
+    SELECT event_id // 120 AS run, event_id // 12 % 10 + 1 AS page, count(*) FILTER (user_id % 40 <> 0) AS list_count, CAST(sum(user_id) AS BIGINT) AS s FROM events GROUP BY 1, 2)),
+  l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY run ORDER BY page DESC) = 1),
+  a AS (SELECT run, count(*) AS attempted, count(*) FILTER (succeeded) AS succeeded_n, CAST(sum(list_count) AS BIGINT) AS items_seen, count(*) FILTER (detail_bad) AS details, count(*) FILTER (bad) AS errors FROM p GROUP BY run),
+  r AS (SELECT a.*, l.*, CASE WHEN list_count < 12 AND next_page IS NOT NULL THEN 'pagination-conflict' WHEN succeeded AND list_count = 12 AND NOT detected THEN 'pagination-missing'
+    WHEN attempted = 10 AND next_page IS NOT NULL THEN 'max-pages' WHEN NOT succeeded THEN 'page-failure' WHEN list_count < 12 THEN 'short-page' ELSE 'last-page' END AS stop_reason FROM a JOIN l USING (run)),
+  v AS (SELECT *, succeeded AND next_page IS NULL AND (list_count < 12 OR detected) AND succeeded_n = attempted AND stop_reason NOT IN ('pagination-conflict', 'pagination-missing', 'max-pages') AND errors = 0 AND details = 0 AS is_complete FROM r)"""
+
+
+def _verdicts(spark, sf_dir):
+    return runs.verdict(runs.last_page(_pages(spark, sf_dir), ["run"]), 12, 10)
+
+
+@register(f"WITH {_RUNS} SELECT run, attempted AS pages_attempted, succeeded_n AS pages_succeeded, items_seen, stop_reason FROM v")
+def stop_reason(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("run", "pages_attempted", "pages_succeeded", "items_seen", "stop_reason")
+
+
+@register(f"WITH {_RUNS} SELECT run, is_complete AS is_complete_snapshot, CASE WHEN is_complete THEN 'success' WHEN succeeded_n > 0 THEN 'partial' ELSE 'failed' END AS status FROM v")
+def run_status(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("run", "is_complete_snapshot", "status")
+
+
+@register("""SELECT event_id // 12 AS page, count(*) AS items, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(user_id) AS BIGINT) AS users,
+  substr(string_agg(CASE WHEN event_type = 'error' THEN 'page ' || (event_id // 12) || ': ' || event_id END, ' | ' ORDER BY event_id), 1, 10000) AS message FROM events GROUP BY 1""")
+def page_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("page", F.expr("event_id div 12"))
+    e = e.withColumn("issue", F.when(F.col("event_type") == "error", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), F.col("event_id").cast("string"))))
+    return e.groupBy("page").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("user_id").alias("users"), runs.joined_errors("event_id", "issue").alias("message"))
+
+
+@register("""SELECT event_id, user_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS error_count FROM (
+  SELECT *, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)""")
+def failure_streak(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return runs.failure_streaks(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "error_count")
+
+
+@register("""SELECT event_id, CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'partial' ELSE 'success' END = 'success' AND user_id % 3 <> 0 AND value IS NOT NULL AND user_id % 5 < 4 AS allowed,
+  CASE user_id % 5 WHEN 0 THEN 'F300' WHEN 1 THEN 'F400' WHEN 2 THEN 'F300,F400' WHEN 3 THEN 'F300,F400' ELSE '' END AS codes FROM events""")
+def scope_gate(spark, sf_dir):
+    scope = F.element_at(F.array(*map(F.lit, ("F300", "F400", "F300:F400", "full", "F300:page-1-test"))), (F.col("user_id") % 5 + 1).cast("int"))
+    r = _t(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "view", "partial").otherwise("success").alias("status"), (F.col("user_id") % 3 != 0).alias("is_complete_snapshot"),
+        F.when(F.col("value").isNotNull(), F.col("ts")).alias("finished_at"), scope.alias("scope"),
+    )
+    return r.select("event_id", runs.may_deactivate().alias("allowed"), F.array_join(runs.scope_codes(F.col("scope")), ",").alias("codes"))
+
+
+@register("SELECT coalesce(event_type, 'total') AS endpoint, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
+def request_counts(spark, sf_dir):
+    return landing.request_counts(_t(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint")))
+
+
+@register("""SELECT endpoint, a - b AS delta FROM (SELECT event_type || ':' || user_id % 100 AS endpoint, count(*) FILTER (event_id % 2 = 0) AS b, count(*) FILTER (event_id % 3 = 0) AS a FROM events GROUP BY 1) WHERE greatest(a, b) > 0""")
+def request_delta(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 100).cast("string")).alias("endpoint"))
+    before, after = (e.where(f"event_id % {k} = 0").groupBy("endpoint").agg(F.count(F.lit(1)).alias("n")) for k in (2, 3))
+    return landing.count_delta(before, after)
+
+
+@register("""SELECT event_id, CASE WHEN s IN (408, 425, 429, 500, 502, 503, 504) THEN 'retry' WHEN s < 200 OR s >= 300 THEN 'error' WHEN event_id % 9 = 0 THEN 'empty' WHEN event_id % 7 = 0 THEN 'malformed' ELSE 'ok' END AS outcome
+  FROM (SELECT event_id, 200 + user_id % 310 AS s FROM events)""")
+def response_classes(spark, sf_dir):
+    body = F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.col("payload"))
+    return _props(spark, sf_dir).select("event_id", landing.classify(200 + F.col("user_id") % 310, body, F.lit(True)).alias("outcome"))
+
+
+# HTML
+
+
+@register("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \t]+', ' ', 'g')), '') AS title FROM pages")
+def html_title(spark, sf_dir):
+    return html.with_titles(_t(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+# Derived views
+
+_AS_OF = "1996-06-30"
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN a < o THEN '접수예정' WHEN a >= o AND a = c THEN '오늘마감' WHEN a >= o AND a < c AND c - a <= 3 THEN '마감임박' WHEN a >= o AND a < c THEN '접수중'
+  WHEN a < s THEN CASE WHEN a > c THEN '접수마감' ELSE '행사예정' END WHEN a >= s AND a <= e THEN '행사중' WHEN a > e THEN '종료' END AS status
+  FROM (SELECT o_orderkey, DATE '{_AS_OF}' AS a, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + 30 AS c, CAST(o_orderdate AS DATE) + 40 AS s, CAST(o_orderdate AS DATE) + 60 AS e FROM orders)""")
+def status_asof(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    status = derive.status_at(F.lit(_AS_OF).cast("date"), day, F.date_add(day, 30), F.date_add(day, 40), F.date_add(day, 60))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@register("""SELECT o_orderkey, marker, day FROM (SELECT o_orderkey, 'opens' AS marker, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders UNION ALL
+  SELECT o_orderkey, 'closes', strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') FROM orders WHERE o_orderstatus <> 'P')""")
+def calendar_unpivot(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", day.alias("open_day"), F.when(F.col("o_orderstatus") != "P", F.date_add(day, 30)).alias("close_day"))
+    return derive.calendar(o, "o_orderkey", {"opens": "open_day", "closes": "close_day"}).select("o_orderkey", "marker", F.col("day").cast("string").alias("day"))
+
+
+@register("""WITH e AS (SELECT doc_id, lang, n_chars, source, substr(text, 1, 40) AS title FROM documents),
+  p AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, a.title AS x, b.title AS y, a.lang AS u, b.lang AS v FROM e a JOIN e b ON a.n_chars = b.n_chars AND a.lang = b.lang WHERE a.doc_id < b.doc_id AND a.source <> b.source),
+  s AS (SELECT a_doc_id, b_doc_id, round(50 * coalesce(CASE WHEN greatest(length(x), length(y)) > 0 THEN 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 0.0) + 25 + 15 + 10, 4) AS score FROM p)
+  SELECT a_doc_id, b_doc_id, score, CASE WHEN score >= 90 THEN 'auto' ELSE 'review' END AS verdict FROM s WHERE score >= 75""")
+def dup_score(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.col("lang").alias("organizer"), "source", F.substring("text", 1, 40).alias("title"))
+    return derive.duplicate_candidates(d, "doc_id", "title", "n_chars", "lang", "organizer", "source")
+
+
+@register("""SELECT c_custkey, round(km, 6) AS km FROM (SELECT c_custkey, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - 35.5) / 2), 2) + cos(radians(35.5)) * cos(radians(lat)) * pow(sin(radians(lon - 129.3) / 2), 2))) AS km
+  FROM (SELECT c_custkey, 35.0 + c_custkey % 100 / 100.0 AS lat, 129.0 + c_custkey % 61 / 100.0 AS lon FROM customer)) WHERE km <= 10""")
+def nearby(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", (35.0 + F.col("c_custkey") % 100 / 100.0).alias("lat"), (129.0 + F.col("c_custkey") % 61 / 100.0).alias("lon"))
+    return derive.nearby(c, "lat", "lon", (35.5, 129.3), 10).select("c_custkey", F.round("km", 6).alias("km"))
