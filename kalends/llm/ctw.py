@@ -32,8 +32,8 @@ CHUNK = 4 << 20
 HELD_GRAMS, HELD_WORDS = 4_000_000, 500_000
 #: Commonest words, of WORD_BYTES at most, whose counts every task gets; all other words meet their counts in a join.
 HOT_WORDS, WORD_BYTES = 200_000, 64
-#: Grams up to which their probabilities are broadcast (16 bytes each, half-full); beyond it they are joined.
-BROADCAST_GRAMS = 4_000_000
+#: Commonest grams whose probabilities every task gets, in a table of 64 MB at most; the others meet theirs in a join.
+HOT_GRAMS = 2_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -139,7 +139,7 @@ def _evidence(a: Column, b: Column) -> Column:
 
 
 def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
-    """gram, score: log10 probability of each gram's symbol in its context, from counted(gram, n).
+    """gram, score, n: log10 probability of each gram's symbol in its context, from counted(gram, n).
 
     A node's key is its context above its eight-bit place in the byte: 1, then the bits so far.
     """
@@ -165,7 +165,7 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
         weight = 1 / (1 + F.exp(F.col("below") - F.col("own"))) if d < depth else F.lit(1.0)
         down = stage(joined.select("node", (F.col("sum") + F.col("rest") * weight * one).alias("sum"), (F.col("rest") * (1 - weight)).alias("rest")))
     p = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
-    return decided.join(down, "node").groupBy("gram").agg(F.sum(F.log10(p)).alias("score"))
+    return decided.join(down, "node").groupBy("gram").agg(F.sum(F.log10(p)).alias("score"), F.max("n").alias("n"))
 
 
 class GramTable:
@@ -187,17 +187,19 @@ class GramTable:
     def _first(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Scores of keys, all of which are in the table."""
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of keys, 0 for those that aren't in the table, and which those are."""
         at = self._first(keys)
         left = np.flatnonzero(self.keys[at] != keys)
         while len(left):
+            left = left[self.keys[at[left]] != -1]
             at[left] = (at[left] + 1) % len(self.keys)
             left = left[self.keys[at[left]] != keys[left]]
-        return self.values[at]
+        absent = self.keys[at] != keys
+        return np.where(absent, 0.0, self.values[at]), absent
 
 
-def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every document.
 
     Texts are lower-cased (A-Z) and cut into words; the tokens are the words and one end. The model scores the same: the
@@ -213,11 +215,8 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, broad
     hot = words.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(hot.column(0).cast(pa.binary()).to_pylist(), hot.column(1).to_pylist())))
     scores = stage(gram_scores(counts.where("gram is not null").select("gram", "n"), depth))
-    few = scores.count() <= broadcast_grams
-    if few:
-        got = scores.toArrow()
-        table = spark.sparkContext.broadcast(GramTable(got.column(0).to_numpy(), got.column(1).to_numpy()))
-        del got
+    got = scores.orderBy(F.desc("n"), "gram").limit(hot_grams).toArrow()
+    table = spark.sparkContext.broadcast(GramTable(got.column(0).to_numpy(), got.column(1).to_numpy()))
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -226,17 +225,18 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, broad
             for ids, texts in _chunks(b):
                 key, size = grams([b" ".join(t) for t in texts], depth)
                 ends = np.cumsum(size)
-                total = np.add.reduceat(table.value.get(key), ends - size) if few else np.zeros(len(ids))
+                each, absent = table.value.get(key)
+                total, lacking = np.add.reduceat(each, ends - size), np.add.reduceat(absent, ends - size, dtype=np.int64)
                 out = []
-                for d, t, s, z in zip(ids, texts, total.tolist(), ends.tolist()):
+                for d, t, s, z, m, lacks in zip(ids, texts, total.tolist(), ends.tolist(), size.tolist(), lacking.tolist()):
                     found = [get(w) for w in t]
                     found.append(get(b""))
                     rare = Counter(w for w, c in zip(t, found) if c is None) if None in found else {}
                     if found[-1] is None:
                         rare[b""] = 1
                     sure = np.array([c for c in found if c is not None] if rare else found, np.float64)
-                    own = key[z - size[len(out)] : z] if not few else key[:0]
-                    out.append((part << 33 | n, d, held_out(d), len(found), len(sure), float(np.log10(sure + 1).sum()), s, int(size[len(out)]), [w.decode() for w in rare], list(rare.values()), own))
+                    own = key[z - m : z][absent[z - m : z]] if lacks else key[:0]
+                    out.append((part << 33 | n, d, held_out(d), len(found), len(sure), float(np.log10(sure + 1).sum()), s, m, [w.decode() for w in rare], list(rare.values()), own))
                     n += 1
                 types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f"c{k}" for k in range(11)])
@@ -249,9 +249,9 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, broad
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_logs"),
     )
     result = first.drop("rare", "times").join(seldom, "row", "left")
-    if not few:
-        summed = first.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").count().join(scores.withColumnRenamed("score", "each"), "gram")
-        result = result.drop("score").join(summed.groupBy("row").agg(F.sum(F.col("count") * F.col("each")).alias("score")), "row")
+    apart = first.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").count().join(scores.select("gram", F.col("score").alias("each")), "gram")
+    result = result.join(apart.groupBy("row").agg(F.sum(F.col("count") * F.col("each")).alias("more_score")), "row", "left")
+    result = result.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     size = math.log10(n_train + n_distinct + 1)
     return result.select(
         "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
