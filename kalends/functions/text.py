@@ -37,8 +37,14 @@ def label_values(lines: Column, mark: str = ":") -> Column:
     cut = F.transform(lines, lambda x: F.split(x, mark, 2))
     fine = F.filter(cut, lambda x: (F.size(x) == 2) & (trimmed(F.get(x, F.lit(0))) != "") & (trimmed(F.get(x, F.lit(1))) != ""))
     pairs = F.transform(fine, lambda x: F.struct(trimmed(F.get(x, F.lit(0))).alias("k"), trimmed(F.get(x, F.lit(1))).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+
+    def step(state: Column, x: Column) -> Column:
+        new = ~F.array_contains(state["seen"], x["k"])
+        grown = F.struct(F.array_append(state["seen"], x["k"]).alias("seen"), F.array_append(state["pairs"], x).alias("pairs"))
+        return F.when(new, grown).otherwise(state)
+
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<k:string,v:string>>").alias("pairs"))
+    return F.map_from_entries(F.aggregate(F.reverse(pairs), start, step)["pairs"])
 
 
 def plain_integer(c: Column) -> Column:

@@ -59,8 +59,8 @@ def active_count(spark, sf_dir):
 
 
 @register("""WITH firsts AS (SELECT event_type, min(event_id) AS f FROM events GROUP BY event_type),
-  leading AS (SELECT * FROM firsts ORDER BY f LIMIT 3)
-  SELECT e.event_id, e.event_type FROM events e LEFT JOIN leading l ON e.event_type = l.event_type AND e.event_id = l.f ORDER BY l.f IS NULL, e.event_id LIMIT 3""")
+  ahead AS (SELECT * FROM firsts ORDER BY f LIMIT 3)
+  SELECT e.event_id, e.event_type FROM events e LEFT JOIN ahead l ON e.event_type = l.event_type AND e.event_id = l.f ORDER BY l.f IS NULL, e.event_id LIMIT 3""")
 def representative_samples(spark, sf_dir):
     return serve.representatives(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
 
@@ -406,7 +406,8 @@ def response_classes(spark, sf_dir):
 # HTML
 
 
-@register("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \t]+', ' ', 'g')), '') AS title FROM pages")
+@register("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t]+', ' ', 'g')), '') AS title FROM pages""")
 def html_title(spark, sf_dir):
     return html.with_titles(_t(spark, sf_dir, "pages").select("page_id", "html"))
 
