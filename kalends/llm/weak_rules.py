@@ -89,14 +89,14 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np
 
     A rule has its own odds of voting good, voting bad and abstaining on good and on bad documents, so a rule that says
     good of nearly everything weighs little and a rare warning weighs much. EM starts from the patterns without a
-    warning as good. Pseudocounts (9 to 1 for the right vote, 9 good to 3 bad documents) keep rules that seldom vote near
-    their start, and a warning never counts for a document nor a good vote against it, so the labels can't swap.
+    warning as good. Pseudocounts (ten documents of either class to a rule, 9 good to 3 bad documents in all) keep rules
+    that seldom vote near their start, and a warning never counts for a document nor a good vote against it, so the labels can't swap.
 
     Returns the odds (rule, class bad or good, vote bad, none or good), the share of good documents, and each
     pattern's posterior probability of being good.
     """
     vote = np.stack([patterns < 0, patterns == 0, patterns > 0], axis=2).astype(np.float64)  # pattern, rule, vote
-    prior = np.array([[9.0, 5.0, 1.0], [1.0, 5.0, 9.0]])
+    prior = np.array([[3.0, 0.5, 6.5], [0.2, 1.0, 8.8]])  # class bad and good: a bad document draws one warning or two of many rules
     posterior, good, odds = np.where((patterns < 0).any(axis=1), 0.1, 0.9), 0.75, np.empty((patterns.shape[1], 2, 3))
     for _ in range(rounds):
         weight = counts * np.stack([1 - posterior, posterior])  # class, pattern
