@@ -68,6 +68,13 @@ def drop_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few_enough(ids) else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut to so many rows, so that no more than that is ever held as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def n_buckets(rows: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket rows each; grows with the data, 1 at least."""
     return max(1, -(-rows // per_bucket))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import slices, stage
 
 DEPTH = 5
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -95,7 +95,7 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
             words.clear()
             return out
 
-        for b in batches:
+        for b in slices(batches):
             for ids, texts in _chunks(b):
                 out = np.array([held_out(d) for d in ids])
                 key, size = grams([b" ".join(t) for t in texts], depth)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, hot_g
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
         get = known.value.get
-        for b in batches:
+        for b in slices(batches):
             for ids, texts in _chunks(b):
                 key, size = grams([b" ".join(t) for t in texts], depth)
                 ends = np.cumsum(size)

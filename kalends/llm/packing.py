@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, stage
+from .common import n_buckets, slices, stage
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     def run(batches):
         e = encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
                 ids = raw + end

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import stage
+from .common import slices, stage
 from .components import connected_components
 
 SEED = 42
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every document; null texts count as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], names=["doc_id", "fp"]

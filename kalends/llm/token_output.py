@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_buckets, scratch_dir, stage
+from .common import n_buckets, scratch_dir, slices, stage
 from .tokens import END_ID, encoder, vocabulary_path
 
 MAGIC = b"KTB1"
@@ -91,7 +91,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         e = encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             held = []
             for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
                 ids = np.frombuffer(raw + _END + b"\0" * (-(len(raw) + 4) % 16), "<u4")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import slices, stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -77,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of every document."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = np.array([measure(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
 
