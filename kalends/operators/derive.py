@@ -51,3 +51,31 @@ def nearby(df: DataFrame, lat: str, lon: str, at: tuple[float, float], km: float
     up, side = km / 110.574, km / (111.320 * 0.5)
     box = df.where(F.col(lat).between(at[0] - up, at[0] + up) & F.col(lon).between(at[1] - side, at[1] + side))
     return box.withColumn("km", kilometres(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon))).where(F.col("km") <= km)
+
+
+def day_counts(as_of: Column, opens: Column, closes: Column, starts: Column) -> list[Column]:
+    """Days until registration opens and closes and the event starts, and what holds today; null where a date is."""
+    return [
+        F.datediff(opens, as_of).alias("days_to_open"), F.datediff(closes, as_of).alias("days_to_close"), F.datediff(starts, as_of).alias("days_to_start"),
+        (opens == as_of).alias("opens_today"), (closes == as_of).alias("closes_today"), F.dayofweek(starts).isin(1, 7).alias("on_weekend"),
+    ]
+
+
+def closing_soon(df: DataFrame, as_of: Column, opens: str, closes: str, days: int = 3) -> DataFrame:
+    """Rows whose registration is open and closes within so many days, with the days left."""
+    left = F.datediff(F.col(closes), as_of)
+    return df.where((F.col(opens) <= as_of) & left.between(0, days)).withColumn("days_left", left)
+
+
+def dashboard(before: DataFrame, after: DataFrame, key: list[str], digest: str, by: str) -> DataFrame:
+    """Per group: how many rows are new, changed (another digest), gone or the same between two states."""
+    b, a = (df.select(*key, F.col(by).alias(f"{n}_by"), F.col(digest).alias(f"{n}_digest")) for df, n in ((before, "b"), (after, "a")))
+    kind = F.when(F.col("b_by").isNull(), "new").when(F.col("a_by").isNull(), "gone").when(F.col("a_digest").eqNullSafe(F.col("b_digest")), "same").otherwise("changed")
+    joined = b.join(a, key, "full").select(F.coalesce("a_by", "b_by").alias(by), kind.alias("kind"))
+    return joined.groupBy(by).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "changed", "gone", "same")))
+
+
+def stale_days(as_of: Column, verified: Column, limit: int = 7) -> list[Column]:
+    """Days since a row was last verified, and whether that is too long ago (never verified is)."""
+    age = F.datediff(as_of, verified)
+    return [age.alias("age_days"), F.coalesce(age > limit, F.lit(True)).alias("stale")]

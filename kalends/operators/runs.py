@@ -116,3 +116,28 @@ def deactivate_stale(events: DataFrame, runs: DataFrame, run_id: int) -> tuple[D
     n = marked.where("_stale").count()
     after = marked.withColumn("is_active", F.when(F.col("_stale"), False).otherwise(F.col("is_active")))
     return after.withColumn("updated_at", F.when(F.col("_stale"), F.lit(run[0]["finished_at"])).otherwise(F.col("updated_at"))).drop("_stale"), n
+
+
+def started(runs: DataFrame, source_id: int, scope: str, at: Column) -> DataFrame:
+    """The ledger with one more running run, its id one above the greatest."""
+    next_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+    new = {"id": F.lit(next_id), "source_id": F.lit(source_id), "status": F.lit("running"), "scope": F.lit(scope), "started_at": at, "is_complete_snapshot": F.lit(False), "created_at": at}
+    kinds = {f.name: f.dataType for f in runs.schema}
+    row = runs.sparkSession.range(1).select(*(new.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in runs.columns))
+    return runs.unionByName(row)
+
+
+def source_status(runs: DataFrame, key: str, at: str, items: str, failed: Column, message: str) -> DataFrame:
+    """A row per source after its runs: last check and item count, last success, failures since it, and their last message.
+
+    One aggregate, combined before the shuffle: failures after the last success are counted by a second pass on the keyed join
+    with that moment, so no source's runs are ordered in one place.
+    """
+    bad = failed
+    last = runs.groupBy(key).agg(
+        F.max(at).alias("last_checked_at"), F.max_by(items, at).alias("last_item_count"), F.max(F.when(~bad, F.col(at))).alias("last_success_at")
+    )
+    since = runs.withColumn("_bad", bad).join(last.select(key, "last_success_at"), key)
+    after = F.col("_bad") & (F.col("last_success_at").isNull() | (F.col(at) > F.col("last_success_at")))
+    streak = since.groupBy(key).agg(F.count_if(after).alias("error_count"), F.max_by(F.when(after, F.col(message)), F.when(after, F.col(at))).alias("error_message"))
+    return last.join(streak, key)

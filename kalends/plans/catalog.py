@@ -448,3 +448,50 @@ def dup_score(spark, sf_dir):
 def nearby(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", (35.0 + F.col("c_custkey") % 100 / 100.0).alias("lat"), (129.0 + F.col("c_custkey") % 61 / 100.0).alias("lon"))
     return derive.nearby(c, "lat", "lon", (35.5, 129.3), 10).select("c_custkey", F.round("km", 6).alias("km"))
+
+
+@register(f"""SELECT o_orderkey, CAST(o - a AS INTEGER) AS days_to_open, CAST(o + 30 - a AS INTEGER) AS days_to_close, CAST(o + 40 - a AS INTEGER) AS days_to_start, o = a AS opens_today, o + 30 = a AS closes_today,
+  dayofweek(o + 40) IN (0, 6) AS on_weekend FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o, DATE '{_AS_OF}' AS a FROM orders)""")
+def day_counts(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *derive.day_counts(F.lit(_AS_OF).cast("date"), day, F.date_add(day, 30), F.date_add(day, 40)))
+
+
+@register(f"""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 30 - DATE '{_AS_OF}' AS INTEGER) AS days_left FROM orders
+  WHERE CAST(o_orderdate AS DATE) <= DATE '{_AS_OF}' AND CAST(o_orderdate AS DATE) + 30 - DATE '{_AS_OF}' BETWEEN 0 AND 3""")
+def closing_soon(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", day.alias("opens"), F.date_add(day, 30).alias("closes"))
+    return derive.closing_soon(o, F.lit(_AS_OF).cast("date"), "opens", "closes").select("o_orderkey", "days_left")
+
+
+@register(f"""WITH {_BASE}, {_DELTA} SELECT grp, count(*) FILTER (b IS NULL) AS new, count(*) FILTER (b IS NOT NULL AND d IS NOT NULL AND b <> d) AS changed,
+  count(*) FILTER (d IS NULL) AS gone, count(*) FILTER (b = d) AS same FROM (
+  SELECT coalesce(b.o_orderkey, d.o_orderkey) % 7 AS grp, b.o_totalprice % 2 < 1 AS b, d.o_totalprice % 3 < 1 AS d FROM b FULL JOIN d ON b.o_orderkey = d.o_orderkey) GROUP BY grp""")
+def change_dashboard(spark, sf_dir):
+    before = _base(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 2 < 1).alias("digest"))
+    after = _delta(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 3 < 1).alias("digest"))
+    return derive.dashboard(before, after, ["o_orderkey"], "digest", "grp")
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(DATE '{_AS_OF}' - CAST(o_orderdate AS DATE) AS INTEGER) END AS age_days,
+  coalesce(CASE WHEN o_orderkey % 5 > 0 THEN DATE '{_AS_OF}' - CAST(o_orderdate AS DATE) END > 7, TRUE) AS stale FROM orders""")
+def freshness(spark, sf_dir):
+    verified = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate").cast("date"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *derive.stale_days(F.lit(_AS_OF).cast("date"), verified))
+
+
+@register("""WITH s AS (SELECT user_id, max(event_id) AS last_checked, max(event_id) FILTER (event_type <> 'error') AS last_success, arg_max(event_type, event_id) AS last_kind FROM events GROUP BY 1)
+  SELECT user_id, last_checked, last_kind, last_success, error_count, CASE WHEN error_count > 0 THEN 'failed ' || last_bad END AS error_message FROM s JOIN (
+    SELECT e.user_id, count(*) FILTER (event_type = 'error' AND (last_success IS NULL OR event_id > last_success)) AS error_count,
+      max(event_id) FILTER (event_type = 'error' AND (last_success IS NULL OR event_id > last_success)) AS last_bad FROM events e JOIN s ON e.user_id = s.user_id GROUP BY 1) USING (user_id)""")
+def source_status(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("said", F.concat(F.lit("failed "), F.col("event_id").cast("string")))
+    got = runs.source_status(e, "user_id", "event_id", "event_type", F.col("event_type") == "error", "said")
+    return got.select("user_id", F.col("last_checked_at").alias("last_checked"), F.col("last_item_count").alias("last_kind"), F.col("last_success_at").alias("last_success"), "error_count", "error_message")
+
+
+@register("""SELECT doc_id, n_rows, dup FROM (SELECT source || ':' || lang AS doc_id, count(*) AS n_rows, count(*) <> count(DISTINCT md5(text)) AS dup FROM documents GROUP BY 1)""")
+def duplicate_keys_in_runs(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "lang").alias("doc_id"), F.md5("text").alias("k"))
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) != F.count_distinct("k")).alias("dup"))
