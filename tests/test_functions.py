@@ -16,13 +16,13 @@ def one(spark, column, **values):
     return spark.createDataFrame(row, schema).select(column.alias("y")).first()["y"]
 
 
-HOSTS = ("moa.example.kr", "www.moa.example.kr")
+HOSTS = ("site.example.kr", "www.site.example.kr")
 
 
 @pytest.mark.parametrize(("raw", "want"), [
-    ("HTTP://WWW.moa.example.kr/a;jsessionid=AB12/b?q=1#f", "https://moa.example.kr/a/b?q=1"),
-    (" http://moa.example.kr:8080/x ", "https://moa.example.kr:8080/x"),
-    ("http://moa.example.kr:443/x", "https://moa.example.kr/x"),
+    ("HTTP://WWW.site.example.kr/a;jsessionid=AB12/b?q=1#f", "https://site.example.kr/a/b?q=1"),
+    (" http://site.example.kr:8080/x ", "https://site.example.kr:8080/x"),
+    ("http://site.example.kr:443/x", "https://site.example.kr/x"),
     ("HTTPS://Other.Example/P;JSESSIONID=1?a=;jsessionid=2", "https://Other.Example/P?a=;jsessionid=2"),
     (None, None),
 ])
@@ -32,12 +32,12 @@ def test_canonical_url(spark, raw, want):
 
 @pytest.mark.parametrize("ref", ["b", "../b", "/b/./c/../d", "?q=1", "//h.example/x", "b/..", ".", "https://z.example/k", "b?x=../y", "../../../up"])
 def test_relative_urls_resolve_like_the_standard(spark, ref):
-    base = "https://moa.example.kr/s/t/page.do?n=1"
+    base = "https://site.example.kr/s/t/page.do?n=1"
     assert one(spark, url.resolved(F.col("u"), F.lit(base)), u=("string", ref)) == urljoin(base, ref)
 
 
 def test_resource_needs_one_wellformed_id_on_an_own_host(spark):
-    rows = [("https://moa.example.kr/v?rsrcUnqId=EXP_01&mnu_code=F402",), ("https://moa.example.kr/v?rsrcUnqId=EXP_01&rsrcUnqId=EXP_02",), ("https://x.example/v?rsrcUnqId=EXP_01",), ("https://moa.example.kr/v?rsrcUnqId=BAD_01",)]
+    rows = [("https://site.example.kr/v?rsrcUnqId=EXP_01&mnu_code=F402",), ("https://site.example.kr/v?rsrcUnqId=EXP_01&rsrcUnqId=EXP_02",), ("https://x.example/v?rsrcUnqId=EXP_01",), ("https://site.example.kr/v?rsrcUnqId=BAD_01",)]
     kind, found = url.resource(F.col("u"), HOSTS)
     got = spark.createDataFrame(rows, "u string").select(kind, found, url.menu_code(F.col("u"), kind)).collect()
     assert [tuple(r) for r in got] == [("EXP", "EXP_01", "F402"), ("external", None, "F601"), ("external", None, "F601"), ("external", None, "F601")]

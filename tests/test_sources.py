@@ -47,7 +47,7 @@ DETAIL = """<div class="reserve-view"><div class="view-info"><input name="rsrcUn
 <ul class="cont"><li><span class="tit">접수기간</span><p>2026-08-01 09:00 ~ 2026-08-31 18:00</p></li><li><span class="tit">접수현황</span><p>5 / 20</p></li><li><span class="tit">요금</span><p>무료</p></li>
 <li><span class="tit">대상</span><p>초등 만 나이 기준</p></li></ul></div></div><div id="panel-1"><p>설명</p><p>유아 가능</p></div><div id="panel-3"><h4>주소</h4><p>어느 길 1</p></div>
 <div id="view_calendar"><button data-date="2026-08-10">10</button><button data-date="2026-08-11" disabled>11</button><button data-date="2026-08-10">10</button></div></div>"""
-HOSTS, BASE = ("moa.example.kr",), "https://moa.example.kr/list"
+HOSTS, BASE = ("site.example.kr",), "https://site.example.kr/list"
 
 
 def test_cards_and_pagination(spark):
