@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import slices, stage
 
@@ -138,34 +139,47 @@ def _evidence(a: Column, b: Column) -> Column:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
 
 
+def _decisions(grams_: DataFrame) -> DataFrame:
+    """Eight rows for each gram: the decision's place in the byte (1, then the bits so far) and its bit."""
+    each = grams_.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return each.withColumn("place", F.expr("shiftleft(1L, k) | shiftright(gram & 255, 8 - k)")).withColumn("bit", F.expr("shiftright(gram, 7 - k) & 1")).drop("k")
+
+
+def _last(context: Column, n: int) -> Column:
+    """The last n bytes of a context."""
+    return context.bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
 def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
     """gram, score, n: log10 probability of each gram's symbol in its context, from counted(gram, n).
 
-    A node's key is its context above its eight-bit place in the byte: 1, then the bits so far.
+    A node is a context and a place in the byte. Grams are dealt by context before they are spread over their eight
+    decisions, so counting and scoring the deepest nodes moves no spread rows.
     """
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    decided = counted.select("gram", "n", bits.alias("k")).selectExpr(
-        "gram", "n", "shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, k) | shiftright(gram & 255, 8 - k) AS node", "shiftright(gram, 7 - k) & 1 AS bit"
-    )
-    leaves = decided.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    levels = [stage(leaves.withColumn("mixed", _evidence(F.col("a"), F.col("b"))))]
+    zeros, ones = F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0))
+    by_context = counted.select("gram", "n", F.shiftright("gram", 8).alias("context"))
+    level = _decisions(by_context.repartition("context")).groupBy("context", "place").agg(zeros.cast("double").alias("a"), ones.cast("double").alias("b"))
+    level, levels = level.withColumn("mixed", _evidence(F.col("a"), F.col("b"))), []
     for d in range(depth - 1, -1, -1):
-        parent = F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))  # the context's last d bytes and the place
-        up = levels[-1].groupBy(parent.alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("mixed").alias("below"))
+        up = level.groupBy(_last(F.col("context"), d).alias("context"), "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("mixed").alias("below"))
         up = up.withColumn("own", _evidence(F.col("a"), F.col("b")))
         high, low = F.greatest("own", "below"), F.least("own", "below")
-        levels.append(stage(up.withColumn("mixed", high + F.log1p(F.exp(low - high)) - math.log(2))))
-    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
-    down = None
-    for d, level in enumerate(reversed(levels)):  # from the root
+        level = stage(up.withColumn("mixed", high + F.log1p(F.exp(low - high)) - math.log(2)))
+        levels.append(level)
+    one, down = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1), None
+    for d, level in enumerate(reversed(levels)):  # from the root: what shallower nodes give, and the weight left for deeper ones
         if down is None:
             joined = level.withColumn("sum", F.lit(0.0)).withColumn("rest", F.lit(1.0))
         else:
-            joined = level.withColumn("up", F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(down.withColumnRenamed("node", "up"), "up")
-        weight = 1 / (1 + F.exp(F.col("below") - F.col("own"))) if d < depth else F.lit(1.0)
-        down = stage(joined.select("node", (F.col("sum") + F.col("rest") * weight * one).alias("sum"), (F.col("rest") * (1 - weight)).alias("rest")))
-    p = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
-    return decided.join(down, "node").groupBy("gram").agg(F.sum(F.log10(p)).alias("score"), F.max("n").alias("n"))
+            joined = level.withColumn("up", _last(F.col("context"), d - 1)).join(down.withColumnRenamed("context", "up"), ["up", "place"])
+        weight = 1 / (1 + F.exp(F.col("below") - F.col("own")))
+        down = stage(joined.select("context", "place", (F.col("sum") + F.col("rest") * weight * one).alias("sum"), (F.col("rest") * (1 - weight)).alias("rest")))
+    places = down.groupBy(F.col("context").alias("up")).agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("sum", "rest")))).alias("at"))  # 255 at most
+    found = _decisions(by_context.withColumn("up", _last(F.col("context"), depth - 1)).join(places, "up"))
+    node = Window.partitionBy("up", "context", "place")
+    found = found.withColumn("a", zeros.over(node)).withColumn("b", ones.over(node)).withColumn("shallow", F.col("at")[F.col("place")])
+    p = F.col("shallow.sum") + F.col("shallow.rest") * one
+    return found.groupBy("up", "gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("score"), F.max("n").alias("n")).drop("up")
 
 
 class GramTable:
