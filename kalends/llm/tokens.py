@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from string import punctuation
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -12,6 +13,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: Every document ends with this id.
 END_ID = 1
+_PUNCTUATION = punctuation.encode()
 #: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
 REMEMBERED = 300_000
 #: Bytes of text whose unknown words are learnt together, about.
@@ -42,9 +44,14 @@ class WordEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-case letters between spaces need no normalizing and no pattern; ASCII letters are their own bytes.
+        self.of_ascii, self.of_letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.of_ascii.normalizer = self.of_letters.normalizer = normalizers.Sequence([])
+        self.of_ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -81,33 +88,34 @@ class WordEncoder:
         if len(self.words) > self.remembered:
             self.words, self.older, words = {}, self.words, needed
         known, older = self.words, self.older
-        plain, other, stems, tails = [], [], set(), set()
-        for w in words:
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
-            s = w.decode()
-            stem = s.rstrip(punctuation)
-            if stem.isalpha():
-                tail, stem = s[len(stem) :].encode(), stem.encode().lower()
-                plain.append((w, stem, tail))
-                if stem not in known:
-                    stems.add(stem)
-                if tail and tail not in known:
-                    tails.add(tail)
+        plain, other = [], []
+        again = words.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again)))
+        for w in words.difference(again):
+            bare = w.rstrip(_PUNCTUATION)
+            stem = bare.lower()
+            if stem.isalpha() or stem.decode().isalpha():
+                plain.append((w, stem, w[len(bare) :]))
             else:
                 other.append(w)
-        self._learn_letters(list(stems))
-        self._learn_singly([*other, *tails])
+        letters: tuple[list, list, list] = [], [], []
+        for stem in {stem for _, stem, _ in plain}.difference(known):
+            if stem.isalpha():
+                letters[0].append(stem)
+            else:
+                s = stem.decode()
+                letters[1 if is_normalized("NFC", s) and s.lower() == s else 2].append(stem)
+        for stems, tokenizer in zip(letters, (self.of_ascii, self.of_letters, self.tokenizer)):
+            self._learn_letters(stems, tokenizer)
+        self._learn_singly([*other, *{tail for _, _, tail in plain if tail}.difference(known)])
         for w, stem, tail in plain:
             known[w] = known[stem] + known[tail] if tail else known[stem]
 
-    def _learn_letters(self, stems: list[bytes]) -> None:
+    def _learn_letters(self, stems: list[bytes], tokenizer) -> None:
         """Words of letters alone: encoded in one go and cut where a token ends a word."""
-        for at in range(0, len(stems), 4096):
-            part = stems[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        for at in range(0, len(stems), 256):
+            part = stems[at : at + 256]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw = ids.astype("<u4").tobytes()
