@@ -35,6 +35,7 @@ BATCH_ROWS = 512
 _HEAD = struct.Struct("<4sIQQ")
 #: Lengths of the four values that a control byte stands for.
 LENGTHS = np.stack([((np.arange(256) >> 2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
+_QUAD_BYTES = LENGTHS.sum(axis=1, dtype=np.int64)
 _END = struct.pack("<I", END_ID)
 
 
@@ -87,28 +88,40 @@ def unpack_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n tokens, control and data bytes of every document's ids, coded as they are; the end id is the last."""
+    """doc_id, n tokens, control and data bytes of every document's ids, coded as they are; the end id is the last.
+
+    Each task adds one row with n = -1 for how often it met each id: ids in control, counts in data, eight bytes each.
+    """
 
     def run(batches):
         e = encoder(vocabulary)
-        for b in slices(batches):
-            held = []
-            for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
-                ids = np.frombuffer(raw + _END + b"\0" * (-(len(raw) + 4) % 16), "<u4")
-                held.append((d, len(raw) // 4 + 1, *encode_ranks(ids)))
-                if len(held) == BATCH_ROWS:
-                    yield _batch(held)
-                    held = []
-            yield _batch(held)
+        total = np.zeros(e.size, np.int64)
+        for b in slices(batches, BATCH_ROWS):
+            raw = [r + _END for r in e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())]
+            ids = np.frombuffer(b"".join(r + b"\0" * (-len(r) % 16) for r in raw), "<u4")
+            n = np.array([len(r) // 4 for r in raw])
+            quads = -(-n // 4)
+            control, data = encode_ranks(ids)
+            size = np.cumsum(_QUAD_BYTES[np.frombuffer(control, np.uint8)])
+            at, upto = np.cumsum(quads), size[np.cumsum(quads) - 1]
+            total += np.bincount(ids, minlength=e.size)
+            total[0] -= int((4 * quads - n).sum())  # the padding
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n), _cut(control, at), _cut(data, upto)], names=["doc_id", "n", "control", "data"]
+            )
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([met.astype("<i8").tobytes()], pa.binary()), pa.array([total[met].astype("<i8").tobytes()], pa.binary())],
+            names=["doc_id", "n", "control", "data"],
+        )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, control binary, data binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "n", "control", "data"]
-    )
+def _cut(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary array of raw cut at ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
 
 def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +137,12 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """How often each id occurs in all encoded documents: id, n. At most one row per id of the vocabulary."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for b in batches:
-            ids, inside = _ids(b)
-            now = np.bincount(ids[inside], minlength=len(total))
-            now[: len(total)] += total
-            total = now
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            ids, n = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<i8") for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
 
-    return rows.select("n", "control", "data").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    met = rows.where("n < 0").select("control", "data").mapInArrow(run, "id long, n long")
+    return met.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -177,7 +186,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_token
             yield flush()
 
     (
-        rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        rows.where("n >= 0").repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "control", "data")
         .mapInArrow(run, "shard int, block int, before long, n_tokens long, payload binary")
         .write.parquet(f"{path}/blocks")
