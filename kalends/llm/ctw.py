@@ -24,17 +24,17 @@ from pyspark.sql.window import Window
 
 from .common import slices, stage
 
-DEPTH = 5
+DEPTH = 4
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Ends a text and fills the context before its first byte; UTF-8 never holds it.
 END = b"\xff"
 #: Bytes of text that are worked on together, and entries after which partial counts are merged or sent on.
 CHUNK = 4 << 20
-HELD_GRAMS, HELD_WORDS = 4_000_000, 500_000
+HELD_GRAMS, HELD_WORDS = 1_000_000, 200_000
 #: Commonest words, of WORD_BYTES at most, whose counts every task gets; all other words meet their counts in a join.
 HOT_WORDS, WORD_BYTES = 200_000, 64
-#: Commonest grams whose probabilities every task gets, in a table of 64 MB at most; the others meet theirs in a join.
-HOT_GRAMS = 2_000_000
+#: Commonest grams whose probabilities every task gets, in a table of 32 MB at most; the others meet theirs in a join.
+HOT_GRAMS = 1_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
