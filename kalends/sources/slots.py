@@ -21,9 +21,8 @@ def rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     kind = F.schema_of_variant("_v")
     parsed = parsed.withColumn("_list", F.coalesce(kind.startswith("ARRAY"), F.lit(False)))
     bad = parsed.where("NOT _list").select(*keep, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("row"), F.lit("payload is not a JSON array").alias("error"))
-    parsed.createOrReplaceTempView("_slots")
-    listed = ", ".join(f"s.`{c}`" for c in keep)
-    good = payloads.sparkSession.sql(f"SELECT {listed + ', ' if keep else ''}v.pos, v.value AS row FROM _slots s, LATERAL variant_explode(s._v) v WHERE s._list")
+    slots = payloads.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    good = parsed.where("_list").lateralJoin(slots).select(*keep, "pos", F.col("value").alias("row"))
     good = good.withColumn("error", F.when(~F.schema_of_variant("row").startswith("OBJECT"), F.lit("slot is not an object")))
     return good.unionByName(bad)
 
