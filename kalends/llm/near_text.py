@@ -9,6 +9,7 @@ far connect them. Texts with equal sets are one from the start.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -25,10 +26,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ANCHORS = 4
 RADIUS = 22
-#: Texts under one key up to which all pairs are compared. Larger keys are split by a second anchor, and if still larger
-#: into parts of this size that share about LEADERS texts.
+#: Texts under one key up to which all pairs are compared in one task. Larger keys are split by a second anchor, and if
+#: still larger into parts of this size that share about LEADERS texts; what these leave unconnected is then compared in
+#: blocks of this size, each against each.
 BUCKET = 512
 LEADERS = 32
+#: Set sizes of near copies differ by less than this factor, so they are in one band or in neighbouring bands. A little
+#: above 1 / SIMILARITY, as the sets that are measured hold halves of hashes, which may be equal by chance.
+BAND = 1.26
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -52,12 +57,12 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            rows = [sketch(shingles(t)) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            cols = list(zip(*rows)) or [()] * 3
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "id", "fp", "anchors"])
+            rows = [(*sketch(h), len(h)) for h in map(shingles, b.column(1).cast(pa.large_binary()).to_pylist())]
+            cols = list(zip(*rows)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "id", "fp", "anchors", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, fp long, anchors array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, fp long, anchors array<long>, size long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -82,43 +87,68 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _bucket_links(batches):
-    """Rows key, id, fp, set in key order to links (u, v) that connect what is alike under each key."""
-
-    def solve(rows):
-        fp = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        sets = [np.frombuffer(r[2], np.uint32) for r in rows]
-        root = list(range(len(rows)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        n, out = np.zeros(len(rows), np.int64), []
-        pairs = list(bit_sliced_links(fp, n, n + len(rows), RADIUS))
-        if pairs:
-            i, j = (np.concatenate(x) for x in zip(*pairs))
-            order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
-            for a, b in zip(i[order].tolist(), j[order].tolist()):
-                u, v = find(a), find(b)
-                if u != v and _alike(sets[a], sets[b]):
-                    root[max(u, v)] = min(u, v)
-                    out.append((rows[a][0], rows[b][0]))
-        cols = list(zip(*out)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
-
+def _spanning(ids: list[int], fp: np.ndarray, sets: list[np.ndarray], start: np.ndarray, root: list[int], among=None) -> pa.RecordBatch:
+    """Links (u, v) that connect what is alike and not yet connected by root, of pairs j < i from start[i] on that `among` keeps."""
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    pairs, out = list(bit_sliced_links(fp, start, np.full(len(ids), len(ids)), RADIUS)), []
+    if pairs:
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        if among:
+            keep = among(i, j)
+            i, j = i[keep], j[keep]
+        order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            u, v = find(a), find(b)
+            if u != v and _alike(sets[a], sets[b]):
+                root[max(u, v)] = min(u, v)
+                out.append((ids[a], ids[b]))
+    cols = list(zip(*out)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+
+
+def _by_key(batches):
+    """Lists of the rows of each key, without the key, that have two or more; the key comes first and in order."""
     key, held = None, []
-    for b in batches:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in range(4))):
+    for b in slices(batches):
+        for k, *row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
             if k != key:
                 if len(held) > 1:
-                    yield solve(held)
+                    yield held
                 key, held = k, []
             held.append(row)
     if len(held) > 1:
-        yield solve(held)
+        yield held
+
+
+def _bucket_links(batches):
+    """Rows key, id, fp, set in key order to links (u, v) that connect what is alike under each key."""
+    for rows in _by_key(batches):
+        ids, fp, sets = zip(*rows)
+        sets = [np.frombuffer(x, np.uint32) for x in sets]
+        yield _spanning(ids, np.array(fp, np.int64).view(np.uint64), sets, np.zeros(len(ids), np.int64), list(range(len(ids))))
+
+
+def _block_links(batches):
+    """Rows task, side, id, fp, class, set in task order to links (u, v) between classes: of side 0 with side 1, of side 2 within."""
+    for rows in _by_key(batches):
+        side, ids, fp, kind, sets = zip(*sorted(rows, key=lambda r: r[0]))
+        sets = [np.frombuffer(x, np.uint32) for x in sets]
+        side, size = np.array(side), np.array([len(x) for x in sets])
+        _, first, at = np.unique(np.array(kind, np.int64), return_index=True, return_inverse=True)
+        root = first[at]
+        start = np.where(side == 0, np.arange(len(ids)), 0)
+
+        def among(i, j):
+            both = (side[i] == 2) | (side[i] != side[j])
+            return both & (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
+
+        yield _spanning(ids, np.array(fp, np.int64).view(np.uint64), sets, start, root.tolist(), among)
 
 
 def _keyed(nodes: DataFrame, bucket: int) -> DataFrame:
@@ -141,22 +171,62 @@ def _keyed(nodes: DataFrame, bucket: int) -> DataFrame:
     return few.unionByName(small).unionByName(large)
 
 
+def _crowded(nodes: DataFrame, bucket: int) -> DataFrame:
+    """key, id, band of the texts under every anchor that more than `bucket` texts share."""
+    single = nodes.select("id", F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)).alias("band"), F.explode("anchors").alias("key"))
+    return single.join(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key"), "key")
+
+
+def _blocks(crowded: DataFrame, bucket: int) -> DataFrame:
+    """task, side, id, class from crowded(key, id, band, class): each two texts of one key that can be alike and are of
+    different classes meet in one task, of about 2 x bucket texts at most.
+
+    A class of half a bucket or more in a band has blocks of its own, which are not compared with each other.
+    """
+    mixed = crowded.groupBy("key").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("key")
+    crowded = stage(crowded.join(mixed, "key"))
+    cell = ["key", "band", "own"]
+    large = crowded.groupBy("key", "band", "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= bucket).select("key", "band", "class", F.col("class").alias("own"))
+    texts = crowded.join(large, ["key", "band", "class"], "left").withColumn("own", F.struct(F.col("own").isNotNull().alias("large"), F.coalesce("own", F.lit(0).cast("long")).alias("class")))
+    cells = texts.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / bucket).alias("parts"))
+    texts = texts.join(cells, cell).select(*cell, F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "class")
+    blocks = stage(cells.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    one, two = (blocks.select("key", F.struct("band", "own", "part").alias(x)) for x in ("one", "two"))
+    one = one.withColumn("band", F.explode(F.array("one.band", F.col("one.band") + 1)))
+    met = one.join(two.withColumn("band", F.col("two.band")), ["key", "band"]).where((F.col("one") <= F.col("two")) & ~(F.col("one.own.large") & (F.col("one.own") == F.col("two.own"))))
+    task = F.xxhash64("key", "one.band", "one.own.large", "one.own.class", "one.part", "two.band", "two.own.large", "two.own.class", "two.part")
+    sides = F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(2).alias("side"), F.col("one").alias("b")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("b")), F.struct(F.lit(1).alias("side"), F.col("two").alias("b")))
+    )
+    dealt = met.select("key", task.alias("task"), F.explode(sides).alias("x")).select("key", "x.b.band", "x.b.own", "x.b.part", "task", "x.side")
+    return texts.join(dealt, [*cell, "part"]).select("task", "side", "id", "class")
+
+
 def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id and component_id, the least doc_id of the texts that links connect, of every document.
 
     Texts without words are copies of each other. Rows that repeat a doc_id each come back; null doc_ids take their
-    group's component_id; other columns are ignored; an empty table gives an empty result. Keys that more than
-    `bucket` texts share are split as told above, which can miss a link between texts of one very large group
-    that neither a second anchor nor a shared leader connects.
+    group's component_id; other columns are ignored; an empty table gives an empty result. All pairs under an anchor
+    count, whatever `bucket` is; pairs that more than `bucket` unconnected texts of like size make under one anchor are
+    as many as their square.
     """
     found = stage(_sketches(docs))
-    nodes = found.groupBy("id").agg(F.first("anchors").alias("anchors"))
+    nodes = found.groupBy("id").agg(F.first("anchors").alias("anchors"), F.first("size").alias("size"))
+
+    def with_sets(keyed: DataFrame) -> DataFrame:
+        wanted = stage(found.join(keyed.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct())
+        chosen = docs.join(F.broadcast(wanted) if few_enough(wanted) else wanted, "doc_id", "left_semi")
+        return keyed.join(_sets(chosen).dropDuplicates(["id"]), "id")
+
     keyed = stage(_keyed(nodes, bucket))
-    wanted = stage(found.join(keyed.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct())
-    chosen = docs.join(F.broadcast(wanted) if few_enough(wanted) else wanted, "doc_id", "left_semi")
-    sets = _sets(chosen).dropDuplicates(["id"])
-    links = keyed.join(sets, "id").select("key", "id", "fp", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
+    links = with_sets(keyed).select("key", "id", "fp", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
     classes = connected_components(links)
+    crowded = stage(_crowded(nodes, bucket))
+    if not crowded.isEmpty():
+        known = crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("class"))
+        dealt = stage(_blocks(known, bucket))
+        more = with_sets(dealt).select("task", "side", "id", "fp", "class", "set").repartition("task").sortWithinPartitions("task").mapInArrow(_block_links, "u long, v long")
+        classes = connected_components(more.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = found.select("doc_id", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("class"))
     named = stage(named)
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))

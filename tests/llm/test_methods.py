@@ -116,6 +116,16 @@ def test_near_copies_are_those_of_all_pairs(docs, texts):
         assert {r["doc_id"]: r["component_id"] for r in near_text.near_copies(docs, bucket).collect()} == want
 
 
+def test_near_copies_meet_under_a_crowded_anchor(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "LEADERS", 0)
+    template, rows = [f"t{k}" for k in range(150)], []
+    for n in range(300):  # 600 texts largely of one template; each two in a row are near copies, no others
+        tail = [f"w{n}_{k}" for k in range(30)]
+        rows += [(2 * n, " ".join(template + tail)), (2 * n + 1, " ".join([*template, *tail[:-1], "other"]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 32).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 # Tokens
 
 
