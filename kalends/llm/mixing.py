@@ -3,23 +3,27 @@
 A source's target over its size is the number of copies each of its documents is expected to have. The whole part
 is certain. For the rest every document has an inclusion probability p; documents are ranked by u / (1 - u) over
 p / (1 - p), u being a hash of doc_id, and the source takes the leading ones as long as their words fit in what is left
-of its target; where the next one is too long, later ones that fit come before it. Ranks are cut by buckets of rank, so no source, however large, is sorted in one task.
+of its target; where the next one is too long, later ones that fit come before it, FILLS times. Buckets of rank, as many as a
+source's documents ask for, find where words run out, so no source, however large, is sorted in one task; they don't
+change what is taken.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, n_words, stage
+from .common import n_words, stage
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
 #: Rows of a source that are sorted together, about.
 SORTED_ROWS = 5_000
-#: Times that documents at the cut are gone through for some that still fit in what is left of the target.
+#: Times that a source's documents are gone through, in order of rank, for some that fit in what is left of its target.
 FILLS = 3
 #: Sources up to which their table, a row each, is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -53,18 +57,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     """doc_id, size, source, source_size, target, copies and taken (copies x size) of every document.
 
     preference: a positive column that documents of a source are favoured by, in proportion; none: all alike. No
-    document has more than max_copies. A source's taken words stay below its target by less than the
-    shortest document left at the cut. Null texts have size 0; documents of size 0 take no words. Documents of a null source form one
+    document has more than max_copies. The result is the same for every sorted_rows. Null texts have size 0; documents of size 0 take no words. Documents of a null source form one
     source. Equal u (rows that repeat a doc_id) go by doc_id and size; a rerun takes the same. Other columns are
     ignored; an empty table gives an empty result.
     """
     liking = F.lit(1.0) if preference is None else preference.cast("double")
     sized = stage(docs.select(F.col("doc_id").cast("long"), "source", n_words("text").alias("size"), liking.alias("liking")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("liking")).alias("liked"), F.count(F.lit(1)).alias("docs"))
-    shares = stage(targets(sums, weights, max_copies).join(sums.select(F.col("source").alias("s"), "liked"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    shares = stage(targets(sums, weights, max_copies).join(sums.select(F.col("source").alias("s"), "liked", F.ceil(F.col("docs") / sorted_rows).alias("buckets")), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     few = shares.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else lambda df: df
-    buckets = n_buckets(sized.count(), sorted_rows)
 
     right = hint(shares.withColumnRenamed("source", "s"))
     expected = F.when(F.col("liked") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("liked") * F.col("liking"))).otherwise(F.lit(0.0))
@@ -74,36 +76,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
         sized.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("u", u)
         .withColumn("rank", F.when(p > 0, odds / (p / (1 - p))))
-        .withColumn("bucket", F.when(p > 0, F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * buckets), F.lit(buckets - 1))).cast("long"))
-    )
-    by_bucket = scored.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"), F.first("target").alias("target"))
-    source = Window.partitionBy("source")
-    run = (
-        by_bucket.withColumn("left", F.col("target") - F.sum("certain").over(source)).where("bucket is not null")
-        .withColumn("upto", F.sum("words").over(source.orderBy("bucket")))
+        .withColumn("bucket", F.when(p > 0, F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("buckets")), F.col("buckets") - 1)).cast("long"))
     )
-    cut = run.groupBy("source").agg(
-        F.first("left").alias("left"),
-        F.min(F.when(F.col("upto") >= F.col("left"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("at"),
-    ).select(F.col("source").alias("s"), "left", F.col("at.bucket").alias("cut"), F.col("at.before").alias("before"))
-    ranked = scored.join(hint(stage(cut)), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    clear = F.col("bucket").isNull() | F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))
-    extra = F.coalesce(F.col("bucket") < F.coalesce("cut", F.lit(buckets)), F.lit(False)) & (F.col("left") > 0)
-    sure = ranked.where(clear).withColumn("extra", F.coalesce(extra, F.lit(False)))
-    close = ranked.where(~clear).withColumn("extra", F.lit(False)).withColumn("gap", F.col("left") - F.col("before"))
-    order = source.orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()))
+    certain = scored.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("whole")).alias("certain"))
+    # Sizes are whole numbers, so what fits in the gap fits in its whole part.
+    gaps = stage(certain.select(F.col("source").alias("s"), F.floor(F.col("target") - F.col("certain")).alias("gap")))
+    open_rows = scored.where("bucket is not null").select("source", "row", "bucket", "rank", "u", "doc_id", "size")
+    taken = []
     for _ in range(FILLS):
-        fits = F.when(~F.col("extra") & (F.col("size") <= F.col("gap")), F.col("size")).otherwise(0)
-        close = close.withColumn("fit", fits).withColumn("upto", F.sum("fit").over(order))
-        close = close.withColumn("now", ~F.col("extra") & (F.col("size") <= F.col("gap")) & (F.col("upto") <= F.col("gap")))
-        close = close.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(source)).withColumn("extra", F.col("extra") | F.col("now"))
-    close = close.drop("gap", "fit", "upto", "now")
-    copies = F.col("whole") + F.col("extra").cast("long")
-    return sure.unionByName(close).select(
+        open_rows = stage(open_rows.join(hint(gaps), F.col("source").eqNullSafe(F.col("s"))).drop("s").where(F.col("size") <= F.col("gap")))
+        now = stage(_leading(open_rows, hint))
+        taken.append(now.select(F.col("row").alias("r")))
+        used = now.groupBy(F.col("source").alias("t")).agg(F.sum("size").alias("used"))
+        gaps = stage(gaps.join(hint(used), F.col("s").eqNullSafe(F.col("t")), "left").select("s", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
+        open_rows = open_rows.drop("gap").join(now.select(F.col("row").alias("r")), F.col("row") == F.col("r"), "left_anti")
+    extra = reduce(DataFrame.unionByName, taken)
+    copies = F.col("whole") + F.col("r").isNotNull().cast("long")
+    return scored.join(extra, F.col("row") == F.col("r"), "left").select(
         "doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
 
 
+def _leading(rows: DataFrame, hint) -> DataFrame:
+    """source, row, size of each source's leading rows whose sizes add up to its gap at most. Only one bucket of a source is sorted."""
+    source = Window.partitionBy("source")
+    run = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("upto", F.sum("words").over(source.orderBy("bucket")))
+    cut = run.where(F.col("upto") > F.col("gap")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+    cut = hint(stage(cut.select(F.col("source").alias("s"), F.col("at.bucket").alias("cut"), F.col("at.before").alias("before"))))
+    ranked = rows.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    order = source.orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    close = ranked.where(F.col("bucket") == F.col("cut")).withColumn("upto", F.col("before") + F.sum("size").over(order)).where(F.col("upto") <= F.col("gap"))
+    clear = ranked.where(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
+    return clear.select("source", "row", "size").unionByName(close.select("source", "row", "size"))
+
+
 def _fill(n: int) -> str:
     """The n-th pass over documents at the cut, as SQL."""
     return f"""

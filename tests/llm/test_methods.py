@@ -432,6 +432,11 @@ def test_mix_comes_near_its_targets(docs):
         assert gap < (0.05 if rows == mixing.SORTED_ROWS else 0.2) and all(words[s] <= t + 1e-6 for s, t in target.items())
 
 
+def test_mix_is_the_same_for_every_bucket_count(docs):
+    got = [Counter(mixing.mix(docs, sorted_rows=rows).collect()) for rows in (mixing.SORTED_ROWS, 40, 3)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_inclusion_follows_preference(spark):
     from pyspark.sql import functions as F
 
