@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stage
 
-DEPTH = 4
+DEPTH = 5
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Ends a text and fills the context before its first byte; UTF-8 never holds it.
 END = b"\xff"

@@ -288,6 +288,11 @@ def test_held_out_texts_cost_few_bits(docs):
     assert got and -sum(r["score"] for r in got) / math.log10(2) / sum(r["n_bytes"] for r in got) < 3.2
 
 
+def test_default_depth_predicts_better_than_four(docs):
+    by_default, at_four = (sum(r["score"] for r in d.where("held_out").select("score").collect()) for d in (ctw.score(docs), ctw.score(docs, depth=4)))
+    assert by_default > at_four
+
+
 def test_gram_table():
     keys = np.random.default_rng(1).permutation(np.arange(1, 5000, dtype=np.int64) * 7919)
     table = ctw.GramTable(keys, keys / 3)
