@@ -20,7 +20,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(read_table(spark, sf_dir, "documents")).drop("ids")
+    return token_output.round_trip(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

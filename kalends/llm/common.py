@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,22 @@ def slices(batches, rows: int = 1024):
             yield b.slice(at, rows)
 
 
+#: Bytes of text that Python works on together, about; a longer text is worked on alone.
+TEXT_BYTES = 4 << 20
+
+
+def text_slices(batches, column: int = 1, size: int = TEXT_BYTES, rows: int = 8192):
+    """Arrow batches cut so that the texts of a column have about so many bytes together."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            upto = min(max(at + 1, int(np.searchsorted(ends, done + size, side="right"))), at + rows)
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def n_buckets(rows: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket rows each; grows with the data, 1 at least."""
     return max(1, -(-rows // per_bucket))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, slices, stage
+from .common import n_buckets, stage, text_slices
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -94,20 +94,24 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Documents as token pieces: one of all ids, or cuts of exactly capacity ids and a rest."""
     vocabulary = vocabulary or vocabulary_path()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
         e = encoder(vocabulary)
-        for b in slices(batches):
-            out = []
-            for d, raw in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())):
-                ids = raw + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*out)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in text_slices(batches):
+            ids, n = e.encode_column(b.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), END_ID), n + 1
+            cuts, ends = -(-n // capacity), np.cumsum(n)
+            doc = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            at = (ends - n)[doc] + start
+            raw = memoryview(ids).cast("B")
+            crcs = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_buckets, scratch_dir, slices, stage
+from .common import n_buckets, scratch_dir, stage, text_slices
 from .tokens import END_ID, encoder, vocabulary_path
 
 MAGIC = b"KTB1"
@@ -36,7 +36,6 @@ _HEAD = struct.Struct("<4sIQQ")
 #: Lengths of the four values that a control byte stands for.
 LENGTHS = np.stack([((np.arange(256) >> 2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
 _QUAD_BYTES = LENGTHS.sum(axis=1, dtype=np.int64)
-_END = struct.pack("<I", END_ID)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -96,11 +95,12 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         e = encoder(vocabulary)
         total = np.zeros(e.size, np.int64)
-        for b in slices(batches, BATCH_ROWS):
-            raw = [r + _END for r in e.encode_all(b.column(1).cast(pa.large_binary()).to_pylist())]
-            ids = np.frombuffer(b"".join(r + b"\0" * (-len(r) % 16) for r in raw), "<u4")
-            n = np.array([len(r) // 4 for r in raw])
+        for b in text_slices(batches):
+            flat, n = e.encode_column(b.column(1))
+            flat, n = np.insert(flat, np.cumsum(n), END_ID), n + 1
             quads = -(-n // 4)
+            ids = np.zeros(4 * int(quads.sum()), "<u4")
+            ids[np.arange(len(flat)) + np.repeat(4 * (np.cumsum(quads) - quads) - np.cumsum(n) + n, n)] = flat
             control, data = encode_ranks(ids)
             size = np.cumsum(_QUAD_BYTES[np.frombuffer(control, np.uint8)])
             at, upto = np.cumsum(quads), size[np.cumsum(quads) - 1]
@@ -193,8 +193,11 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_token
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from written blocks: doc_id, start (tokens of all before it), n_tokens, ids_crc32, ids (little-endian u32)."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents from written blocks: doc_id, start (tokens of all before it), n_tokens, ids_crc32, ids (little-endian u32).
+
+    Blocks are decoded either way; without ids, these stay in the Python worker.
+    """
     ranked = spark.read.parquet(f"{path}/ranks").collect()
     id_of = np.zeros(max(len(ranked), 1), "<u4")
     for r in ranked:
@@ -209,17 +212,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for s, before, payload in zip(*(b.column(k).to_pylist() for k in range(3))):
                 doc_ids, counts, ranks = unpack_block(payload)
-                raw, ends = id_of[ranks].tobytes(), np.cumsum(counts)
-                own = [raw[4 * a : 4 * z] for a, z in zip((ends - counts).tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(first[s] + before + ends - counts), pa.array(counts), pa.array(map(zlib.crc32, own), pa.int64()), pa.array(own, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                ids, ends = id_of[ranks], np.cumsum(counts)
+                raw = memoryview(ids).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip((ends - counts).tolist(), ends.tolist())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(first[s] + before + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    columns.append(_cut(ids.tobytes(), 4 * ends))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return blocks.select("shard", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    names = [field.split()[0] for field in schema.split(", ")]
+    return blocks.select("shard", "before", "payload").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """Writes docs to a folder of its own in the shared folder and reads the files back.
 
     Null and empty texts hold the end id alone. Documents come in ascending doc_id order, nulls first, equal ids in
@@ -228,4 +234,4 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
     path = scratch_dir(docs.sparkSession)
     write(docs, path, vocabulary)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, with_ids)

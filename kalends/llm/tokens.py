@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import compress
 from string import punctuation
-from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The vocabulary file of the queries; operators take another path as a parameter.
 VOCABULARY = "word_bpe_49k.json"
 #: Every document ends with this id.
 END_ID = 1
-_PUNCTUATION = punctuation.encode()
+#: Words of these letters are cut from the punctuation behind them, lower-cased and learnt together: each letter has
+#: one lower-case form of as many bytes.
+PLAIN, LOWER = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
 #: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
 REMEMBERED = 300_000
-#: Bytes of text whose unknown words are learnt together, about.
-TOGETHER = 2 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,6 +36,38 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _cut(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Stems, and the bytes behind them as little-endian integers; words that aren't plain are their own stems.
+
+    Only up to seven bytes are cut off; before more, the whole word is its stem.
+    """
+    bare = pc.utf8_rtrim(words, characters=punctuation)
+    length = pc.binary_length(words).to_numpy() - pc.binary_length(bare).to_numpy()
+    plain = pc.and_(pc.match_substring_regex(bare, PLAIN), pa.array(length < 8))
+    length = np.where(plain.to_numpy(zero_copy_only=False), length, 0)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    end = np.frombuffer(words.buffers()[1] or b"", np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    tails = np.zeros(len(words), np.uint64)
+    for k in range(int(length.max(initial=0))):
+        at = np.flatnonzero(length > k)
+        tails[at] |= raw[end[at] - length[at] + k].astype(np.uint64) << np.uint64(8 * k)
+    return pc.if_else(plain, pc.utf8_lower(bare), words), tails
+
+
+def _pool(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row and how many each entry has."""
+    return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int32, len(raw)) // 4
+
+
+def _gather(ids: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of entries in the order of index, and how many each has; size: of the entries that ids hold in a row."""
+    n = size[index]
+    ends = np.cumsum(n, dtype=np.int64)
+    place = np.int32 if max(len(ids), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    shift = ((np.cumsum(size, dtype=np.int64) - size)[index] - ends + n).astype(place)
+    return ids[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0, dtype=place)], n
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that drops white space, and remembers the words' ids.
 
@@ -66,50 +100,47 @@ class WordEncoder:
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """encode() of many texts."""
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and size < TOGETHER:
-                size += len(texts[upto] or b"")
-                upto += 1
-            split = [(t or b"").split() for t in texts[at:upto]]
-            distinct = set().union(*split)
-            unknown = distinct.difference(self.words)
-            if unknown:
-                self._learn(unknown, distinct)
-            known = self.words
-            near = {w: known[w] for w in distinct}.__getitem__
-            for words in split:
-                yield b"".join(map(near, words))
-            at = upto
-
-    def _learn(self, words: set[bytes], needed: set[bytes]) -> None:
-        """Adds words; a full generation becomes the older one, and then all needed words are added."""
-        if len(self.words) > self.remembered:
-            self.words, self.older, words = {}, self.words, needed
-        known, older = self.words, self.older
-        plain, other = [], []
-        again = words.intersection(older)
-        known.update(zip(again, map(older.__getitem__, again)))
-        for w in words.difference(again):
-            bare = w.rstrip(_PUNCTUATION)
-            stem = bare.lower()
-            if stem.isalpha() or stem.decode().isalpha():
-                plain.append((w, stem, w[len(bare) :]))
-            else:
-                other.append(w)
-        letters: tuple[list, list, list] = [], [], []
-        for stem in {stem for _, stem, _ in plain}.difference(known):
-            if stem.isalpha():
-                letters[0].append(stem)
-            else:
-                s = stem.decode()
-                letters[1 if is_normalized("NFC", s) and s.lower() == s else 2].append(stem)
-        for stems, tokenizer in zip(letters, (self.of_ascii, self.of_letters, self.tokenizer)):
-            self._learn_letters(stems, tokenizer)
-        self._learn_singly([*other, *{tail for _, _, tail in plain if tail}.difference(known)])
-        for w, stem, tail in plain:
-            known[w] = known[stem] + known[tail] if tail else known[stem]
+        ids, n = self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
+        ends = np.cumsum(n)
+        for a, b in zip((ends - n).tolist(), ends.tolist()):
+            yield ids[a:b].tobytes()
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow column in a row, and how many each text has.
+
+        Arrow numbers the different words and cuts them into stem and tail, so Python sees each stem of the column once.
+        """
+        words = pc.ascii_split_whitespace(texts)
+        n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        numbered = words.flatten().dictionary_encode()
+        stems, tails = _cut(numbered.dictionary)
+        stems = stems.dictionary_encode()
+        tail, tail_of = np.unique(tails, return_inverse=True)
+        known = self._known(stems.dictionary.cast(pa.binary()).to_pylist())
+        ids, size = _pool([*known, *self._known([int(t).to_bytes(8, "little").rstrip(b"\0") for t in tail])])
+        parts = np.stack([stems.indices.to_numpy(), tail_of.astype(np.int32) + np.int32(len(known))], axis=1).ravel()
+        ids, part_size = _gather(ids, size, parts)
+        ids, size = _gather(ids, part_size.reshape(-1, 2).sum(axis=1, dtype=np.int32), numbered.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(n_words)]
+        return ids, np.diff(upto, prepend=0)
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words. A full generation becomes the older one, and then all these words are added."""
+        unknown = [w for w in words if w not in self.words]
+        if unknown:
+            if len(self.words) > self.remembered:
+                self.words, self.older, unknown = {}, self.words, words
+            again = [w for w in unknown if w in self.older]
+            self.words.update(zip(again, map(self.older.__getitem__, again)))
+            self._learn([w for w in unknown if w not in self.words])
+        return list(map(self.words.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        fine = pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), LOWER).to_pylist()
+        self._learn_singly([w for w, f in zip(words, fine) if not f])
+        letters = list(compress(words, fine))
+        self._learn_letters([w for w in letters if w.isascii()], self.of_ascii)
+        self._learn_letters([w for w in letters if not w.isascii()], self.of_letters)
 
     def _learn_letters(self, stems: list[bytes], tokenizer) -> None:
         """Words of letters alone: encoded in one go and cut where a token ends a word."""
