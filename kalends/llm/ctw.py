@@ -4,9 +4,10 @@ A byte is coded as eight binary decisions, each with a tree of its own whose con
 A node's Krichevsky-Trofimov estimate is mixed half and half with the product of its children's mixtures; given the
 training corpus, a symbol's probability is then a mixture over all depths with weights that the evidence sets.
 
-Spark counts (DEPTH + 1)-byte grams once, sums them upwards level by level (log evidence and counts in one
-aggregate), passes mixture weights down by joins, and so gives every gram of the corpus its log10 probability.
-Scoring a document sums those of its grams.
+Spark counts (DEPTH + 1)-byte grams once and gathers those that agree in all but the last two context bytes and the symbol.
+Such a group is a whole subtree, at most 2 ** 24 grams, which numpy sums upwards. The nodes above are summed level by
+level in Spark (log evidence and counts in one aggregate); mixture weights come down by joins, and the subtrees give every
+gram of the corpus its log10 probability. Scoring a document sums those of its grams.
 """
 
 from __future__ import annotations
@@ -17,23 +18,32 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_hexdigest
 
-from .common import slices, stage
+from .common import stage, text_slices
 
 DEPTH = 5
+#: Context bytes below which a subtree is worked on as a whole.
+SUBTREE = 2
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Ends a text and fills the context before its first byte; UTF-8 never holds it.
 END = b"\xff"
-#: Bytes of text that are worked on together, and entries after which partial counts are merged or sent on.
-CHUNK = 4 << 20
-HELD_GRAMS, HELD_WORDS = 1_000_000, 200_000
-#: Commonest words, of WORD_BYTES at most, whose counts every task gets; all other words meet their counts in a join.
+#: Bytes of text that are worked on together, about, and entries after which partial counts are merged and sent on.
+CHUNK = 1 << 20
+HELD_GRAMS, HELD_WORDS = 1_000_000, 100_000
+#: Grams of whole subtrees that are worked on together, about.
+TREE_GRAMS = 100_000
+#: Commonest words whose counts every task gets; all other words meet their counts in a join. Longer words than
+#: WORD_BYTES go by a digest.
 HOT_WORDS, WORD_BYTES = 200_000, 64
 #: Commonest grams whose probabilities every task gets, in a table of 32 MB at most; the others meet theirs in a join.
 HOT_GRAMS = 1_000_000
+#: Counts up to which log gamma comes from a table.
+TABLE = 1 << 12
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -57,18 +67,23 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep[depth:]].view(np.int64), size
 
 
-def _chunks(batch: pa.RecordBatch):
-    """Rows of doc_id, text as lists (doc ids, words of each text), so many that they hold about CHUNK bytes."""
-    ids, words, size = [], [], 0
-    for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-        ids.append(d)
-        words.append((t or b"").lower().split())
-        size += len(t or b"")
-        if size >= CHUNK:
-            yield ids, words
-            ids, words, size = [], [], 0
-    if ids:
-        yield ids, words
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, list[bytes]]:
+    """Words per text, all words in a row, and the texts with single spaces; A-Z lower-cased, a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    words = lists.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0)
+    n = np.bincount(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+    words = words.filter(some)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return n, words, pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " ").cast(pa.binary()).to_pylist()
+
+
+def _keys(words: pa.Array) -> pa.Array:
+    """What stands for each word in joins: itself, or a space and a digest for a long one."""
+    long = pc.greater(pc.binary_length(words), WORD_BYTES)
+    if not pc.any(long).as_py():
+        return words
+    return pa.array([f" {xxh3_128_hexdigest(w)}" if x else w for w, x in zip(words.to_pylist(), long.to_pylist())], pa.string())
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,36 +104,40 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
         parts, held, words = [], 0, Counter()
 
         def send_words():
-            out = pa.RecordBatch.from_arrays(
-                [pa.nulls(len(words), pa.int64()), pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], names=["gram", "word", "n"]
-            )
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["gram", "word", "n"])
             words.clear()
             return out
 
-        for b in slices(batches):
-            for ids, texts in _chunks(b):
-                out = np.array([held_out(d) for d in ids])
-                key, size = grams([b" ".join(t) for t in texts], depth)
-                learnt = ~np.repeat(out, size)
-                for k, w in ((key[learnt], 1), (key[~learnt], 0)):
-                    k, n = np.unique(k, return_counts=True)
-                    parts.append((k, n * w))
-                    held += len(k)
-                if held > HELD_GRAMS:
-                    parts = [_merged(parts)]
-                    held = len(parts[0][0])
-                for o, t in zip(out.tolist(), texts):
-                    if not o:
-                        words.update(t)
-                words[b""] += int((~out).sum())
-                if len(words) > HELD_WORDS:
-                    yield send_words()
-        if words[b""] == 0:
-            del words[b""]
-        if parts:
+        def send_grams(key, n):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.string()), pa.array(n, pa.int64())], names=["gram", "word", "n"])
+
+        for b in text_slices(batches, 1, CHUNK):
+            n_words, flat, texts = _split(b.column(1))
+            out = np.array([held_out(d) for d in b.column(0).to_pylist()])
+            key, size = grams(texts, depth)
+            learnt = np.repeat(~out, size)
+            for k, w in ((key[learnt], 1), (key[~learnt], 0)):
+                k, n = np.unique(k, return_counts=True)
+                parts.append((k, n * w))
+                held += len(k)
+            if held > HELD_GRAMS:
+                parts = [_merged(parts)]
+                held = len(parts[0][0])
+                if 2 * held > HELD_GRAMS:
+                    yield send_grams(*parts[0])
+                    parts, held = [], 0
+            seen = flat.filter(pa.array(np.repeat(~out, n_words))).value_counts()
+            for w, n in zip(_keys(seen.field(0)).to_pylist(), seen.field(1).to_pylist()):
+                words[w] += n
+            words[""] += int((~out).sum())
+            if len(words) > HELD_WORDS:
+                yield send_words()
+        if words[""] == 0:
+            del words[""]
+        if words:
             yield send_words()
-            key, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.string()), pa.array(n, pa.int64())], names=["gram", "word", "n"])
+        if parts:
+            yield send_grams(*_merged(parts))
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "gram long, word string, n long")
     return rows.groupBy("gram", "word").agg(F.sum("n").alias("n"))
@@ -138,34 +157,136 @@ def _evidence(a: Column, b: Column) -> Column:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
 
 
-def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
-    """gram, score, n: log10 probability of each gram's symbol in its context, from counted(gram, n).
+_HALVES, _WHOLES = (np.array([math.lgamma(n + x) for n in range(TABLE)]) for x in (0.5, 1.0))
+
 
-    A node's key is its context above its eight-bit place in the byte: 1, then the bits so far.
+def _log_gammas(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    """ln gamma(n + more) of whole numbers, as _log_gamma gives it beyond the table."""
+    found = table[np.minimum(n, TABLE - 1)]
+    big = np.flatnonzero(n >= TABLE)
+    z = n[big] + more
+    found[big] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3)
+    return found
+
+
+def _evidences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _log_gammas(a, _HALVES, 0.5) + _log_gammas(b, _HALVES, 0.5) - _log_gammas(a + b, _WHOLES, 1.0) - math.log(math.pi)
+
+
+class Subtrees:
+    """Whole subtrees of grams: nodes of every depth from `depth` up to `top`, the deepest first.
+
+    A node's key is its context above its eight-bit place in the byte: 1, then the bits so far. Keys are distinct; counts are
+    those of training.
     """
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    decided = counted.select("gram", "n", bits.alias("k")).selectExpr(
-        "gram", "n", "shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, k) | shiftright(gram & 255, 8 - k) AS node", "shiftright(gram, 7 - k) & 1 AS bit"
-    )
-    leaves = decided.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    levels = [stage(leaves.withColumn("mixed", _evidence(F.col("a"), F.col("b"))))]
-    for d in range(depth - 1, -1, -1):
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, top: int):
+        self.order = np.argsort(key)
+        key, n = key[self.order].view(np.uint64), n[self.order]
+        nodes, zeros, ones, self.at, self.bits, before = [], [], [], [], [], 0
+        for k in range(8):
+            prefix = key >> np.uint64(8 - k)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first = np.flatnonzero(new)
+            bit = (key >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            one = np.add.reduceat(np.where(bit, n, 0), first)
+            nodes.append(key[first] >> np.uint64(8) << np.uint64(8) | np.uint64(1 << k) | (key[first] & np.uint64(255)) >> np.uint64(8 - k))
+            zeros.append(np.add.reduceat(n, first) - one)
+            ones.append(one)
+            self.at.append(np.cumsum(new) - 1 + before)
+            self.bits.append(bit)
+            before += len(first)
+        node, a, b = (np.concatenate(x) for x in (nodes, zeros, ones))
+        own = mixed = _evidences(a, b)
+        self.levels = [(a, b, own, None)]
+        self.up = []
+        for d in range(depth - 1, top - 1, -1):
+            node, up = np.unique(node & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            a, b = (np.bincount(up, x).astype(np.int64) for x in (a, b))
+            own, below = _evidences(a, b), np.bincount(up, mixed)
+            mixed = np.logaddexp(own, below) - math.log(2)
+            self.levels.append((a, b, own, below))
+            self.up.append(up)
+        self.node, self.mixed = node.view(np.int64), mixed
+
+    def scores(self, total: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol, in the order that the grams were given in.
+
+        total: what the depths above have put together of each top node's probability of a one; rest: the weight left.
+        """
+        for d in range(len(self.levels) - 1, -1, -1):
+            a, b, own, below = self.levels[d]
+            weight = 1.0 if below is None else 1 / (1 + np.exp(np.minimum(below - own, 700)))
+            total, rest = total + rest * weight * (b + 0.5) / (a + b + 1), rest * (1 - weight)
+            if d:
+                total, rest = total[self.up[d - 1]], rest[self.up[d - 1]]
+        found = np.zeros(len(self.order))
+        for at, bit in zip(self.at, self.bits):
+            found += np.log10(np.where(bit, total[at], 1 - total[at]))
+        out = np.empty(len(found))
+        out[self.order] = found
+        return out
+
+
+def _groups(batches, size: int = TREE_GRAMS):
+    """Lists of numpy columns of whole groups, about so many rows together; the group is the first column and in order."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.slice(at, size).columns])
+            n += len(held[-1][0])
+            if n >= size:
+                whole = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield [c[:cut] for c in whole]
+                held = [[c[cut:].copy() for c in whole]]
+                n = len(held[0][0])
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
+    """gram, score, n: log10 probability of each gram's symbol in its context, from counted(gram, n)."""
+    top = max(0, depth - SUBTREE)
+    grouped = counted.select((F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))).alias("group"), "gram", "n")
+
+    def up(batches):
+        for _, key, n in _groups(batches):
+            t = Subtrees(key, n, depth, top)
+            a, b, own, below = t.levels[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t.node), pa.array(a.astype(float)), pa.array(b.astype(float)), pa.array(own), pa.array(own if below is None else below), pa.array(t.mixed)],
+                names=["node", "a", "b", "own", "below", "mixed"],
+            )
+
+    columns = "node long, a double, b double, own double, below double, mixed double"
+    levels = [stage(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(up, columns))]
+    for d in range(top - 1, -1, -1):
         parent = F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))  # the context's last d bytes and the place
-        up = levels[-1].groupBy(parent.alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("mixed").alias("below"))
-        up = up.withColumn("own", _evidence(F.col("a"), F.col("b")))
+        above = levels[-1].groupBy(parent.alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("mixed").alias("below"))
+        above = above.withColumn("own", _evidence(F.col("a"), F.col("b")))
         high, low = F.greatest("own", "below"), F.least("own", "below")
-        levels.append(stage(up.withColumn("mixed", high + F.log1p(F.exp(low - high)) - math.log(2))))
+        levels.append(stage(above.withColumn("mixed", high + F.log1p(F.exp(low - high)) - math.log(2))))
     one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
-    down = None
-    for d, level in enumerate(reversed(levels)):  # from the root
-        if down is None:
-            joined = level.withColumn("sum", F.lit(0.0)).withColumn("rest", F.lit(1.0))
-        else:
-            joined = level.withColumn("up", F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(down.withColumnRenamed("node", "up"), "up")
-        weight = 1 / (1 + F.exp(F.col("below") - F.col("own"))) if d < depth else F.lit(1.0)
-        down = stage(joined.select("node", (F.col("sum") + F.col("rest") * weight * one).alias("sum"), (F.col("rest") * (1 - weight)).alias("rest")))
-    p = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
-    return decided.join(down, "node").groupBy("gram").agg(F.sum(F.log10(p)).alias("score"), F.max("n").alias("n"))
+    weight = 1 / (1 + F.exp(F.col("below") - F.col("own")))
+    down = levels[-1].withColumn("total", F.lit(0.0)).withColumn("rest", F.lit(1.0))
+    for d, level in enumerate(reversed(levels[:-1]), 1):  # from the root
+        told = stage(down.select(F.col("node").alias("up"), (F.col("total") + F.col("rest") * weight * one).alias("total"), (F.col("rest") * (1 - weight)).alias("rest")))
+        down = level.withColumn("up", F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(told, "up")
+    given = down.select(F.shiftright("node", 8).alias("group"), F.lit(False).alias("is_gram"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "total", "rest")
+    both = grouped.select("group", F.lit(True).alias("is_gram"), F.col("gram").alias("key"), "n", F.lit(0.0).alias("total"), F.lit(0.0).alias("rest")).unionByName(given)
+
+    def finish(batches):
+        for _, is_gram, key, n, total, rest in _groups(batches):
+            is_gram = is_gram.astype(bool)
+            t = Subtrees(key[is_gram], n[is_gram], depth, top)
+            order = np.argsort(key[~is_gram])  # as t.node: keys are distinct
+            found = t.scores(total[~is_gram][order], rest[~is_gram][order])
+            yield pa.RecordBatch.from_arrays([pa.array(key[is_gram]), pa.array(found), pa.array(n[is_gram])], names=["gram", "score", "n"])
+
+    return both.repartition("group").sortWithinPartitions("group").mapInArrow(finish, "gram long, score double, n long")
 
 
 class GramTable:
@@ -214,6 +335,10 @@ def commonest(counted: DataFrame, n: str, most: int) -> DataFrame:
     return counted.where(step >= least) if least is not None else counted.limit(0)
 
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
 def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every document.
 
@@ -226,46 +351,49 @@ def score(docs: DataFrame, depth: int = DEPTH, hot_words: int = HOT_WORDS, hot_g
     spark = docs.sparkSession
     counts = stage(corpus_counts(docs, depth))
     words = counts.where("gram is null AND n > 0").select("word", F.col("n").alias("c"))
-    n_train, n_distinct = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-    hot = commonest(words.where(F.octet_length("word") <= WORD_BYTES), "c", hot_words).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(hot.column(0).cast(pa.binary()).to_pylist(), hot.column(1).to_pylist())))
+    n_train, n_distinct, n_ends = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("c")))).first()
+    n_train, n_ends = n_train or 0, n_ends or 0
+    hot = commonest(words.where("word <> ''"), "c", hot_words).toArrow()
+    known = spark.sparkContext.broadcast((hot.column(0).combine_chunks(), np.log10(np.append(hot.column(1).to_numpy(), 0) + 1.0)))
     scores = stage(gram_scores(counts.where("gram is not null").select("gram", "n"), depth))
     got = commonest(scores, "n", hot_grams).toArrow()
     table = spark.sparkContext.broadcast(GramTable(got.column(0).to_numpy(), got.column(1).to_numpy()))
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        get = known.value.get
-        for b in slices(batches):
-            for ids, texts in _chunks(b):
-                key, size = grams([b" ".join(t) for t in texts], depth)
-                ends = np.cumsum(size)
-                each, absent = table.value.get(key)
-                total, lacking = np.add.reduceat(each, ends - size), np.add.reduceat(absent, ends - size, dtype=np.int64)
-                out = []
-                for d, t, s, z, m, lacks in zip(ids, texts, total.tolist(), ends.tolist(), size.tolist(), lacking.tolist()):
-                    found = [get(w) for w in t]
-                    found.append(get(b""))
-                    rare = Counter(w for w, c in zip(t, found) if c is None) if None in found else {}
-                    if found[-1] is None:
-                        rare[b""] = 1
-                    sure = np.array([c for c in found if c is not None] if rare else found, np.float64)
-                    own = key[z - m : z][absent[z - m : z]] if lacks else key[:0]
-                    out.append((part << 33 | n, d, held_out(d), len(found), len(sure), float(np.log10(sure + 1).sum()), s, m, [w.decode() for w in rare], list(rare.values()), own))
-                    n += 1
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f"c{k}" for k in range(11)])
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, sure long, logs double, score double, n_bytes long, rare array<string>, times array<long>, grams array<long>"
+        names, logs_of = known.value
+        for b in text_slices(batches, 1, CHUNK):
+            n_words, flat, texts = _split(b.column(1))
+            doc = np.repeat(np.arange(len(texts)), n_words)
+            numbered = flat.dictionary_encode()
+            distinct, word = _keys(numbered.dictionary), numbered.indices.to_numpy()
+            at = pc.fill_null(pc.index_in(distinct, value_set=names), -1).to_numpy()
+            sure = (at >= 0)[word]
+            logs = np.bincount(doc, logs_of[at][word], len(texts)) + math.log10(n_ends + 1)
+            n_sure = np.bincount(doc, sure, len(texts)).astype(np.int64) + (n_ends > 0)
+            rare = distinct.take(pa.array(word[~sure]))
+            key, size = grams(texts, depth)
+            ends = np.cumsum(size)
+            each, absent = table.value.get(key)
+            score = np.add.reduceat(each, ends - size)
+            lacking = np.add.reduceat(absent, ends - size, dtype=np.int64)
+            ids = b.column(0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part << 33 | np.arange(n, n + len(texts))), ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array(n_words + 1), pa.array(n_sure),
+                    pa.array(logs), pa.array(score), pa.array(size), _lists(np.bincount(doc[~sure], minlength=len(texts)), rare), _lists(lacking, pa.array(key[absent])),
+                ],
+                names=[f"c{k}" for k in range(10)],
+            )
+            n += len(texts)
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, sure long, logs double, score double, n_bytes long, rare array<string>, grams array<long>"
     first = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    seldom = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    seldom = seldom.join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_logs"),
-    )
-    result = first.drop("rare", "times").join(seldom, "row", "left")
-    apart = first.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").count().join(scores.select("gram", F.col("score").alias("each")), "gram")
-    result = result.join(apart.groupBy("row").agg(F.sum(F.col("count") * F.col("each")).alias("more_score")), "row", "left")
+    seldom = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+    seldom = seldom.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    result = first.drop("rare", "grams").join(seldom, "row", "left")
+    apart = first.select("row", F.explode("grams").alias("gram")).join(scores.select("gram", F.col("score").alias("each")), "gram")
+    result = result.join(apart.groupBy("row").agg(F.sum("each").alias("more_score")), "row", "left")
     result = result.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     size = math.log10(n_train + n_distinct + 1)
     return result.select(
