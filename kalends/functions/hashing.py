@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas
+
 
 def stable(value: Column, kind: T.DataType) -> Column:
     """Instants as UTC ISO text, dates as ISO text, decimals plain without trailing zeros, others as they are."""
@@ -29,3 +31,16 @@ def content_hash(df: DataFrame, fields: list[str]) -> Column:
     kinds = {f.name: f.dataType for f in df.schema}
     row = F.struct(*(stable(F.col(c), kinds[c]).alias(c) for c in sorted(fields)))
     return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
+def event_hash(events: DataFrame, occurrences: DataFrame, key: str = "source_item_key") -> DataFrame:
+    """events with content_hash over all schemas.HASHED columns and their occurrences, sorted by id in code point order.
+
+    Only an event's own occurrences are gathered. When rows were read, and the raw payload, don't count.
+    """
+    fields = sorted(schemas.OCCURRENCE_HASHED)
+    one = F.struct(F.col("source_occurrence_id").alias("_order"), F.struct(*fields).alias("o"))
+    lists = occurrences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]).alias("occurrences"))
+    kind = lists.schema["occurrences"].dataType
+    joined = events.join(lists, key, "left").withColumn("occurrences", F.coalesce("occurrences", F.array().cast(kind)))
+    return joined.withColumn("content_hash", content_hash(joined, [*schemas.HASHED, "occurrences"])).drop("occurrences")

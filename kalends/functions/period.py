@@ -36,7 +36,7 @@ def datetime_range(text: Column, zone: str = ZONE) -> Column:
     """Struct (start, end, error): instants of "YYYY-MM-DD HH:MM ~ YYYY-MM-DD HH:MM"; an end before the start is an error."""
     some, start, end = _range(text, _MINUTE)
     start, end = instant(start, zone), instant(end, zone)
-    error = F.when(some & (start.isNull() | end.isNull()), "invalid datetime").when(end < start, "period ends before it starts")
+    error = F.when(some & (start.isNull() | end.isNull()), "invalid datetime").when(end < start, "end precedes start")
     return F.struct(F.when(error.isNull(), start).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
 
 

@@ -38,13 +38,11 @@ def label_values(lines: Column, mark: str = ":") -> Column:
     fine = F.filter(cut, lambda x: (F.size(x) == 2) & (trimmed(F.get(x, F.lit(0))) != "") & (trimmed(F.get(x, F.lit(1))) != ""))
     pairs = F.transform(fine, lambda x: F.struct(trimmed(F.get(x, F.lit(0))).alias("k"), trimmed(F.get(x, F.lit(1))).alias("v")))
 
-    def step(state: Column, x: Column) -> Column:
-        new = ~F.array_contains(state["seen"], x["k"])
-        grown = F.struct(F.array_append(state["seen"], x["k"]).alias("seen"), F.array_append(state["pairs"], x).alias("pairs"))
-        return F.when(new, grown).otherwise(state)
-
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<k:string,v:string>>").alias("pairs"))
-    return F.map_from_entries(F.aggregate(F.reverse(pairs), start, step)["pairs"])
+    sorted_ = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    # After sorting by label and place the last of a label is the one that another label, or nothing, follows.
+    last = F.transform(F.arrays_zip(sorted_.alias("x"), F.slice(sorted_, F.lit(2), F.greatest(F.size(sorted_) - 1, F.lit(0))).alias("after")), lambda z: z)
+    kept = F.filter(last, lambda z: z["x"].isNotNull() & ~F.coalesce(z["x"]["k"] == z["after"]["k"], F.lit(False)))
+    return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["x"]["k"].alias("k"), z["x"]["v"].alias("v"))))
 
 
 def plain_integer(c: Column) -> Column:
@@ -64,21 +62,27 @@ def target_summary(c: Column) -> Column:
 def target_lines(c: Column, words: tuple[str, ...] = TARGET_WORDS, headings: tuple[str, ...] = TARGET_HEADINGS, section: str = SECTION, bullets: str = BULLETS) -> Column:
     """The sections of a description on who may take part, and other lines that say so; repeats left out; null if none.
 
-    One fold over a text's lines carries whether such a section is open, so no line leaves its row.
+    Headings cut the lines into sections, each kept whole or line by line, so no line leaves its row and none is copied again
+    for each that follows.
     """
 
     def has(line: Column, any_of: tuple[str, ...]) -> Column:
         return line.rlike("|".join(any_of))
 
-    def step(state: Column, line: Column) -> Column:
-        heading = (F.ltrim(line, F.lit(bullets)) if bullets else line).startswith(section)
-        open_ = F.when(heading, has(line, headings)).otherwise(state["open"])
-        kept = F.when(open_ | (~heading & has(line, words)), F.concat(state["kept"], F.array(line))).otherwise(state["kept"])
-        return F.struct(open_.alias("open"), kept.alias("kept"))
+    def heading(line: Column) -> Column:
+        return (F.ltrim(line, F.lit(bullets)) if bullets else line).startswith(section)
+
+    def kept(part: Column) -> Column:
+        lines = F.split(part, "\n")
+        first = F.get(lines, F.lit(0))
+        open_ = heading(first) & has(first, headings)
+        return F.when(open_, lines).otherwise(F.filter(lines, lambda x: ~heading(x) & has(x, words)))
 
     lines = F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), trimmed), lambda x: x != "")
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("kept"))
-    return unique_lines(F.array_join(F.aggregate(lines, start, step)["kept"], "\n"))
+    # \x1E ends a line above, so it is free to mark where a section begins.
+    marked = F.transform(lines, lambda x: F.when(heading(x), F.concat(F.lit("\x1e"), x)).otherwise(x))
+    sections = F.split(F.array_join(marked, "\n"), "\n?\x1e")
+    return unique_lines(F.array_join(F.flatten(F.transform(sections, kept)), "\n"))
 
 
 def is_block_page(body: Column, markers: tuple[str, ...] = BLOCK_MARKERS) -> Column:

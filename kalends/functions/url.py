@@ -72,9 +72,10 @@ def canonical(url: Column, hosts: tuple[str, ...] = (), base: Column | None = No
 
 
 def query_values(url: Column, name: str) -> Column:
-    """All non-empty values of a query parameter, in order."""
+    """All non-empty values of a query parameter, in order, percent-decoded; what can't be decoded stays as it is."""
     fields = F.filter(F.split(_part(url, 4), "&"), lambda x: x.startswith(f"{name}=") & (F.length(x) > len(name) + 1))
-    return F.transform(fields, lambda x: F.substr(x, F.lit(len(name) + 2)))
+    values = F.transform(fields, lambda x: F.substr(x, F.lit(len(name) + 2)))
+    return F.transform(values, lambda x: F.coalesce(F.try_url_decode(x), x))
 
 
 def resource(url: Column, hosts: tuple[str, ...], name: str = "rsrcUnqId") -> tuple[Column, Column]:

@@ -6,10 +6,12 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import collapsed
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CARD = "array<struct<title:string,place:string,href:string,image:string,labels:array<string>,status:string,fee_type3:string,fee_type4:string,method:string>>"
 PAGING = "struct<detected:boolean,current:int,next_page:int,error:string>"
@@ -84,14 +86,19 @@ def parse(html: str | None) -> Node:
 
 
 def cards(html: str | None) -> list[dict]:
-    """Direct items of the board list; cards without a link or title are left out."""
+    """Direct items of the board list; cards without a link or title are left out here and errors in listing()."""
+    return listing(html)["cards"]
+
+
+def listing(html: str | None) -> dict:
+    """The cards of a list page, and errors for what should be there and is not."""
     board = parse(html).find(lambda n: n.tag == "ul" and n.has("img-board"))
-    found = []
-    for li in board.kids if board else []:
-        if not isinstance(li, Node) or li.tag != "li":
-            continue
+    items = [n for n in board.kids if isinstance(n, Node) and n.tag == "li"] if board else []
+    found, errors = [], [] if items else ["no card list" if board is None else "empty card list"]
+    for number, li in enumerate(items, 1):
         link, title = li.find(lambda n: n.tag == "a" and "href" in n.attrs), li.find(lambda n: n.tag == "h4" and n.has("tit"))
         if link is None or title is None or not title.text():
+            errors.append(f"card {number} has no {'link' if link is None else 'title'}")
             continue
         place, info = li.find(lambda n: n.tag == "p" and n.has("place")), li.find(lambda n: n.tag == "ul" and n.has("info"))
         thumb = li.find(lambda n: n.has("thumb")) or Node("", {}, None)
@@ -106,7 +113,7 @@ def cards(html: str | None) -> list[dict]:
             "labels": [t for k in (info.kids if info else []) if isinstance(k, Node) and k.tag == "li" and (t := k.text())],
             "status": label("bd-label", "type1"), "fee_type3": label("bd-label", "type3"), "fee_type4": label("bd-label", "type4"), "method": label("ico"),
         })
-    return found
+    return {"cards": found, "errors": errors}
 
 
 def pagination(html: str | None, page: int) -> dict:
@@ -124,16 +131,16 @@ def pagination(html: str | None, page: int) -> dict:
 
 
 def _map(pages: DataFrame, column: str, name: str, kind: str, function) -> DataFrame:
-    """Adds a column that function(html) gives, whole Arrow batches at a time."""
+    """The other columns and one that function(html) gives, whole Arrow batches at a time; the HTML stays behind."""
     schema = pages.sparkSession.createDataFrame([], f"{name} {kind}").schema
-    arrow, at = to_arrow_type(schema[0].dataType), pages.columns.index(column)
+    arrow, others = to_arrow_type(schema[0].dataType), [f for f in pages.schema if f.name != column]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(function, b.column(at).to_pylist()), arrow)], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(function, b.columns[-1].to_pylist()), arrow)], names=[*b.schema.names[:-1], name])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{own}, {name} {kind}")
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return pages.select(*(f.name for f in others), column).mapInArrow(run, f"{own}{name} {kind}")
 
 
 def with_cards(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -142,17 +149,62 @@ def with_cards(pages: DataFrame, column: str = "html") -> DataFrame:
     return _map(pages, column, "cards", CARD, cards).select(*keep, F.posexplode("cards").alias("pos", "card")).select(*keep, "pos", "card.*")
 
 
-def title(html: str | None) -> str | None:
-    node = parse(html).find(lambda n: n.tag == "title")
-    return node.text() if node else None
+def page_rows(pages: DataFrame, page: str = "page", column: str = "html") -> DataFrame:
+    """A row per list page for operators.runs.last_page(): the page's columns but the HTML, list_count, next_page,
+    pagination_detected, succeeded, detail_failures, error_count and error.
+
+    A missing or empty card list, a card without link or title and a page number other than the page's own are
+    errors; a page with an error did not succeed, so its run proves no complete snapshot. Its good cards still count.
+    """
+    keep = [c for c in pages.columns if c != column]
+    both = pages.withColumn("_in", F.struct(F.col(column).alias("html"), F.col(page).cast("int").alias("page"))).drop(column)
+
+    def read(row: dict) -> dict:
+        found, paging = listing(row["html"]), pagination(row["html"], row["page"])
+        return {"list_count": len(found["cards"]), "paging": paging, "errors": found["errors"] + ([paging["error"]] if paging["error"] else [])}
+
+    got = _map(both, "_in", "_out", f"struct<list_count:int,paging:{PAGING},errors:array<string>>", read)
+    return got.select(
+        *keep, "_out.list_count", F.col("_out.paging.next_page").alias("next_page"), F.col("_out.paging.detected").alias("pagination_detected"),
+        (F.size("_out.errors") == 0).alias("succeeded"), F.lit(0).alias("detail_failures"), F.size("_out.errors").alias("error_count"),
+        F.nullif(F.array_join("_out.errors", "; "), F.lit("")).alias("error"),
+    )
 
 
 def with_titles(pages: DataFrame, column: str = "html") -> DataFrame:
-    return _map(pages, column, "title", "string", title).drop(column)
+    """The page's columns but the HTML, and the text of its title element; null if there is none or it is blank."""
+    raw = F.regexp_extract(column, r"(?is)<title\b[^>]*>(.*?)</title>", 1)
+    keep = [c for c in pages.columns if c != column]
+    return pages.select(*keep, collapsed(unescaped(raw)).alias("title"))
+
+
+def with_links(pages: DataFrame, column: str = "html") -> DataFrame:
+    """A row per anchor with an href: the page's columns but the HTML, pos (from 0), href and the anchor's text."""
+    keep = [c for c in pages.columns if c != column]
+    anchors = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(?is)<a\s[^>]*?href\s*=.*?</a>"), F.lit(0))
+    found = pages.select(*keep, F.posexplode(anchors).alias("pos", "_a"))
+    href = F.regexp_extract("_a", r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", 0)
+    value = F.regexp_replace(F.regexp_replace(href, r"(?is)^<a\s[^>]*?href\s*=\s*", ""), "^[\"']|[\"']$", "")
+    inner = F.regexp_replace(F.regexp_replace("_a", r"(?is)^<a\s[^>]*>", ""), r"(?s)<[^>]*>", " ")
+    return found.select(*keep, "pos", unescaped(value).alias("href"), collapsed(unescaped(inner)).alias("text"))
+
+
+def unescaped(text) -> Column:
+    """The text with the five predefined character references and those of apostrophe and space replaced, `&amp;` last."""
+    out = text
+    for mark, plain in ((r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&(?:#x27|#39|apos);", "'"), (r"&nbsp;", " "), (r"&amp;", "&")):
+        out = F.regexp_replace(out, mark, plain)
+    return out
+
+
+def _sibling(node: Node | None, tag: str) -> Node | None:
+    """The next sibling of this tag."""
+    kids = node.parent.kids if node and node.parent else []
+    return next((k for k in kids[kids.index(node) + 1 :] if isinstance(k, Node) and k.tag == tag), None)
 
 
 def detail(html: str | None) -> dict | None:
-    """Fields of a reservation's detail page; null where the page isn't one."""
+    """Fields of a reservation's detail page; null where the page isn't one, without fields where its summary is missing."""
     root = parse(html)
     view = root.find(lambda n: n.has("view-info"))
     given = root.find(lambda n: n.tag == "input" and n.attrs.get("name") == "rsrcUnqId")
@@ -167,12 +219,14 @@ def detail(html: str | None) -> dict | None:
             if key and value and key.text() and value.text():
                 fields[key.text()] = value.text("\n")
     name, place = top.find(lambda n: n.has("tit")), top.find(lambda n: n.has("place"))
+    if name and not name.text():
+        name = _sibling(name, "p")
     about, map_ = root.find(lambda n: n.attrs.get("id") == "panel-1"), root.find(lambda n: n.attrs.get("id") == "panel-3")
     address = None
     if map_:
         nodes = list(map_.walk())
-        after = next((i for i, n in enumerate(nodes) if n.tag in ("h3", "h4", "strong") and n.text() == "주소"), None)
-        following = next((n for n in nodes[after + 1 :] if n.tag == "p"), None) if after is not None else None
+        heading = next((n for n in nodes if n.tag in ("h3", "h4", "strong") and n.text() == "주소"), None)
+        following = _sibling(heading, "p")
         address = following.text() if following else None
     calendar = root.find(lambda n: n.attrs.get("id") == "view_calendar")
     days = [n.attrs["data-date"] for n in (calendar.walk() if calendar else []) if n.tag == "button" and "data-date" in n.attrs and "disabled" not in n.attrs]

@@ -31,8 +31,9 @@ def backoff_seconds(attempt: Column, base: float = 0.5) -> Column:
 
 
 def request_counts(requests: DataFrame) -> DataFrame:
-    """Attempts per endpoint and in total: endpoint, n."""
-    return requests.rollup("endpoint").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("endpoint", F.lit("total")).alias("endpoint"), "n")
+    """Attempts per endpoint (null if unknown) and in total: endpoint, n."""
+    counted = requests.rollup("endpoint").agg(F.count(F.lit(1)).alias("n"), F.grouping("endpoint").alias("all"))
+    return counted.select(F.when(F.col("all") == 1, "total").otherwise(F.col("endpoint")).alias("endpoint"), "n")
 
 
 def count_delta(before: DataFrame, after: DataFrame, key: str = "endpoint") -> DataFrame:

@@ -1,13 +1,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from kalends.operators import normalize
+from kalends.operators import normalize, runs
 from kalends.sources import html, landing, slots, store
 
-EXP = {"oprtId": 326, "stTm": "10:00", "enTm": "12:00", "aplyYn": "Y", "useLmtNmpr": 40, "maxPer": 4, "rsvCnt": 17, "useTrgt": "유아", "fee": "0"}
-DAY = {"stTm": "09:30", "enTm": "10:30", "aplyYn": "N", "fee": None, "lmtNmpr": 50, "curNope": 50}
+EXP = {"stTm": "14:20", "enTm": "15:05", "oprtId": 71, "useLmtNmpr": 9, "rsvCnt": 2, "aplyYn": "Y", "fee": "0", "memo": "rain or shine"}
+DAY = {"fee": None, "curNope": 8, "lmtNmpr": 8, "aplyYn": "N", "enTm": "21:00", "stTm": "19:40"}
 
 
 def payloads(spark, *bodies):
@@ -16,19 +17,19 @@ def payloads(spark, *bodies):
 
 def test_exp_slot(spark):
     r = slots.occurrences(payloads(spark, "﻿" + json.dumps([EXP])), "EXP").first()
-    assert r["source_occurrence_id"] == "R_1:2026-08-11:326" and r["error"] is None
-    assert (r["capacity"], r["reserved_count"], r["available_count"], r["is_free"], r["application_available"]) == (40, 17, 23, True, True)
-    assert r["start_at"] == dt.datetime(2026, 8, 11, 1, 0) and json.loads(r["source_raw_data"])["oprtId"] == 326
+    assert r["source_occurrence_id"] == "R_1:2026-08-11:71" and r["error"] is None
+    assert (r["capacity"], r["reserved_count"], r["available_count"], r["is_free"], r["application_available"]) == (9, 2, 7, True, True)
+    assert r["start_at"] == dt.datetime(2026, 8, 11, 5, 20) and json.loads(r["source_raw_data"])["oprtId"] == 71
 
 
 def test_day_slot(spark):
     r = slots.occurrences(payloads(spark, [DAY]), "DAY").first()
-    assert r["source_occurrence_id"] == "R_1:2026-08-11:09:30:10:30"
+    assert r["source_occurrence_id"] == "R_1:2026-08-11:19:40:21:00"
     assert (r["available_count"], r["application_available"], r["fee"], r["is_free"]) == (0, False, None, None)
 
 
 def test_bad_slots_are_rejected_row_by_row(spark):
-    bad = [EXP | x for x in ({"rsvCnt": True}, {"rsvCnt": "40"}, {"rsvCnt": -1}, {"rsvCnt": 41}, {"aplyYn": "X"}, {"enTm": "09:00"}, {"stTm": None}, {"oprtId": None}, {"stTm": "25:00"})]
+    bad = [EXP | x for x in ({"rsvCnt": True}, {"rsvCnt": "9"}, {"rsvCnt": -1}, {"rsvCnt": 10}, {"aplyYn": "X"}, {"enTm": "09:00"}, {"stTm": None}, {"oprtId": None}, {"stTm": "25:00"})]
     got = slots.occurrences(payloads(spark, [EXP, *bad]), "EXP").orderBy("pos").collect()
     assert got[0]["error"] is None and all(r["error"] for r in got[1:]) and len(got) == 10
 
@@ -38,42 +39,66 @@ def test_payloads_that_are_no_array_of_objects(spark):
     assert sorted(r["error"] for r in got) == ["payload is not a JSON array"] * 3 + ["slot is not an object"]
 
 
-LIST = """<ul class="img-board"><li><a href="/view?rsrcUnqId=LEC_01"><div class="con-box"><h4 class="tit">강좌 &amp; 하나</h4><p class="place">도서관</p>
-<ul class="info"><li>접수기간: 2026-08-01 ~ 2026-08-31</li><li>강좌기간: 2026-13-01 ~ 2026-13-02</li><li>모집정원: 20</li><li>이용료: 무료</li></ul></div></a>
-<div class="thumb"><img src="/i.png"><span class="bd-label type1">접수중</span><span class="ico-wrap"><span class="ico">선착순</span></span></div></li>
-<li><a href="https://external.example/1/0"><div class="con-box"><h4 class="tit">행사 1-0</h4><ul class="info"><li>접수기간: 상시</li><li>모집정원: 가족당 최대 4명</li></ul></div></a></li></ul>
-<div class="krds-pagination"><a class="page-link active">2</a><a href="?pageNo=1">1</a><a href="?pageNo=3">3</a><a href="?pageNo=9">9</a></div>"""
-DETAIL = """<div class="reserve-view"><div class="view-info"><input name="rsrcUnqId" value="LEC_01"><div class="info-box"><div class="top"><p class="tit">강좌 하나</p><p class="place">기관</p></div>
-<ul class="cont"><li><span class="tit">접수기간</span><p>2026-08-01 09:00 ~ 2026-08-31 18:00</p></li><li><span class="tit">접수현황</span><p>5 / 20</p></li><li><span class="tit">요금</span><p>무료</p></li>
-<li><span class="tit">대상</span><p>초등 만 나이 기준</p></li></ul></div></div><div id="panel-1"><p>설명</p><p>유아 가능</p></div><div id="panel-3"><h4>주소</h4><p>어느 길 1</p></div>
-<div id="view_calendar"><button data-date="2026-08-10">10</button><button data-date="2026-08-11" disabled>11</button><button data-date="2026-08-10">10</button></div></div>"""
+LIST = """<section><ul class="img-board">
+<li><div class="thumb"><img src="/pic/7.png"><span class="bd-label type1">곧 마감</span><span class="ico-wrap"><span class="ico">추첨</span></span></div>
+<div class="con-box"><h4 class="tit"><a href="/show?tab=2&amp;rsrcUnqId=LEC_77x">도자기 &amp; 물레</a></h4><p class="place">북쪽 공방</p>
+<ul class="info"><li>모집정원: 14</li><li>접수기간: 2026-03-02 ~ 2026-03-20</li><li>강좌기간: 2026-02-30 ~ 2026-04-01</li><li>이용료: 무료</li></ul></div></li>
+<li><div class="con-box"><h4 class="tit">별 보는 밤</h4><ul class="info"><li>접수기간: 상시 접수</li><li>모집정원: 한 팀 세 명</li></ul><a href="http://stars.example.org/night?y=26">보기</a></div></li>
+</ul></section><nav class="krds-pagination"><a href="?pageNo=4">4</a><a class="page-link active">5</a><a href="?pageNo=8">8</a><a href="?pageNo=6">6</a></nav>"""
+DETAIL = """<main><div class="view-info"><input name="rsrcUnqId" value="LEC_77x"><div class="info-box"><div class="top"><h4 class="tit"> </h4><p>도자기와 물레</p><p class="place">시립 공방</p></div>
+<ul class="cont"><li><span class="tit">접수현황</span><p>6 / 14</p></li><li><span class="tit">대상</span><p>청소년 만 나이 기준</p></li><li><span class="tit">요금</span><p>무료</p></li>
+<li><span class="tit">접수기간</span><p>2026-03-02 10:00 ~ 2026-03-20 17:30</p></li></ul></div></div><div id="panel-1"><p>흙을 만집니다</p><p>보호자 동반</p></div>
+<div id="panel-3"><div><p>지도</p></div><strong>주소</strong><span>-</span><p>강변길 30</p></div>
+<div id="view_calendar"><button data-date="2026-04-03">3</button><button data-date="2026-04-04" disabled>4</button><button data-date="2026-04-03">3</button><button data-date="2026-04-31">?</button></div></main>"""
 HOSTS, BASE = ("site.example.kr",), "https://site.example.kr/list"
 
 
 def test_cards_and_pagination(spark):
-    assert html.pagination(LIST, 2) == {"detected": True, "current": 2, "next_page": 3, "error": None}
-    assert html.pagination(LIST, 1)["error"] and html.pagination("", 1)["detected"] is False and html.cards(None) == []
-    items = normalize.list_items(html.with_cards(spark.createDataFrame([(1, LIST), (2, None)], "page int, html string")), HOSTS, BASE).orderBy("pos").collect()
-    assert [(r["title"], r["resource_kind"], r["source_event_id"], r["capacity"]) for r in items] == [("강좌 & 하나", "LEC", "LEC_01", 20), ("행사 1-0", "external", None, None)]
-    assert items[0]["registration_start"] == dt.date(2026, 8, 1) and items[0]["parse_error"] == "invalid date" and items[0]["is_free"] is True
-    assert items[1]["capacity_text"] == "가족당 최대 4명" and items[1]["registration_period_text"] == "상시" and items[1]["registration_start"] is None
+    assert html.pagination(LIST, 5) == {"detected": True, "current": 5, "next_page": 6, "error": None}
+    assert html.pagination(LIST, 4)["error"] and html.pagination("", 1)["detected"] is False and html.cards(None) == []
+    items = normalize.list_items(html.with_cards(spark.createDataFrame([(5, LIST), (6, None)], "page int, html string")), HOSTS, BASE).orderBy("pos").collect()
+    assert [(r["title"], r["resource_kind"], r["source_event_id"], r["capacity"]) for r in items] == [("도자기 & 물레", "LEC", "LEC_77x", 14), ("별 보는 밤", "external", None, None)]
+    assert items[0]["registration_start"] == dt.date(2026, 3, 2) and items[0]["parse_error"] == "invalid date" and items[0]["is_free"] is True
+    assert items[1]["capacity_text"] == "한 팀 세 명" and items[1]["registration_period_text"] == "상시 접수" and items[1]["registration_start"] is None
 
 
 def test_normalized_events(spark):
-    items = normalize.list_items(html.with_cards(spark.createDataFrame([(1, LIST)], "page int, html string")), HOSTS, BASE)
+    items = normalize.list_items(html.with_cards(spark.createDataFrame([(5, LIST)], "page int, html string")), HOSTS, BASE)
     found = normalize.details(html.with_details(spark.createDataFrame([(DETAIL,), ("<p>x</p>",)], "html string")))
     ev = {r["source_item_key"]: r for r in normalize.events(items, found, "F300").collect()}
-    inside = ev["LEC_01"]
-    assert inside["registration_start"] == dt.datetime(2026, 8, 1, 0, 0) and inside["registration_start_date"] is None
-    assert (inside["capacity"], inside["fee"], inside["address"], inside["detail_complete"]) == (20, 0, "어느 길 1", True)
-    assert inside["target_text"] == "초등\n유아 가능"
+    inside = ev["LEC_77x"]
+    assert inside["registration_start"] == dt.datetime(2026, 3, 2, 1, 0) and inside["registration_start_date"] is None
+    assert (inside["title"], inside["capacity"], inside["fee"], inside["address"], inside["detail_complete"]) == ("도자기와 물레", 14, 0, "강변길 30", True)
+    assert inside["target_text"] == "청소년\n보호자 동반"
     outside = next(r for k, r in ev.items() if k.startswith("urlsha256:"))
     assert outside["detail_complete"] is True and outside["fee"] is None and outside["description"] is None
-    assert [tuple(r) for r in normalize.occurrence_requests(found).collect()] == [("LEC_01", dt.date(2026, 8, 10))]
+    assert [tuple(r) for r in normalize.occurrence_requests(found).collect()] == [("LEC_77x", dt.date(2026, 4, 3))]
     assert normalize.occurrence_requests(found, cap=0).count() == 0
+    assert [tuple(r) for r in normalize.date_errors(found).collect()] == [("LEC_77x", "invalid active date")]
+    capped = found.withColumn("active_dates", F.slice("active_dates", 1, 1))
+    assert normalize.date_errors(capped).count() == 0 and normalize.date_errors(capped, 0).first()["error"] == "1 active dates, more than 0"
     assert tuple(normalize.summary(normalize.events(items, found, "F300")).first()) == (2, 1, 0, 0, 1, 0)
 
 
+def test_broken_pages_prove_no_snapshot(spark):
+    no_title = LIST.replace("별 보는 밤", " ")
+    rows = [(1, 5, LIST), (2, 5, no_title), (3, 5, "<p>busy</p>"), (4, 5, '<ul class="img-board"></ul>'), (5, 1, LIST), (6, 5, None)]
+    got = {r["run"]: r for r in html.page_rows(spark.createDataFrame(rows, "run int, page int, html string")).collect()}
+    assert [(got[k]["list_count"], got[k]["error"]) for k in range(1, 7)] == [
+        (2, None), (1, "card 2 has no title"), (0, "no card list"), (0, "empty card list"), (2, "expected page 1, found 5"), (0, "no card list"),
+    ]
+    pages = html.page_rows(spark.createDataFrame([(1, 5, LIST.split("<nav")[0]), (2, 5, no_title.split("<nav")[0]), (2, 4, LIST.replace("active", "active2"))], "run int, page int, html string"))
+    verdicts = {r["run"]: (r["status"], r["is_complete_snapshot"]) for r in runs.verdict(runs.last_page(pages, ["run"]), 12, 9).collect()}
+    assert verdicts == {1: ("success", True), 2: ("partial", False)}
+
+
+def test_links_and_titles(spark):
+    page = """<head><TITLE lang=x> a &amp; <b </title></head><a class="k" href="/x?a=1&amp;b=2"><b>one</b> two</a><A HREF='y'>q</A><a href=z>r</a><a name="n">no</a><abbr>no</abbr>"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
+    assert [(r["id"], r["pos"], r["href"], r["text"]) for r in html.with_links(df).orderBy("id", "pos").collect()] == [(1, 0, "/x?a=1&b=2", "one two"), (1, 1, "y", "q"), (1, 2, "z", "r")]
+    assert {r["id"]: r["title"] for r in html.with_titles(df).collect()} == {1: "a & <b", 2: None, 3: None}
+
+
 def test_landing(spark):
     rows = [(200, "[1]", True), (200, "{}", True), (503, "", True), (404, "x", False), (200, " ", False), (200, "접속 대기 중", False), (200, "<p>", False)]
     got = spark.createDataFrame(rows, "status int, body string, json boolean").select(landing.classify(F.col("status"), F.col("body"), F.col("json"))).collect()
@@ -81,8 +106,27 @@ def test_landing(spark):
     assert [r[0] for r in spark.range(2).select(landing.backoff_seconds(F.col("id"))).collect()] == [0.5, 1.0]
 
 
+def test_unknown_endpoints_are_not_the_total(spark):
+    got = landing.request_counts(spark.createDataFrame([("a",), ("a",), (None,)], "endpoint string")).collect()
+    assert sorted((r["endpoint"] or "", r["n"]) for r in got) == [("", 1), ("a", 2), ("total", 3)]
+
+
 def test_store_versions(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert store.read(spark, path, "id long").count() == 0
     assert store.publish(spark.range(3), path) == 1 and store.publish(store.read(spark, path, "id long").where("id > 0"), path) == 2
     assert store.read(spark, path, "id long").count() == 2 and store.read(spark, path, "id long", 1).count() == 3
+
+
+def test_one_writer_per_version(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert store.publish(spark.range(1), path) == 1
+    (tmp_path / "t/_claims/2").touch()  # another writer's
+    with pytest.raises(FileExistsError, match="version 2"):
+        store.publish(spark.range(2), path)
+    assert store.read(spark, path, "id long").count() == 1
+    store.forget(spark, path)
+    assert store.publish(spark.range(2), path) == 2
+    with pytest.raises(Exception, match="by zero"):
+        store.publish(spark.range(2).selectExpr("1 div (id - id) AS id"), path)
+    assert store.publish(spark.range(3), path) == 3
