@@ -33,8 +33,30 @@ def read(spark: SparkSession, path: str, schema: str, version: int | None = None
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Writes the next version and returns its number."""
-    found = versions(df.sparkSession, path)
+    """Writes the next version and returns its number.
+
+    A writer first creates the version's claim, which only one can; a second writer fails before it touches anything. A
+    failed write takes its claim back; after a lost driver, `forget` does.
+    """
+    spark = df.sparkSession
+    fs, folder, jvm = _files(spark, path)
+    found = versions(spark, path)
     number = (found[-1] if found else 0) + 1
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/v={number}")
+    if not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{number}")):
+        raise FileExistsError(f"version {number} of {path} is being written or was left unfinished")
+    try:
+        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{path}/v={number}")
+    except BaseException:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={number}"), True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{number}"), False)
+        raise
     return number
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Takes back the claim and folder of a version whose writer is gone. Only for tables that nobody is writing."""
+    fs, _, jvm = _files(spark, path)
+    found = versions(spark, path)
+    number = (found[-1] if found else 0) + 1
+    for name in (f"v={number}", f"_claims/{number}"):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)

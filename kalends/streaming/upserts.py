@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import merge
@@ -14,18 +16,20 @@ from ..sources import store
 def merge_stream(spark: SparkSession, landed: str, schema: str, table: str, key: list[str], order: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Starts a query that upserts files arriving in `landed` into the versioned table.
 
-    Within a batch the last row in order wins. The batch id is stored with each row (seen_batch), and a batch that is
-    replayed after a failure finds its own id there and publishes nothing, so every batch counts once.
+    Within a batch the last row in order wins. The batch id and the stream's id, which its checkpoint holds, are stored with
+    each row (seen_batch, seen_stream). A batch that is replayed after a failure finds both there and publishes
+    nothing, so every batch counts once; another checkpoint is another stream, whose batches count again.
     """
     columns = [f.name for f in spark.createDataFrame([], schema).schema]
-    stored = f"{schema}, seen_batch bigint"
+    stored, seen = f"{schema}, seen_batch bigint, seen_stream string", ["seen_batch", "seen_stream"]
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         base = store.read(batch.sparkSession, table, stored)
-        if base.where(base["seen_batch"] == batch_id).limit(1).count() or batch.isEmpty():
+        stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        if base.where((base["seen_batch"] == batch_id) & (base["seen_stream"] == stream)).limit(1).count() or batch.isEmpty():
             return
-        delta = merge.last_wins(batch, key, order).selectExpr("*", f"CAST({batch_id} AS BIGINT) AS seen_batch")
-        result = merge.merged(merge.actions(base, delta, key), [*columns, "seen_batch"], {*columns, "seen_batch"} - set(key))
+        delta = merge.last_wins(batch, key, order).withColumns({"seen_batch": F.lit(batch_id).cast("long"), "seen_stream": F.lit(stream)})
+        result = merge.merged(merge.actions(base, delta, key), [*columns, *seen], {*columns, *seen} - set(key))
         store.publish(result.drop("action"), table)
         if after:
             after(result, batch_id)
