@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+RADIUS_KM = 6371.0088
 
 def status_at(as_of: Column, opens: Column, closes: Column, starts: Column, ends: Column, closing_days: int = 3) -> Column:
     """Registration first, then the event, from dates alone (so a date is never taken for midnight)."""
@@ -28,28 +33,55 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def duplicate_candidates(df: DataFrame, key: str, title: str, day: str, venue: str, organizer: str, source: str, least: float = 75) -> DataFrame:
-    """Pairs of different sources on one day in one block of venue, scored 50 title, 25 date, 15 venue, 10 organizer.
+    """Pairs of different sources scored 50 title, 25 same day, 15 same venue, 10 organizer; those of `least` or more.
 
-    Blocking on day and venue is an equi-join; nothing is compared across blocks.
+    Rows are compared as far as they can reach it: on the same day, or with title and venue the same. Rows that agree in
+    all but their key are one, named by the least key and with their number, so copies are neither compared nor paired
+    again; a null agrees with nothing. The day's join is the largest: it compares the different texts of a day.
     """
-    cols = [key, title, organizer, source]
-    a = df.select(day, venue, *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = df.select(day, venue, *(F.col(c).alias(f"b_{c}") for c in cols))
-    score = 50 * likeness(F.col(f"a_{title}"), F.col(f"b_{title}")) + 25 + 15 + 10 * likeness(F.col(f"a_{organizer}"), F.col(f"b_{organizer}"))
-    pairs = a.join(b, [day, venue]).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col(f"a_{source}") != F.col(f"b_{source}")))
-    scored = pairs.select(f"a_{key}", f"b_{key}", F.round(score, 4).alias("score")).where(F.col("score") >= least)
-    return scored.withColumn("verdict", F.when(F.col("score") >= 90, "auto").otherwise("review"))
+    parts = {"title": title, "day": day, "venue": venue, "organizer": organizer, "source": source}
+    kinds = df.groupBy(*(F.col(c).alias(n) for n, c in parts.items())).agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies"))
+
+    def sides(*block: str) -> tuple[DataFrame, DataFrame]:
+        known = kinds.dropna(subset=list(block))
+        return tuple(known.select(*(F.col(c).alias(f"{s}_{c}") for c in (*parts, "key", "copies")), *block) for s in "ab")
+
+    found = []
+    for block in (["day"], ["title", "venue"]):
+        a, b = sides(*block)
+        found.append(a.join(b, block).drop(*block))
+    pairs = found[0].unionByName(found[1].where(~F.coalesce(F.col("a_day") == F.col("b_day"), F.lit(False))))
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)).cast("int")
+    sure = 25 * same("day") + 15 * same("venue")
+    most = 50 - 50 * F.abs(F.char_length("a_title") - F.char_length("b_title")) / F.greatest(F.char_length("a_title"), F.char_length("b_title"), F.lit(1)) + sure + 10
+    pairs = pairs.where((F.col("a_key") < F.col("b_key")) & (F.col("a_source") != F.col("b_source")) & (most >= least))
+    score = 50 * likeness(F.col("a_title"), F.col("b_title")) + sure + 10 * likeness(F.col("a_organizer"), F.col("b_organizer"))
+    scored = pairs.select(F.col("a_key").alias(f"a_{key}"), F.col("b_key").alias(f"b_{key}"), "a_copies", "b_copies", F.round(score, 4).alias("score"))
+    return scored.where(F.col("score") >= least).withColumn("verdict", F.when(F.col("score") >= 90, "auto").otherwise("review"))
 
 
 def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * 6371.0088 * F.asin(F.sqrt(h))
+    return 2 * RADIUS_KM * F.asin(F.sqrt(h))
 
 
 def nearby(df: DataFrame, lat: str, lon: str, at: tuple[float, float], km: float) -> DataFrame:
-    """Rows within km of a point; the bounding box on plain columns reaches the scan."""
-    up, side = km / 110.574, km / (111.320 * 0.5)
-    box = df.where(F.col(lat).between(at[0] - up, at[0] + up) & F.col(lon).between(at[1] - side, at[1] + side))
+    """Rows within km of a point; the bounding box on plain columns reaches the scan.
+
+    The box is as wide as the circle is at its latitude nearest a pole, wraps at the date line, and takes all longitudes where
+    a pole is within reach.
+    """
+    up = math.degrees(km / RADIUS_KM) * 1.0001
+    box = df.where(F.col(lat).between(at[0] - up, at[0] + up))
+    if abs(at[0]) + up < 90:
+        side = math.degrees(math.asin(min(1.0, math.sin(math.radians(up)) / math.cos(math.radians(at[0])))))
+        west, east = at[1] - side, at[1] + side
+        inside = F.col(lon).between(west, east)
+        if west < -180:
+            inside = inside | (F.col(lon) >= west + 360)
+        if east > 180:
+            inside = inside | (F.col(lon) <= east - 360)
+        box = box.where(inside)
     return box.withColumn("km", kilometres(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon))).where(F.col("km") <= km)
 
 
@@ -67,6 +99,102 @@ def closing_soon(df: DataFrame, as_of: Column, opens: str, closes: str, days: in
     return df.where((F.col(opens) <= as_of) & left.between(0, days)).withColumn("days_left", left)
 
 
+def openings(df: DataFrame, as_of: Column, opens: str, closes: str, soon_days: int = 7) -> DataFrame:
+    """Rows whose registration opens within so many days, is open, or closes within three: phase, days_left and rank.
+
+    phase is opening_soon, open_now or closing_soon; rank puts what ends or begins first ahead within its phase.
+    """
+    start, end = F.datediff(F.col(opens), as_of), F.datediff(F.col(closes), as_of)
+    phase = F.when(start.between(1, soon_days), "opening_soon").when((start <= 0) & end.between(0, 3), "closing_soon").when((start <= 0) & (end > 3), "open_now")
+    return df.withColumns({"phase": phase, "days_left": F.when(start > 0, start).otherwise(end)}).where("phase is not null")
+
+
+#: A method's name and the words of a source that mean it, the first that is found.
+METHODS = {
+    "prerequisite": ("선행", "사전 미션"), "first_come": ("선착순",), "lottery": ("추첨",), "phone_registration": ("전화",),
+    "onsite_registration": ("현장",), "walk_in": ("자유입장", "자유관람"), "online_reservation": ("온라인", "인터넷"),
+}
+#: Words for an age group, its search tag and the ages it stands for (null: open).
+AGES = (
+    ("미취학", "유아", None, 6), ("유아", "유아", None, 6), ("초등 저학년", "초등", 7, 9), ("초등 고학년", "초등", 10, 12), ("초등", "초등", 7, 12), ("어린이", "초등", 7, 12),
+    ("중학생", "청소년", 13, 15), ("고등학생", "청소년", 16, 18), ("청소년", "청소년", 13, 18), ("성인", "성인", 19, None), ("어르신", "시니어", 65, None), ("시니어", "시니어", 65, None),
+    ("가족", "가족", None, None),
+)
+
+
+def method(text: Column) -> Column:
+    """The standard name of an application method, null if no word of it is known."""
+    found = [F.when(reduce(or_, (text.contains(w) for w in words)), name) for name, words in METHODS.items()]
+    return F.coalesce(*found)
+
+
+def ages(text: Column) -> Column:
+    """Struct (age_min, age_max, tags) of a text on who may take part; the text itself stays what counts.
+
+    Ages that are written ("8~10세", "만 6세 이상") come before those of words; an open end is null.
+    """
+    span, least, most = r"(\d{1,2})\s*세?\s*[~-]\s*(\d{1,2})\s*세", r"(\d{1,2})\s*세\s*이상", r"(\d{1,2})\s*세\s*(?:이하|까지)"
+
+    def number(pattern: str, group: int) -> Column:
+        return F.regexp_extract(text, pattern, group).try_cast("int")
+
+    known, tags, rest = [], [], text
+    for word_, tag, a, b in AGES:  # a word that is part of another is looked for in what that one leaves
+        hit = rest.contains(word_)
+        known.append(F.when(hit, F.struct(F.lit(a).cast("int").alias("a"), F.lit(b).cast("int").alias("b"))))
+        tags.append(F.when(hit, tag))
+        rest = F.replace(rest, F.lit(word_), F.lit(" "))
+    word = F.array_compact(F.array(*known))
+    low = F.when(F.exists(word, lambda x: x["a"].isNull()), F.lit(None).cast("int")).otherwise(F.array_min(F.transform(word, lambda x: x["a"])))
+    high = F.when(F.exists(word, lambda x: x["b"].isNull()), F.lit(None).cast("int")).otherwise(F.array_max(F.transform(word, lambda x: x["b"])))
+    written = text.rlike(f"{span}|{least}|{most}")
+    return F.struct(
+        F.when(written, F.coalesce(number(span, 1), number(least, 1))).otherwise(low).alias("age_min"),
+        F.when(written, F.coalesce(number(span, 2), number(most, 1))).otherwise(high).alias("age_max"), F.array_distinct(F.array_compact(F.array(*tags))).alias("tags"),
+    )
+
+
+def period(as_of: Column, name: str) -> tuple[Column, Column]:
+    """First and last day of a named period: this or next week (Monday first), weekend or month."""
+    monday = F.date_sub(as_of, F.weekday(as_of))
+    first = F.trunc(as_of, "month")
+    known = {
+        "this_week": (monday, F.date_add(monday, 6)), "this_weekend": (F.date_add(monday, 5), F.date_add(monday, 6)),
+        "next_week": (F.date_add(monday, 7), F.date_add(monday, 13)), "next_weekend": (F.date_add(monday, 12), F.date_add(monday, 13)),
+        "this_month": (first, F.last_day(as_of)), "next_month": (F.add_months(first, 1), F.last_day(F.add_months(first, 1))),
+    }
+    return known[name]
+
+
+def search(
+    df: DataFrame, as_of: Column, districts: tuple[str, ...] = (), within: str | None = None, statuses: tuple[str, ...] = (), tags: tuple[str, ...] = (),
+    free: bool | None = None, methods: tuple[str, ...] = (),
+) -> DataFrame:
+    """Rows that meet every filter given: district, days that meet a named period, status, one of the tags, price, method.
+
+    df: district, event_start_date, event_end_date, status, tags (array), is_free, method. Plain columns reach the scan.
+    """
+    if districts:
+        df = df.where(F.col("district").isin(*districts))
+    if within:
+        first, last = period(as_of, within)
+        df = df.where((F.col("event_start_date") <= last) & (F.coalesce("event_end_date", "event_start_date") >= first))
+    if statuses:
+        df = df.where(F.col("status").isin(*statuses))
+    if tags:
+        df = df.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    if free is not None:
+        df = df.where(F.col("is_free") == free)
+    return df.where(F.col("method").isin(*methods)) if methods else df
+
+
+def cadence(runs: DataFrame, key: str, at: str, expected_hours: float = 24.0) -> DataFrame:
+    """Per source: runs, first and last moment, mean hours between runs, and whether that is above what is expected."""
+    got = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    hours = (F.unix_micros(F.col("last_at").cast("timestamp")) - F.unix_micros(F.col("first_at").cast("timestamp"))) / 3.6e9 / F.when(F.col("n") > 1, F.col("n") - 1)
+    return got.withColumn("mean_hours", hours).withColumn("late", F.col("mean_hours") > expected_hours)
+
+
 def dashboard(before: DataFrame, after: DataFrame, key: list[str], digest: str, by: str) -> DataFrame:
     """Per group: how many rows are new, changed (another digest), gone or the same between two states."""
     b, a = (df.select(*key, F.col(by).alias(f"{n}_by"), F.col(digest).alias(f"{n}_digest")) for df, n in ((before, "b"), (after, "a")))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schemas
+from ..functions import hashing
+
 ACTIONS = ("insert", "update", "touch", "keep")
 
 
@@ -77,23 +80,68 @@ def children(base: DataFrame, delta: DataFrame, key: list[str], updated: list[st
     return merged(actions(base, delta, key), base.columns, updated)
 
 
-def event_graph(events: DataFrame, occurrences: DataFrame, batch: DataFrame, children_: DataFrame, event_rules: dict[str, Column], child_rules: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def event_graph(batch: DataFrame, children_: DataFrame, event_rules: dict[str, Column], child_rules: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Splits a batch of events with occurrences into what may be merged and what is rejected.
 
-    An event goes with its occurrences: if any of them breaks a rule, the event is rejected too. Rejected keys that are
-    in the table are touched. Returns valid events, valid occurrences, rejected (source_item_key, violations).
+    An event goes with its occurrences: if any of them breaks a rule, the event is rejected too. Returns valid events, valid
+    occurrences, rejected (source_item_key, violations: rule names, the event's own first).
     """
     from .quality import violations
 
-    bad_children = children_.withColumn("violations", violations(child_rules)).where(F.size("violations") > 0).groupBy("source_item_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("violations")))).alias("by_child"))
+    bad_children = children_.select("source_item_key", F.explode(violations(child_rules)).alias("rule")).groupBy("source_item_key").agg(F.array_sort(F.collect_set("rule")).alias("by_child"))
     checked = batch.withColumn("violations", violations(event_rules)).join(bad_children, "source_item_key", "left")
     checked = checked.withColumn("violations", F.concat("violations", F.coalesce("by_child", F.array().cast("array<string>")))).drop("by_child")
     valid = checked.where(F.size("violations") == 0).drop("violations")
     rejected = checked.where(F.size("violations") > 0).select("source_item_key", "violations")
-    return valid, children_.join(rejected.select("source_item_key").distinct(), "source_item_key", "left_anti"), rejected
+    return valid, children_.join(valid.select("source_item_key").distinct(), "source_item_key", "left_semi"), rejected
+
 
+def ingest(
+    events: DataFrame, occurrences: DataFrame, batch: DataFrame, children_: DataFrame, source_id: int, run_id: int | None, seen_at: Column,
+    event_rules: dict[str, Column], child_rules: dict[str, Column],
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored events and occurrences after a collected batch, and what was rejected.
 
-def touch(events: DataFrame, keys: DataFrame, key: list[str], run_id: int, seen_at: Column) -> DataFrame:
+    batch: schemas.EVENT_CONTENT, source_item_key and detail_complete; children_: schemas.OCCURRENCE_CONTENT,
+    source_occurrence_id and the event's source_item_key. Of equal keys in a batch the last complete row wins, by `pos` if
+    there is one. Valid complete events overwrite content and tracking columns, never curated ones; incomplete ones and
+    rejected ones that are stored are only marked as seen. New rows get ids above the greatest; occurrences that a batch
+    lacks stay.
+    """
+    content, tracking = list(schemas.EVENT_CONTENT), [c for c in schemas.EVENT_TRACKING if c != "content_hash"]
+    if "pos" not in batch.columns:
+        batch = batch.withColumn("pos", F.monotonically_increasing_id())
+    batch = last_wins(batch, ["source_item_key"], "pos", "detail_complete").drop("pos")
+    valid, kept, rejected = event_graph(batch, children_, event_rules, child_rules)
+    seen = {"collected_at": seen_at, "updated_at": seen_at, "last_verified_at": seen_at, "last_seen_at": seen_at, "last_seen_run_id": F.lit(run_id).cast("long"), "is_active": F.lit(True)}
+    fresh = hashing.event_hash(valid, kept).withColumns({**seen, "source_id": F.lit(source_id).cast("long")})
+    key = ["source_id", "source_item_key"]
+    after = merged(actions(events, fresh, key, F.col("d.detail_complete")), events.columns, [*content, *tracking, "content_hash"], ["last_seen_at", "last_seen_run_id", "is_active", "updated_at"])
+    after = touch(after, rejected.select("source_item_key").withColumn("source_id", F.lit(source_id).cast("long")), key, run_id, seen_at)
+    after = _numbered(after, events, ["source_id", "source_item_key"])
+    ids = after.where(F.col("source_id") == source_id).select("source_item_key", F.col("id").alias("event_id"))
+    given = kept.join(ids, "source_item_key").drop("source_item_key").withColumns({"collected_at": seen_at, "updated_at": seen_at})
+    lines = children(occurrences, given, ["event_id", "source_occurrence_id"], list(schemas.OCCURRENCE_CONTENT))
+    return after, _numbered(lines, occurrences, ["event_id", "source_occurrence_id"]), rejected
+
+
+def _numbered(after: DataFrame, before: DataFrame, order: list[str]) -> DataFrame:
+    """Gives inserted rows ids above the greatest there was."""
+    first = (before.agg(F.max("id")).first()[0] or 0) + 1
+    new = with_ids(after.where("action = 'insert'").drop("id"), first, order)
+    return after.where("action <> 'insert'").unionByName(new)
+
+
+def upsert_source(sources: DataFrame, given: DataFrame, at: Column) -> DataFrame:
+    """Sources after given(name, base_url, source_type): known names get the address, the kind and is_active anew and keep id and
+    counters; new ones get the next ids, active and without errors."""
+    delta = given.select("name", "base_url", "source_type").withColumns({"is_active": F.lit(True), "updated_at": at})
+    fresh = {"error_count": F.lit(0), "created_at": at}
+    after = merged(actions(sources, delta, ["name"]), sources.columns, ["base_url", "source_type", "is_active", "updated_at"], defaults=fresh)
+    return _numbered(after, sources, ["name"]).drop("action")
+
+
+def touch(events: DataFrame, keys: DataFrame, key: list[str], run_id: int | None, seen_at: Column) -> DataFrame:
     """Marks existing rows as seen: four tracking columns change, content does not."""
     seen = events.join(keys.select(*key).distinct().withColumn("_seen", F.lit(True)), key, "left")
     hit = F.coalesce("_seen", F.lit(False))

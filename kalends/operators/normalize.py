@@ -82,9 +82,17 @@ def events(items: DataFrame, found: DataFrame, source_code: str) -> DataFrame:
 
 
 def occurrence_requests(found: DataFrame, cap: int | None = None) -> DataFrame:
-    """resource_id and day of each slot page to fetch. With a cap, items with more active dates ask for none."""
+    """resource_id and day of each slot page to fetch. With a cap, items with more active dates ask for none (date_errors)."""
     ready = found.where(F.size("active_dates") <= cap) if cap is not None else found
-    return ready.select("resource_id", F.explode("active_dates").alias("day"))
+    return ready.select("resource_id", F.explode("active_dates").alias("day")).where("day is not null")
+
+
+def date_errors(found: DataFrame, cap: int | None = None) -> DataFrame:
+    """resource_id and error of details whose active dates can't all be asked for: impossible ones, or more than the cap."""
+    bad = F.when(F.exists("active_dates", lambda x: x.isNull()), F.lit("invalid active date"))
+    if cap is not None:
+        bad = F.coalesce(bad, F.when(F.size("active_dates") > cap, F.concat(F.size("active_dates").cast("string"), F.lit(f" active dates, more than {cap}"))))
+    return found.select("resource_id", bad.alias("error")).where("error is not null")
 
 
 def summary(normalized: DataFrame) -> DataFrame:

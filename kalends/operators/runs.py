@@ -17,6 +17,13 @@ def joined_errors(order: str, message: str, limit: int = MESSAGE_LIMIT) -> Colum
     return F.nullif(F.substring(F.array_join(F.transform(rows, lambda x: x[message]), " | "), 1, limit), F.lit(""))
 
 
+def first_messages(df: DataFrame, key: list[str], order: str, message: str, limit: int = MESSAGE_LIMIT) -> DataFrame:
+    """key and message: joined_errors() of each key, gathering no more messages than the limit can show."""
+    some = df.where(F.col(message) != "").select(*key, order, message)
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(order, message))
+    return some.withColumn("_n", n).where(F.col("_n") <= limit // 4 + 1).groupBy(*key).agg(joined_errors(order, message, limit).alias("message"))
+
+
 def last_page(pages: DataFrame, key: list[str]) -> DataFrame:
     """One row per run with what the verdict needs, from a row per page.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .. import schemas
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 
@@ -49,5 +50,13 @@ def shown_date(at: Column, day: Column, zone: str = "Asia/Seoul") -> Column:
     return F.coalesce(F.date_format(F.from_utc_timestamp(at, zone), "yyyy. M. d. HH:mm"), F.date_format(day, "yyyy. M. d."), F.lit("일정 미정"))
 
 
-def first_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def sample(df: DataFrame, nested: str = "children", drop: tuple[str, ...] = ("description",), shown: int = 2) -> DataFrame:
+    """What a dry run shows of a row: without long columns, the nested rows as their count and the first few."""
+    return df.drop(*drop).withColumns({f"{nested}_count": F.size(nested), nested: F.slice(nested, 1, shown)})
+
+
+def read_model(events: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Events in the columns that readers get, with their occurrences in order of start and id."""
+    own = [c.split()[0] for c in schemas.READ_COLUMNS]
+    lists = occurrences.select(F.col("event_id").alias("id"), *(c.split()[0] for c in schemas.READ_OCCURRENCE))
+    return nested_children(events.select(*own), lists, "id", ["start_at", "source_occurrence_id"], "occurrences")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import hashing, period, strict, text, url
 from ..operators import derive, merge, quality, runs, serve
 from ..sources import html, landing, slots
@@ -293,7 +294,7 @@ def date_range(spark, sf_dir):
 
 
 @register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN strftime(CAST({_DAY} || ' 10:30:00' AS TIMESTAMP) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') END AS start_utc,
-  CASE WHEN o_orderkey % 4 <= 1 THEN {_DAY} END AS start_date, CASE WHEN o_orderkey % 4 = 1 THEN 'period ends before it starts' END AS error FROM orders""")
+  CASE WHEN o_orderkey % 4 <= 1 THEN {_DAY} END AS start_date, CASE WHEN o_orderkey % 4 = 1 THEN 'end precedes start' END AS error FROM orders""")
 def period_precision(spark, sf_dir):
     k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
     value = F.when(k > 1, F.concat(day, F.lit(" 10:30 ~ "), day, F.lit(" 12:00"))).when(k == 1, F.concat(day, F.lit(" 12:00 ~ "), day, F.lit(" 10:30")))
@@ -363,7 +364,8 @@ def run_status(spark, sf_dir):
 def page_summary(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("page", F.expr("event_id div 12"))
     e = e.withColumn("issue", F.when(F.col("event_type") == "error", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), F.col("event_id").cast("string"))))
-    return e.groupBy("page").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("user_id").alias("users"), runs.joined_errors("event_id", "issue").alias("message"))
+    counts = e.groupBy("page").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("user_id").alias("users"))
+    return counts.join(runs.first_messages(e, ["page"], "event_id", "issue"), "page", "left")
 
 
 @register("""SELECT event_id, user_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS error_count FROM (
@@ -412,6 +414,250 @@ def html_title(spark, sf_dir):
     return html.with_titles(_t(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+@register(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_replace(regexp_replace(href, '&quot;', '"', 'g'), '&amp;', '&', 'g') AS href FROM (
+  SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]*)', 1) AS l FROM pages))""")
+def html_links(spark, sf_dir):
+    return html.with_links(_t(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "pos", "href")
+
+
+_BOARD = """CASE WHEN page_id % 4 = 0 THEN '' ELSE '<ul class="img-board">' || CASE WHEN page_id % 4 = 1 THEN '' ELSE '<li><a href="' || replace(url, '&', '&amp;') || '"><h4 class="tit">' || page_id || '</h4></a></li>' ||
+  CASE WHEN page_id % 8 = 2 THEN '<li><h4 class="tit">x</h4></li>' ELSE '' END END || '</ul>' END"""
+
+
+@register(f"""WITH b AS (SELECT page_id, {_BOARD} AS board FROM pages), n AS (
+  SELECT page_id, contains(board, 'img-board') AS has_board, len(regexp_extract_all(board, '<li>')) AS items, len(regexp_extract_all(board, '<li><a href="[^"]*"><h4 class="tit">[^<]+</h4>')) AS cards FROM b)
+  SELECT page_id, CAST(cards AS INTEGER) AS list_count, has_board AND items > 0 AND items = cards AS succeeded,
+    CASE WHEN NOT has_board THEN 'no card list' WHEN items = 0 THEN 'empty card list' WHEN cards < items THEN 'card ' || items || ' has no link' END AS error FROM n""")
+def list_pages(spark, sf_dir):
+    n = F.col("page_id")
+    card = F.concat(F.lit('<li><a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"><h4 class="tit">'), n.cast("string"), F.lit("</h4></a></li>"))
+    broken = F.when(n % 8 == 2, '<li><h4 class="tit">x</h4></li>').otherwise("")
+    board = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit('<ul class="img-board">'), F.when(n % 4 == 1, "").otherwise(F.concat(card, broken)), F.lit("</ul>")))
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("page"), board.alias("html"))
+    return html.page_rows(pages).select("page_id", "list_count", "succeeded", "error")
+
+
+# Slots
+
+_SLOT_JSON = """'[{{"oprtId":' || event_id || ',"stTm":"' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':15","enTm":"' || lpad(CAST((event_id + 1) % 24 AS VARCHAR), 2, '0') || ':00","aplyYn":"' ||
+  CASE WHEN event_type = 'view' THEN 'Y' WHEN event_type = 'error' THEN 'X' ELSE 'N' END || '","{0}":' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"{1}":' || user_id % 50 || ',"fee":' ||
+  CASE WHEN event_id % 3 = 0 THEN '"0"' WHEN event_id % 3 = 1 THEN 'null' ELSE '1500' END || '}}]'"""
+
+
+def _slot_rows(spark, sf_dir, capacity: str, reserved: str) -> DataFrame:
+    n, hour = F.col("event_id"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    kind = F.col("event_type")
+    payload = F.concat(
+        F.lit('[{"oprtId":'), n.cast("string"), F.lit(',"stTm":"'), hour(n % 24), F.lit(':15","enTm":"'), hour((n + 1) % 24), F.lit(':00","aplyYn":"'),
+        F.when(kind == "view", "Y").when(kind == "error", "X").otherwise("N"), F.lit(f'","{capacity}":'), F.get_json_object("props", "$.k"), F.lit(f',"{reserved}":'),
+        (F.col("user_id") % 50).cast("string"), F.lit(',"fee":'), F.when(n % 3 == 0, '"0"').when(n % 3 == 1, "null").otherwise("1500"), F.lit("}]"),
+    )
+    return _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("resource_id"), F.col("ts").cast("date").alias("day"), payload.alias("payload"))
+
+
+def _slots(kind: str) -> str:
+    capacity, reserved = slots.FIELDS[kind]
+    name = "resource_id || ':' || day || ':' || " + ("json_extract_string(j, '$.oprtId')" if kind == "EXP" else "json_extract_string(j, '$.stTm') || ':' || json_extract_string(j, '$.enTm')")
+    return f"""WITH j AS (SELECT CAST(event_id AS VARCHAR) AS resource_id, strftime(ts, '%Y-%m-%d') AS day, json_extract({_SLOT_JSON.format(capacity, reserved)}, '$[0]') AS j FROM events),
+  v AS (SELECT *, CAST(json_extract_string(j, '$.{capacity}') AS BIGINT) AS capacity, CAST(json_extract_string(j, '$.{reserved}') AS BIGINT) AS reserved_count, json_extract_string(j, '$.aplyYn') AS yn,
+    CAST(json_extract_string(j, '$.fee') AS DECIMAL(38, 9)) AS fee, CAST(day || ' ' || json_extract_string(j, '$.stTm') AS TIMESTAMP) AS s, CAST(day || ' ' || json_extract_string(j, '$.enTm') AS TIMESTAMP) AS e FROM j)
+  SELECT resource_id, {name} AS source_occurrence_id, strftime(s - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS start_utc, strftime(e - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS end_utc, capacity, reserved_count,
+    CASE WHEN reserved_count <= capacity THEN capacity - reserved_count END AS available_count, CAST(fee AS DOUBLE) AS fee, fee = 0 AS is_free, CASE WHEN yn IN ('Y', 'N') THEN yn = 'Y' END AS application_available,
+    CASE WHEN yn NOT IN ('Y', 'N') THEN 'invalid aplyYn' WHEN reserved_count > capacity THEN 'reserved exceeds capacity' WHEN e < s THEN 'slot ends before it starts' END AS error FROM v"""
+
+
+def _occurrences(spark, sf_dir, kind: str) -> DataFrame:
+    got = slots.occurrences(_slot_rows(spark, sf_dir, *slots.FIELDS[kind]), kind)
+    utc = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return got.select(
+        "resource_id", "source_occurrence_id", utc("start_at").alias("start_utc"), utc("end_at").alias("end_utc"), "capacity", "reserved_count", "available_count",
+        F.col("fee").cast("double").alias("fee"), "is_free", "application_available", "error",
+    )
+
+
+@register(_slots("EXP"))
+def exp_slots(spark, sf_dir):
+    return _occurrences(spark, sf_dir, "EXP")
+
+
+@register(_slots("DAY"))
+def day_slots(spark, sf_dir):
+    return _occurrences(spark, sf_dir, "DAY")
+
+
+# Event graphs: orders as events, their lines as occurrences
+
+
+def _graph(spark, sf_dir, more: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A batch of events and occurrences; more: what is added to capacities, so that a batch brings changes."""
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
+    given = {
+        "source_item_key": F.concat(F.lit("ORD_"), k.cast("string")), "title": F.concat(F.lit("Order "), k.cast("string")), "organizer": F.col("o_orderpriority"),
+        "event_start": at, "event_end": F.when(k % 7 == 0, F.date_sub(at, 1).cast("timestamp")).otherwise(at), "registration_start_date": F.col("o_orderdate").cast("date"),
+        "capacity": (F.col("o_custkey") % 40 + more).cast("int"), "fee": F.col("o_totalprice").cast("decimal(12,2)"), "is_free": k % 2 == 0,
+        "source_url": F.concat(F.lit("https://orders.example/"), k.cast("string")), "source_code": F.lit("F300"),
+    }
+    kinds = schemas.EVENT_CONTENT | {"source_item_key": "string"}
+    batch = _t(spark, sf_dir, "orders").select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()), (k % 5 != 0).alias("detail_complete"))
+    start = F.col("l_shipdate").cast("timestamp")
+    own = {"start_at": start, "end_at": start, "capacity": F.col("q").cast("int"), "reserved_count": F.when(F.col("l_linenumber") == 6, -1).otherwise(0), "application_available": F.col("l_linenumber") % 2 == 0}
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("q"))
+    content = {c: t for c, t in schemas.OCCURRENCE_CONTENT.items() if c not in ("collected_at", "updated_at")}
+    children = lines.select(
+        F.concat(F.lit("ORD_"), F.col("l_orderkey").cast("string")).alias("source_item_key"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("source_occurrence_id"),
+        *(own.get(c, F.lit(None)).cast(t).alias(c) for c, t in content.items()),
+    )
+    return batch, children
+
+
+_LINES_OF = """(SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS id, min(l_shipdate) AS day, CAST(max(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY ALL)"""
+_STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+@register(f"""WITH o AS (SELECT l_orderkey, string_agg('{{"application_available":' || (l_linenumber % 2 = 0) || ',"available_count":null,"capacity":' || q || ',"end_at":"' || {_STAMP.format("day")} || '","fee":null,"is_free":null,"reserved_count":' ||
+    CASE WHEN l_linenumber = 6 THEN -1 ELSE 0 END || ',"source_occurrence_id":"' || id || '","start_at":"' || {_STAMP.format("day")} || '"}}', ',' ORDER BY id) AS list FROM {_LINES_OF} GROUP BY 1)
+  SELECT 'ORD_' || o_orderkey AS source_item_key, sha256('{{"address":null,"application_method":null,"capacity":' || o_custkey % 40 || ',"capacity_text":null,"description":null,"detail_url":null,"event_end":"' ||
+    {_STAMP.format("CASE WHEN o_orderkey % 7 = 0 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY ELSE o_orderdate END")} || '","event_end_date":null,"event_period_text":null,"event_start":"' || {_STAMP.format("o_orderdate")} ||
+    '","event_start_date":null,"fee":"' || regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR), '\\.?0+$', '') || '","fee_text":null,"image_url":null,"is_free":' || (o_orderkey % 2 = 0) ||
+    ',"occurrences":[' || coalesce(list, '') || '],"organizer":"' || o_orderpriority || '","original_category":null,"registration_end":null,"registration_end_date":null,"registration_period_text":null,"registration_start":null,"registration_start_date":"' ||
+    strftime(o_orderdate, '%Y-%m-%d') || '","registration_status":null,"reservation_url":null,"source_event_id":null,"source_item_key":"ORD_' || o_orderkey || '","source_url":"https://orders.example/' || o_orderkey ||
+    '","target_text":null,"title":"Order ' || o_orderkey || '","venue":null}}') AS content_hash FROM orders LEFT JOIN o ON o_orderkey = l_orderkey""")
+def full_hash(spark, sf_dir):
+    return hashing.event_hash(*_graph(spark, sf_dir)).select("source_item_key", "content_hash")
+
+
+def _ingested(spark, sf_dir):
+    """A second batch, of a third of the keys, on a table that the first one, of most keys, has filled."""
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENTS.replace("decimal(", "decimal(")).schema}
+    number = F.regexp_extract("source_item_key", r"(\d+)$", 1).cast("long")
+    batch, children = _graph(spark, sf_dir)
+    stored = batch.where(number % 10 != 0).drop("detail_complete").withColumns({"id": number, "source_id": F.lit(1).cast("long"), "last_seen_run_id": F.lit(1).cast("long"), "is_active": F.lit(True), "district": F.lit("d")})
+    stored = stored.select(*((F.col(c) if c in stored.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    fields = {f.name: f.dataType for f in spark.createDataFrame([], schemas.OCCURRENCES).schema}
+    first = F.col("source_occurrence_id").rlike(":[1-3]:")
+    lines = children.where(first).withColumns({"event_id": number, "id": F.monotonically_increasing_id()}).where(number % 10 != 0)
+    lines = lines.select(*((F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()))
+    new, more = _graph(spark, sf_dir, more=1)
+    at = F.lit("2026-08-01 00:00:00").cast("timestamp")
+    return merge.ingest(stored, lines, new.where(number % 3 == 0), more.where(number % 3 == 0), 1, 2, at, quality.event_rules(), quality.occurrence_rules())
+
+
+_BAD = "(o_orderkey % 7 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6))"
+
+
+@register(f"""WITH x AS (SELECT o_orderkey, o_custkey % 40 AS capacity, o_orderkey % 10 <> 0 AS stored, o_orderkey % 3 = 0 AS given, {_BAD} AS bad, o_orderkey % 5 <> 0 AS complete FROM orders)
+  SELECT 'ORD_' || o_orderkey AS source_item_key, CAST(CASE WHEN given AND NOT bad AND (complete OR NOT stored) THEN capacity + 1 ELSE capacity END AS INTEGER) AS capacity, CASE WHEN stored THEN 'd' END AS district,
+    CAST(CASE WHEN given THEN 2 ELSE 1 END AS BIGINT) AS last_seen_run_id, CASE WHEN given AND NOT bad THEN CASE WHEN NOT stored THEN 'insert' WHEN complete THEN 'update' ELSE 'touch' END ELSE 'keep' END AS action,
+    CASE WHEN stored THEN o_orderkey END AS old_id FROM x WHERE stored OR (given AND NOT bad)""")
+def event_graph(spark, sf_dir):
+    after, _, _ = _ingested(spark, sf_dir)
+    return after.select("source_item_key", "capacity", "district", "last_seen_run_id", "action", F.when(F.col("action") != "insert", F.col("id")).alias("old_id"))
+
+
+@register(f"""WITH l AS (SELECT *, l_linenumber <= 3 AND l_orderkey % 10 <> 0 AS stored, l_orderkey % 3 = 0 AND NOT (l_orderkey % 7 = 0 OR l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6)) AS given
+    FROM {_LINES_OF} WHERE l_orderkey IN (SELECT o_orderkey FROM orders) OR (l_linenumber <= 3 AND l_orderkey % 10 <> 0))
+  SELECT id AS source_occurrence_id, q AS capacity, CASE WHEN NOT stored THEN 'insert' WHEN given THEN 'update' ELSE 'keep' END AS action FROM l WHERE stored OR given""")
+def occurrence_graph(spark, sf_dir):
+    _, lines, _ = _ingested(spark, sf_dir)
+    return lines.select("source_occurrence_id", "capacity", "action")
+
+
+@register("""SELECT 'ORD_' || o_orderkey AS source_item_key, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'event_order' END, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6) THEN 'reserved_count_sign' END) AS violations
+  FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 7 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6))""")
+def rejected_events(spark, sf_dir):
+    _, _, rejected = _ingested(spark, sf_dir)
+    return rejected.select("source_item_key", F.array_join("violations", ",").alias("violations"))
+
+
+@register("""WITH b AS (SELECT s_name AS name, s_suppkey AS id, CAST(s_suppkey % 4 AS INTEGER) AS error_count, s_suppkey % 3 > 0 AS is_active FROM supplier WHERE s_suppkey % 5 <> 0), d AS (SELECT s_name AS name, s_nationkey AS n FROM supplier WHERE s_suppkey % 2 = 0)
+  SELECT coalesce(b.name, d.name) AS name, CASE WHEN d.name IS NULL THEN 'old' ELSE 'https://' || n || '.example' END AS base_url, coalesce(b.error_count, 0) AS error_count, CASE WHEN d.name IS NULL THEN b.is_active ELSE TRUE END AS is_active, b.id AS old_id
+  FROM b FULL JOIN d ON b.name = d.name""")
+def source_upsert(spark, sf_dir):
+    k, kinds = F.col("s_suppkey"), {f.name: f.dataType for f in spark.createDataFrame([], schemas.SOURCES).schema}
+    known = {"id": k, "name": F.col("s_name"), "base_url": F.lit("old"), "source_type": F.lit("site"), "is_active": k % 3 > 0, "error_count": (k % 4).cast("int")}
+    s = _t(spark, sf_dir, "supplier")
+    stored = s.where(k % 5 != 0).select(*(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    given = s.where(k % 2 == 0).select(F.col("s_name").alias("name"), F.concat(F.lit("https://"), F.col("s_nationkey").cast("string"), F.lit(".example")).alias("base_url"), F.lit("site").alias("source_type"))
+    after = merge.upsert_source(stored, given, F.lit("2026-08-01 00:00:00").cast("timestamp"))
+    old = s.where(k % 5 != 0).select(F.col("s_name").alias("name"), k.alias("old_id"))
+    return after.select("name", "base_url", "error_count", "is_active").join(old, "name", "left")
+
+
+@register("""SELECT o_orderkey, o_orderstatus, CASE WHEN k IS NOT NULL THEN 9 ELSE o_custkey % 5 END AS last_seen_run_id, coalesce(k IS NOT NULL OR o_orderkey % 4 > 0, FALSE) AS is_active FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 40) ON o_orderkey = k""")
+def touch_seen(spark, sf_dir):
+    none = F.lit(None).cast("timestamp")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", none.alias("last_seen_at"), (F.col("o_custkey") % 5).alias("last_seen_run_id"), (F.col("o_orderkey") % 4 > 0).alias("is_active"), none.alias("updated_at"))
+    keys = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return merge.touch(o, keys, ["o_orderkey"], 9, F.current_timestamp()).select("o_orderkey", "o_orderstatus", "last_seen_run_id", "is_active")
+
+
+_LEDGER = "r AS (SELECT event_id AS id, user_id % 3 AS source_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, user_id % 2 = 0 AS is_complete FROM events)"
+
+
+def _ledger(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("source_id"), F.col("ts").alias("finished_at"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
+        F.lit("F300").alias("scope"), (F.col("user_id") % 2 == 0).alias("is_complete_snapshot"),
+    )
+
+
+@register(f"""WITH {_LEDGER}, last AS (SELECT max(id) AS id FROM r WHERE status = 'success' AND is_complete), g AS (SELECT r.id, r.source_id FROM r JOIN last USING (id))
+  SELECT p_partkey, p_partkey % 3 = 0 AND NOT (p_partkey % 5 < 4 AND p_size % 3 = g.source_id AND (p_partkey % 2 = 0) IS NOT TRUE) AS is_active FROM part, g""")
+def deactivate_stale(spark, sf_dir):
+    ledger = _ledger(spark, sf_dir)
+    last = ledger.where(runs.may_deactivate()).agg(F.max("id")).first()[0]
+    k = F.col("p_partkey")
+    stored = _t(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_size") % 3).alias("source_id"), F.when(k % 5 < 4, "F300").otherwise("F400").alias("source_code"), F.when(k % 2 == 0, F.lit(last)).alias("last_seen_run_id"),
+        (k % 3 == 0).alias("is_active"), F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    return runs.deactivate_stale(stored, ledger, last)[0].select("p_partkey", "is_active")
+
+
+@register("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END ELSE 'running' END AS status, CASE WHEN event_id % 3 = 0 AND event_type = 'error' THEN 'e' || event_id END AS error_message FROM events""")
+def finished_runs(spark, sf_dir):
+    e, bad = _t(spark, sf_dir, "events"), F.col("event_type") == "error"
+    ledger = e.select(F.col("event_id").alias("id"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    outcome = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.when(bad, "failed").otherwise("success").alias("status"), F.when(bad, F.concat(F.lit("e"), F.col("event_id").cast("string"))).otherwise("").alias("error_message"))
+    return runs.finished(ledger, outcome)
+
+
+@register("""SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN 'success' WHEN user_id % 3 > 0 OR event_id % 2 > 0 THEN 'partial' ELSE 'failed' END AS whole_run,
+  CASE WHEN user_id % 4 = 0 THEN 'success' WHEN event_id % 2 > 0 THEN 'partial' ELSE 'failed' END AS page_run FROM events""")
+def run_statuses(spark, sf_dir):
+    errors, upserts = F.col("user_id") % 4, F.col("event_id") % 2
+    collection = F.when(F.col("event_type") == "view", "success").otherwise("partial")
+    return _t(spark, sf_dir, "events").select("event_id", runs.full_run_status(collection, errors, F.col("user_id") % 3, upserts).alias("whole_run"), runs.page_run_status(errors, upserts).alias("page_run"))
+
+
+@register("""WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '"' || value || '"' WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN 'true' WHEN 3 THEN '""' ELSE CAST(-value AS VARCHAR) END AS raw, value FROM events WHERE value IS NOT NULL),
+  n AS (SELECT event_id, json_type(raw) AS kind, try_cast(json_extract_string(raw, '$') AS DOUBLE) AS x, json_extract_string(raw, '$') AS s FROM v)
+  SELECT event_id, CASE WHEN kind <> 'BOOLEAN' AND x >= 0 THEN round(x, 6) END AS value, CASE WHEN s = '' THEN NULL WHEN kind = 'BOOLEAN' OR x IS NULL OR x < 0 THEN 'invalid fee' END AS error FROM n""")
+def strict_decimals(spark, sf_dir):
+    number, k = F.col("value").cast("string"), F.col("event_id") % 5
+    raw = F.when(k == 0, F.concat(F.lit('"'), number, F.lit('"'))).when(k == 1, number).when(k == 2, "true").when(k == 3, '""').otherwise((-F.col("value")).cast("string"))
+    got = _t(spark, sf_dir, "events").where("value is not null").select("event_id", strict.decimal(F.try_parse_json(raw), "fee").alias("r"))
+    return got.select("event_id", F.round(F.col("r.value").cast("double"), 6).alias("value"), "r.error")
+
+
+@register("""WITH l AS (SELECT l_orderkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS id, min(l_shipdate) AS s FROM lineitem GROUP BY ALL), n AS (
+  SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n, string_agg(id, ',' ORDER BY s, id) FILTER (i <= 2) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, id) AS i FROM l) GROUP BY 1)
+  SELECT 'ORD_' || o_orderkey AS source_item_key, coalesce(n, 0) AS occurrences_count, coalesce(ids, '') AS shown FROM orders LEFT JOIN n ON o_orderkey = l_orderkey""")
+def sample_projection(spark, sf_dir):
+    batch, children = _graph(spark, sf_dir)
+    nested = serve.nested_children(batch, children.select("source_item_key", "source_occurrence_id", "start_at"), "source_item_key", ["start_at", "source_occurrence_id"], "occurrences")
+    s = serve.sample(nested, "occurrences")
+    return s.select("source_item_key", "occurrences_count", F.array_join(F.transform("occurrences", lambda x: x["source_occurrence_id"]), ",").alias("shown"))
+
+
+@register("SELECT count(*) AS occurrences FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))")
+def nested_total(spark, sf_dir):
+    batch, children = _graph(spark, sf_dir)
+    nested = serve.nested_children(batch.select("source_item_key"), children.select("source_item_key", "source_occurrence_id"), "source_item_key", ["source_occurrence_id"])
+    return nested.agg(F.sum(F.size("children").cast("long")).alias("occurrences"))
+
+
 # Derived views
 
 _AS_OF = "1996-06-30"
@@ -434,13 +680,15 @@ def calendar_unpivot(spark, sf_dir):
     return derive.calendar(o, "o_orderkey", {"opens": "open_day", "closes": "close_day"}).select("o_orderkey", "marker", F.col("day").cast("string").alias("day"))
 
 
-@register("""WITH e AS (SELECT doc_id, lang, n_chars, source, substr(text, 1, 40) AS title FROM documents),
-  p AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, a.title AS x, b.title AS y, a.lang AS u, b.lang AS v FROM e a JOIN e b ON a.n_chars = b.n_chars AND a.lang = b.lang WHERE a.doc_id < b.doc_id AND a.source <> b.source),
-  s AS (SELECT a_doc_id, b_doc_id, round(50 * coalesce(CASE WHEN greatest(length(x), length(y)) > 0 THEN 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 0.0) + 25 + 15 + 10, 4) AS score FROM p)
-  SELECT a_doc_id, b_doc_id, score, CASE WHEN score >= 90 THEN 'auto' ELSE 'review' END AS verdict FROM s WHERE score >= 75""")
+@register("""WITH e AS (SELECT p_name AS title, p_size AS day, p_type AS venue, p_brand AS organizer, p_partkey % 3 AS source, min(p_partkey) AS k, count(*) AS copies FROM part GROUP BY ALL),
+  p AS (SELECT a.k AS a_p_partkey, b.k AS b_p_partkey, a.copies AS a_copies, b.copies AS b_copies, a.title AS x, b.title AS y, a.organizer AS u, b.organizer AS v, a.day = b.day AS d, a.venue = b.venue AS w
+    FROM e a JOIN e b ON a.k < b.k AND a.source <> b.source AND (a.day = b.day OR (a.title = b.title AND a.venue = b.venue))),
+  s AS (SELECT a_p_partkey, b_p_partkey, a_copies, b_copies, round(50 * (1 - levenshtein(x, y) / greatest(length(x), length(y))) + CASE WHEN d THEN 25 ELSE 0 END + CASE WHEN w THEN 15 ELSE 0 END
+    + 10 * (1 - levenshtein(u, v) / greatest(length(u), length(v))), 4) AS score FROM p)
+  SELECT *, CASE WHEN score >= 90 THEN 'auto' ELSE 'review' END AS verdict FROM s WHERE score >= 75""")
 def dup_score(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.col("lang").alias("organizer"), "source", F.substring("text", 1, 40).alias("title"))
-    return derive.duplicate_candidates(d, "doc_id", "title", "n_chars", "lang", "organizer", "source")
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_brand", (F.col("p_partkey") % 3).alias("source"))
+    return derive.duplicate_candidates(p, "p_partkey", "p_name", "p_size", "p_type", "p_brand", "source")
 
 
 @register("""SELECT c_custkey, round(km, 6) AS km FROM (SELECT c_custkey, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - 35.5) / 2), 2) + cos(radians(35.5)) * cos(radians(lat)) * pow(sin(radians(lon - 129.3) / 2), 2))) AS km
@@ -465,6 +713,31 @@ def closing_soon(spark, sf_dir):
     return derive.closing_soon(o, F.lit(_AS_OF).cast("date"), "opens", "closes").select("o_orderkey", "days_left")
 
 
+@register(f"""SELECT * FROM (SELECT o_orderkey, CASE WHEN o - a BETWEEN 1 AND 7 THEN 'opening_soon' WHEN o <= a AND o + 30 - a BETWEEN 0 AND 3 THEN 'closing_soon' WHEN o <= a AND o + 30 - a > 3 THEN 'open_now' END AS phase,
+  CAST(CASE WHEN o > a THEN o - a ELSE o + 30 - a END AS INTEGER) AS days_left FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o, DATE '{_AS_OF}' AS a FROM orders)) WHERE phase IS NOT NULL""")
+def openings(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", day.alias("opens"), F.date_add(day, 30).alias("closes"))
+    return derive.openings(o, F.lit(_AS_OF).cast("date"), "opens", "closes").select("o_orderkey", "phase", "days_left")
+
+
+@register(f"""SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND CAST(o_orderdate AS DATE) <= last_day(DATE '{_AS_OF}' + 1) AND CAST(o_orderdate AS DATE) + 9 >= date_trunc('month', DATE '{_AS_OF}' + 1)
+  AND o_orderstatus IN ('O', 'P') AND o_orderkey % 2 = 0 AND o_custkey % 3 < 2""")
+def search_filters(spark, sf_dir):
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("district"), day.alias("event_start_date"), F.date_add(day, 9).alias("event_end_date"), F.col("o_orderstatus").alias("status"),
+        F.array((F.col("o_custkey") % 3).cast("string")).alias("tags"), (k % 2 == 0).alias("is_free"), F.lit("lottery").alias("method"),
+    )
+    return derive.search(o, F.lit(_AS_OF).cast("date"), ("1-URGENT", "2-HIGH"), "next_month", ("O", "P"), ("0", "1"), True, ("lottery",)).select("o_orderkey")
+
+
+@register("""SELECT user_id, n, CASE WHEN n > 1 THEN round((epoch_us(b) - epoch_us(a)) / 3.6e9 / (n - 1), 6) END AS mean_hours, CASE WHEN n > 1 THEN (epoch_us(b) - epoch_us(a)) / 3.6e9 / (n - 1) > 24 END AS late
+  FROM (SELECT user_id, count(*) AS n, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)""")
+def run_cadence(spark, sf_dir):
+    return derive.cadence(_t(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "n", F.round("mean_hours", 6).alias("mean_hours"), "late")
+
+
 @register(f"""WITH {_BASE}, {_DELTA} SELECT grp, count(*) FILTER (b IS NULL) AS new, count(*) FILTER (b IS NOT NULL AND d IS NOT NULL AND b <> d) AS changed,
   count(*) FILTER (d IS NULL) AS gone, count(*) FILTER (b = d) AS same FROM (
   SELECT coalesce(b.o_orderkey, d.o_orderkey) % 7 AS grp, b.o_totalprice % 2 < 1 AS b, d.o_totalprice % 3 < 1 AS d FROM b FULL JOIN d ON b.o_orderkey = d.o_orderkey) GROUP BY grp""")

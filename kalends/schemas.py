@@ -35,5 +35,10 @@ RUNS = (
     "items_seen int, items_persisted int, items_failed int, detail_success_count int, detail_failure_count int, occurrence_count int, "
     "network_error_count int, parser_error_count int, error_message string, is_complete_snapshot boolean, summary string, created_at timestamp"
 )
+#: Columns of an occurrence that its event's content hash covers.
+OCCURRENCE_HASHED = ("source_occurrence_id", "start_at", "end_at", "capacity", "reserved_count", "available_count", "fee", "is_free", "application_available")
 #: Columns of an event that its content hash covers, besides its occurrences.
 HASHED = sorted(set(EVENT_CONTENT) - {"source_code"} | {"source_item_key"})
+#: What readers of events and of their occurrences get.
+READ_COLUMNS = [c for c in EVENTS.split(", ") if c.split()[0] != "content_hash"]
+READ_OCCURRENCE = [c for c in OCCURRENCES.split(", ") if c.split()[0] not in ("id", "event_id", "source_raw_data")]

@@ -33,7 +33,7 @@ def test_last_complete_row_wins_else_the_first(spark):
 def test_an_event_falls_with_its_occurrences(spark):
     events = spark.createDataFrame([("a",), ("b",), (None,)], "source_item_key string")
     kids = spark.createDataFrame([("a", LATER, NOW), ("b", NOW, LATER)], "source_item_key string, start_at timestamp, end_at timestamp")
-    valid, kept, rejected = merge.event_graph(events, spark.createDataFrame([], "x int"), events, kids, {"key": F.col("source_item_key").isNotNull()}, {"order": F.col("end_at") >= F.col("start_at")})
+    valid, kept, rejected = merge.event_graph(events, kids, {"key": F.col("source_item_key").isNotNull()}, {"order": F.col("end_at") >= F.col("start_at")})
     assert rows(valid, "source_item_key") == [("b",)] and rows(kept, "source_item_key") == [("b",)]
     assert sorted((r[0] or "", r[1]) for r in rejected.collect()) == [("", ["key"]), ("a", ["order"])]
 
@@ -149,3 +149,105 @@ def test_stream_merges_each_batch_once(spark, tmp_path):
 
     assert store.versions(spark, table) == [1, 2]
     assert rows(store.read(spark, table, f"{schema}, seen_batch bigint"), "k", "v") == [(1, "b"), (2, "y")]
+
+
+def test_a_new_checkpoint_is_a_new_stream(spark, tmp_path):
+    table, schema = f"file://{tmp_path}/table", "k int, ord int, v string"
+    for n in (1, 2):
+        landed = f"file://{tmp_path}/in{n}"
+        spark.createDataFrame([(n, 1, "x")], schema).coalesce(1).write.parquet(landed)
+        merge_stream(spark, landed, schema, table, ["k"], "ord", f"file://{tmp_path}/state{n}").awaitTermination()
+    from kalends.sources import store
+
+    assert rows(store.read(spark, table, schema), "k") == [(1,), (2,)]
+
+
+def test_places_near_a_pole_and_the_date_line(spark):
+    at = spark.createDataFrame([(1, 70.0, 25.2), (2, 70.0, 25.4), (3, 70.05, 25.0)], "id int, lat double, lon double")
+    assert rows(derive.nearby(at, "lat", "lon", (70.0, 25.0), 10), "id") == [(1,), (3,)]
+    line = spark.createDataFrame([(1, 0.0, -179.99), (2, 0.0, 179.9), (3, 0.0, 0.0)], "id int, lat double, lon double")
+    assert rows(derive.nearby(line, "lat", "lon", (0.0, 179.98), 10), "id") == [(1,), (2,)]
+    assert rows(derive.nearby(spark.createDataFrame([(1, 89.99, -100.0)], "id int, lat double, lon double"), "lat", "lon", (89.99, 80.0), 10), "id") == [(1,)]
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    titles, data = ["clay for all", "clay for alle", "night of stars", None], []
+    for n in range(60):
+        data.append((n, titles[n % 4], n % 3 or None, f"v{n % 2}", f"o{n % 5}", f"s{n % 2 + n // 30}"))
+    df = spark.createDataFrame(data, "k int, title string, day int, venue string, organizer string, source string")
+    kinds, want = {}, {}
+    for k, *rest in data:
+        kinds.setdefault(tuple(rest), []).append(k)
+    firsts = sorted((v[0], len(v), kind) for kind, v in kinds.items())
+
+    def like(a, b):
+        if not a or not b:
+            return 0
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+        return 1 - d[-1] / max(len(a), len(b))
+
+    for i, (a, n, (t, day, venue, org, src)) in enumerate(firsts):
+        for b, m, (u, day2, venue2, org2, src2) in firsts[i + 1 :]:
+            score = 50 * like(t, u) + 25 * (day is not None and day == day2) + 15 * (venue == venue2) + 10 * like(org, org2)
+            if src != src2 and score >= 75:
+                want[a, b] = (n, m, round(score, 4))
+    got = {(r["a_k"], r["b_k"]): (r["a_copies"], r["b_copies"], r["score"]) for r in derive.duplicate_candidates(df, "k", "title", "day", "venue", "organizer", "source").collect()}
+    assert got == want and any(v[2] < 90 for v in got.values())
+
+
+def test_ingest_twice_changes_nothing_more(spark):
+    content = {"title": "t", "source_url": "u", "source_item_key": "a", "detail_complete": True}
+    kinds = schemas.EVENT_CONTENT | {"source_item_key": "string", "detail_complete": "boolean"}
+
+    def batch(**more):
+        values = content | more
+        return spark.range(1).select(*(F.lit(values.get(c)).cast(t).alias(c) for c, t in kinds.items()))
+
+    events, lines = (spark.createDataFrame([], s) for s in (schemas.EVENTS, schemas.OCCURRENCES))
+    kids = spark.createDataFrame([("a", "a:1", NOW, LATER), ("a", "a:0", NOW, LATER)], "source_item_key string, source_occurrence_id string, start_at timestamp, end_at timestamp")
+    for c, t in schemas.OCCURRENCE_CONTENT.items():
+        if c not in kids.columns and c not in ("collected_at", "updated_at"):
+            kids = kids.withColumn(c, F.lit(None).cast(t))
+    hashes = []
+    for run, more in enumerate([{}, {}, {"title": "other"}, {"title": "part", "detail_complete": False}, {"title": None}], 1):
+        after, children, rejected = merge.ingest(events, lines, batch(**more), kids, 5, run, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
+        events, lines = spark.createDataFrame(after.drop("action").collect(), events.schema), spark.createDataFrame(children.drop("action").collect(), lines.schema)
+        r = events.first()
+        hashes.append((r["title"], r["content_hash"], r["last_seen_run_id"], rejected.count()))
+        assert (events.count(), lines.count(), r["id"], lines.agg(F.min("event_id"), F.max("event_id")).first()[:]) == (1, 2, 1, (1, 1))
+    assert [(h[0], h[2], h[3]) for h in hashes] == [("t", 1, 0), ("t", 2, 0), ("other", 3, 0), ("other", 4, 0), ("other", 5, 1)]
+    assert hashes[0][1] == hashes[1][1] != hashes[2][1] == hashes[3][1] == hashes[4][1]
+
+
+def test_sources_keep_their_counters(spark):
+    given = spark.createDataFrame([("a", "x", "site"), ("b", "y", "site")], "name string, base_url string, source_type string")
+    stored = spark.createDataFrame([(4, "a", "old", 3, False)], "id long, name string, base_url string, error_count int, is_active boolean")
+    for c in ("source_type", "created_at", "updated_at"):
+        stored = stored.withColumn(c, F.lit(None).cast("string" if c == "source_type" else "timestamp"))
+    assert rows(merge.upsert_source(stored, given, F.lit(NOW)), "id", "name", "base_url", "error_count", "is_active") == [(4, "a", "x", 3, True), (5, "b", "y", 0, True)]
+
+
+def test_started_runs_get_the_next_id(spark):
+    empty = spark.createDataFrame([], schemas.RUNS)
+    one = runs.started(empty, 3, "F300", F.lit(NOW))
+    assert rows(runs.started(one, 3, "full", F.lit(NOW)), "id", "source_id", "status", "scope") == [(1, 3, "running", "F300"), (2, 3, "running", "full")]
+
+
+@pytest.mark.parametrize(("text", "low", "high", "tags"), [
+    ("초등 저학년", 7, 9, ["초등"]), ("8~10세 어린이", 8, 10, ["초등"]), ("유아, 성인", None, None, ["유아", "성인"]), ("만 6세 이상", 6, None, []), ("누구나", None, None, []),
+])
+def test_ages(spark, text, low, high, tags):
+    got = spark.range(1).select(derive.ages(F.lit(text)).alias("r")).first()["r"]
+    assert (got["age_min"], got["age_max"], got["tags"]) == (low, high, tags)
+
+
+def test_methods_and_periods(spark):
+    said = spark.createDataFrame([("선착순 20명",), ("신청 후 추첨",), ("온라인 신청",), ("현장접수",), ("?",), (None,)], "m string")
+    assert [r[0] for r in said.select(derive.method(F.col("m"))).collect()] == ["first_come", "lottery", "online_reservation", "onsite_registration", None, None]
+    day = F.lit(dt.date(2026, 8, 6))  # a Thursday
+    got = {n: tuple(x.isoformat()[5:] for x in spark.range(1).select(*derive.period(day, n)).first()) for n in ("this_week", "next_weekend", "this_month", "next_month")}
+    assert got == {"this_week": ("08-03", "08-09"), "next_weekend": ("08-15", "08-16"), "this_month": ("08-01", "08-31"), "next_month": ("09-01", "09-30")}
