@@ -22,7 +22,8 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Roles other than `system` are the participants; a null role is the participant "unknown", a null text is empty. A
     segment is `<|im_start|>assistant` or `<|im_start|>user name=...` or `<|im_start|>system`, a line feed, the text,
-    `<|im_end|>` and a line feed; `<|` inside a text becomes `< |`. start counts the characters of the rendering
+    `<|im_end|>` and a line feed; `<|` inside a text or a role becomes `< |` and a line feed inside a role a space, so
+    neither can forge a mark or a turn. start counts the characters of the rendering
     before the segment; train_start and train_length mark what the assistant says with its end mark (null and 0 for
     others). Turns go by number (nulls first), speaker and text, so repeated rows follow one another. A conversation
     with system turns alone has no perspective and no rows; null conv_ids are one conversation; an empty table gives
@@ -31,7 +32,7 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Starts are sums over chunks of turn numbers, then inside the chunk.
     """
     told = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"),
+        "conv_id", "turn", F.replace(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" ")).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
     ).withColumn("order", F.md5("said"))
     who = told.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
@@ -72,7 +73,7 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 ORACLE = r"""
 WITH told AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations
+  SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' ') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations
 ), who AS (
   SELECT DISTINCT conv_id AS c, speaker AS perspective FROM told WHERE speaker <> 'system'
 ), rendered AS (
