@@ -1,7 +1,7 @@
 """SimHash near-duplicate search over bit planes.
 
 Fingerprints are built in Arrow batches. Candidates are fingerprints that agree in two of four 16-bit blocks,
-which every pair within radius 2 does. Inside such a bucket the fingerprints are stored vertically: plane b holds bit b
+which every pair within radius 2 does; those of crowded buckets, in six of eight 8-bit blocks. Inside such a bucket the fingerprints are stored vertically: plane b holds bit b
 of 64 fingerprints in one machine word. One XOR compares a query bit with 64 fingerprints, bitwise counters
 add it to 64 distances by passing carries on, and a block of 64 leaves the work list as soon as all its
 distances exceed the radius.
@@ -22,8 +22,10 @@ from .components import connected_components
 
 SEED = 42
 RADIUS = 2
-BLOCKS = 4
-#: Buckets above this many distinct fingerprints aren't compared pair by pair: `_ball_links` links them in linear time.
+#: Number of blocks, and how many of them must agree.
+BLOCKS, FINE_BLOCKS = (4, 2), (8, 6)
+#: Buckets above this many distinct fingerprints are filed anew under six of eight 8-bit blocks, where a bucket holds
+#: 2 ** 16 fingerprints at most.
 BUCKET = 8192
 #: (query, block of 64) items that are worked on at once; bounds memory.
 ITEMS = 1 << 16
@@ -150,39 +152,35 @@ def _bucket_links(batches):
         yield solve(*(h.copy() for h in held))
 
 
-def _banded(nodes: DataFrame) -> DataFrame:
-    """Each fingerprint once for each two of its four blocks, under a key made of their number and bits."""
-    block = [F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BLOCKS)]
-    keys = [
-        F.lit(n << 32) + block[i] * F.lit(1 << 16) + block[j] for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
-    ]
+def _banded(nodes: DataFrame, blocks: tuple[int, int] = BLOCKS) -> DataFrame:
+    """Each fingerprint once for each choice of so many of its blocks, under a key made of the choice's number and the bits."""
+    n, agree = blocks
+    width = 64 // n
+    block = [F.shiftright("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(n)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(n), agree)):
+        key = F.lit(number << width * agree)
+        for at, k in enumerate(chosen):
+            key = key.bitwiseOR(F.shiftleft(block[k], width * at))
+        keys.append(key)
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
 
 
-def _ball_links(hot: DataFrame) -> DataFrame:
-    """Links of fingerprints at two or fewer differing bits, in time linear in their number.
-
-    Two such fingerprints are both within one bit of some value, and two within one bit of the same value are
-    within two bits of each other. So each one goes to itself and its 64 one-bit neighbours, and all that meet at
-    a value are linked to the least of them.
-    """
-    near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)]
-    met = hot.select("rep", F.explode(F.array(*near)).alias("z"))
-    least = met.groupBy("z").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return met.join(least, "z").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+def _compared(banded: DataFrame) -> DataFrame:
+    """Links of the fingerprints under each key of banded(key, fp, rep)."""
+    return banded.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) that connect the reps of nodes(fp, rep) exactly as all pairs within radius 2 do."""
-    banded = _banded(nodes)
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = banded.join(sizes, "key")
-    compared = (
-        sized.where(F.col("n") <= bucket).select("key", "fp", "rep")
-        .repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
-    )
-    hot = sized.where(F.col("n") > bucket).select("fp", "rep").distinct()
-    return compared.unionByName(_ball_links(hot))
+
+    def sized(banded: DataFrame) -> DataFrame:
+        return banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+    coarse = sized(_banded(nodes))
+    crowded = stage(coarse.where(F.col("n") > bucket).select("fp", "rep").distinct())
+    found = _compared(coarse.where(F.col("n") <= bucket))
+    return found if crowded.isEmpty() else found.unionByName(_compared(sized(_banded(crowded, FINE_BLOCKS))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
