@@ -17,7 +17,7 @@ from .common import stage
 #: Rule (host and path) to verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 DAMPING = 0.85
-MAX_ROUNDS = 30
+#: Rounds go on until masses move by less than this part of the seeds' mass.
 TOLERANCE = 1e-6
 #: Rounds between two writes to the shared folder.
 STAGED_EVERY = 3
@@ -55,27 +55,28 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, mass from seeds(kind, host, mass): mass of seeds plus damped mass that arrives along links.
 
     Trust goes from src to dst, distrust from dst to src, each time split by the number of links; what reaches a
-    host without links ends there. Rounds go on until no kind's masses change by the tolerance in sum.
+    host without links ends there. Rounds go on until the masses change in sum by less than the tolerance times the seeds'
+    mass, which damping guarantees; max_rounds, if given, ends them earlier.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = stage(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("n") / F.col("all")).alias("share")))
     seeds = stage(seeds)
-    mass, done = seeds, edges.isEmpty()
-    for n in range(0, max_rounds, STAGED_EVERY):
-        if done:
-            break
+    least = tolerance * (seeds.agg(F.sum("mass")).first()[0] or 0.0)
+    mass, done, n = seeds, edges.isEmpty(), 0
+    while not done and (max_rounds is None or n < max_rounds):
+        n += STAGED_EVERY
         for _ in range(STAGED_EVERY):
             before = mass
             arriving = edges.join(mass.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("mass")).alias("mass"))
             mass = seeds.unionByName(arriving).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         old = before.select("kind", "host", F.col("mass").alias("old"))
         mass = stage(mass.join(old, ["kind", "host"], "left").select("kind", "host", "mass", F.abs(F.col("mass") - F.coalesce("old", F.lit(0.0))).alias("moved")))
-        done = (mass.agg(F.sum("moved")).first()[0] or 0.0) < tolerance
+        done = (mass.agg(F.sum("moved")).first()[0] or 0.0) <= least
         mass = mass.drop("moved")
     return mass
 
@@ -84,8 +85,9 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, threshold: floa
     """page_id, host, path, rule and verdict (allow or block) of every page.
 
     A page that a rule fits gets the rule's verdict. Any other is blocked if its host's distrust per page exceeds
-    both `threshold` times the average and the host's trust per page; the masses of either kind sum to the number of
-    pages before links pass them on, so a mass of one per page is the average. Null urls and urls without `://` have an
+    both `threshold` times the average and the host's trust per page. Masses of either kind are scaled to sum to the
+    number of pages, which is the same as handing what reaches hosts without links back to the seeds; so a mass of one
+    per page is the average. Null urls and urls without `://` have an
     empty host and path, fit no rule and are allowed; null html has no links. Rows that repeat count as often
     as they come; other columns are ignored; an empty table gives an empty result.
     """
@@ -105,6 +107,8 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, threshold: floa
     ]
     if seeds:
         mass = propagate(host_links(pages), reduce(DataFrame.unionByName, seeds))
+        whole = F.broadcast(mass.groupBy("kind").agg(F.sum("mass").alias("whole")))  # two rows
+        mass = mass.join(whole, "kind").select("kind", "host", (F.col("mass") / F.col("whole") * float(totals[0])).alias("mass"))
         per_page = mass.groupBy("host").agg(
             F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("distrust")
         )
