@@ -41,7 +41,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"), preference=mixing.preferred())
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
