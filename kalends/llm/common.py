@@ -67,10 +67,18 @@ def few_enough(ids: DataFrame) -> bool:
     return ids.count() <= BROADCAST_ROWS
 
 
-def drop_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is in ids(doc_id). Texts move only if ids are too many to broadcast."""
-    ids = stage(ids)
-    return docs.join(F.broadcast(ids) if few_enough(ids) else ids, "doc_id", "left_anti").select(docs.columns)
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs staged with a column that tells rows apart, whatever their ids are, and the column's name."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame, row: str) -> DataFrame:
+    """The rows whose number is in kept. Texts move only if the numbers are too many to broadcast."""
+    kept = stage(kept)
+    return rows.join(F.broadcast(kept) if few_enough(kept) else kept, row, "left_semi")
 
 
 def slices(batches, rows: int = 1024):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import drop_rows, few_enough, slices, stage
+from .common import few_enough, keep_rows, slices, stage, with_rows
 from .components import connected_components
 from .simhash import SEED, bit_sliced_links
 
@@ -234,9 +234,22 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """docs with one document, the least doc_id, of each group of near copies, all columns kept.
+    """docs without those whose doc_id is a near copy of a lesser one, all columns kept; for tables with an id a row.
 
-    Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
+    Rows that repeat a doc_id stay or go together and rows without a doc_id stay; `one_of_each` tells rows apart instead.
     """
-    copies = near_copies(docs, bucket).where("doc_id <> component_id").select("doc_id").distinct()
-    return drop_rows(docs, copies)
+    copies = stage(near_copies(docs, bucket).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(F.broadcast(copies) if few_enough(copies) else copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each group of near copies, that of the least doc_id (nulls last), all columns kept.
+
+    Rows that repeat a doc_id or lack one are told apart, so one row of a group stays whatever their ids are. Texts without
+    words are one group; an empty table gives an empty result.
+    """
+    rows, row = with_rows(docs)
+    classes = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), bucket).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    kept = rows.select(row, "doc_id").join(classes, row).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    return keep_rows(rows, kept, row).select(docs.columns)

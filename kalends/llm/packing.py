@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 def _ranked(table: DataFrame, rows: int, per_bucket: int) -> DataFrame:
     """Adds each piece's rank among those of its length, from 0 and gapless, ordered by bucket, then doc_id and piece."""
-    bucketed = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets(rows, per_bucket))))
+    bucketed = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets(rows, per_bucket))))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1

@@ -78,7 +78,7 @@ def place(docs: DataFrame, leaves: tuple[Leaf, ...], key: str = "doc_id", into:
 
 def numbered(placed: DataFrame, rows: int, per_bucket: int = NUMBERED_ROWS) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: rows are numbered in hashed buckets, after all rows of lower buckets."""
-    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets(rows, per_bucket))))
+    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_buckets(rows, per_bucket))))
     sizes = bucketed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))

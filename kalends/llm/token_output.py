@@ -186,8 +186,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_token
             yield flush()
 
     (
-        rows.where("n >= 0").repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "control", "data")
+        rows.where("n >= 0").withColumn("h", F.xxhash64("control", "data")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "h")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "control", "data")
         .mapInArrow(run, "shard int, block int, before long, n_tokens long, payload binary")
         .write.parquet(f"{path}/blocks")
     )
@@ -229,7 +229,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: bool =
     """Writes docs to a folder of its own in the shared folder and reads the files back.
 
     Null and empty texts hold the end id alone. Documents come in ascending doc_id order, nulls first, equal ids in
-    the order of their codes; repeated rows are written as often as they come. Other columns are ignored. An
+    the order of a digest of their codes, which also parts the ranges, so one id may fill several shards; repeated rows are written as often as they come. Other columns are ignored. An
     empty table gives an empty result.
     """
     path = scratch_dir(docs.sparkSession)
