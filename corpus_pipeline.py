@@ -10,31 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalends.llm import mixing, near_text, packing, weak_rules
-from kalends.llm.common import drop_rows, on_workers, read_table, stage
+from kalends.llm.common import keep_rows, on_workers, read_table, stage, with_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows that repeat a doc_id go if one of them is rejected."""
+    """Rows that the quality rules reject go; rows are judged one by one, also those that repeat a doc_id or lack one.
+
+    Null and empty texts are rejected; an empty table gives an empty result; columns keep their names and values.
+    """
     on_workers(spark)
-    return drop_rows(docs, weak_rules.judge(docs).where("NOT kept").select("doc_id").distinct())
+    rows, row = with_rows(docs)
+    verdicts = weak_rules.judge(rows.select(F.col(row).alias("doc_id"), "text"))
+    return keep_rows(rows, verdicts.where("kept").select(F.col("doc_id").alias(row)), row).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least doc_id."""
+    """One row of each group of near copies stays, that with the least doc_id (nulls last); repeated rows are copies.
+
+    An empty table gives an empty result; columns keep their names and values.
+    """
     on_workers(spark)
-    return near_text.without_copies(docs)
+    return near_text.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it, not at all for most of an abundant source's."""
+    """Each row comes as often as the mix takes it, not at all for most of an abundant source's.
+
+    Rows that repeat a doc_id or lack one are drawn one by one, so a source's target holds for them too; rows without
+    words aren't taken. An empty table gives an empty result; columns keep their names and values.
+    """
     on_workers(spark)
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    rows, row = with_rows(docs)
+    mixed = mixing.mix(rows.select("doc_id", "source", "text", F.col(row).alias("key")), carry=("key",))
+    copies = mixed.where("copies > 0").select(F.col("key").alias(row), F.col("copies").cast("int").alias("times"))
+    copies = copies.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(row)
+    return rows.join(copies, row).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences. Null texts are the end id alone; rows count as often as they come."""
     on_workers(spark)
     return packing.pack(docs)
 
