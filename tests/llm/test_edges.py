@@ -76,3 +76,58 @@ def test_vectors_edges(spark):
     assert got == [(100, 1, 1, 0.0), (100, 2, 2, 0.0), (100, 3, 2, 0.0), (100, 4, 9, 20**0.5)]
     assert neighbours.search(vectors.limit(0)).collect() == [] and neighbours.search(vectors.where("vec_id = 1")).collect() == []
     assert neighbours.search(vectors.where(F.col("vec_id") == 100)).collect() == []
+
+
+def test_words_end_and_long_urls_of_pages(spark):
+    rows = [(1, "http://a.com/" + "p" * 200_000, "<a href='http://b.net/'>" + "x " * 200_000)]
+    got = link_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r["host"], len(r["path"])) for r in got] == [("a.com", 200_001)]
+
+
+def test_model_edges_at_the_querys_depth(docs):
+    got = ctw.score(docs).collect()
+    assert len(got) == len(ROWS) and all(r["score"] < 0 and r["n_bytes"] >= 1 for r in got)
+
+
+PLAIN = " ".join(f"word{i} and{i * 7 % 31}" for i in range(60)) + "."
+STAGED = [(None, PLAIN), (None, PLAIN), (7, PLAIN), (7, PLAIN), (None, "two words"), (3, None), (4, ""), (9, PLAIN.replace("word", "other")), (None, PLAIN.replace("word", "third")), (9, "short")]
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    rows = [(d, t, "en", f"s{n % 2}" if n % 5 else None, 1, n, 2, 3, 4, 5) for n, (d, t) in enumerate(STAGED)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, row int, _id int, _copies int, _copy int, key int")
+
+
+def test_stages_take_rows_one_by_one(spark, staged):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.quality_rules(spark, staged, "")
+    assert kept.columns == staged.columns and sorted(r["row"] for r in kept.collect()) == [0, 1, 2, 3, 7, 8]
+    single = corpus_pipeline.near_duplicates(spark, kept, "")
+    got = single.collect()
+    assert single.columns == staged.columns and sorted((r["doc_id"] or 0, r["row"]) for r in got) in ([(0, 8), (7, 2), (9, 7)], [(0, 8), (7, 3), (9, 7)])
+    mixed = corpus_pipeline.mix_sources(spark, staged, "")
+    words, targets = {}, {r["source"]: (r["target"], r["source_size"]) for r in mixing.mix(staged).collect()}
+    assert mixed.columns == staged.columns
+    for r in mixed.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    assert all(n <= targets[s][0] + 1e-6 for s, n in words.items()) and words
+
+
+def test_stages_of_an_empty_table(spark, staged):
+    import corpus_pipeline
+
+    docs = staged.limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, "")
+        assert out.collect() == []
+        docs = out if name != "pack_sequences" else docs
+
+
+def test_pipeline_of_rows_without_ids(spark, staged, tmp_path):
+    import corpus_pipeline
+
+    staged.drop("row").withColumnRenamed("key", "row").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert got and {r["doc_id"] for r in got} <= {None, 7, 9} and all(r["offset"] + r["length"] <= 4096 for r in got)
