@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import hashing
+from ..sources.store import staged
 
 ACTIONS = ("insert", "update", "touch", "keep")
 
@@ -112,17 +113,17 @@ def ingest(
     if "pos" not in batch.columns:
         batch = batch.withColumn("pos", F.monotonically_increasing_id())
     batch = last_wins(batch, ["source_item_key"], "pos", "detail_complete").drop("pos")
-    valid, kept, rejected = event_graph(batch, children_, event_rules, child_rules)
+    valid, kept, rejected = map(staged, event_graph(batch, children_, event_rules, child_rules))
     seen = {"collected_at": seen_at, "updated_at": seen_at, "last_verified_at": seen_at, "last_seen_at": seen_at, "last_seen_run_id": F.lit(run_id).cast("long"), "is_active": F.lit(True)}
     fresh = hashing.event_hash(valid, kept).withColumns({**seen, "source_id": F.lit(source_id).cast("long")})
     key = ["source_id", "source_item_key"]
     after = merged(actions(events, fresh, key, F.col("d.detail_complete")), events.columns, [*content, *tracking, "content_hash"], ["last_seen_at", "last_seen_run_id", "is_active", "updated_at"])
     after = touch(after, rejected.select("source_item_key").withColumn("source_id", F.lit(source_id).cast("long")), key, run_id, seen_at)
-    after = _numbered(after, events, ["source_id", "source_item_key"])
+    after = _numbered(staged(after), events, ["source_id", "source_item_key"])
     ids = after.where(F.col("source_id") == source_id).select("source_item_key", F.col("id").alias("event_id"))
     given = kept.join(ids, "source_item_key").drop("source_item_key").withColumns({"collected_at": seen_at, "updated_at": seen_at})
     lines = children(occurrences, given, ["event_id", "source_occurrence_id"], list(schemas.OCCURRENCE_CONTENT))
-    return after, _numbered(lines, occurrences, ["event_id", "source_occurrence_id"]), rejected
+    return after, _numbered(staged(lines), occurrences, ["event_id", "source_occurrence_id"]), rejected
 
 
 def _numbered(after: DataFrame, before: DataFrame, order: list[str]) -> DataFrame:

@@ -1,11 +1,15 @@
 """Versioned Parquet tables: a version is a folder, the current one is the last that finished.
 
 Spark writes `_SUCCESS` once a version is whole, so a reader never sees half a version and the version that a merge reads
-is not the folder it writes.
+is not the folder it writes. A table that is partitioned by `bucket` may hold in a version those buckets alone that it
+changes; each bucket is then read from the last version that has it.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,12 +28,26 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
-def read(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
-    """The given or current version; an empty table before the first."""
+def _buckets(spark: SparkSession, path: str, found: list[int]) -> dict[int, str]:
+    """The folder of each bucket's last state in these versions; empty for tables without buckets."""
+    fs, _, jvm = _files(spark, path)
+    last = {}
+    for v in found:
+        for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")):
+            name = s.getPath().getName()
+            if name.startswith("bucket="):
+                last[int(name[7:])] = f"{path}/v={v}/{name}"
+    return last
+
+
+def read(spark: SparkSession, path: str, schema: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The given or current version, or only some of its buckets; an empty table before the first."""
     found = versions(spark, path)
-    if version is None and not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={found[-1] if version is None else version}")
+    if version is not None:
+        found = [v for v in found if v <= version]
+    parts = _buckets(spark, path, found)
+    folders = [f for b, f in parts.items() if buckets is None or b in buckets] if parts else [f"{path}/v={v}" for v in found[-1:]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
@@ -60,3 +78,20 @@ def forget(spark: SparkSession, path: str) -> None:
     number = (found[-1] if found else 0) + 1
     for name in (f"v={number}", f"_claims/{number}"):
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that the session names in spark.checkpoint.dir: computed once, safe when executors go.
+
+    Only in local mode may the setting be missing, as then driver and executors share a temporary folder.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="kalends-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,25 +12,33 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import merge
 from ..sources import store
 
+#: Buckets of a table. The number belongs to the table: all streams that write it must use the same.
+BUCKETS = 64
 
-def merge_stream(spark: SparkSession, landed: str, schema: str, table: str, key: list[str], order: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+
+def merge_stream(spark: SparkSession, landed: str, schema: str, table: str, key: list[str], order: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Starts a query that upserts files arriving in `landed` into the versioned table.
 
     Within a batch the last row in order wins. The batch id and the stream's id, which its checkpoint holds, are stored with
     each row (seen_batch, seen_stream). A batch that is replayed after a failure finds both there and publishes
-    nothing, so every batch counts once; another checkpoint is another stream, whose batches count again.
+    nothing, so every batch counts once; another checkpoint is another stream, whose batches count again. The table is
+    hashed into buckets by key, and a batch reads and writes those of its keys alone. after: called with the rows of these
+    buckets, and their action, once they are stored.
     """
     columns = [f.name for f in spark.createDataFrame([], schema).schema]
     stored, seen = f"{schema}, seen_batch bigint, seen_stream string", ["seen_batch", "seen_stream"]
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        base = store.read(batch.sparkSession, table, stored)
+        delta = merge.last_wins(batch, key, order)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in delta.select(bucket).distinct().collect()]  # `buckets` at most
+        base = store.read(batch.sparkSession, table, stored, buckets=touched)
         stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         if base.where((base["seen_batch"] == batch_id) & (base["seen_stream"] == stream)).limit(1).count() or batch.isEmpty():
             return
-        delta = merge.last_wins(batch, key, order).withColumns({"seen_batch": F.lit(batch_id).cast("long"), "seen_stream": F.lit(stream)})
+        delta = delta.withColumns({"seen_batch": F.lit(batch_id).cast("long"), "seen_stream": F.lit(stream)})
         result = merge.merged(merge.actions(base, delta, key), [*columns, *seen], {*columns, *seen} - set(key))
-        store.publish(result.drop("action"), table)
+        store.publish(result.drop("action").withColumn("bucket", bucket).repartition("bucket"), table, ("bucket",))
         if after:
             after(result, batch_id)
 
