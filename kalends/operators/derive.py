@@ -26,6 +26,12 @@ def calendar(df: DataFrame, key: str, markers: dict[str, str]) -> DataFrame:
     return df.selectExpr(key, f"stack({len(markers)}, {pairs}) AS (marker, day)").where("day IS NOT NULL")
 
 
+def occurrence_markers(occurrences: DataFrame, key: str, start: str, zone: str = "Asia/Seoul") -> DataFrame:
+    """Calendar rows of occurrences, one for each local day on which an event has any: key, marker and day, as calendar() gives."""
+    day = F.to_date(F.from_utc_timestamp(F.col(start).cast("timestamp"), zone))
+    return occurrences.select(key, F.lit("occurrence").alias("marker"), day.alias("day")).where("day IS NOT NULL").distinct()
+
+
 def likeness(a: Column, b: Column) -> Column:
     """1 less edit distance over the longer length, 0 if either is null or empty."""
     longer = F.greatest(F.char_length(a), F.char_length(b))

@@ -50,7 +50,7 @@ def details(pages: DataFrame) -> DataFrame:
         F.col("_r.start").alias("registration_start"), F.col("_r.end").alias("registration_end"), _of("fields", REGISTRATION).alias("registration_period_text"),
         F.col("_e.start").alias("event_start"), F.col("_e.end").alias("event_end"), _of("fields", COURSE).alias("event_period_text"),
         number(1).alias("reserved_count"), number(2).alias("capacity"), taken.alias("capacity_text"), fee.alias("fee_text"), text.free_value(fee).alias("is_free"),
-        F.coalesce("_r.error", "_e.error").alias("parse_error"),
+        F.coalesce(F.when(~F.col("resource_id").rlike(url.RESOURCE_ID), "invalid resource id"), F.when(F.size("fields") == 0, "no summary fields"), "_r.error", "_e.error").alias("parse_error"),
     )
 
 
@@ -87,6 +87,17 @@ def occurrence_requests(found: DataFrame, cap: int | None = None) -> DataFrame:
     return ready.select("resource_id", F.explode("active_dates").alias("day")).where("day is not null")
 
 
+def slots_of(requests: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Requests with what came back: slots, how many are good, and errors (those of slots, or that nothing came back)."""
+    got = occurrences.groupBy("resource_id", "day").agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("error").isNull()).alias("good"), F.array_sort(F.collect_set("error")).alias("errors"))
+    joined = requests.join(got, ["resource_id", "day"], "left")
+    none = F.coalesce(F.col("slots"), F.lit(0)) == 0
+    return joined.select(
+        "resource_id", "day", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("good", F.lit(0)).alias("good"),
+        F.when(none, F.array(F.lit("no answer"))).otherwise(F.col("errors")).alias("errors"),
+    )
+
+
 def date_errors(found: DataFrame, cap: int | None = None) -> DataFrame:
     """resource_id and error of details whose active dates can't all be asked for: impossible ones, or more than the cap."""
     bad = F.when(F.exists("active_dates", lambda x: x.isNull()), F.lit("invalid active date"))

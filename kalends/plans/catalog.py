@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import hashing, period, strict, text, url
-from ..operators import derive, merge, quality, runs, serve
+from ..operators import derive, merge, normalize, quality, runs, serve
 from ..sources import html, landing, slots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -680,6 +680,25 @@ def calendar_unpivot(spark, sf_dir):
     return derive.calendar(o, "o_orderkey", {"opens": "open_day", "closes": "close_day"}).select("o_orderkey", "marker", F.col("day").cast("string").alias("day"))
 
 
+@register("""SELECT l_orderkey AS o_orderkey, 'occurrence' AS marker, day, count(*) OVER (PARTITION BY l_orderkey) AS days FROM (SELECT DISTINCT l_orderkey, strftime(l_shipdate + INTERVAL 15 HOUR + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM lineitem)""")
+def occurrence_calendar(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_shipdate") + F.expr("INTERVAL 15 HOURS")).alias("at"))
+    marked = derive.occurrence_markers(lines, "o_orderkey", "at")
+    days = marked.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("days"))
+    return marked.join(days, "o_orderkey").select("o_orderkey", "marker", F.col("day").cast("string").alias("day"), "days")
+
+
+@register(f"""WITH s AS ({_slots("EXP")}), r AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS resource_id, strftime(ts, '%Y-%m-%d') AS day FROM events UNION SELECT 'none', strftime(max(ts), '%Y-%m-%d') FROM events)
+  SELECT r.resource_id, r.day, count(s.resource_id) AS slots, count(s.resource_id) FILTER (s.error IS NULL) AS good, coalesce(string_agg(DISTINCT s.error, ',' ORDER BY s.error), CASE WHEN count(s.resource_id) = 0 THEN 'no answer' ELSE '' END) AS errors
+  FROM r LEFT JOIN s ON r.resource_id = s.resource_id AND r.day = split_part(s.source_occurrence_id, ':', 2) GROUP BY 1, 2""")
+def slot_answers(spark, sf_dir):
+    payloads = _slot_rows(spark, sf_dir, *slots.FIELDS["EXP"])
+    last = _t(spark, sf_dir, "events").agg(F.max("ts").cast("date").alias("day")).select(F.lit("none").alias("resource_id"), "day")
+    requests = payloads.select("resource_id", "day").distinct().unionByName(last)
+    got = normalize.slots_of(requests, slots.occurrences(payloads, "EXP"))
+    return got.select("resource_id", F.col("day").cast("string").alias("day"), "slots", "good", F.array_join("errors", ",").alias("errors"))
+
+
 @register("""WITH e AS (SELECT p_name AS title, p_size AS day, p_type AS venue, p_brand AS organizer, p_partkey % 3 AS source, min(p_partkey) AS k, count(*) AS copies FROM part GROUP BY ALL),
   p AS (SELECT a.k AS a_p_partkey, b.k AS b_p_partkey, a.copies AS a_copies, b.copies AS b_copies, a.title AS x, b.title AS y, a.organizer AS u, b.organizer AS v, a.day = b.day AS d, a.venue = b.venue AS w
     FROM e a JOIN e b ON a.k < b.k AND a.source <> b.source AND (a.day = b.day OR (a.title = b.title AND a.venue = b.venue))),

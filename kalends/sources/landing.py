@@ -15,13 +15,16 @@ from ..functions.text import is_block_page
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
 
 
-def classify(status: Column, body: Column, json: Column | None = None) -> Column:
-    """ok, retry, error, empty, blocked or malformed. json: whether the body must be a JSON list."""
+def classify(status: Column, body: Column, json: Column | None = None, mark: str | None = None) -> Column:
+    """ok, retry, error, empty, blocked or malformed. json: whether the body must be a JSON list; mark: what an HTML body, one
+    that need not be JSON, must contain (the tag or class of the part that is going to be read)."""
     said = F.when(status.isin(*RETRYABLE), "retry").when((status < 200) | (status >= 300), "error")
     said = said.when(body.isNull() | (F.trim(body) == ""), "empty").when(is_block_page(body), "blocked")
     if json is not None:
         root = F.schema_of_variant(F.try_parse_json(F.regexp_replace(body, "^﻿", "")))
         said = said.when(json & ~F.coalesce(root.startswith("ARRAY"), F.lit(False)), "malformed")
+    if mark is not None:
+        said = said.when(~body.contains(mark) & (~json if json is not None else F.lit(True)), "malformed")
     return said.otherwise("ok")
 
 

@@ -75,6 +75,8 @@ def test_normalized_events(spark):
     assert [tuple(r) for r in normalize.occurrence_requests(found).collect()] == [("LEC_77x", dt.date(2026, 4, 3))]
     assert normalize.occurrence_requests(found, cap=0).count() == 0
     assert [tuple(r) for r in normalize.date_errors(found).collect()] == [("LEC_77x", "invalid active date")]
+    odd = normalize.details(html.with_details(spark.createDataFrame([(DETAIL.replace("LEC_77x", "X-1"),), (DETAIL.replace('"cont"', '"other"'),)], "html string")))
+    assert sorted(r["parse_error"] for r in odd.collect()) == ["invalid resource id", "no summary fields"]
     capped = found.withColumn("active_dates", F.slice("active_dates", 1, 1))
     assert normalize.date_errors(capped).count() == 0 and normalize.date_errors(capped, 0).first()["error"] == "1 active dates, more than 0"
     assert tuple(normalize.summary(normalize.events(items, found, "F300")).first()) == (2, 1, 0, 0, 1, 0)
@@ -103,6 +105,8 @@ def test_landing(spark):
     rows = [(200, "[1]", True), (200, "{}", True), (503, "", True), (404, "x", False), (200, " ", False), (200, "접속 대기 중", False), (200, "<p>", False)]
     got = spark.createDataFrame(rows, "status int, body string, json boolean").select(landing.classify(F.col("status"), F.col("body"), F.col("json"))).collect()
     assert [r[0] for r in got] == ["ok", "malformed", "retry", "error", "empty", "blocked", "ok"]
+    marked = spark.createDataFrame([("<ul class=img-board>", False), ("<p>", False), ("[1]", True)], "body string, json boolean").select(landing.classify(F.lit(200), F.col("body"), F.col("json"), "img-board"))
+    assert [r[0] for r in marked.collect()] == ["ok", "malformed", "ok"]
     assert [r[0] for r in spark.range(2).select(landing.backoff_seconds(F.col("id"))).collect()] == [0.5, 1.0]
 
 
