@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that Spark hands to a Python worker at once, at most: texts are long, and Spark's own number is made for short rows.
+ARROW_ROWS = 2000
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Puts this package on the path of Python workers, for sessions started elsewhere; a cluster ships it with --py-files."""
+    """Puts this package on the path of Python workers, for sessions started elsewhere; a cluster ships it with --py-files.
+
+    Also bounds the rows of the session's Arrow batches, where they aren't fewer already; results don't depend on it.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -75,10 +85,10 @@ def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def keep_rows(rows: DataFrame, kept: DataFrame, row: str) -> DataFrame:
-    """The rows whose number is in kept. Texts move only if the numbers are too many to broadcast."""
-    kept = stage(kept)
-    return rows.join(F.broadcast(kept) if few_enough(kept) else kept, row, "left_semi")
+def drop_rows(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """The rows whose number isn't in dropped. Texts move only if the numbers are too many to broadcast."""
+    dropped = stage(dropped)
+    return rows.join(F.broadcast(dropped) if few_enough(dropped) else dropped, row, "left_anti")
 
 
 def slices(batches, rows: int = 1024):
@@ -86,10 +96,11 @@ def slices(batches, rows: int = 1024):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 #: Bytes of text that Python works on together, about; a longer text is worked on alone.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def text_slices(batches, column: int = 1, size: int = TEXT_BYTES, rows: int = 8192):
@@ -102,6 +113,7 @@ def text_slices(batches, column: int = 1, size: int = TEXT_BYTES, rows: int = 81
             upto = min(max(at + 1, int(np.searchsorted(ends, done + size, side="right"))), at + rows)
             yield b.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()
 
 
 def n_buckets(rows: int, per_bucket: int) -> int:

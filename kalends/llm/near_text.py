@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import few_enough, keep_rows, slices, stage, with_rows
+from .common import drop_rows, few_enough, slices, stage, with_rows
 from .components import connected_components
 from .simhash import SEED, bit_sliced_links
 
@@ -115,7 +115,7 @@ def _spanning(ids: list[int], fp: np.ndarray, sets: list[np.ndarray], start: np.
 def _by_key(batches):
     """Lists of the rows of each key, without the key, that have two or more; the key comes first and in order."""
     key, held = None, []
-    for b in slices(batches):
+    for b in slices(batches, 128):
         for k, *row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
             if k != key:
                 if len(held) > 1:
@@ -251,5 +251,6 @@ def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows, row = with_rows(docs)
     classes = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), bucket).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
-    kept = rows.select(row, "doc_id").join(classes, row).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
-    return keep_rows(rows, kept, row).select(docs.columns)
+    named = stage(rows.select(row, "doc_id").join(classes, row))
+    first = named.groupBy("component_id").agg(F.min(order).alias("first"))
+    return drop_rows(rows, named.join(first, "component_id").where(F.col("first.row") != F.col(row)).select(row), row).select(docs.columns)

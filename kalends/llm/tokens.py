@@ -19,7 +19,7 @@ END_ID = 1
 #: one lower-case form of as many bytes.
 PLAIN, LOWER = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
 #: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -81,10 +81,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Lower-case letters between spaces need no normalizing and no pattern; ASCII letters are their own bytes.
-        self.of_ascii, self.of_letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.of_ascii.normalizer = self.of_letters.normalizer = normalizers.Sequence([])
-        self.of_ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # Lower-case letters between spaces need no normalizing and no pattern.
+        self.of_letters = Tokenizer.from_file(path)
+        self.of_letters.normalizer = normalizers.Sequence([])
         self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
@@ -138,15 +137,13 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         fine = pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), LOWER).to_pylist()
         self._learn_singly([w for w, f in zip(words, fine) if not f])
-        letters = list(compress(words, fine))
-        self._learn_letters([w for w in letters if w.isascii()], self.of_ascii)
-        self._learn_letters([w for w in letters if not w.isascii()], self.of_letters)
+        self._learn_letters(list(compress(words, fine)))
 
-    def _learn_letters(self, stems: list[bytes], tokenizer) -> None:
+    def _learn_letters(self, stems: list[bytes]) -> None:
         """Words of letters alone: encoded in one go and cut where a token ends a word."""
         for at in range(0, len(stems), 256):
             part = stems[at : at + 256]
-            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.of_letters.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw = ids.astype("<u4").tobytes()
