@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalends.llm import mixing, near_text, packing, weak_rules
-from kalends.llm.common import keep_rows, on_workers, read_table, stage, with_rows
+from kalends.llm.common import drop_rows, on_workers, read_table, stage, with_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     on_workers(spark)
     rows, row = with_rows(docs)
     verdicts = weak_rules.judge(rows.select(F.col(row).alias("doc_id"), "text"))
-    return keep_rows(rows, verdicts.where("kept").select(F.col("doc_id").alias(row)), row).select(docs.columns)
+    return drop_rows(rows, verdicts.where("NOT kept").select(F.col("doc_id").alias(row)), row).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
