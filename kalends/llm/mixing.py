@@ -19,7 +19,7 @@ from .common import n_words, stage
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
-#: Rows of a source that are sorted together, about.
+#: Rows of a source that are sorted together, about; of a very large source the root of their number, as many as its buckets.
 SORTED_ROWS = 5_000
 #: Words from which a document is liked twice as much as a shorter one by the query: fragments seldom make good examples.
 WHOLE_WORDS = 50
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     liking = F.lit(1.0) if preference is None else preference.cast("double")
     sized = stage(docs.select(F.col("doc_id").cast("long"), "source", n_words("text").alias("size"), *carry).withColumn("liking", liking))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    shares = targets(sums, weights, max_copies).join(sums.select(F.col("source").alias("s"), F.ceil(F.col("docs") / sorted_rows).alias("buckets")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    shares = targets(sums, weights, max_copies).join(sums.select(F.col("source").alias("s"), F.least(F.ceil(F.col("docs") / sorted_rows), F.ceil(F.sqrt("docs"))).alias("buckets")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     shares = _rates(sized, shares, max_copies)
     few = shares.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else lambda df: df
