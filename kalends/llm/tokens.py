@@ -19,7 +19,7 @@ END_ID = 1
 #: one lower-case form of as many bytes.
 PLAIN, LOWER = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
 #: Words of one generation that a worker remembers; two generations are kept, so common words outlive rare ones.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 _encoders: dict[str, WordEncoder] = {}
 
 
