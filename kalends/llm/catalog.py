@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, link_trust, mixing, neighbours, packing, sharding, simhash, token_output, weak_rules
+from . import alignment, chat, ctw, link_trust, mixing, neighbours, packing, sharding, simhash, token_output, weak_rules, whitening, windows
 from .common import read_table
 
 
@@ -52,10 +52,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters, op2_simhash, op3_token_output, op4_lm_scoring, op5_quality_rules, op6_sharding, op7_chat_formatting, op8_mixing,
-        op9_neighbours, op10_packing,
+        op9_neighbours, op10_packing, op11_whitening, op12_alignment, op13_windows,
     )
     return {f.__name__: f for f in found}
 
