@@ -106,6 +106,27 @@ def date_errors(found: DataFrame, cap: int | None = None) -> DataFrame:
     return found.select("resource_id", bad.alias("error")).where("error is not null")
 
 
+def issues(items: DataFrame, found: DataFrame, key: list[str], answers: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """All that went wrong below the list pages, as one relation: key, page, phase, identifier and message.
+
+    items: list_items() rows with key and page; found: details() rows; answers: slots_of() rows. phase is `list` for an item that is
+    impossible, `detail` for an internal item without a detail or with an impossible one, `dates` for active dates that can't be
+    asked for and `slots` for requests without an answer or with bad slots. What a detail lacks counts on each page that lists it.
+    """
+    own = [*key, "page"]
+    listed = items.where("parse_error IS NOT NULL").select(*own, F.lit("list").alias("phase"), F.coalesce("source_event_id", "detail_url").alias("identifier"), F.col("parse_error").alias("message"))
+    inside = items.where("NOT is_external").select(*own, F.col("source_event_id").alias("resource_id"))
+    got = found.groupBy("resource_id").agg(F.max(F.coalesce("parse_error", F.lit(""))).alias("_e"))
+    failed = inside.join(got, "resource_id", "left").where("_e IS NULL OR _e <> ''").select(*own, F.lit("detail").alias("phase"), F.col("resource_id").alias("identifier"), F.coalesce("_e", F.lit("no detail")).alias("message"))
+    dates = inside.join(date_errors(found, cap), "resource_id").select(*own, F.lit("dates").alias("phase"), F.col("resource_id").alias("identifier"), F.col("error").alias("message"))
+    out = listed.unionByName(failed).unionByName(dates)
+    if answers is not None:
+        bad = answers.select("resource_id", "day", F.explode("errors").alias("error"))
+        told = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(": "), "error")
+        out = out.unionByName(inside.join(bad, "resource_id").select(*own, F.lit("slots").alias("phase"), F.col("resource_id").alias("identifier"), told.alias("message")))
+    return out
+
+
 def summary(normalized: DataFrame) -> DataFrame:
     """Counts per kind, and of details, in one pass."""
     kinds = [F.count_if(F.col("resource_kind") == k).alias(k.lower()) for k in ("LEC", "EXP", "DAY", "external")]

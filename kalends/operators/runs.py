@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import staged
+
 MESSAGE_LIMIT = 10_000
 #: Scope of a run to the source codes it covers.
 SCOPES = {"F300": ("F300",), "F400": ("F400",), "F300:F400": ("F300", "F400"), "full": ("F300", "F400")}
@@ -24,39 +29,118 @@ def first_messages(df: DataFrame, key: list[str], order: str, message: str, limi
     return some.withColumn("_n", n).where(F.col("_n") <= limit // 4 + 1).groupBy(*key).agg(joined_errors(order, message, limit).alias("message"))
 
 
-def last_page(pages: DataFrame, key: list[str]) -> DataFrame:
-    """One row per run with what the verdict needs, from a row per page.
+def followed(pages: DataFrame, key: list[str], page_size: int) -> DataFrame:
+    """Landed pages with what following the links from page 1 tells of each: `follows` and `step`.
 
-    pages: key, page, list_count, succeeded, next_page, pagination_detected, detail_failures, error_count. All
-    aggregates combine before the shuffle.
+    pages: key, page, list_count, succeeded, next_page, pagination_detected, detail_failures, error_count, and `attempt` if a page may
+    have landed more than once (the last one counts; without it the greatest row does). A page whose next page is
+    further on than the following one did not succeed. follows: the page that a reader asks for after this one, null where it stops (a failure, a short page, no
+    pagination, no next page). step: how many pages come before it from page 1 on, null if none leads there.
+
+    Pointers double: in round k each page knows the page 2^k further on, and what is reached within 2^k pages gives what is reached
+    within twice as many. One self-join and one aggregate a round, all runs at once; the key holds the page, so a run of very
+    many pages is spread like many runs.
     """
-    last = F.max_by(F.struct("page", "list_count", "succeeded", "next_page", "pagination_detected"), "page")
-    return pages.groupBy(*key).agg(
-        last.alias("last"), F.count(F.lit(1)).alias("pages_attempted"), F.count_if("succeeded").alias("pages_succeeded"), F.sum("list_count").alias("items_seen"),
-        F.sum("detail_failures").alias("detail_failure_count"), F.sum("error_count").alias("error_count"),
-    )
+    others = [c for c in pages.columns if c not in (*key, "page")]
+    newest = F.max_by(F.struct(*others), "attempt") if "attempt" in others else F.max(F.struct(*others))
+    once = pages.groupBy(*key, "page").agg(newest.alias("_p")).select(*key, "page", *(F.col("_p")[c].alias(c) for c in others))
+    skips = F.coalesce(F.col("next_page") > F.col("page") + 1, F.lit(False))
+    once = once.withColumns({
+        "succeeded": F.coalesce(F.col("succeeded"), F.lit(False)) & ~skips, "error_count": F.col("error_count") + skips.cast("int"), "skips": skips, "pagination_detected": F.coalesce("pagination_detected", F.lit(False)),
+    })
+    goes_on = F.col("succeeded") & (F.col("list_count") >= page_size) & F.col("pagination_detected")
+    once = staged(once.withColumn("follows", F.when(goes_on, F.col("next_page"))))
+    state = once.select(*key, "page", F.col("follows").alias("to"), F.when(F.col("page") == 1, F.lit(0)).cast("long").alias("step"))
+    reached, k = -1, 0
+    while True:
+        state = staged(state)
+        now = state.where("step IS NOT NULL").count()
+        if now == reached:
+            break
+        reached = now
+        ahead = state.select(*key, F.col("page").alias("to"), F.col("to").alias("_far"), F.lit(True).alias("_landed"))
+        pairs = state.join(ahead, [*key, "to"], "left")
+        own = F.struct(F.col("page").alias("page"), F.col("_far").alias("to"), F.col("step").alias("step"))
+        onward = F.struct(F.col("to").alias("page"), F.lit(None).cast(state.schema["to"].dataType).alias("to"), (F.col("step") + (1 << k)).alias("step"))
+        both = F.when(F.col("_landed") & F.col("step").isNotNull(), F.array(own, onward)).otherwise(F.array(own))
+        state = pairs.select(*key, F.explode(both).alias("_s")).groupBy(*key, F.col("_s.page").alias("page")).agg(F.max("_s.to").alias("to"), F.min("_s.step").alias("step"))
+        k += 1
+    return once.join(state.select(*key, "page", "step"), [*key, "page"])
+
+
+def chains(pages: DataFrame, key: list[str], page_size: int, max_pages: int) -> DataFrame:
+    """One row per run with what the verdict needs, from a row per landed page (see followed()).
+
+    last: the last page that a reader of at most max_pages pages comes to, null if page 1 is missing; pages_followed: how many it
+    reads; missing_page: the one it asks for that never landed; loops: whether it comes back to a page it has read;
+    pages_unreached and pages_skipping: landed pages that no chain leads to, and those that link beyond the next. All aggregates
+    combine before the shuffle.
+    """
+    read = F.coalesce(F.col("step") < max_pages, F.lit(False))
+    row = F.struct("page", "list_count", "succeeded", "next_page", "pagination_detected", "follows", "step")
+    per_run = followed(pages, key, page_size).groupBy(*key).agg(
+        F.max_by(row, F.when(read, F.col("step"))).alias("last"), F.count(F.lit(1)).alias("pages_attempted"), F.count_if("succeeded").alias("pages_succeeded"), F.count_if(read).alias("pages_followed"),
+        F.count_if(~read).alias("pages_unreached"), F.count_if("skips").alias("pages_skipping"), F.sum("list_count").alias("items_seen"), F.sum("detail_failures").alias("detail_failure_count"),
+        F.sum("error_count").alias("error_count"), F.max("step").alias("_steps"),
+    )
+    last = F.col("last")
+    full = F.coalesce(last["step"] + 1 >= max_pages, F.lit(False))
+    # A reader that asks for a page behind the last one it comes to, and may still read one, lacks it or has read it before.
+    asks = F.when(~full, last["follows"])
+    return per_run.withColumns({
+        "missing_page": F.when(last.isNull(), F.lit(1)).when(asks > last["page"], asks), "loops": F.coalesce(asks <= last["page"], F.lit(False)), "full": full,
+    }).drop("_steps")
 
 
-def stop_reason(page_size: int, max_pages: int) -> Column:
-    """Why a traversal ended, over last_page()'s columns; the first that holds."""
+def stop_reason(page_size: int) -> Column:
+    """Why a traversal ended, over chains()'s columns; the first that holds."""
     last = F.col("last")
     short, more = last["list_count"] < page_size, last["next_page"].isNotNull()
     return (
-        F.when(short & more, "pagination-conflict")
+        F.when(last.isNull() | F.col("missing_page").isNotNull(), "page-missing").when(F.col("loops"), "page-loop")
+        .when(short & more & last["succeeded"], "pagination-conflict")
         .when(last["succeeded"] & (last["list_count"] == page_size) & ~last["pagination_detected"], "pagination-missing")
-        .when((F.col("pages_attempted") == max_pages) & more, "max-pages")
-        .when(~last["succeeded"], "page-failure").when(short, "short-page").otherwise("last-page")
+        .when(F.col("full") & more, "max-pages").when(~last["succeeded"], "page-failure").when(short, "short-page").otherwise("last-page")
     )
 
 
-def verdict(runs: DataFrame, page_size: int, max_pages: int, duplicate_keys: Column | None = None) -> DataFrame:
-    """Adds stop_reason, is_complete_snapshot and status to last_page()'s rows."""
-    last, duplicate = F.col("last"), F.lit(False) if duplicate_keys is None else duplicate_keys
-    ended = last["succeeded"] & last["next_page"].isNull() & ((last["list_count"] < page_size) | last["pagination_detected"])
-    faulty = F.col("stop_reason").isin("pagination-conflict", "pagination-missing", "max-pages")
-    complete = ended & (F.col("pages_succeeded") == F.col("pages_attempted")) & ~faulty & ~duplicate & (F.col("error_count") == 0) & (F.col("detail_failure_count") == 0)
+def repeated_keys(events: DataFrame, key: list[str], item: str = "source_item_key") -> DataFrame:
+    """key and repeated_keys: how many item keys a run holds more than once, on one page or on several. Runs without are left out."""
+    twice = events.where(F.col(item).isNotNull()).groupBy(*key, item).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return twice.groupBy(*key).agg(F.count(F.lit(1)).alias("repeated_keys"))
+
+
+def with_issues(pages: DataFrame, issues: DataFrame, key: list[str]) -> DataFrame:
+    """pages with detail_failures, error_count and succeeded after issues(key, page, phase, ...), as normalize.issues() gives.
+
+    Every issue is an error; one of phase `detail` is a failed detail too, and one of phase `list` makes its page fail.
+    """
+    given = issues.groupBy(*key, "page").agg(
+        F.count_if(F.col("phase") == "detail").cast("int").alias("_details"), F.count(F.lit(1)).cast("int").alias("_errors"), F.count_if(F.col("phase") == "list").alias("_listed")
+    )
+    joined = pages.join(given, [*key, "page"], "left")
+    return joined.withColumns({
+        "detail_failures": F.col("detail_failures") + F.coalesce("_details", F.lit(0)), "error_count": F.col("error_count") + F.coalesce("_errors", F.lit(0)),
+        "succeeded": F.col("succeeded") & (F.coalesce("_listed", F.lit(0)) == 0),
+    }).drop("_details", "_errors", "_listed")
+
+
+def verdict(runs: DataFrame, page_size: int, repeated: DataFrame | None = None) -> DataFrame:
+    """Adds stop_reason, is_complete_snapshot and status to chains()'s rows.
+
+    A run is a complete snapshot if the chain from page 1 ends by itself and holds every landed page, every page succeeded, no
+    error of any kind was counted, and no item key repeats (repeated: repeated_keys() of the run's events).
+    """
+    if repeated is None:
+        runs = runs.withColumn("repeated_keys", F.lit(0).cast("long"))
+    else:
+        keys = [c for c in repeated.columns if c != "repeated_keys"]
+        runs = runs.join(repeated, keys, "left").withColumn("repeated_keys", F.coalesce("repeated_keys", F.lit(0).cast("long")))
+    none = [F.col(c) == 0 for c in ("pages_unreached", "pages_skipping", "repeated_keys", "error_count", "detail_failure_count")]
+    natural = F.col("stop_reason").isin("short-page", "last-page") & F.col("last.succeeded") & F.col("last.next_page").isNull()
+    complete = F.coalesce(reduce(and_, none, natural & (F.col("pages_succeeded") == F.col("pages_attempted"))), F.lit(False))
     return (
-        runs.withColumn("stop_reason", stop_reason(page_size, max_pages)).withColumn("is_complete_snapshot", complete)
+        runs.withColumn("stop_reason", stop_reason(page_size)).withColumn("is_complete_snapshot", complete)
         .withColumn("status", F.when(F.col("is_complete_snapshot"), "success").when(F.col("pages_succeeded") > 0, "partial").otherwise("failed"))
     )
 

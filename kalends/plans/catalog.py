@@ -328,35 +328,53 @@ def kind_counts(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("event_id", "user_id", (F.expr("event_id div 120")).alias("run"), (F.expr("event_id div 12") % 10 + 1).alias("page"))
-    p = e.groupBy("run", "page").agg(F.count_if(F.col("user_id") % 40 != 0).alias("list_count"), F.sum("user_id").alias("s"))
-    return p.select(
-        "run", "page", "list_count", (F.col("s") % 11 != 0).alias("succeeded"), F.when((F.col("page") < 10) | (F.col("s") % 5 == 0), F.col("page") + 1).alias("next_page"),
-        (F.col("s") % 3 != 0).alias("pagination_detected"), F.when(F.col("s") % 13 == 0, 1).otherwise(0).alias("detail_failures"), F.when(F.col("s") % 17 == 0, 1).otherwise(0).alias("error_count"),
+    """List pages of runs, some with faults: a page that never landed, fails, is short, skips a page, leads back or shows no pagination."""
+    e = _t(spark, sf_dir, "events").select("user_id", F.expr("event_id div 120").alias("run"), (F.expr("event_id div 12") % 10 + 1).alias("page"))
+    p, s, n = e.groupBy("run", "page").agg(F.sum("user_id").alias("s")), F.col("s"), F.col("page")
+    return p.where("s % 37 <> 0").select(
+        "run", "page", F.when((s % 41 == 0) | ((n == 10) & (s % 2 == 0)), 9).otherwise(12).alias("list_count"), (s % 43 != 0).alias("succeeded"),
+        F.when(s % 47 == 0, n + 2).when(s % 53 == 0, 1).when((n < 10) | (s % 5 == 0), n + 1).alias("next_page"), (s % 59 != 0).alias("pagination_detected"),
+        F.when(s % 61 == 0, 1).otherwise(0).alias("detail_failures"), F.when(s % 67 == 0, 1).otherwise(0).alias("error_count"),
     )
 
 
-_RUNS = """p AS (SELECT run, page, list_count, s % 11 <> 0 AS succeeded, CASE WHEN page < 10 OR s % 5 = 0 THEN page + 1 END AS next_page, s % 3 <> 0 AS detected, s % 13 = 0 AS detail_bad, s % 17 = 0 AS bad FROM (
-    SELECT event_id // 120 AS run, event_id // 12 % 10 + 1 AS page, count(*) FILTER (user_id % 40 <> 0) AS list_count, CAST(sum(user_id) AS BIGINT) AS s FROM events GROUP BY 1, 2)),
-  l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY run ORDER BY page DESC) = 1),
-  a AS (SELECT run, count(*) AS attempted, count(*) FILTER (succeeded) AS succeeded_n, CAST(sum(list_count) AS BIGINT) AS items_seen, count(*) FILTER (detail_bad) AS details, count(*) FILTER (bad) AS errors FROM p GROUP BY run),
-  r AS (SELECT a.*, l.*, CASE WHEN list_count < 12 AND next_page IS NOT NULL THEN 'pagination-conflict' WHEN succeeded AND list_count = 12 AND NOT detected THEN 'pagination-missing'
-    WHEN attempted = 10 AND next_page IS NOT NULL THEN 'max-pages' WHEN NOT succeeded THEN 'page-failure' WHEN list_count < 12 THEN 'short-page' ELSE 'last-page' END AS stop_reason FROM a JOIN l USING (run)),
-  v AS (SELECT *, succeeded AND next_page IS NULL AND (list_count < 12 OR detected) AND succeeded_n = attempted AND stop_reason NOT IN ('pagination-conflict', 'pagination-missing', 'max-pages') AND errors = 0 AND details = 0 AS is_complete FROM r)"""
+_CHAIN = """p AS (SELECT run, page, CASE WHEN s % 41 = 0 OR (page = 10 AND s % 2 = 0) THEN 9 ELSE 12 END AS list_count, s % 43 <> 0 AS good,
+    CASE WHEN s % 47 = 0 THEN page + 2 WHEN s % 53 = 0 THEN 1 WHEN page < 10 OR s % 5 = 0 THEN page + 1 END AS next_page, s % 59 <> 0 AS detected, s % 61 = 0 AS detail_bad, s % 67 = 0 AS bad FROM (
+    SELECT event_id // 120 AS run, event_id // 12 % 10 + 1 AS page, CAST(sum(user_id) AS BIGINT) AS s FROM events GROUP BY 1, 2) WHERE s % 37 <> 0),
+  f AS (SELECT *, coalesce(next_page > page + 1, FALSE) AS skips, good AND NOT coalesce(next_page > page + 1, FALSE) AS succeeded FROM p),
+  g AS (SELECT *, CASE WHEN succeeded AND list_count >= 12 AND detected THEN next_page END AS follows FROM f),
+  w AS (SELECT run, page, 0 AS step FROM g WHERE page = 1 UNION ALL SELECT g.run, h.page, w.step + 1 FROM w JOIN g ON g.run = w.run AND g.page = w.page JOIN g h ON h.run = g.run AND h.page = g.follows WHERE w.step < 20),
+  c AS (SELECT g.*, m.step FROM g LEFT JOIN (SELECT run, page, CAST(min(step) AS BIGINT) AS step FROM w GROUP BY ALL) m USING (run, page))"""
+_RUNS = f"""{_CHAIN},
+  l AS (SELECT run, page AS last_page, list_count, succeeded AS last_ok, next_page, detected, follows, step FROM c WHERE step < 10 QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1),
+  a AS (SELECT run, count(*) AS attempted, count(*) FILTER (succeeded) AS succeeded_n, count(*) FILTER (step < 10) AS followed, CAST(sum(list_count) AS BIGINT) AS items_seen, count(*) FILTER (detail_bad) AS details,
+    count(*) FILTER (bad OR skips) AS errors FROM c GROUP BY run),
+  r AS (SELECT *, CASE WHEN last_page IS NULL THEN 1 WHEN step < 9 AND follows > last_page THEN follows END AS missing_page, coalesce(step < 9 AND follows <= last_page, FALSE) AS loops FROM a LEFT JOIN l USING (run)),
+  t AS (SELECT *, CASE WHEN missing_page IS NOT NULL THEN 'page-missing' WHEN loops THEN 'page-loop' WHEN list_count < 12 AND next_page IS NOT NULL AND last_ok THEN 'pagination-conflict'
+    WHEN last_ok AND list_count = 12 AND NOT detected THEN 'pagination-missing' WHEN step = 9 AND next_page IS NOT NULL THEN 'max-pages' WHEN NOT last_ok THEN 'page-failure' WHEN list_count < 12 THEN 'short-page' ELSE 'last-page' END AS stop_reason FROM r),
+  d AS (SELECT run, count(*) AS repeated FROM (SELECT event_id // 120 AS run FROM events WHERE event_id % 113 = 0 OR event_id % 119 = 0 GROUP BY event_id // 120, CASE WHEN event_id % 113 = 0 THEN 113 ELSE 119 END HAVING count(*) > 1) GROUP BY 1),
+  v AS (SELECT *, coalesce(stop_reason IN ('short-page', 'last-page') AND last_ok AND next_page IS NULL AND succeeded_n = attempted AND followed = attempted AND errors = 0 AND details = 0 AND repeated IS NULL, FALSE) AS is_complete FROM t LEFT JOIN d USING (run))"""
+
+
+@register(f"WITH RECURSIVE {_CHAIN} SELECT run, page, step, follows, succeeded FROM c")
+def page_chain(spark, sf_dir):
+    return runs.followed(_pages(spark, sf_dir), ["run"], 12).select("run", "page", "step", "follows", "succeeded")
 
 
 def _verdicts(spark, sf_dir):
-    return runs.verdict(runs.last_page(_pages(spark, sf_dir), ["run"]), 12, 10)
+    k = F.col("event_id")
+    keys = _t(spark, sf_dir, "events").select(F.expr("event_id div 120").alias("run"), F.when(k % 113 == 0, "a").when(k % 119 == 0, "b").otherwise(k.cast("string")).alias("source_item_key"))
+    return runs.verdict(runs.chains(_pages(spark, sf_dir), ["run"], 12, 10), 12, runs.repeated_keys(keys, ["run"]))
 
 
-@register(f"WITH {_RUNS} SELECT run, attempted AS pages_attempted, succeeded_n AS pages_succeeded, items_seen, stop_reason FROM v")
+@register(f"WITH RECURSIVE {_RUNS} SELECT run, attempted AS pages_attempted, succeeded_n AS pages_succeeded, followed AS pages_followed, missing_page, loops, items_seen, stop_reason FROM v")
 def stop_reason(spark, sf_dir):
-    return _verdicts(spark, sf_dir).select("run", "pages_attempted", "pages_succeeded", "items_seen", "stop_reason")
+    return _verdicts(spark, sf_dir).select("run", "pages_attempted", "pages_succeeded", "pages_followed", "missing_page", "loops", "items_seen", "stop_reason")
 
 
-@register(f"WITH {_RUNS} SELECT run, is_complete AS is_complete_snapshot, CASE WHEN is_complete THEN 'success' WHEN succeeded_n > 0 THEN 'partial' ELSE 'failed' END AS status FROM v")
+@register(f"WITH RECURSIVE {_RUNS} SELECT run, is_complete AS is_complete_snapshot, coalesce(repeated, 0) AS repeated_keys, CASE WHEN is_complete THEN 'success' WHEN succeeded_n > 0 THEN 'partial' ELSE 'failed' END AS status FROM v")
 def run_status(spark, sf_dir):
-    return _verdicts(spark, sf_dir).select("run", "is_complete_snapshot", "status")
+    return _verdicts(spark, sf_dir).select("run", "is_complete_snapshot", "repeated_keys", "status")
 
 
 @register("""SELECT event_id // 12 AS page, count(*) AS items, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(user_id) AS BIGINT) AS users,

@@ -127,7 +127,9 @@ def pagination(html: str | None, page: int) -> dict:
     if current is not None and current != page:
         return {"detected": True, "current": current, "next_page": None, "error": f"expected page {page}, found {current}"}
     linked = {int(m[1]) for n in bar.walk() if n.tag == "a" and (m := re.search(r"[?&]pageNo=(\d+)", n.attrs.get("href", "")))}
-    return {"detected": True, "current": current, "next_page": min((x for x in linked if x > page), default=None), "error": None}
+    following = min((x for x in linked if x > page), default=None)
+    skip = f"pagination skips from page {page} to page {following}" if following not in (None, page + 1) else None
+    return {"detected": True, "current": current, "next_page": following, "error": skip}
 
 
 def _map(pages: DataFrame, column: str, name: str, kind: str, function) -> DataFrame:
@@ -150,11 +152,11 @@ def with_cards(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def page_rows(pages: DataFrame, page: str = "page", column: str = "html") -> DataFrame:
-    """A row per list page for operators.runs.last_page(): the page's columns but the HTML, list_count, next_page,
+    """A row per list page for operators.runs.chains(): the page's columns but the HTML, list_count, next_page,
     pagination_detected, succeeded, detail_failures, error_count and error.
 
-    A missing or empty card list, a card without link or title and a page number other than the page's own are
-    errors; a page with an error did not succeed, so its run proves no complete snapshot. Its good cards still count.
+    A missing or empty card list, a card without link or title, a page number other than the page's own and a next page
+    further on than the following one are errors; a page with an error did not succeed, so its run proves no complete snapshot. Its good cards still count.
     """
     keep = [c for c in pages.columns if c != column]
     both = pages.withColumn("_in", F.struct(F.col(column).alias("html"), F.col(page).cast("int").alias("page"))).drop(column)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kalends import schemas
-from kalends.operators import derive, merge, quality, runs, serve
+from kalends.operators import derive, merge, normalize, quality, runs, serve
 from kalends.streaming.upserts import merge_stream
 
 NOW, LATER = dt.datetime(2026, 8, 1), dt.datetime(2026, 8, 2)
@@ -74,9 +74,54 @@ PAGE = "run int, page int, list_count int, succeeded boolean, next_page int, pag
 ])
 def test_verdict(spark, pages, reason, status):
     df = spark.createDataFrame([(1, n + 1, c, ok, nxt, seen, 0, 0 if ok else 1) for n, (c, ok, nxt, seen) in enumerate(pages)], PAGE)
-    got = runs.verdict(runs.last_page(df, ["run"]), 12, 3).first()
-    want = "page-failure" if reason == "page-failure" and pages[-1][0] == 0 and not pages[-1][1] else reason
-    assert (got["stop_reason"], got["status"], got["is_complete_snapshot"]) == (want, status, status == "success")
+    got = verdict(df, 3)[1]
+    assert (got["stop_reason"], got["status"], got["is_complete_snapshot"]) == (reason, status, status == "success")
+
+
+def verdict(pages, most=500, repeated=None):
+    return {r["run"]: r for r in runs.verdict(runs.chains(pages, ["run"], 12, most), 12, repeated).collect()}
+
+
+def test_faulty_chains_are_no_snapshots(spark):
+    """run 1 is whole; the others lack a page, skip one, lead back, begin late, hold a page that nothing links, or repeat one that failed."""
+    chains = {
+        1: [(1, 2), (2, 3), (3, 4), (4, None)], 2: [(1, 2), (2, 3), (4, None)], 3: [(1, 2), (2, 3), (3, 4), (4, 5), (5, 8), (8, None)], 4: [(1, 2), (2, 3), (3, 2), (4, None)],
+        5: [(2, 3), (3, None)], 6: [(1, 2), (2, None), (7, None)], 7: [(1, 1)], 8: [(n, n + 1 if n < 40 else None) for n in range(1, 41)],
+    }
+    df = spark.createDataFrame([(r, p, 12, True, n, True, 0, 0) for r, c in chains.items() for p, n in c], PAGE)
+    got = verdict(df)
+    assert {r: (g["stop_reason"], g["missing_page"], g["loops"], g["pages_followed"], g["pages_unreached"], g["is_complete_snapshot"]) for r, g in got.items()} == {
+        1: ("last-page", None, False, 4, 0, True), 2: ("page-missing", 3, False, 2, 1, False), 3: ("page-failure", None, False, 5, 1, False), 4: ("page-loop", None, True, 3, 1, False),
+        5: ("page-missing", 1, False, 0, 2, False), 6: ("last-page", None, False, 2, 1, False), 7: ("page-loop", None, True, 1, 0, False), 8: ("last-page", None, False, 40, 0, True),
+    }
+    assert verdict(df, 39)[8]["stop_reason"] == "max-pages" and got[3]["pages_skipping"] == 1
+    again = df.where("run = 1").withColumn("attempt", F.lit(1)).unionByName(spark.createDataFrame([(1, 3, 12, False, None, False, 0, 1, 0)], f"{PAGE}, attempt int"))
+    assert verdict(again)[1]["status"] == "success" and verdict(again.withColumn("attempt", -F.col("attempt")))[1]["stop_reason"] == "page-failure"
+    steps = {(r["run"], r["page"]): r["step"] for r in runs.followed(df, ["run"], 12).collect()}
+    assert all(steps[8, n] == n - 1 for n in range(1, 41)) and steps[2, 4] is None and steps[4, 4] is None
+
+
+def test_details_dates_slots_and_repeated_keys_reach_the_verdict(spark):
+    pages = spark.createDataFrame([(r, 1, 3, True, None, True, 0, 0) for r in range(7)], PAGE)
+    items = spark.createDataFrame(
+        [(r, 1, f"EXP_{r}", False, f"u{r}", None) for r in range(6)] + [(6, 1, None, True, "out", "invalid date"), (0, 1, None, True, "out", None)],
+        "run int, page int, source_event_id string, is_external boolean, detail_url string, parse_error string",
+    )
+    day = dt.date(2026, 8, 1)
+    found = spark.createDataFrame([(f"EXP_{r}", "bad fields" if r == 2 else None, [None] if r == 3 else [day] * (4 if r == 4 else 1)) for r in (0, 2, 3, 4, 5)], "resource_id string, parse_error string, active_dates array<date>")
+    answers = spark.createDataFrame([("EXP_0", day, []), ("EXP_5", day, ["no answer"])], "resource_id string, day date, errors array<string>")
+    issues = normalize.issues(items, found, ["run"], answers, 3)
+    assert rows(issues, "run", "phase", "identifier", "message") == [
+        (1, "detail", "EXP_1", "no detail"), (2, "detail", "EXP_2", "bad fields"), (3, "dates", "EXP_3", "invalid active date"), (4, "dates", "EXP_4", "4 active dates, more than 3"),
+        (5, "slots", "EXP_5", "2026-08-01: no answer"), (6, "list", "out", "invalid date"),
+    ]
+    got = verdict(runs.with_issues(pages, issues, ["run"]))
+    assert {r: (g["is_complete_snapshot"], g["detail_failure_count"], g["error_count"], g["status"]) for r, g in got.items()} == {
+        0: (True, 0, 0, "success"), 1: (False, 1, 1, "partial"), 2: (False, 1, 1, "partial"), 3: (False, 0, 1, "partial"), 4: (False, 0, 1, "partial"), 5: (False, 0, 1, "partial"), 6: (False, 0, 1, "failed"),
+    }
+    keys = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (1, "a"), (2, None), (2, None)], "run int, source_item_key string")
+    got = verdict(pages, repeated=runs.repeated_keys(keys, ["run"]))
+    assert [got[r]["is_complete_snapshot"] for r in (0, 1, 2)] == [True, False, True]
 
 
 def ledger(spark, **change):

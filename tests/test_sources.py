@@ -84,13 +84,14 @@ def test_normalized_events(spark):
 
 def test_broken_pages_prove_no_snapshot(spark):
     no_title = LIST.replace("별 보는 밤", " ")
-    rows = [(1, 5, LIST), (2, 5, no_title), (3, 5, "<p>busy</p>"), (4, 5, '<ul class="img-board"></ul>'), (5, 1, LIST), (6, 5, None)]
+    rows = [(1, 5, LIST), (2, 5, no_title), (3, 5, "<p>busy</p>"), (4, 5, '<ul class="img-board"></ul>'), (5, 1, LIST), (6, 5, None), (7, 5, LIST.replace("pageNo=6", "x=6"))]
     got = {r["run"]: r for r in html.page_rows(spark.createDataFrame(rows, "run int, page int, html string")).collect()}
-    assert [(got[k]["list_count"], got[k]["error"]) for k in range(1, 7)] == [
+    assert [(got[k]["list_count"], got[k]["error"]) for k in range(1, 8)] == [
         (2, None), (1, "card 2 has no title"), (0, "no card list"), (0, "empty card list"), (2, "expected page 1, found 5"), (0, "no card list"),
+        (2, "pagination skips from page 5 to page 8"),
     ]
-    pages = html.page_rows(spark.createDataFrame([(1, 5, LIST.split("<nav")[0]), (2, 5, no_title.split("<nav")[0]), (2, 4, LIST.replace("active", "active2"))], "run int, page int, html string"))
-    verdicts = {r["run"]: (r["status"], r["is_complete_snapshot"]) for r in runs.verdict(runs.last_page(pages, ["run"]), 12, 9).collect()}
+    pages = html.page_rows(spark.createDataFrame([(1, 1, LIST.split("<nav")[0]), (2, 1, no_title.split("<nav")[0]), (2, 2, LIST.split("<nav")[0])], "run int, page int, html string"))
+    verdicts = {r["run"]: (r["status"], r["is_complete_snapshot"]) for r in runs.verdict(runs.chains(pages, ["run"], 12, 9), 12).collect()}
     assert verdicts == {1: ("success", True), 2: ("partial", False)}
 
 
