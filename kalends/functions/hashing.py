@@ -33,14 +33,20 @@ def content_hash(df: DataFrame, fields: list[str]) -> Column:
     return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
 
 
+def _json(df: DataFrame, fields: list[str]) -> Column:
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.to_json(F.struct(*(stable(F.col(c), kinds[c]).alias(c) for c in fields)), {"ignoreNullFields": "false"})
+
+
 def event_hash(events: DataFrame, occurrences: DataFrame, key: str = "source_item_key") -> DataFrame:
     """events with content_hash over all schemas.HASHED columns and their occurrences, sorted by id in code point order.
 
-    Only an event's own occurrences are gathered. When rows were read, and the raw payload, don't count.
+    Only an event's own occurrences are gathered, each as its JSON text. When rows were read, and the raw payload, don't count.
     """
-    fields = sorted(schemas.OCCURRENCE_HASHED)
-    one = F.struct(F.col("source_occurrence_id").alias("_order"), F.struct(*fields).alias("o"))
-    lists = occurrences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]).alias("occurrences"))
-    kind = lists.schema["occurrences"].dataType
-    joined = events.join(lists, key, "left").withColumn("occurrences", F.coalesce("occurrences", F.array().cast(kind)))
-    return joined.withColumn("content_hash", content_hash(joined, [*schemas.HASHED, "occurrences"])).drop("occurrences")
+    one = F.struct(F.col("source_occurrence_id").alias("id"), _json(occurrences, sorted(schemas.OCCURRENCE_HASHED)).alias("json"))
+    lists = occurrences.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_list"))
+    joined = events.join(lists, key, "left")
+    inside = F.coalesce(F.array_join(F.transform("_list", lambda x: x["json"]), ","), F.lit(""))
+    head, tail = (_json(joined, [c for c in schemas.HASHED if (c < "occurrences") == first]) for first in (True, False))
+    whole = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"occurrences":['), inside, F.lit("],"), F.substring(tail, 2, 1 << 30))
+    return joined.withColumn("content_hash", F.sha2(whole, 256)).drop("_list")

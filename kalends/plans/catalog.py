@@ -544,9 +544,9 @@ def full_hash(spark, sf_dir):
     return hashing.event_hash(*_graph(spark, sf_dir)).select("source_item_key", "content_hash")
 
 
-def _ingested(spark, sf_dir):
-    """A second batch, of a third of the keys, on a table that the first one, of most keys, has filled."""
-    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENTS.replace("decimal(", "decimal(")).schema}
+def _ingested(spark, sf_dir) -> merge.Ingest:
+    """A second batch, of a third of the keys and up to three rows each, on a table that the first one, of most keys, has filled."""
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENTS).schema}
     number = F.regexp_extract("source_item_key", r"(\d+)$", 1).cast("long")
     batch, children = _graph(spark, sf_dir)
     stored = batch.where(number % 10 != 0).drop("detail_complete").withColumns({"id": number, "source_id": F.lit(1).cast("long"), "last_seen_run_id": F.lit(1).cast("long"), "is_active": F.lit(True), "district": F.lit("d")})
@@ -555,36 +555,64 @@ def _ingested(spark, sf_dir):
     first = F.col("source_occurrence_id").rlike(":[1-3]:")
     lines = children.where(first).withColumns({"event_id": number, "id": F.monotonically_increasing_id()}).where(number % 10 != 0)
     lines = lines.select(*((F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()))
-    new, more = _graph(spark, sf_dir, more=1)
+    times = F.array_compact(F.array(F.lit(1), F.when(number % 2 == 0, 2), F.when(number % 9 == 0, 3)))
+    p, line = F.col("pos"), F.split("source_occurrence_id", ":")[1].cast("int")
+    new = batch.where(number % 3 == 0).withColumn("pos", F.explode(times))
+    late = ((p == 1) & (number % 7 == 0)) | ((p == 2) & (number % 11 == 0)) | ((p == 3) & (number % 13 == 0))
+    new = new.withColumns({
+        "event_end": F.when(late, F.date_sub("event_start", 1).cast("timestamp")).otherwise(F.col("event_start")), "capacity": F.col("capacity") + p,
+        "detail_complete": F.when(p == 1, number % 5 != 0).when(p == 2, number % 4 == 0).otherwise(number % 5 == 1),
+    })
+    more = children.where(number % 3 == 0).withColumn("pos", F.explode(times)).where((p != 2) | (line <= 4)).withColumn("n", F.explode(F.when(line == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    more = more.withColumns({"capacity": F.col("capacity") + p + 10 * F.col("n"), "reserved_count": F.when(p == 1, F.col("reserved_count")).otherwise(0)})
     at = F.lit("2026-08-01 00:00:00").cast("timestamp")
-    return merge.ingest(stored, lines, new.where(number % 3 == 0), more.where(number % 3 == 0), 1, 2, at, quality.event_rules(), quality.occurrence_rules())
-
-
-_BAD = "(o_orderkey % 7 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6))"
-
-
-@register(f"""WITH x AS (SELECT o_orderkey, o_custkey % 40 AS capacity, o_orderkey % 10 <> 0 AS stored, o_orderkey % 3 = 0 AS given, {_BAD} AS bad, o_orderkey % 5 <> 0 AS complete FROM orders)
-  SELECT 'ORD_' || o_orderkey AS source_item_key, CAST(CASE WHEN given AND NOT bad AND (complete OR NOT stored) THEN capacity + 1 ELSE capacity END AS INTEGER) AS capacity, CASE WHEN stored THEN 'd' END AS district,
-    CAST(CASE WHEN given THEN 2 ELSE 1 END AS BIGINT) AS last_seen_run_id, CASE WHEN given AND NOT bad THEN CASE WHEN NOT stored THEN 'insert' WHEN complete THEN 'update' ELSE 'touch' END ELSE 'keep' END AS action,
-    CASE WHEN stored THEN o_orderkey END AS old_id FROM x WHERE stored OR (given AND NOT bad)""")
+    return merge.ingest(stored, lines, new, more, 1, 2, at, quality.event_rules(), quality.occurrence_rules())
+
+
+# Row by row: s is the state after the i-th row of a key.
+_REPLAY = f"""WITH RECURSIVE six AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 6),
+  k AS (SELECT o_orderkey AS k, o_custkey % 40 AS capacity, o_orderkey % 10 <> 0 AS stored FROM orders WHERE o_orderkey % 3 = 0),
+  r AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos) AS i, CASE pos WHEN 1 THEN k % 5 <> 0 WHEN 2 THEN k % 4 = 0 ELSE k % 5 = 1 END AS complete,
+      (CASE pos WHEN 1 THEN k % 7 = 0 WHEN 2 THEN k % 11 = 0 ELSE k % 13 = 0 END) AS late, pos = 1 AND k IN (SELECT l_orderkey FROM six) AS bad_child
+    FROM k, (VALUES (1), (2), (3)) p(pos) WHERE pos = 1 OR (pos = 2 AND k % 2 = 0) OR (pos = 3 AND k % 9 = 0)),
+  s AS (SELECT k, CAST(0 AS BIGINT) AS i, 0 AS pos, stored AS there, 0 AS applied, '' AS outcome FROM k UNION ALL
+    SELECT r.k, r.i, r.pos, s.there OR NOT (r.late OR r.bad_child), CASE WHEN r.late OR r.bad_child OR (s.there AND NOT r.complete) THEN s.applied ELSE r.pos END,
+      CASE WHEN s.there AND NOT r.complete THEN 'touched' WHEN r.late OR r.bad_child THEN 'failed' WHEN s.there THEN 'updated' ELSE 'inserted' END
+    FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1),
+  e AS (SELECT k, arg_max(there, i) AS there, arg_max(applied, i) AS applied FROM s GROUP BY k),
+  o AS (SELECT s.k, s.pos, l.id, n, q + s.pos + 10 * n AS capacity FROM s JOIN {_LINES_OF} l ON l_orderkey = s.k AND (s.pos <> 2 OR l_linenumber <= 4), (VALUES (1), (2)) t(n) WHERE outcome IN ('inserted', 'updated') AND (n = 1 OR l_linenumber = 1)),
+  old AS (SELECT id, q FROM {_LINES_OF} WHERE l_linenumber <= 3 AND l_orderkey % 10 <> 0)"""
+
+
+@register(f"""{_REPLAY} SELECT 'ORD_' || o_orderkey AS source_item_key, CAST(CASE WHEN applied > 0 THEN o_custkey % 40 + applied ELSE o_custkey % 40 END AS INTEGER) AS capacity, CASE WHEN o_orderkey % 10 <> 0 THEN 'd' END AS district,
+    CAST(CASE WHEN k IS NOT NULL THEN 2 ELSE 1 END AS BIGINT) AS last_seen_run_id, CASE WHEN k IS NULL THEN 'keep' WHEN o_orderkey % 10 = 0 THEN 'insert' WHEN applied > 0 THEN 'update' ELSE 'touch' END AS action,
+    CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey END AS old_id FROM orders LEFT JOIN e ON k = o_orderkey WHERE o_orderkey % 10 <> 0 OR there""")
 def event_graph(spark, sf_dir):
-    after, _, _ = _ingested(spark, sf_dir)
+    after = _ingested(spark, sf_dir).events
     return after.select("source_item_key", "capacity", "district", "last_seen_run_id", "action", F.when(F.col("action") != "insert", F.col("id")).alias("old_id"))
 
 
-@register(f"""WITH l AS (SELECT *, l_linenumber <= 3 AND l_orderkey % 10 <> 0 AS stored, l_orderkey % 3 = 0 AND NOT (l_orderkey % 7 = 0 OR l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6)) AS given
-    FROM {_LINES_OF} WHERE l_orderkey IN (SELECT o_orderkey FROM orders) OR (l_linenumber <= 3 AND l_orderkey % 10 <> 0))
-  SELECT id AS source_occurrence_id, q AS capacity, CASE WHEN NOT stored THEN 'insert' WHEN given THEN 'update' ELSE 'keep' END AS action FROM l WHERE stored OR given""")
+@register(f"""{_REPLAY}, given AS (SELECT id, arg_max(capacity, 10 * pos + n) AS capacity FROM o GROUP BY id)
+  SELECT id AS source_occurrence_id, CAST(coalesce(given.capacity, q) AS INTEGER) AS capacity, CASE WHEN q IS NULL THEN 'insert' WHEN given.capacity IS NULL THEN 'keep' ELSE 'update' END AS action FROM old FULL JOIN given USING (id)""")
 def occurrence_graph(spark, sf_dir):
-    _, lines, _ = _ingested(spark, sf_dir)
-    return lines.select("source_occurrence_id", "capacity", "action")
+    return _ingested(spark, sf_dir).occurrences.select("source_occurrence_id", "capacity", "action")
 
 
-@register("""SELECT 'ORD_' || o_orderkey AS source_item_key, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'event_order' END, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6) THEN 'reserved_count_sign' END) AS violations
-  FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 7 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6))""")
+@register(f"""{_REPLAY} SELECT 'ORD_' || s.k AS source_item_key, s.pos, concat_ws(',', CASE WHEN late THEN 'event_order' END, CASE WHEN bad_child THEN 'reserved_count_sign' END) AS violations FROM s JOIN r ON s.k = r.k AND s.i = r.i WHERE outcome = 'failed'""")
 def rejected_events(spark, sf_dir):
-    _, _, rejected = _ingested(spark, sf_dir)
-    return rejected.select("source_item_key", F.array_join("violations", ",").alias("violations"))
+    return _ingested(spark, sf_dir).rejected.select("source_item_key", "pos", F.array_join("violations", ",").alias("violations"))
+
+
+@register(f"{_REPLAY} SELECT 'ORD_' || k AS source_item_key, pos, outcome FROM s WHERE pos > 0")
+def event_outcomes(spark, sf_dir):
+    return _ingested(spark, sf_dir).outcomes.drop("violations")
+
+
+@register(f"""{_REPLAY}, f AS (SELECT id, min(pos) AS first FROM o GROUP BY id), x AS (SELECT count(*) FILTER (o.pos = first AND id NOT IN (SELECT id FROM old)) AS new, count(*) AS n FROM o JOIN f USING (id))
+  SELECT (SELECT new FROM x) AS occurrences_inserted, (SELECT n - new FROM x) AS occurrences_updated, count(*) AS fetched, count(*) FILTER (outcome <> 'failed') AS persisted, count(*) FILTER (outcome = 'inserted') AS events_inserted,
+    count(*) FILTER (outcome IN ('updated', 'touched')) AS events_updated, count(*) FILTER (outcome = 'failed') AS failed FROM s WHERE pos > 0""")
+def ingest_counts(spark, sf_dir):
+    return _ingested(spark, sf_dir).counts
 
 
 @register("""WITH b AS (SELECT s_name AS name, s_suppkey AS id, CAST(s_suppkey % 4 AS INTEGER) AS error_count, s_suppkey % 3 > 0 AS is_active FROM supplier WHERE s_suppkey % 5 <> 0), d AS (SELECT s_name AS name, s_nationkey AS n FROM supplier WHERE s_suppkey % 2 = 0)

@@ -30,14 +30,6 @@ def test_last_complete_row_wins_else_the_first(spark):
     assert rows(merge.last_wins(batch, ["k"], "ord"), "k", "v") == [(1, "c"), (2, "y")]
 
 
-def test_an_event_falls_with_its_occurrences(spark):
-    events = spark.createDataFrame([("a",), ("b",), (None,)], "source_item_key string")
-    kids = spark.createDataFrame([("a", LATER, NOW), ("b", NOW, LATER)], "source_item_key string, start_at timestamp, end_at timestamp")
-    valid, kept, rejected = merge.event_graph(events, kids, {"key": F.col("source_item_key").isNotNull()}, {"order": F.col("end_at") >= F.col("start_at")})
-    assert rows(valid, "source_item_key") == [("b",)] and rows(kept, "source_item_key") == [("b",)]
-    assert sorted((r[0] or "", r[1]) for r in rejected.collect()) == [("", ["key"]), ("a", ["order"])]
-
-
 def test_touch_changes_tracking_alone(spark):
     e = spark.createDataFrame([("a", "t", None, None, False, NOW), ("b", "u", None, None, False, NOW)], "source_item_key string, title string, last_seen_at timestamp, last_seen_run_id long, is_active boolean, updated_at timestamp")
     got = merge.touch(e, spark.createDataFrame([("a",), ("a",), ("z",)], "source_item_key string"), ["source_item_key"], 7, F.lit(LATER))
@@ -259,15 +251,103 @@ def test_ingest_twice_changes_nothing_more(spark):
             kids = kids.withColumn(c, F.lit(None).cast(t))
     hashes = []
     for run, more in enumerate([{}, {}, {"title": "other"}, {"title": "part", "detail_complete": False}, {"title": None}], 1):
-        after, children, rejected = merge.ingest(events, lines, batch(**more), kids, 5, run, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
-        events, lines = spark.createDataFrame(after.drop("action").collect(), events.schema), spark.createDataFrame(children.drop("action").collect(), lines.schema)
+        got = merge.ingest(events, lines, batch(**more), kids, 5, run, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
+        events, lines = spark.createDataFrame(got.events.drop("action").collect(), events.schema), spark.createDataFrame(got.occurrences.drop("action").collect(), lines.schema)
         r = events.first()
-        hashes.append((r["title"], r["content_hash"], r["last_seen_run_id"], rejected.count()))
+        hashes.append((r["title"], r["content_hash"], r["last_seen_run_id"], got.rejected.count()))
         assert (events.count(), lines.count(), r["id"], lines.agg(F.min("event_id"), F.max("event_id")).first()[:]) == (1, 2, 1, (1, 1))
     assert [(h[0], h[2], h[3]) for h in hashes] == [("t", 1, 0), ("t", 2, 0), ("other", 3, 0), ("other", 4, 0), ("other", 5, 1)]
     assert hashes[0][1] == hashes[1][1] != hashes[2][1] == hashes[3][1] == hashes[4][1]
 
 
+EVENT_KINDS = schemas.EVENT_CONTENT | {"source_item_key": "string", "detail_complete": "boolean", "pos": "int"}
+CHILD_KINDS = {c: t for c, t in schemas.OCCURRENCE_CONTENT.items() if c not in ("collected_at", "updated_at")} | {"source_item_key": "string", "source_occurrence_id": "string", "pos": "int", "n": "int"}
+
+
+def given(spark, kinds, data):
+    """Rows of these columns, others null."""
+    names = list(data[0]) if data else []
+    df = spark.createDataFrame([tuple(d.values()) for d in data], ", ".join(f"{n} {kinds[n]}" for n in names)) if data else spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in kinds.items()))
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+
+
+def stored_tables(spark, events, lines):
+    """Stored tables from {key: (id, title)} and {(event_id, occurrence id): capacity}."""
+    kinds = dict(c.split(" ", 1) for c in schemas.EVENTS.split(", "))
+    e = given(spark, kinds, [{"id": i, "source_id": 5, "source_item_key": k, "title": t, "is_active": False} for k, (i, t) in events.items()])
+    kinds = dict(c.split(" ", 1) for c in schemas.OCCURRENCES.split(", "))
+    return e, given(spark, kinds, [{"id": n, "event_id": i, "source_occurrence_id": o, "capacity": c} for n, ((i, o), c) in enumerate(lines.items(), 1)])
+
+
+def replay(events, lines, batch, kids):
+    """Row by row, as a reader stores events: {key: title}, {(key, occurrence): capacity}, keys seen, outcomes."""
+    titles, held, seen, out = {k: t for k, (_, t) in events.items()}, {}, set(), {}
+    of = {i: k for k, (i, _) in events.items()}
+    held = {(of[i], o): c for (i, o), c in lines.items()}
+    for r in sorted(batch, key=lambda r: r["pos"]):
+        k, own = r["source_item_key"], [c for c in kids if (c["source_item_key"], c["pos"]) == (r["source_item_key"], r["pos"])]
+        if not r["detail_complete"] and k in titles:
+            out[k, r["pos"]] = "touched"
+        elif k is None or r["title"] is None or any((c["capacity"] or 0) < 0 for c in own):
+            out[k, r["pos"]] = "failed"
+        else:
+            out[k, r["pos"]] = "updated" if k in titles else "inserted"
+            titles[k] = r["title"]
+            held |= {(k, c["source_occurrence_id"]): c["capacity"] for c in sorted(own, key=lambda c: c["n"])}
+        if k in titles:
+            seen.add(k)
+    return titles, held, seen, out
+
+
+def test_a_batch_is_replayed_row_by_row(spark):
+    import random
+
+    rnd = random.Random(4)
+    events = {f"k{i}": (i + 1, f"old{i}") for i in range(40)}
+    lines = {(i + 1, f"o{j}"): 100 + j for i in range(40) for j in range(i % 3)}
+    batch, kids = [], []
+    for pos in range(400):
+        k = rnd.choice([f"k{rnd.randrange(120)}", "k7", "k111", None if pos % 50 == 0 else "k3"])
+        batch.append({"source_item_key": k, "title": None if rnd.random() < 0.3 else f"t{pos}", "source_url": "u", "detail_complete": rnd.choice([True, False, None]), "pos": pos})
+        for n in range(rnd.randrange(4)):
+            c = {"source_item_key": k, "source_occurrence_id": f"o{rnd.randrange(3)}", "start_at": NOW, "end_at": NOW, "capacity": -1 if rnd.random() < 0.1 else 10 * pos + n, "pos": pos, "n": n}
+            kids.append(c)
+    titles, held, seen, out = replay(events, lines, batch, kids)
+    e, o = stored_tables(spark, events, lines)
+    got = merge.ingest(e, o, given(spark, EVENT_KINDS, batch), given(spark, CHILD_KINDS, kids), 5, 9, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
+    after = got.events.collect()
+    assert {r["source_item_key"]: r["title"] for r in after} == titles and len(after) == len(titles)
+    assert {r["source_item_key"] for r in after if r["last_seen_run_id"] == 9} == seen and all(r["is_active"] == (r["source_item_key"] in seen) for r in after)
+    ids = {r["id"]: r["source_item_key"] for r in after}
+    assert sorted(ids) == list(range(1, len(after) + 1)) and all(ids[i] == k for k, (i, _) in events.items())
+    children = got.occurrences.collect()
+    assert {(ids[r["event_id"]], r["source_occurrence_id"]): r["capacity"] for r in children} == held and len(children) == len(held) and sorted(r["id"] for r in children) == list(range(1, len(held) + 1))
+    assert {(r["source_item_key"], r["pos"]): r["outcome"] for r in got.outcomes.collect()} == out
+    counts = got.counts.first()
+    kinds = list(out.values())
+    assert (counts["fetched"], counts["failed"], counts["events_inserted"], counts["events_updated"]) == (400, kinds.count("failed"), kinds.count("inserted"), kinds.count("updated") + kinds.count("touched"))
+    assert counts["persisted"] == 400 - kinds.count("failed") and got.rejected.count() == kinds.count("failed")
+    stored_now = {(r["source_item_key"], r["pos"]) for r in batch if out[r["source_item_key"], r["pos"]] in ("inserted", "updated")}
+    assert counts["occurrences_inserted"] + counts["occurrences_updated"] == sum((c["source_item_key"], c["pos"]) in stored_now for c in kids)
+
+
+def test_an_incomplete_row_of_a_stored_event_brings_no_occurrences(spark):
+    e, o = stored_tables(spark, {"a": (1, "t")}, {(1, "x"): 1})
+    batch = [{"source_item_key": "a", "title": "n", "source_url": "u", "detail_complete": False, "pos": 0}]
+    kids = [{"source_item_key": "a", "source_occurrence_id": i, "start_at": NOW, "end_at": NOW, "capacity": 9, "pos": 0, "n": 0} for i in "xy"]
+    got = merge.ingest(e, o, given(spark, EVENT_KINDS, batch), given(spark, CHILD_KINDS, kids), 5, 2, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
+    assert rows(got.occurrences, "source_occurrence_id", "capacity", "action") == [("x", 1, "keep")] and rows(got.events, "title", "action", "last_seen_run_id") == [("t", "touch", 2)]
+
+
+def test_a_valid_row_outlives_a_later_invalid_one_and_the_last_repeated_child_counts(spark):
+    e, o = stored_tables(spark, {}, {})
+    batch = [{"source_item_key": "a", "title": t, "source_url": "u", "detail_complete": True, "pos": n} for n, t in enumerate(["good", None])]
+    kids = [{"source_item_key": "a", "source_occurrence_id": "x", "start_at": NOW, "end_at": NOW, "capacity": c, "pos": 0, "n": c} for c in (1, 2)]
+    got = merge.ingest(e, o, given(spark, EVENT_KINDS, batch), given(spark, CHILD_KINDS, kids), 5, 2, F.lit(LATER), quality.event_rules(), quality.occurrence_rules())
+    assert rows(got.events, "title", "action") == [("good", "insert")] and rows(got.occurrences, "id", "capacity") == [(1, 2)]
+    assert rows(got.rejected, "pos", "violations") == [(1, ["title_present"])] and got.counts.first()["occurrences_inserted"] == 2
+
+
 def test_sources_keep_their_counters(spark):
     given = spark.createDataFrame([("a", "x", "site"), ("b", "y", "site")], "name string, base_url string, source_type string")
     stored = spark.createDataFrame([(4, "a", "old", 3, False)], "id long, name string, base_url string, error_count int, is_active boolean")
