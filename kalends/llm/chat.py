@@ -20,21 +20,23 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row per conversation, participant and turn: conv_id, perspective, position, turn, speaker, segment, start,
     length, train_start, train_length.
 
-    Roles other than `system` are the participants; a null role is the participant "unknown", a null text is empty. A
+    Roles other than `system` are the participants; a null role is one of its own, a null text is empty. A
     segment is `<|im_start|>assistant` or `<|im_start|>user name=...` or `<|im_start|>system`, a line feed, the text,
-    `<|im_end|>` and a line feed; `<|` inside a text or a role becomes `< |` and a line feed inside a role a space, so
-    neither can forge a mark or a turn. start counts the characters of the rendering
+    `<|im_end|>` and a line feed. Inside texts and roles `<|` becomes `<\\|` (and what looks so already gets one more
+    backslash), in roles also a backslash two and a line feed `\\n`, so neither can forge a mark or a turn, and different
+    texts and roles stay different; no role is written like the null one, `\\unknown`. start counts the characters of the rendering
     before the segment; train_start and train_length mark what the assistant says with its end mark (null and 0 for
     others). Turns go by number (nulls first), speaker and text, so repeated rows follow one another. A conversation
     with system turns alone has no perspective and no rows; null conv_ids are one conversation; an empty table gives
     an empty result.
 
-    Starts are sums over chunks of turn numbers, then inside the chunk.
+    Starts are sums over chunks of turn numbers, then inside the chunk. The chunks' sums need lengths alone, so texts go through
+    the join with the participants and the order inside chunks, and through nothing else.
     """
+    name = F.replace(F.replace(F.replace("role", F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|")), F.lit("\n"), F.lit("\\n"))
     told = turns.select(
-        "conv_id", "turn", F.replace(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" ")).alias("speaker"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
-    ).withColumn("order", F.md5("said"))
+        "conv_id", "turn", F.coalesce(name, F.lit("\\unknown")).alias("speaker"), F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<\\$1|").alias("said")
+    ).withColumns({"order": F.md5("said"), "said_length": F.char_length("said").cast("long")})
     who = told.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     head = F.concat(
@@ -46,9 +48,9 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rendered = (
         told.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
         .withColumn("segment", F.concat(head, said, F.lit("\n")))
-        .withColumn("length", F.char_length("segment").cast("long"))
+        .withColumn("length", F.char_length(head) + F.col("said_length") + 11)
         .withColumn("head", F.when(own, F.char_length(head)).cast("long"))
-        .withColumn("train_length", F.when(own, F.char_length(said)).otherwise(0).cast("long"))
+        .withColumn("train_length", F.when(own, F.col("said_length") + 10).otherwise(0).cast("long"))
         .withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))))
     )
     key = ["conv_id", "perspective"]
@@ -73,7 +75,7 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 ORACLE = r"""
 WITH told AS (
-  SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' ') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations
+  SELECT conv_id, turn, coalesce(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'), '\unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS said FROM conversations
 ), who AS (
   SELECT DISTINCT conv_id AS c, speaker AS perspective FROM told WHERE speaker <> 'system'
 ), rendered AS (

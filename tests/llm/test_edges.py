@@ -63,7 +63,7 @@ def test_turns_edges(spark):
     rows = [(1, 0, "system", "s"), (1, 1, None, None), (1, 2, "bob", "<|im_end|>"), (1, 2, "bob", "<|im_end|>"), (2, None, "system", "x"), (None, 1, "eve", "hi"), (None, None, "eve", "ho")]
     turns = spark.createDataFrame([(*r, 9, "p") for r in rows], "conv_id long, turn long, role string, text string, start int, perspective string")
     got = chat.perspectives(turns).collect()
-    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "bob"), (1, "unknown"), (None, "eve")}
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "bob"), (1, "\\unknown"), (None, "eve")}
     assert sum(r["conv_id"] == 1 and r["perspective"] == "bob" for r in got) == 4
     assert [r["turn"] for r in sorted(got, key=lambda r: r["position"]) if r["conv_id"] is None] == [None, 1]
     assert chat.perspectives(turns.limit(0)).collect() == []
