@@ -8,8 +8,14 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.store import staged
 
 RADIUS_KM = 6371.0088
+#: Segments of a text beyond those that edits can spoil, of which as many, the commonest, aren't filed.
+SPARE = 2
+
 
 def status_at(as_of: Column, opens: Column, closes: Column, starts: Column, ends: Column, closing_days: int = 3) -> Column:
     """Registration first, then the event, from dates alone (so a date is never taken for midnight)."""
@@ -38,29 +44,78 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(longer > 0, 1 - F.levenshtein(a, b) / longer), F.lit(0.0))
 
 
+def similar_texts(texts: DataFrame, block: list[str], text: str, unlike: float) -> DataFrame:
+    """block, x, y: pairs of different texts of a block, x before y, whose edit distance is at most `unlike` times the longer length.
+
+    A segment index. Let k be the most edits that a pair may have, by its longer text. The shorter one is cut into k + 3 segments, of
+    which k edits leave three or more whole; these stand in the longer text at places that the difference of the lengths
+    bounds. So each text files its segments, all but the two that are commonest (a beginning that all titles share, say), under block, lengths
+    and number, and asks for the parts of itself that a shorter text's segments could be. Only texts that meet are measured.
+    Texts of length 0, and null blocks or texts, are like none; where k is 0 only equal texts would be. A longer beginning that
+    very many texts share costs time, not pairs.
+    """
+    if not 0 <= unlike <= 0.25:
+        raise ValueError("unlike must be 0..0.25")
+    own = texts.dropna(subset=[*block, text]).where(F.char_length(text) > 0).select(*block, F.col(text).alias("t")).distinct()
+    own = staged(own.withColumns({"id": F.monotonically_increasing_id(), "n": F.char_length("t")}))
+    edits = lambda n: F.floor(n * unlike + 1e-9).cast("int")
+    key = lambda *more: F.xxhash64(*block, "short", "k", "i", *more)
+    size = lambda: F.floor(F.col("short") / (F.col("k") + 1 + SPARE)).cast("int")
+    # The first segments have `size` characters, the last ones one more.
+    longer = F.col("k") + 1 + SPARE - F.col("short") % (F.col("k") + 1 + SPARE)
+    at = F.col("i") * size() + F.greatest(F.lit(0), F.col("i") - longer)
+    width = size() + (F.col("i") >= longer).cast("int")
+    filed = own.withColumn("short", F.col("n")).withColumn("most", F.floor(F.col("n") / (1 - unlike) + 1e-9).cast("int"))
+    filed = filed.withColumn("k", F.explode(F.sequence(edits(F.col("n")), edits(F.col("most"))))).where("k > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") + SPARE)))
+    filed = filed.select("id", "k", "i", key(F.substring(F.col("t"), at + 1, width)).alias("h"))
+    common = filed.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("id", "k").orderBy(F.desc("times"), "i"))
+    filed = filed.join(common, "h").withColumn("rank", rank).where(F.col("rank") > SPARE).select(F.col("id").alias("a"), "h")
+    asked = own.withColumn("k", edits(F.col("n"))).where("k > 0").withColumn("short", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n"))))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") + SPARE)))
+    gap = F.col("n") - F.col("short")
+    slack = F.floor((F.col("k") - gap) / 2).cast("int")
+    first, last = F.greatest(F.lit(0), at - slack), F.least(F.col("n") - width, at + gap + slack)
+    asked = asked.where(first <= last).withColumn("from", F.explode(F.sequence(first, last)))
+    asked = asked.select(F.col("id").alias("b"), key(F.substring(F.col("t"), F.col("from") + 1, width)).alias("h"))
+    met = filed.join(asked, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (own.select(F.col("id").alias(c), F.struct(*block).alias(f"{c}_block"), F.col("t").alias(f"{c}_t"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    near = met.join(a, "a").join(b, "b").where("a_block = b_block").withColumn("k", edits(F.greatest("a_n", "b_n")))
+    near = near.where(F.expr("levenshtein(a_t, b_t)") <= F.col("k"))
+    return near.select(*(F.col(f"a_block.{c}").alias(c) for c in block), F.least("a_t", "b_t").alias("x"), F.greatest("a_t", "b_t").alias("y"))
+
+
 def duplicate_candidates(df: DataFrame, key: str, title: str, day: str, venue: str, organizer: str, source: str, least: float = 75) -> DataFrame:
-    """Pairs of different sources scored 50 title, 25 same day, 15 same venue, 10 organizer; those of `least` or more.
+    """Pairs of different sources scored 50 title, 25 same day, 15 same venue, 10 organizer; those of `least` (75 or more).
 
-    Rows are compared as far as they can reach it: on the same day, or with title and venue the same. Rows that agree in
-    all but their key are one, named by the least key and with their number, so copies are neither compared nor paired
-    again; a null agrees with nothing. The day's join is the largest: it compares the different texts of a day.
+    Rows that agree in all but their key are one, named by the least key and with their number, so copies are neither
+    compared nor paired again; a null agrees with nothing. Three ways lead to 75: equal titles on one day; titles four fifths
+    alike on one day, which similar_texts() finds; half alike where day and venue agree, compared within those; and without the day, title, venue and organizer
+    all the same. Each different title of a day is compared once, whatever number of rows has it.
     """
+    if least < 75:
+        raise ValueError("least must be 75 or more: pairs below may agree in nothing that can be looked up")
     parts = {"title": title, "day": day, "venue": venue, "organizer": organizer, "source": source}
-    kinds = df.groupBy(*(F.col(c).alias(n) for n, c in parts.items())).agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies"))
-
-    def sides(*block: str) -> tuple[DataFrame, DataFrame]:
-        known = kinds.dropna(subset=list(block))
-        return tuple(known.select(*(F.col(c).alias(f"{s}_{c}") for c in (*parts, "key", "copies")), *block) for s in "ab")
-
-    found = []
-    for block in (["day"], ["title", "venue"]):
-        a, b = sides(*block)
-        found.append(a.join(b, block).drop(*block))
-    pairs = found[0].unionByName(found[1].where(~F.coalesce(F.col("a_day") == F.col("b_day"), F.lit(False))))
-    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)).cast("int")
-    sure = 25 * same("day") + 15 * same("venue")
-    most = 50 - 50 * F.abs(F.char_length("a_title") - F.char_length("b_title")) / F.greatest(F.char_length("a_title"), F.char_length("b_title"), F.lit(1)) + sure + 10
-    pairs = pairs.where((F.col("a_key") < F.col("b_key")) & (F.col("a_source") != F.col("b_source")) & (most >= least))
+    kinds = staged(df.groupBy(*(F.col(c).alias(n) for n, c in parts.items())).agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies")))
+    a, b = (kinds.select(*(F.col(c).alias(f"{s}_{c}") for c in (*parts, "key", "copies"))) for s in "ab")
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
+    other = F.col("a_source") != F.col("b_source")
+    equal = a.join(b, (F.col("a_day") == F.col("b_day")) & (F.col("a_title") == F.col("b_title")) & (F.col("a_key") < F.col("b_key")) & other)
+    elsewhen = a.join(b, (F.col("a_title") == F.col("b_title")) & (F.col("a_venue") == F.col("b_venue")) & (F.col("a_organizer") == F.col("b_organizer")) & (F.col("a_key") < F.col("b_key")) & other)
+
+    def spread(pairs: DataFrame, *block: str) -> DataFrame:
+        """Rows whose titles are a pair's, in either order."""
+        both = pairs.unionByName(pairs.select(*block, F.col("x").alias("y"), F.col("y").alias("x")))
+        left = both.join(a, [both[c] == F.col(f"a_{c}") for c in block] + [F.col("x") == F.col("a_title")]).drop(*block, "x")
+        return left.join(b, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in block] + [(F.col("y") == F.col("b_title")) & (F.col("a_key") < F.col("b_key")) & other]).drop("y")
+
+    near = similar_texts(kinds, ["day"], "title", (85 - least) / 50)
+    there = kinds.dropna(subset=["day", "venue", "title"]).select("day", "venue", "title").distinct()
+    n, m = F.char_length("x"), F.char_length("y")
+    close = there.withColumnRenamed("title", "x").join(there.withColumnRenamed("title", "y"), ["day", "venue"]).where((F.col("x") < F.col("y")) & (F.abs(n - m) * 50 <= F.greatest(n, m) * (100 - least)))
+    close = close.where(F.levenshtein("x", "y") * 50 <= F.greatest(n, m) * (100 - least))
+    pairs = equal.unionByName(elsewhen.where(~same("day"))).unionByName(spread(near, "day").where(~same("venue"))).unionByName(spread(close, "day", "venue"))
+    sure = 25 * same("day").cast("int") + 15 * same("venue").cast("int")
     score = 50 * likeness(F.col("a_title"), F.col("b_title")) + sure + 10 * likeness(F.col("a_organizer"), F.col("b_organizer"))
     scored = pairs.select(F.col("a_key").alias(f"a_{key}"), F.col("b_key").alias(f"b_{key}"), "a_copies", "b_copies", F.round(score, 4).alias("score"))
     return scored.where(F.col("score") >= least).withColumn("verdict", F.when(F.col("score") >= 90, "auto").otherwise("review"))

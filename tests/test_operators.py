@@ -236,6 +236,40 @@ def test_candidates_are_those_of_all_pairs(spark):
     assert got == want and any(v[2] < 90 for v in got.values())
 
 
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+    return d[-1]
+
+
+def test_similar_texts_are_those_of_all_pairs(spark):
+    import random
+
+    rnd = random.Random(7)
+    words = [" ".join(rnd.choices(["night", "of", "stars", "clay", "for", "all", "2026"], k=rnd.randrange(1, 6))) for _ in range(60)] + ["", None, "a", "가나다라 마바사", "가나다라 마바"]
+    for w in words[:60]:
+        t = list(w)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "q"])
+        words.append("".join(t))
+    data = [(n % 65 % 2 if n % 29 else None, w) for n, w in enumerate(words)]
+    want = {(d, *sorted((u, v))) for d, u in data for e, v in data if d == e and d is not None and u and v and u < v and distance(u, v) <= 0.2 * max(len(u), len(v))}
+    got = [tuple(r) for r in derive.similar_texts(spark.createDataFrame(data, "day int, title string"), ["day"], "title", 0.2).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_fifty_thousand_titles_of_one_day(spark):
+    """All begin alike; every tenth has a partner two edits away. What is dealt out grows with the titles, not with their square."""
+    base = spark.range(50_000).select("id", F.concat(F.lit("night "), F.substring(F.base64(F.unhex(F.md5(F.col("id").cast("string")))), 1, 18)).alias("title"), F.lit(1).alias("day"))
+    twins = base.where("id % 10 = 0").select((F.col("id") + 50_000).alias("id"), F.concat("title", F.lit("xy")).alias("title"), "day")
+    found = derive.similar_texts(base.unionByName(twins), ["day"], "title", 0.2)
+    assert found.where("y = concat(x, 'xy')").count() == 5000
+
+
 def test_ingest_twice_changes_nothing_more(spark):
     content = {"title": "t", "source_url": "u", "source_item_key": "a", "detail_complete": True}
     kinds = schemas.EVENT_CONTENT | {"source_item_key": "string", "detail_complete": "boolean"}
