@@ -146,6 +146,54 @@ def nearby(df: DataFrame, lat: str, lon: str, at: tuple[float, float], km: float
     return box.withColumn("km", kilometres(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon))).where(F.col("km") <= km)
 
 
+def nearby_points(points: DataFrame, places: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """The columns of points and of places (other than lat and lon) and km, for each place within km of a point.
+
+    A join on a grid: rows of cells are km high, and each row has as many cells around as keep them km wide where it is narrowest,
+    so cells are alike everywhere and few at the poles. A place is filed under its own cell; a point asks for the cells that its
+    circle touches, in its row and the two beside it, around the date line and over the poles. Then distances are measured. Rows without
+    both coordinates are near nothing. Columns other than lat and lon must have different names.
+    """
+    up = math.degrees(km / RADIUS_KM) * 1.0001
+    row = lambda at: F.floor(at / up).cast("long")
+
+    def cells(r: Column) -> Column:
+        """How many cells a row has around."""
+        widest = F.greatest(F.abs(r * up), F.abs((r + 1) * up))
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(widest, F.lit(90.0)))) / up)).cast("long")
+
+    turned = lambda x: F.pmod(x + 180, F.lit(360.0))
+    filed = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_row", row(F.col(lat)))
+    filed = filed.withColumn("_cell", F.least(cells(F.col("_row")) - 1, F.floor(turned(F.col(lon)) * cells(F.col("_row")) / 360))).withColumnsRenamed({lat: "_lat2", lon: "_lon2"})
+    reach = F.when(F.abs(lat) + up < 90, F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(up)) / F.cos(F.radians(F.col(lat)))))) * 1.0001).otherwise(180.0)
+    asked = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_reach", F.least(reach, F.lit(180.0))).withColumn("_row", F.explode(F.sequence(row(F.col(lat)) - 1, row(F.col(lat)) + 1)))
+    n = cells(F.col("_row"))
+    first, last = (F.floor((turned(F.col(lon)) + d * F.col("_reach")) * n / 360).cast("long") for d in (-1, 1))
+    asked = asked.withColumn("_cell", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, n))))).withColumnsRenamed({lat: "_lat1", lon: "_lon1"})
+    met = asked.join(filed, ["_row", "_cell"]).withColumn("km", kilometres(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2"))).where(F.col("km") <= km)
+    return met.drop("_row", "_cell", "_reach", "_lat1", "_lon1", "_lat2", "_lon2")
+
+
+def running(df: DataFrame, start: str, end: str, by: str) -> DataFrame:
+    """by, day and n: how many rows run on each day, from a group's first day to its last, days without any among them.
+
+    A sweep line: a row adds one on its first day and takes it away behind its last one, and days sum up what came before, by month
+    and then within it. No row is repeated for its days. A row without an end runs on its first day; one that ends before it
+    starts, or has no start or no group, on none.
+    """
+    known = df.where(F.col(by).isNotNull()).select(by, F.col(start).cast("date").alias("a"), F.coalesce(F.col(end).cast("date"), F.col(start).cast("date")).alias("z")).where("a IS NOT NULL AND z >= a")
+    moves = known.select(by, F.explode(F.array(F.struct(F.col("a").alias("day"), F.lit(1).alias("move")), F.struct(F.date_add("z", 1).alias("day"), F.lit(-1).alias("move")))).alias("m"))
+    moves = moves.groupBy(by, "m.day").agg(F.sum("m.move").alias("move")).withColumn("month", F.trunc("day", "month"))
+    months = moves.groupBy(by, "month").agg(F.sum("move").alias("moved"))
+    spans = moves.groupBy(by).agg(F.min("day").alias("from"), F.date_sub(F.max("day"), 1).alias("upto"))
+    days = spans.select(by, F.explode(F.sequence("from", "upto")).alias("day")).withColumn("month", F.trunc("day", "month"))
+    every = days.select(by, "month").distinct().join(months, [by, "month"], "left")
+    before = every.withColumn("before", F.sum(F.coalesce("moved", F.lit(0))).over(Window.partitionBy(by).orderBy("month")) - F.coalesce("moved", F.lit(0))).drop("moved")
+    inside = Window.partitionBy(by, "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    summed = days.join(moves.drop("month"), [by, "day"], "left").withColumn("inside", F.sum(F.coalesce("move", F.lit(0))).over(inside))
+    return summed.join(before, [by, "month"]).select(by, "day", (F.col("before") + F.col("inside")).alias("n"))
+
+
 def day_counts(as_of: Column, opens: Column, closes: Column, starts: Column) -> list[Column]:
     """Days until registration opens and closes and the event starts, and what holds today; null where a date is."""
     return [

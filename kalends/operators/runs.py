@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.store import staged
+from ..sources.store import in_order, staged
 
 MESSAGE_LIMIT = 10_000
 #: Scope of a run to the source codes it covers.
@@ -171,12 +171,30 @@ def finished(runs: DataFrame, outcome: DataFrame) -> DataFrame:
     return out.select(*map(value, runs.columns))
 
 
-def failure_streaks(runs: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Adds error_count: failures in a row up to each run; a success sets it to zero."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    island = runs.withColumn("_bad", failed).withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
-    run = Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("error_count", F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(run)).drop("_bad", "_island")
+def failure_streaks(runs: DataFrame, key: str, order: list[str], failed: Column, per_slice: int = 200_000) -> DataFrame:
+    """Adds error_count: failures in a row up to each run; a success sets it to zero.
+
+    A segmented scan: runs are cut into slices in order of key and time, each counts by itself and says how many failures it ends
+    with and whether it is nothing else; slices of a key then combine in order, and a slice's runs before its first success add what
+    comes in from before. So no key's runs are ordered in one place, however many it has.
+    """
+    slices = in_order(runs.withColumn("_bad", F.coalesce(failed, F.lit(False))), [key, *order], per_slice)
+    bad = F.col("_bad").cast("long")
+    own = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    islands = slices.withColumn("_island", F.sum(1 - bad).over(own))
+    island = Window.partitionBy(key, "_slice", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = islands.withColumn("_inside", F.sum(bad).over(island))
+    ends = slices.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum(bad).alias("_failed"), F.max(F.when(~F.col("_bad"), F.struct(*order))).alias("_success"))
+    after = slices.join(ends.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_success"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
+    tails = after.where("_bad AND _success IS NOT NULL").where(F.struct(*order) > F.col("_success")).groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_tail"))
+    whole = ends.join(tails, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")), "left").drop("_k", "_s")
+    whole = whole.withColumns({"_all": F.col("_success").isNull(), "_tail": F.when(F.col("_success").isNull(), F.col("_failed")).otherwise(F.coalesce("_tail", F.lit(0)))})
+    along = Window.partitionBy(key).orderBy("_slice")
+    whole = whole.withColumn("_group", F.sum((~F.col("_all")).cast("long")).over(along))
+    whole = whole.withColumn("_upto", F.sum("_tail").over(Window.partitionBy(key, "_group").orderBy("_slice")))
+    carry = whole.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.coalesce(F.lag("_upto").over(along), F.lit(0)).alias("_carry"))
+    out = inside.join(carry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
+    return out.select(*runs.columns, (F.col("_inside") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).alias("error_count"))
 
 
 def scope_codes(scope: Column) -> Column:

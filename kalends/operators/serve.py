@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..sources.store import in_order
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 
@@ -15,13 +16,48 @@ def active(df: DataFrame, flag: str = "is_active") -> DataFrame:
     return df.where(F.col(flag).eqNullSafe(True))
 
 
-def page(df: DataFrame, start: str, key: str, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    """Rows by start, those without one last, then by key: Spark keeps offset + limit rows per task, no full sort."""
+def _check(limit: int, offset: int) -> None:
     if not 1 <= limit <= MAX_LIMIT or offset < 0:
         raise ValueError("limit must be 1..100 and offset 0 or more")
+
+
+def page(df: DataFrame, start: str, key: str, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """Rows by start, those without one last, then by key: Spark keeps offset + limit rows per task, no full sort.
+
+    For pages far down see RankIndex.
+    """
+    _check(limit, offset)
     return df.orderBy(F.col(start).asc_nulls_last(), F.col(key).asc()).offset(offset).limit(limit)
 
 
+class RankIndex:
+    """Rows in slices that follow one another in the order of page(), with how many rows each has.
+
+    A page at any depth then reads the one slice, or the few, that hold it and sorts those alone; the driver keeps a number for each
+    slice. Build it once for a table that many pages are read from.
+    """
+
+    def __init__(self, df: DataFrame, start: str, key: str, per_slice: int = 100_000):
+        self.order = [F.col(start).asc_nulls_last(), F.col(key).asc()]
+        self.rows = in_order(df, self.order, per_slice, partition_by=True)
+        self.sizes = sorted((r["_slice"], r["count"]) for r in self.rows.groupBy("_slice").count().collect())
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def page(self, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+        """The rows that page() gives."""
+        _check(limit, offset)
+        before, first, held = 0, None, []
+        for number, n in self.sizes:
+            if before < offset + limit and before + n > offset:
+                first = before if first is None else first
+                held.append(number)
+            before += n
+        return self.rows.where(F.col("_slice").isin(held)).drop("_slice").orderBy(*self.order).offset(offset - (first or 0)).limit(limit)
+
+
 def envelope(df: DataFrame, start: str, key: str, limit: int = DEFAULT_LIMIT, offset: int = 0) -> dict:
     """items, total, limit and offset of a page, ready for JSON."""
     items = [r.asDict(recursive=True) for r in page(df, start, key, limit, offset).collect()]

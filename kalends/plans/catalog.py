@@ -54,6 +54,13 @@ def active_page(spark, sf_dir):
     return serve.page(serve.active(_listed(spark, sf_dir)), "start_at", "o_orderkey", 20, 40).select("o_orderkey", "start_at", "o_totalprice")
 
 
+@register(f"""WITH {_LISTED} SELECT o_orderkey, start_at, o_totalprice FROM listed WHERE is_active IS TRUE
+  QUALIFY row_number() OVER (ORDER BY start_at ASC NULLS LAST, o_orderkey) - 1 - 9 * count(*) OVER () // 10 BETWEEN 0 AND 19""")
+def deep_page(spark, sf_dir):
+    index = serve.RankIndex(serve.active(_listed(spark, sf_dir)), "start_at", "o_orderkey", 2000)
+    return index.page(20, 9 * index.total // 10).select("o_orderkey", "start_at", "o_totalprice")
+
+
 @register(f"WITH {_LISTED} SELECT count(o_orderkey) AS total FROM listed WHERE is_active IS TRUE")
 def active_count(spark, sf_dir):
     return serve.active(_listed(spark, sf_dir)).agg(F.count("o_orderkey").alias("total"))
@@ -763,6 +770,29 @@ def nearby(spark, sf_dir):
     return derive.nearby(c, "lat", "lon", (35.5, 129.3), 10).select("c_custkey", F.round("km", 6).alias("km"))
 
 
+@register("""WITH s AS (SELECT s_suppkey, 34.9 + s_suppkey % 97 / 90.0 AS la, CASE WHEN s_suppkey % 2 = 0 THEN 179.95 ELSE 129.2 END + s_suppkey % 7 / 100.0 AS lo FROM supplier),
+  c AS (SELECT c_custkey, 35.0 + c_custkey % 100 / 100.0 AS lb, CASE WHEN c_custkey % 2 = 0 THEN -180.0 ELSE 129.0 END + c_custkey % 61 / 100.0 AS lm FROM customer),
+  d AS (SELECT s_suppkey, c_custkey, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lm - lo) / 2), 2))) AS km FROM s JOIN c ON abs(la - lb) < 0.1)
+  SELECT s_suppkey, count(*) FILTER (km <= 3) AS within_3, count(*) FILTER (km <= 5) AS within_5, count(*) AS within_10, round(min(km), 6) AS nearest FROM d WHERE km <= 10 GROUP BY 1""")
+def nearby_counts(spark, sf_dir):
+    """Places near the points of a table, in three distances, also across the date line."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    points = _t(spark, sf_dir, "supplier").select("s_suppkey", (34.9 + k % 97 / 90.0).alias("lat"), (F.when(k % 2 == 0, 179.95).otherwise(129.2) + k % 7 / 100.0).alias("lon"))
+    places = _t(spark, sf_dir, "customer").select("c_custkey", (35.0 + c % 100 / 100.0).alias("lat"), (F.when(c % 2 == 0, -180.0).otherwise(129.0) + c % 61 / 100.0).alias("lon"))
+    near = derive.nearby_points(points, places, "lat", "lon", 10)
+    within = [F.count_if(F.col("km") <= d).alias(f"within_{d}") for d in (3, 5, 10)]
+    return near.groupBy("s_suppkey").agg(*within, F.round(F.min("km"), 6).alias("nearest"))
+
+
+@register("""WITH r AS (SELECT o_orderpriority AS district, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 2 AS INTEGER) AS z FROM orders), s AS (SELECT district, min(a) AS lo, max(z) AS hi FROM r WHERE z >= a GROUP BY 1),
+  d AS (SELECT district, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s)
+  SELECT d.district, CAST(d.day AS VARCHAR) AS day, (SELECT count(*) FROM r WHERE r.district = d.district AND r.a <= d.day AND r.z >= d.day) AS n FROM d""")
+def running_per_day(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("district"), day.alias("starts"), F.date_add(day, (F.col("o_orderkey") % 40 - 2).cast("int")).alias("ends"))
+    return derive.running(o, "starts", "ends", "district").withColumn("day", F.col("day").cast("string"))
+
+
 @register(f"""SELECT o_orderkey, CAST(o - a AS INTEGER) AS days_to_open, CAST(o + 30 - a AS INTEGER) AS days_to_close, CAST(o + 40 - a AS INTEGER) AS days_to_start, o = a AS opens_today, o + 30 = a AS closes_today,
   dayofweek(o + 40) IN (0, 6) AS on_weekend FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o, DATE '{_AS_OF}' AS a FROM orders)""")
 def day_counts(spark, sf_dir):

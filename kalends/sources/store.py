@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _files(spark: SparkSession, path: str):
@@ -80,7 +81,7 @@ def forget(spark: SparkSession, path: str) -> None:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table in the folder that the session names in spark.checkpoint.dir: computed once, safe when executors go.
 
     Only in local mode may the setting be missing, as then driver and executors share a temporary folder.
@@ -93,5 +94,12 @@ def staged(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="kalends-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def in_order(df: DataFrame, order: list, per_slice: int, name: str = "_slice", partition_by: bool = False) -> DataFrame:
+    """df staged with the number of its slice: slices hold about per_slice rows and follow one another in order. Equal rows share one."""
+    df = df if partition_by else staged(df)
+    n = max(1, -(-df.count() // per_slice))
+    return staged(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), (name,) if partition_by else ())

@@ -156,6 +156,63 @@ def test_failure_streak_and_messages(spark):
     assert [r[0] for r in got] == ["success", "partial", "failed"]
 
 
+@pytest.mark.parametrize("per_slice", [7, 200_000])
+def test_streaks_across_slices(spark, per_slice):
+    """One source has most runs; some have nothing but failures over many slices."""
+    import random
+
+    rnd = random.Random(3)
+    data = [(rnd.choice([1, 1, 1, 1, 2, None]), n, n < 60 or rnd.random() < 0.8) for n in range(400)] + [(9, n, True) for n in range(50)]
+    want, at = {}, {}
+    for s, n, bad in data:
+        at[s] = at.get(s, 0) + 1 if bad else 0
+        want[s, n] = at[s]
+    rnd.shuffle(data)
+    got = runs.failure_streaks(spark.createDataFrame(data, "s int, n int, bad boolean"), "s", ["n"], F.col("bad"), per_slice).collect()
+    assert {(r["s"], r["n"]): r["error_count"] for r in got} == want and len(got) == len(want)
+
+
+def test_a_deep_page_reads_one_slice(spark):
+    df = spark.range(10_000).select("id", F.when(F.col("id") % 5 > 0, F.expr("timestamp_seconds(id * 7919 % 3001)")).alias("at"))
+    index = serve.RankIndex(df, "at", "id", 500)
+    assert index.total == 10_000 and len(index.sizes) >= 15
+    for limit, offset in ((20, 9000), (100, 0), (37, index.sizes[0][1] - 10), (100, 9950), (10, 10_000)):
+        assert index.page(limit, offset).collect() == serve.page(df, "at", "id", limit, offset).collect()
+    files = {r[0] for r in index.page(20, index.sizes[0][1] + 5).select(F.input_file_name()).distinct().collect()}
+    assert len(files) <= 1 or all("_slice=1/" in f for f in files)
+    assert serve.RankIndex(df.limit(0), "at", "id").page(5, 0).collect() == []
+
+
+@pytest.mark.parametrize("km", [3, 5, 10])
+def test_places_near_many_points(spark, km):
+    import math
+    import random
+
+    rnd = random.Random(km)
+    places = []
+    for n in range(600):
+        lat, lon = rnd.choice([(35.5, 129.3), (0.0, 180.0), (89.97, 0.0), (-89.99, 50.0), (70.0, -180.0)])
+        lat, lon = max(-90.0, min(90.0, lat + rnd.uniform(-0.2, 0.2))), (lon + rnd.uniform(-0.4, 0.4) if abs(lat) < 80 else rnd.uniform(-180, 180))
+        places.append((n, lat, (lon + 180) % 360 - 180))
+    points = [(n, a, b) for n, a, b in places[::5]] + [(900, 90.0, 0.0), (901, -90.0, 77.0), (902, None, 1.0), (903, 0.0, -180.0), (904, 0.0, 180.0)]
+
+    def apart(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * derive.RADIUS_KM * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {(p, q) for p, a, b in points if a is not None for q, c, d in places if apart(a, b, c, d) <= km}
+    frames = [spark.createDataFrame(rows_, f"{name} int, lat double, lon double") for rows_, name in ((points, "p"), (places, "q"))]
+    got = [(r["p"], r["q"]) for r in derive.nearby_points(*frames, "lat", "lon", km).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
+def test_what_runs_each_day(spark):
+    d = dt.date
+    data = [("a", d(2026, 1, 30), d(2026, 2, 2)), ("a", d(2026, 2, 2), None), ("a", d(2026, 3, 5), d(2026, 3, 5)), ("b", d(2026, 5, 1), d(2026, 4, 1)), ("b", None, d(2026, 4, 1)), (None, d(2026, 1, 1), d(2026, 1, 1))]
+    got = {(r["g"], r["day"]): r["n"] for r in derive.running(spark.createDataFrame(data, "g string, s date, e date"), "s", "e", "g").collect()}
+    assert len(got) == 36 - 1 and {k[1]: n for k, n in got.items() if n} == {d(2026, 1, 30): 1, d(2026, 1, 31): 1, d(2026, 2, 1): 1, d(2026, 2, 2): 2, d(2026, 3, 5): 1}
+
+
 def test_pages_and_samples(spark):
     df = spark.createDataFrame([(1, None, True, "x"), (2, LATER, True, "x"), (3, NOW, True, "y"), (4, NOW, None, "y"), (5, NOW, False, "z")], "id int, at timestamp, is_active boolean, kind string")
     shown = serve.envelope(serve.active(df), "at", "id", 2, 1)
