@@ -304,12 +304,87 @@ def cadence(runs: DataFrame, key: str, at: str, expected_hours: float = 24.0) ->
     return got.withColumn("mean_hours", hours).withColumn("late", F.col("mean_hours") > expected_hours)
 
 
-def dashboard(before: DataFrame, after: DataFrame, key: list[str], digest: str, by: str) -> DataFrame:
-    """Per group: how many rows are new, changed (another digest), gone or the same between two states."""
-    b, a = (df.select(*key, F.col(by).alias(f"{n}_by"), F.col(digest).alias(f"{n}_digest")) for df, n in ((before, "b"), (after, "a")))
-    kind = F.when(F.col("b_by").isNull(), "new").when(F.col("a_by").isNull(), "gone").when(F.col("a_digest").eqNullSafe(F.col("b_digest")), "same").otherwise("changed")
-    joined = b.join(a, key, "full").select(F.coalesce("a_by", "b_by").alias(by), kind.alias("kind"))
-    return joined.groupBy(by).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "changed", "gone", "same")))
+class Snapshot:
+    """A state of a table for dashboard(): rows in buckets by key, and for each bucket and group how many there are and sums of their hashes.
+
+    Sums don't depend on order, so two states of a bucket are told apart without reading a row. Build it when a version is written.
+    """
+
+    def __init__(self, df: DataFrame, key: list[str], digest: str, by: str, buckets: int = 64):
+        self.key, self.by, self.buckets = key, by, buckets
+        rows = df.select(*key, F.col(by).alias("by"), F.col(digest).alias("digest"), F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket"))
+        self.rows = staged(rows.repartition("bucket"), ("bucket",))
+        # Halves of two hashes: each sum fits a long for two thousand million rows.
+        hashes = [F.xxhash64(*key, "digest", "by", F.lit(salt)) for salt in (1, 2)]
+        halves = [f(h) for h in hashes for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
+        self.digests = staged(self.rows.groupBy("bucket", "by").agg(F.count(F.lit(1)).alias("n"), *(F.sum(h).alias(f"h{i}") for i, h in enumerate(halves))))
+
+    def changed(self, other: Snapshot) -> list[int]:
+        """Buckets in which the states differ, `buckets` at most."""
+        both = self.digests.unionByName(other.digests)
+        same = both.groupBy(*both.columns).count().where("count % 2 = 1")
+        return [r[0] for r in same.select("bucket").distinct().collect()]
+
+
+def dashboard(before: Snapshot, after: Snapshot) -> DataFrame:
+    """Per group: how many rows are new, changed (another digest), gone or the same between two states.
+
+    Only buckets that differ are read and joined; the rows of the others are the same, and their digests say how many they are.
+    """
+    if (before.key, before.by, before.buckets) != (after.key, after.by, after.buckets):
+        raise ValueError("states of one table must be cut alike")
+    differ = F.col("bucket").isin(before.changed(after))
+    b, a = (s.rows.where(differ).select(*s.key, F.struct("by", "digest").alias(n)) for s, n in ((before, "b"), (after, "a")))
+    kind = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.col("a.digest").eqNullSafe(F.col("b.digest")), "same").otherwise("changed")
+    joined = b.join(a, before.key, "full").select(F.when(F.col("a").isNotNull(), F.col("a.by")).otherwise(F.col("b.by")).alias("by"), kind.alias("kind"))
+    counted = joined.groupBy("by").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "changed", "gone", "same")))
+    kept = after.digests.where(~differ).select("by", *(F.lit(0).cast("long").alias(k) for k in ("new", "changed", "gone")), F.col("n").alias("same"))
+    whole = counted.unionByName(kept).groupBy("by").agg(*(F.sum(k).alias(k) for k in ("new", "changed", "gone", "same")))
+    return whole.withColumnRenamed("by", before.by)
+
+
+def admin_totals(events: DataFrame, runs: DataFrame, candidates: DataFrame, as_of: Column) -> DataFrame:
+    """One row for a day: events collected on it, events that ended before it, runs that failed on it, and pairs that may be duplicates.
+
+    events: collected_at, event_start_date, event_end_date; runs: finished_at, status; candidates: duplicate_candidates().
+    """
+    over = F.coalesce("event_end_date", "event_start_date") < as_of
+    one = events.agg(F.count_if(F.to_date("collected_at") == as_of).alias("collected"), F.count_if(over).alias("ended"))
+    two = runs.agg(F.count_if((F.to_date("finished_at") == as_of) & (F.col("status") == "failed")).alias("failed_runs"))
+    three = candidates.agg(F.count_if(F.col("verdict") == "auto").alias("duplicates"), F.count_if(F.col("verdict") == "review").alias("to_review"))
+    numbered = [d.withColumn("_", F.lit(0)) for d in (one, two, three)]  # a row each
+    return numbered[0].join(numbered[1], "_").join(numbered[2], "_").drop("_")
+
+
+def health(status: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
+    """Adds health to source_status() rows: 오류 if nothing succeeded within so many days, 경고 after a failure, else 정상."""
+    stale = F.coalesce(F.datediff(as_of, F.to_date("last_success_at")) > days, F.lit(True))
+    return status.withColumn("health", F.when(stale, "오류").when(F.col("error_count") > 0, "경고").otherwise("정상"))
+
+
+#: Fixed value: the category of what no rule tells.
+OTHER = "기타"
+
+
+def categories(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """key and category of each key: that of the longest rule whose words stand in the text in a row, else OTHER.
+
+    rules: pattern (words with single spaces), category, priority. Of rules with equally many words the one with more characters
+    counts, then the lesser priority, then the lesser category. Words are runs of other characters than ASCII white space, compared as they are. Each
+    run of words as long as some rule is looked up, so cost doesn't grow with the number of rules. Rows that share a key are
+    one; null texts and patterns match nothing.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
+    known = rules.where(F.trim("pattern") != "").withColumn("n", F.size(F.split("pattern", " ")))
+    sizes = sorted(r[0] for r in known.select("n").distinct().collect())  # as many as the longest rule has words
+    cut = texts.select(F.col(key).alias("key"), words.alias("w"))
+    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
+    runs_ = F.flatten(F.array_compact(F.array(*map(gram, sizes)))) if sizes else F.array().cast("array<string>")
+    found = cut.select("key", F.explode(F.array_distinct(runs_)).alias("pattern"))
+    hits = found.join(known, "pattern")
+    best = hits.groupBy("key").agg(F.min_by("category", F.struct(-F.col("n"), -F.char_length("pattern"), "priority", "category")).alias("category"))
+    keys = texts.select(F.col(key).alias("key")).distinct()
+    return keys.join(best, keys["key"].eqNullSafe(best["key"]), "left").select(keys["key"].alias(key), F.coalesce("category", F.lit(OTHER)).alias("category"))
 
 
 def stale_days(as_of: Column, verified: Column, limit: int = 7) -> list[Column]:

@@ -752,12 +752,15 @@ def slot_answers(spark, sf_dir):
     return got.select("resource_id", F.col("day").cast("string").alias("day"), "slots", "good", F.array_join("errors", ",").alias("errors"))
 
 
-@register("""WITH e AS (SELECT p_name AS title, p_size AS day, p_type AS venue, p_brand AS organizer, p_partkey % 3 AS source, min(p_partkey) AS k, count(*) AS copies FROM part GROUP BY ALL),
+_DUPLICATES = """WITH e AS (SELECT p_name AS title, p_size AS day, p_type AS venue, p_brand AS organizer, p_partkey % 3 AS source, min(p_partkey) AS k, count(*) AS copies FROM part GROUP BY ALL),
   p AS (SELECT a.k AS a_p_partkey, b.k AS b_p_partkey, a.copies AS a_copies, b.copies AS b_copies, a.title AS x, b.title AS y, a.organizer AS u, b.organizer AS v, a.day = b.day AS d, a.venue = b.venue AS w
     FROM e a JOIN e b ON a.k < b.k AND a.source <> b.source AND (a.day = b.day OR (a.title = b.title AND a.venue = b.venue))),
   s AS (SELECT a_p_partkey, b_p_partkey, a_copies, b_copies, round(50 * (1 - levenshtein(x, y) / greatest(length(x), length(y))) + CASE WHEN d THEN 25 ELSE 0 END + CASE WHEN w THEN 15 ELSE 0 END
     + 10 * (1 - levenshtein(u, v) / greatest(length(u), length(v))), 4) AS score FROM p)
-  SELECT *, CASE WHEN score >= 90 THEN 'auto' ELSE 'review' END AS verdict FROM s WHERE score >= 75""")
+  SELECT *, CASE WHEN score >= 90 THEN 'auto' ELSE 'review' END AS verdict FROM s WHERE score >= 75"""
+
+
+@register(_DUPLICATES)
 def dup_score(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_brand", (F.col("p_partkey") % 3).alias("source"))
     return derive.duplicate_candidates(p, "p_partkey", "p_name", "p_size", "p_type", "p_brand", "source")
@@ -839,7 +842,45 @@ def run_cadence(spark, sf_dir):
 def change_dashboard(spark, sf_dir):
     before = _base(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 2 < 1).alias("digest"))
     after = _delta(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 3 < 1).alias("digest"))
-    return derive.dashboard(before, after, ["o_orderkey"], "digest", "grp")
+    return derive.dashboard(*(derive.Snapshot(df, ["o_orderkey"], "digest", "grp") for df in (before, after)))
+
+
+@register(f"""WITH e AS (SELECT count(*) FILTER (CAST(o_orderdate AS DATE) = DATE '{_AS_OF}') AS collected, count(*) FILTER (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) < DATE '{_AS_OF}') AS ended FROM orders),
+  r AS (SELECT count(*) AS failed_runs FROM events WHERE event_type = 'error' AND CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)), d AS ({_DUPLICATES})
+  SELECT collected, ended, failed_runs, (SELECT count(*) FROM d WHERE verdict = 'auto') AS duplicates, (SELECT count(*) FROM d WHERE verdict = 'review') AS to_review FROM e, r""")
+def dashboard_totals(spark, sf_dir):
+    day, first = F.col("o_orderdate").cast("date"), _t(spark, sf_dir, "events").agg(F.min("ts").cast("date")).first()[0]
+    stored = _t(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("collected_at"), day.alias("event_start_date"), F.date_add(day, (F.col("o_orderkey") % 30).cast("int")).alias("event_end_date"))
+    shift = F.datediff(F.lit(_AS_OF).cast("date"), F.lit(first))
+    ledger = _t(spark, sf_dir, "events").select(F.date_add(F.col("ts").cast("date"), shift).alias("finished_at"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    return derive.admin_totals(stored, ledger, dup_score(spark, sf_dir), F.lit(_AS_OF).cast("date"))
+
+
+@register("""WITH s AS (SELECT user_id, max(ts) FILTER (event_type <> 'error') AS ok, arg_max(event_type, ts) = 'error' AS bad, max(ts) AS last FROM (SELECT user_id, ts, max(event_type) FILTER (event_type = 'error') AS event_type FROM events GROUP BY ALL
+    HAVING count(*) = count(event_type) FILTER (event_type = 'error') UNION ALL SELECT user_id, ts, 'ok' FROM events WHERE event_type <> 'error') GROUP BY 1), m AS (SELECT CAST(max(ts) AS DATE) AS today FROM events)
+  SELECT user_id, CASE WHEN ok IS NULL OR today - CAST(ok AS DATE) > 2 THEN '오류' WHEN bad THEN '경고' ELSE '정상' END AS health FROM s, m""")
+def source_health(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.every(F.col("event_type") == "error").alias("bad")).withColumn("said", F.lit("failed"))
+    today = e.agg(F.max("ts").cast("date")).first()[0]
+    status = runs.source_status(e, "user_id", "ts", "ts", F.col("bad"), "said")
+    return derive.health(status, F.lit(today)).select("user_id", "health")
+
+
+@register(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+  g AS (SELECT DISTINCT doc_id, word AS pattern FROM t UNION SELECT DISTINCT a.doc_id, a.word || ' ' || b.word FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+    UNION SELECT DISTINCT a.doc_id, a.word || ' ' || b.word || ' ' || c.word FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN t c ON a.doc_id = c.doc_id AND c.i = a.i + 2),
+  r AS (SELECT pattern, category, priority, n FROM (SELECT w[1] AS pattern, source AS category, doc_id AS priority, 1 AS n FROM w JOIN documents USING (doc_id) WHERE len(w) > 0
+    UNION ALL SELECT w[1] || ' ' || w[2], lang, doc_id, 2 FROM w JOIN documents USING (doc_id) WHERE len(w) > 1 UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3], source || lang, doc_id, 3 FROM w JOIN documents USING (doc_id) WHERE len(w) > 2 AND doc_id % 3 = 0)),
+  h AS (SELECT g.doc_id, category FROM g JOIN r USING (pattern) QUALIFY row_number() OVER (PARTITION BY g.doc_id ORDER BY n DESC, length(pattern) DESC, priority, category) = 1)
+  SELECT doc_id, coalesce(category, '기타') AS category FROM documents LEFT JOIN h USING (doc_id)""")
+def categories(spark, sf_dir):
+    """Rules by the first words of texts: as many as three for each document."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    w = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
+    firsts = [(1, F.col("source"), F.lit(True)), (2, F.col("lang"), F.lit(True)), (3, F.concat("source", "lang"), F.col("doc_id") % 3 == 0)]
+    made = F.array_compact(F.array(*(F.when((F.size(w) >= n) & ok, F.struct(F.array_join(F.slice(w, 1, n), " ").alias("pattern"), c.alias("category"))) for n, c, ok in firsts)))
+    rules = d.select(F.explode(made).alias("r"), F.col("doc_id").alias("priority")).select("r.*", "priority")
+    return derive.categories(d, "doc_id", "text", rules)
 
 
 @register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(DATE '{_AS_OF}' - CAST(o_orderdate AS DATE) AS INTEGER) END AS age_days,

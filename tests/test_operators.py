@@ -206,6 +206,25 @@ def test_places_near_many_points(spark, km):
     assert set(got) == want and len(got) == len(want) > 200
 
 
+def test_unchanged_buckets_are_not_read(spark):
+    before = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("d"))
+    after = before.where("id <> 5").withColumn("d", F.when(F.col("id") == 7, "x").otherwise(F.col("d"))).unionByName(spark.range(2000, 2001).select("id", F.lit(2).cast("long").alias("g"), F.lit("n").alias("d")))
+    a, b = (derive.Snapshot(df, ["id"], "d", "g", 64) for df in (before, after))
+    got = derive.dashboard(a, b)
+    assert rows(got, "g", "new", "changed", "gone", "same") == [(0, 0, 0, 0, 334), (1, 0, 1, 0, 332), (2, 1, 0, 1, 332)]
+    assert 1 <= len(a.changed(b)) <= 3 and a.changed(a) == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [bucket") + plan.count("PartitionFilters: [NOT bucket") + plan.count("PartitionFilters: [isnotnull(bucket") >= 2
+    assert rows(derive.dashboard(a, a), "g", "same") == [(0, 334), (1, 333), (2, 333)]
+
+
+def test_longest_rule_wins(spark):
+    rules = spark.createDataFrame([("space", "science", 2), ("space camp", "family", 9), ("camp", "outdoor", 1), ("of space", "x", 5), ("to camp", "y", 4), ("", "none", 0), (None, "none", 0)], "pattern string, category string, priority int")
+    texts = spark.createDataFrame([(1, "a space  camp\nfor all"), (2, "camp in space"), (3, "spaces"), (4, None), (5, "go to camp of space"), (6, "")], "id int, text string")
+    assert rows(derive.categories(texts, "id", "text", rules), "id", "category") == [(1, "family"), (2, "science"), (3, "기타"), (4, "기타"), (5, "x"), (6, "기타")]
+    assert rows(derive.categories(texts, "id", "text", rules.limit(0)), "id", "category") == [(n, "기타") for n in range(1, 7)]
+
+
 def test_what_runs_each_day(spark):
     d = dt.date
     data = [("a", d(2026, 1, 30), d(2026, 2, 2)), ("a", d(2026, 2, 2), None), ("a", d(2026, 3, 5), d(2026, 3, 5)), ("b", d(2026, 5, 1), d(2026, 4, 1)), ("b", None, d(2026, 4, 1)), (None, d(2026, 1, 1), d(2026, 1, 1))]
