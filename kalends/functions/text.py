@@ -38,11 +38,21 @@ def label_values(lines: Column, mark: str = ":") -> Column:
     fine = F.filter(cut, lambda x: (F.size(x) == 2) & (trimmed(F.get(x, F.lit(0))) != "") & (trimmed(F.get(x, F.lit(1))) != ""))
     pairs = F.transform(fine, lambda x: F.struct(trimmed(F.get(x, F.lit(0))).alias("k"), trimmed(F.get(x, F.lit(1))).alias("v")))
 
-    sorted_ = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
-    # After sorting by label and place the last of a label is the one that another label, or nothing, follows.
-    last = F.transform(F.arrays_zip(sorted_.alias("x"), F.slice(sorted_, F.lit(2), F.greatest(F.size(sorted_) - 1, F.lit(0))).alias("after")), lambda z: z)
-    kept = F.filter(last, lambda z: z["x"].isNotNull() & ~F.coalesce(z["x"]["k"] == z["after"]["k"], F.lit(False)))
-    return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["x"]["k"].alias("k"), z["x"]["v"].alias("v"))))
+    sorted_ = F.sort_array(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+
+    def lasts(x: Column) -> Column:
+        """After sorting by label and place the last of a label is the one that another label, or nothing, follows."""
+        after = F.arrays_zip(x.alias("x"), F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))).alias("after"))
+        kept = F.filter(after, lambda z: z["x"].isNotNull() & ~F.coalesce(z["x"]["k"] == z["after"]["k"], F.lit(False)))
+        return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["x"]["k"].alias("k"), z["x"]["v"].alias("v"))))
+
+    # The sorted array is the argument of one lambda, so it is computed once however often it is used.
+    return F.get(F.transform(F.array(sorted_), lasts), F.lit(0))
+
+
+def issue(phase: Column, identifier: Column, message: Column) -> Column:
+    """One line on what went wrong where."""
+    return F.concat(phase, F.lit(" "), identifier, F.lit(": "), message)
 
 
 def plain_integer(c: Column) -> Column:

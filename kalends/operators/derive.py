@@ -17,12 +17,17 @@ RADIUS_KM = 6371.0088
 SPARE = 2
 
 
-def status_at(as_of: Column, opens: Column, closes: Column, starts: Column, ends: Column, closing_days: int = 3) -> Column:
-    """Registration first, then the event, from dates alone (so a date is never taken for midnight)."""
+def status_at(as_of: Column, opens: Column, closes: Column, starts: Column, ends: Column, closing_days: int = 3, onsite: Column | None = None) -> Column:
+    """Registration first, then the event, from dates alone (so a date is never taken for midnight).
+
+    onsite: whether people register at the place: such an event is 현장접수 while it lasts, and waits for its day without a closing date.
+    """
+    here = F.lit(False) if onsite is None else F.coalesce(onsite, F.lit(False))
+    runs = (as_of >= starts) & (as_of <= ends)
     return (
-        F.when(as_of < opens, "접수예정").when((as_of >= opens) & (as_of == closes), "오늘마감")
+        F.when(here & runs, "현장접수").when(as_of < opens, "접수예정").when((as_of >= opens) & (as_of == closes), "오늘마감")
         .when((as_of >= opens) & (as_of < closes) & (F.datediff(closes, as_of) <= closing_days), "마감임박").when((as_of >= opens) & (as_of < closes), "접수중")
-        .when(as_of < starts, F.when(as_of > closes, "접수마감").otherwise("행사예정")).when((as_of >= starts) & (as_of <= ends), "행사중").when(as_of > ends, "종료")
+        .when(as_of < starts, F.when((as_of > closes) & ~here, "접수마감").otherwise("행사예정")).when(runs, "행사중").when(as_of > ends, "종료")
     )
 
 

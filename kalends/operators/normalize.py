@@ -37,20 +37,32 @@ def list_items(cards: DataFrame, hosts: tuple[str, ...], base: str) -> DataFrame
     )
 
 
-def details(pages: DataFrame) -> DataFrame:
-    """Typed details from sources.html.with_details() rows."""
+def details(pages: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
+    """Typed details from sources.html.with_details() rows.
+
+    With a column detail_url, the url that a page was asked for, its resource must be the page's own: another id or another kind is an
+    error, and the detail is known by the url's id, so that it reaches the item that asked.
+    """
+    guard, known_as = F.lit(None).cast("string"), F.col("resource_id")
+    if "detail_url" in pages.columns:
+        kind, asked = url.resource(F.col("detail_url"), hosts)
+        said = F.regexp_extract("resource_id", "^[A-Z]+", 0)
+        guard = F.when(kind == "external", "url of no resource").when(said != kind, F.concat(F.lit("expected a resource of kind "), kind, F.lit(", found "), F.col("resource_id"))).when(
+            asked != F.col("resource_id"), F.concat(F.lit("expected resource "), asked, F.lit(", found "), F.col("resource_id"))
+        )
+        known_as = F.coalesce(asked, F.col("resource_id"))
     d = pages.where("resource_id is not null").withColumn("_r", period.datetime_range(_of("fields", REGISTRATION))).withColumn("_e", period.datetime_range(_of("fields", COURSE)))
     taken, lecture = _of("fields", DETAIL_STATUS), F.col("resource_id").startswith("LEC_")
     number = lambda k: F.when(lecture & taken.rlike(_TAKEN), F.regexp_extract(taken, _TAKEN, k).try_cast("int"))
     fee = _of("fields", *DETAIL_FEES)
     target = F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(text.target_summary(_of("fields", TARGET)), text.target_lines(F.col("description"))))), "\n"), F.lit(""))
     return d.select(
-        "resource_id", "title", "organizer", "description", "address", F.transform("active_dates", lambda x: F.try_to_date(x, "yyyy-MM-dd")).alias("active_dates"),
+        known_as.alias("resource_id"), "title", "organizer", "description", "address", F.transform("active_dates", lambda x: F.try_to_date(x, "yyyy-MM-dd")).alias("active_dates"),
         F.coalesce(_of("fields", PLACE_NAME, PLACE)).alias("venue"), target.alias("target_text"), _of("fields", METHOD).alias("application_method"),
         F.col("_r.start").alias("registration_start"), F.col("_r.end").alias("registration_end"), _of("fields", REGISTRATION).alias("registration_period_text"),
         F.col("_e.start").alias("event_start"), F.col("_e.end").alias("event_end"), _of("fields", COURSE).alias("event_period_text"),
         number(1).alias("reserved_count"), number(2).alias("capacity"), taken.alias("capacity_text"), fee.alias("fee_text"), text.free_value(fee).alias("is_free"),
-        F.coalesce(F.when(~F.col("resource_id").rlike(url.RESOURCE_ID), "invalid resource id"), F.when(F.size("fields") == 0, "no summary fields"), "_r.error", "_e.error").alias("parse_error"),
+        F.coalesce(F.when(~F.col("resource_id").rlike(url.RESOURCE_ID), "invalid resource id"), guard, F.when(F.size("fields") == 0, "no summary fields"), "_r.error", "_e.error").alias("parse_error"),
     )
 
 
@@ -107,7 +119,7 @@ def date_errors(found: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def issues(items: DataFrame, found: DataFrame, key: list[str], answers: DataFrame | None = None, cap: int | None = None) -> DataFrame:
-    """All that went wrong below the list pages, as one relation: key, page, phase, identifier and message.
+    """All that went wrong below the list pages, as one relation: key, page, phase, identifier, message and issue (text.issue of the three).
 
     items: list_items() rows with key and page; found: details() rows; answers: slots_of() rows. phase is `list` for an item that is
     impossible, `detail` for an internal item without a detail or with an impossible one, `dates` for active dates that can't be
@@ -124,7 +136,7 @@ def issues(items: DataFrame, found: DataFrame, key: list[str], answers: DataFram
         bad = answers.select("resource_id", "day", F.explode("errors").alias("error"))
         told = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(": "), "error")
         out = out.unionByName(inside.join(bad, "resource_id").select(*own, F.lit("slots").alias("phase"), F.col("resource_id").alias("identifier"), told.alias("message")))
-    return out
+    return out.withColumn("issue", text.issue(F.col("phase"), F.col("identifier"), F.col("message")))
 
 
 def summary(normalized: DataFrame) -> DataFrame:

@@ -86,6 +86,10 @@ def shown_date(at: Column, day: Column, zone: str = "Asia/Seoul") -> Column:
     return F.coalesce(F.date_format(F.from_utc_timestamp(at, zone), "yyyy. M. d. HH:mm"), F.date_format(day, "yyyy. M. d."), F.lit("일정 미정"))
 
 
+def shown_organizer(organizer: Column) -> Column:
+    return F.coalesce(organizer, F.lit("주최 기관 미정"))
+
+
 def sample(df: DataFrame, nested: str = "children", drop: tuple[str, ...] = ("description",), shown: int = 2) -> DataFrame:
     """What a dry run shows of a row: without long columns, the nested rows as their count and the first few."""
     return df.drop(*drop).withColumns({f"{nested}_count": F.size(nested), nested: F.slice(nested, 1, shown)})

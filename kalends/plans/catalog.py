@@ -83,11 +83,11 @@ def nested_children(spark, sf_dir):
     return nested.select("o_orderkey", "o_orderstatus", shown.alias("lines"), F.size("children").alias("n"))
 
 
-@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 9 HOUR, '%Y. %-m. %-d. %H:%M') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y. %-m. %-d.') ELSE '일정 미정' END AS shown FROM orders""")
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 9 HOUR, '%Y. %-m. %-d. %H:%M') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y. %-m. %-d.') ELSE '일정 미정' END AS shown, CASE WHEN o_custkey % 4 > 0 THEN o_orderpriority ELSE '주최 기관 미정' END AS organizer FROM orders""")
 def card_dates(spark, sf_dir):
     o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
     at, day = F.when(k == 0, F.col("o_orderdate").cast("timestamp")), F.when(k <= 1, F.col("o_orderdate").cast("date"))
-    return o.select("o_orderkey", serve.shown_date(at, day).alias("shown"))
+    return o.select("o_orderkey", serve.shown_date(at, day).alias("shown"), serve.shown_organizer(F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderpriority"))).alias("organizer"))
 
 
 # Merges
@@ -388,7 +388,7 @@ def run_status(spark, sf_dir):
   substr(string_agg(CASE WHEN event_type = 'error' THEN 'page ' || (event_id // 12) || ': ' || event_id END, ' | ' ORDER BY event_id), 1, 10000) AS message FROM events GROUP BY 1""")
 def page_summary(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("page", F.expr("event_id div 12"))
-    e = e.withColumn("issue", F.when(F.col("event_type") == "error", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), F.col("event_id").cast("string"))))
+    e = e.withColumn("issue", F.when(F.col("event_type") == "error", text.issue(F.lit("page"), F.col("page").cast("string"), F.col("event_id").cast("string"))))
     counts = e.groupBy("page").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("user_id").alias("users"))
     return counts.join(runs.first_messages(e, ["page"], "event_id", "issue"), "page", "left")
 
@@ -622,6 +622,14 @@ def ingest_counts(spark, sf_dir):
     return _ingested(spark, sf_dir).counts
 
 
+@register(f"""WITH l AS (SELECT l_orderkey, string_agg(id || '=' || q, ',' ORDER BY day, id) AS occurrences FROM {_LINES_OF} WHERE l_linenumber <= 3 GROUP BY 1)
+  SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, CAST(o_custkey % 40 AS INTEGER) AS capacity, 'd' AS district, coalesce(occurrences, '') AS occurrences FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 10 <> 0""")
+def read_model(spark, sf_dir):
+    tables = _ingested(spark, sf_dir)
+    shown = F.array_join(F.transform("occurrences", lambda x: F.concat_ws("=", x["source_occurrence_id"], x["capacity"].cast("string"))), ",")
+    return serve.read_model(tables.stored, tables.stored_children).select("id", "title", "capacity", "district", shown.alias("occurrences"))
+
+
 @register("""WITH b AS (SELECT s_name AS name, s_suppkey AS id, CAST(s_suppkey % 4 AS INTEGER) AS error_count, s_suppkey % 3 > 0 AS is_active FROM supplier WHERE s_suppkey % 5 <> 0), d AS (SELECT s_name AS name, s_nationkey AS n FROM supplier WHERE s_suppkey % 2 = 0)
   SELECT coalesce(b.name, d.name) AS name, CASE WHEN d.name IS NULL THEN 'old' ELSE 'https://' || n || '.example' END AS base_url, coalesce(b.error_count, 0) AS error_count, CASE WHEN d.name IS NULL THEN b.is_active ELSE TRUE END AS is_active, b.id AS old_id
   FROM b FULL JOIN d ON b.name = d.name""")
@@ -716,12 +724,12 @@ def nested_total(spark, sf_dir):
 _AS_OF = "1996-06-30"
 
 
-@register(f"""SELECT o_orderkey, CASE WHEN a < o THEN '접수예정' WHEN a >= o AND a = c THEN '오늘마감' WHEN a >= o AND a < c AND c - a <= 3 THEN '마감임박' WHEN a >= o AND a < c THEN '접수중'
-  WHEN a < s THEN CASE WHEN a > c THEN '접수마감' ELSE '행사예정' END WHEN a >= s AND a <= e THEN '행사중' WHEN a > e THEN '종료' END AS status
-  FROM (SELECT o_orderkey, DATE '{_AS_OF}' AS a, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + 30 AS c, CAST(o_orderdate AS DATE) + 40 AS s, CAST(o_orderdate AS DATE) + 60 AS e FROM orders)""")
+@register(f"""SELECT o_orderkey, CASE WHEN here AND a >= s AND a <= e THEN '현장접수' WHEN a < o THEN '접수예정' WHEN a >= o AND a = c THEN '오늘마감' WHEN a >= o AND a < c AND c - a <= 3 THEN '마감임박' WHEN a >= o AND a < c THEN '접수중'
+  WHEN a < s THEN CASE WHEN a > c AND NOT here THEN '접수마감' ELSE '행사예정' END WHEN a >= s AND a <= e THEN '행사중' WHEN a > e THEN '종료' END AS status
+  FROM (SELECT o_orderkey, DATE '{_AS_OF}' AS a, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + 30 AS c, CAST(o_orderdate AS DATE) + 40 AS s, CAST(o_orderdate AS DATE) + 60 AS e, o_custkey % 5 = 0 AS here FROM orders)""")
 def status_asof(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
-    status = derive.status_at(F.lit(_AS_OF).cast("date"), day, F.date_add(day, 30), F.date_add(day, 40), F.date_add(day, 60))
+    status = derive.status_at(F.lit(_AS_OF).cast("date"), day, F.date_add(day, 30), F.date_add(day, 40), F.date_add(day, 60), onsite=F.col("o_custkey") % 5 == 0)
     return _t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
 
 

@@ -247,6 +247,8 @@ def test_derived(spark):
     d = lambda n: F.date_add(F.lit(NOW.date()), n)
     got = [spark.range(1).select(derive.status_at(d(n), d(0), d(10), d(20), d(30))).first()[0] for n in (-1, 0, 8, 10, 15, 25, 31)]
     assert got == ["접수예정", "접수중", "마감임박", "오늘마감", "접수마감", "행사중", "종료"]
+    got = [spark.range(1).select(derive.status_at(d(n), F.lit(None).cast("date"), F.lit(None).cast("date"), d(20), d(30), onsite=F.lit(True))).first()[0] for n in (15, 20, 30, 31)]
+    assert got == ["행사예정", "현장접수", "현장접수", "종료"]
     assert spark.range(1).select(derive.kilometres(F.lit(35.0), F.lit(129.0), F.lit(36.0), F.lit(129.0))).first()[0] == pytest.approx(111.195, abs=0.01)
 
 

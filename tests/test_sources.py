@@ -77,6 +77,12 @@ def test_normalized_events(spark):
     assert [tuple(r) for r in normalize.date_errors(found).collect()] == [("LEC_77x", "invalid active date")]
     odd = normalize.details(html.with_details(spark.createDataFrame([(DETAIL.replace("LEC_77x", "X-1"),), (DETAIL.replace('"cont"', '"other"'),)], "html string")))
     assert sorted(r["parse_error"] for r in odd.collect()) == ["invalid resource id", "no summary fields"]
+    asked = [("http://site.example.kr/show?rsrcUnqId=LEC_77x",), ("http://site.example.kr/show?rsrcUnqId=LEC_78",), ("http://site.example.kr/show?rsrcUnqId=EXP_77",), ("http://else.example/x",)]
+    pages = spark.createDataFrame([(*u, DETAIL) for u in asked], "detail_url string, html string")
+    guarded = normalize.details(html.with_details(pages), HOSTS)
+    assert sorted((r["resource_id"], r["parse_error"] or "") for r in guarded.collect()) == [
+        ("EXP_77", "expected a resource of kind EXP, found LEC_77x"), ("LEC_77x", ""), ("LEC_77x", "url of no resource"), ("LEC_78", "expected resource LEC_78, found LEC_77x"),
+    ]
     capped = found.withColumn("active_dates", F.slice("active_dates", 1, 1))
     assert normalize.date_errors(capped).count() == 0 and normalize.date_errors(capped, 0).first()["error"] == "1 active dates, more than 0"
     assert tuple(normalize.summary(normalize.events(items, found, "F300")).first()) == (2, 1, 0, 0, 1, 0)
