@@ -36,6 +36,8 @@ HOT_PAIRS = 500_000
 #: Groups with more pairs of tokens than this are counted by different ids.
 LARGE = 4096
 TEXT_BYTES = 2 << 20
+#: Stretches that a worker remembers of each tokenizer, less than for one tokenizer alone.
+REMEMBERED = 120_000
 FRAGMENT = (
     "closed boolean, prefix_a array<int>, prefix_b array<int>, groups binary, n_a long, n_b long, n_groups long, n_links long, pairs array<int>, times array<long>, "
     "suffix_a array<int>, suffix_b array<int>, valid boolean"
@@ -289,7 +291,7 @@ def _long(docs: DataFrame, paths: tuple[str, str], size: int, fan: int) -> DataF
     kinds = pa.schema([(c, pa.binary() if c == "text" else pa.int64()) for c in names])
 
     def encode(batches):
-        a, b = encoder(ByteWords, paths[0]), encoder(PieceWords, paths[1])
+        a, b = encoder(ByteWords, paths[0], REMEMBERED), encoder(PieceWords, paths[1], REMEMBERED)
         for batch in text_slices(batches, 7):
             rows = batch.to_pylist()
             found = [fragment(r["text"], r["at"], r["low"], r["high"], a, b) for r in rows]
@@ -336,7 +338,7 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = R
     paths = paths or (vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY))
 
     def run(batches):
-        a, b = encoder(ByteWords, paths[0]), encoder(PieceWords, paths[1])
+        a, b = encoder(ByteWords, paths[0], REMEMBERED), encoder(PieceWords, paths[1], REMEMBERED)
         part, n = TaskContext.get().partitionId(), 0
         for batch in text_slices(batches, 1, TEXT_BYTES):
             n_a, n_b, n_groups, n_links, hashes, pairs, times, held = _aligned(_led(batch.column(1)), a, b)

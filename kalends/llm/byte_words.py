@@ -38,11 +38,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(kind: type, path: str):
+def encoder(kind: type, path: str, remembered: int = REMEMBERED):
     """One encoder for each kind, file and Python worker, kept between tasks."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    if (kind, path, remembered) not in _encoders:
+        _encoders[kind, path, remembered] = kind(path, remembered)
+    return _encoders[kind, path, remembered]
 
 
 def _blank_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
