@@ -54,8 +54,9 @@ HOSTS, BASE = ("site.example.kr",), "https://site.example.kr/list"
 
 
 def test_cards_and_pagination(spark):
-    assert html.pagination(LIST, 5) == {"detected": True, "current": 5, "next_page": 6, "error": None}
-    assert html.pagination(LIST, 4)["error"] and html.pagination("", 1)["detected"] is False and html.cards(None) == []
+    paging = [tuple(r["p"]) for r in spark.createDataFrame([(LIST, 5), (LIST, 4), ("", 1), (None, 1)], "h string, n int").select(html.pagination(F.coalesce("h", F.lit("")), F.col("n")).alias("p")).collect()]
+    assert paging[0] == (True, 5, 6, None) and paging[1] == (True, 5, None, "expected page 4, found 5") and paging[2] == paging[3] == (False, None, None, None)
+    assert html.with_cards(spark.createDataFrame([(None,)], "html string")).count() == 0
     items = normalize.list_items(html.with_cards(spark.createDataFrame([(5, LIST), (6, None)], "page int, html string")), HOSTS, BASE).orderBy("pos").collect()
     assert [(r["title"], r["resource_kind"], r["source_event_id"], r["capacity"]) for r in items] == [("도자기 & 물레", "LEC", "LEC_77x", 14), ("별 보는 밤", "external", None, None)]
     assert items[0]["registration_start"] == dt.date(2026, 3, 2) and items[0]["parse_error"] == "invalid date" and items[0]["is_free"] is True
@@ -101,6 +102,23 @@ def test_broken_pages_prove_no_snapshot(spark):
     assert verdicts == {1: ("success", True), 2: ("partial", False)}
 
 
+def test_elements_balance_and_references_are_read(spark):
+    page = """<!-- <div class="thumb">no</div> --><div data-x="a > b" class="big thumb">a<div>b &#44032;&#xAC01;&middot;<p>c</p></div><br>d &amp;lt;</div><p id="panel-1">e<script>var x = "<p>no</p>"</script></p><div class="thumb">no</div>"""
+    df = spark.createDataFrame([(page,), ("<div class=thumb>open <b>end",), ("<i class='xthumb thumb-x'>no</i>",), (None,)], "h string")
+    got = df.select(html.text_of(html.element(html.clean(F.col("h")), classes=("thumb",))["inner"], "|").alias("t"), html.text_of(html.element(html.clean(F.col("h")), ident="panel-1")["inner"]).alias("p")).collect()
+    assert [tuple(r) for r in got] == [("a|b 가각·|c|d &lt;", "e"), ("open|end", None), (None, None), (None, None)]
+    listed = df.select(html.items(F.lit("x<li>a<ul><li>b</li></ul><LI class=k>c<ol><li>d</ol></li>")).alias("i")).first()["i"]
+    assert listed == ["<li>a<ul><li>b</li></ul>", "<LI class=k>c<ol><li>d</ol></li>"]
+
+
+def test_very_long_pages(spark):
+    card = '<li><a href="/x?rsrcUnqId=EXP_1"><h4 class="tit">t</h4></a><ul class="info"><li>k: v</li></ul></li>'
+    long_ = f'<ul class="img-board">{card * 300}</ul>' + "<p title='>'>x</p>" * 20_000
+    assert html.page_rows(spark.createDataFrame([(1, long_)], "page int, html string")).first()["list_count"] == 300
+    wide = f'<div class="thumb" title="{"y" * 300_000}">z</div>'
+    assert spark.createDataFrame([(wide,)], "h string").select(html.text_of(html.element(F.col("h"), classes=("thumb",))["inner"])).first()[0] == "z"
+
+
 def test_links_and_titles(spark):
     page = """<head><TITLE lang=x> a &amp; <b </title></head><a class="k" href="/x?a=1&amp;b=2"><b>one</b> two</a><A HREF='y'>q</A><a href=z>r</a><a name="n">no</a><abbr>no</abbr>"""
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
