@@ -66,9 +66,13 @@ def details(pages: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def events(items: DataFrame, found: DataFrame, source_code: str) -> DataFrame:
-    """One normalized event per list item; external items and items whose detail failed keep list data alone."""
-    d = found.select(F.col("resource_id").alias("_id"), F.struct(*(c for c in found.columns if c != "resource_id")).alias("d"))
+def events(items: DataFrame, found: DataFrame, source_code: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One normalized event per list item; external items and items whose detail failed keep list data alone.
+
+    keep: columns of items that stay, as page and pos. parse_error is for a rule of the ingest: what it names must not be stored.
+    """
+    good = found.where("parse_error IS NULL")  # issues() tells of the others
+    d = good.select(F.col("resource_id").alias("_id"), F.struct(*(c for c in found.columns if c != "resource_id")).alias("d"))
     j = items.join(d, (items["source_event_id"] == d["_id"]) & ~items["is_external"], "left").drop("_id")
     has = F.col("d").isNotNull()
 
@@ -82,14 +86,14 @@ def events(items: DataFrame, found: DataFrame, source_code: str) -> DataFrame:
         F.col(f"d.{b}").alias(b), period.date_unless_known(F.col(f"d.{b}"), F.col(b)).alias(f"{b}_date"))]
     is_free = either("is_free")
     return j.select(
-        url.item_key(F.col("source_event_id"), F.col("detail_url")).alias("source_item_key"), "source_event_id", "resource_kind", F.lit(source_code).alias("source_code"),
+        *keep, url.item_key(F.col("source_event_id"), F.col("detail_url")).alias("source_item_key"), "source_event_id", "resource_kind", F.lit(source_code).alias("source_code"),
         either("title").alias("title"), F.col("d.description").alias("description"), either("organizer").alias("organizer"), either("venue").alias("venue"),
         F.col("d.address").alias("address"), "original_category", F.col("d.target_text").alias("target_text"), *bounds,
         either("event_period_text").alias("event_period_text"), only_detail("registration_period_text").alias("registration_period_text"),
         F.col("registration_status_text").alias("registration_status"), either("application_method", "application_method_text").alias("application_method"),
         only_detail("capacity").alias("capacity"), either("capacity_text").alias("capacity_text"), F.when(has & (F.col("d.is_free") == True), F.lit(0)).cast("decimal(12,2)").alias("fee"),  # noqa: E712
         either("fee_text").alias("fee_text"), is_free.alias("is_free"), "reservation_url", "detail_url", "image_url", F.col("detail_url").alias("source_url"),
-        (has | F.col("is_external")).alias("detail_complete"), F.coalesce("parse_error", "d.parse_error").alias("parse_error"),
+        (has | F.col("is_external")).alias("detail_complete"), "parse_error",
     )
 
 

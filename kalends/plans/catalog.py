@@ -462,6 +462,34 @@ def list_pages(spark, sf_dir):
     return html.page_rows(pages).select("page_id", "list_count", "succeeded", "error")
 
 
+@register(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), ';jsessionid=[^/?#&;]*', '', 'i') AS u FROM pages WHERE url IS NOT NULL),
+  k AS (SELECT page_id, 'urlsha256:' || sha256(u) AS source_item_key FROM c), s AS (SELECT DISTINCT source_item_key FROM k WHERE page_id % 3 = 0),
+  v AS (SELECT source_item_key, max(page_id) FILTER (page_id % 5 > 0) AS good FROM k GROUP BY 1)
+  SELECT v.source_item_key, CASE WHEN good IS NULL THEN 'old' ELSE 'p' || good END AS title, CASE WHEN good % 2 = 0 THEN '2026-03-01' END AS registration_day,
+    CASE WHEN s.source_item_key IS NULL THEN 'insert' WHEN good IS NULL THEN 'touch' ELSE 'update' END AS action FROM v LEFT JOIN s ON v.source_item_key = s.source_item_key WHERE good IS NOT NULL OR s.source_item_key IS NOT NULL""")
+def page_ingest(spark, sf_dir):
+    """Landed list pages, whose cards lead to the urls of `pages`, read, normalized and stored; cards with an impossible date fail."""
+    n = F.col("page_id")
+    period_ = F.when(n % 5 == 0, "2026-13-40 ~ 2026-12-01").when(n % 2 == 0, "2026-03-01 ~ 2026-03-20").otherwise("상시")
+    card = F.concat(
+        F.lit('<ul class="img-board"><li><a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"><h4 class="tit">p'), n.cast("string"),
+        F.lit('</h4></a><ul class="info"><li>접수기간: '), period_, F.lit("</li></ul></li></ul>"),
+    )
+    landed = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", card.alias("html"))
+    items = normalize.list_items(html.with_cards(landed), ("reserve.example.kr",), "https://reserve.example.kr/list")
+    none = spark.createDataFrame([], "resource_id string, title string, organizer string, fields map<string,string>, description string, address string, active_dates array<string>")
+    events = normalize.events(items, normalize.details(none), "F300", keep=("page_id",)).withColumnRenamed("page_id", "pos")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENTS).schema}
+    old = events.where("pos % 3 = 0").select("source_item_key").distinct().withColumns({"source_id": F.lit(1).cast("long"), "title": F.lit("old"), "id": F.pmod(F.xxhash64("source_item_key"), F.lit(1 << 40))})
+    old = old.select(*((F.col(c) if c in old.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    lines = {c: t for c, t in schemas.OCCURRENCE_CONTENT.items() if c not in ("collected_at", "updated_at")} | {"source_item_key": "string", "source_occurrence_id": "string", "pos": "long"}
+    no_lines = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in lines.items()))
+    rules = quality.event_rules() | {"parsed": F.col("parse_error").isNull()}
+    at = F.lit("2026-08-01 00:00:00").cast("timestamp")
+    stored = merge.ingest(old, spark.createDataFrame([], schemas.OCCURRENCES), events, no_lines, 1, 2, at, rules, quality.occurrence_rules())
+    return stored.events.select("source_item_key", "title", F.col("registration_start_date").cast("string").alias("registration_day"), "action")
+
+
 # Slots
 
 _SLOT_JSON = """'[{{"oprtId":' || event_id || ',"stTm":"' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':15","enTm":"' || lpad(CAST((event_id + 1) % 24 AS VARCHAR), 2, '0') || ':00","aplyYn":"' ||

@@ -78,6 +78,8 @@ def test_normalized_events(spark):
     assert [tuple(r) for r in normalize.date_errors(found).collect()] == [("LEC_77x", "invalid active date")]
     odd = normalize.details(html.with_details(spark.createDataFrame([(DETAIL.replace("LEC_77x", "X-1"),), (DETAIL.replace('"cont"', '"other"'),)], "html string")))
     assert sorted(r["parse_error"] for r in odd.collect()) == ["invalid resource id", "no summary fields"]
+    failed = {r["source_item_key"]: r for r in normalize.events(items, found.withColumn("parse_error", F.lit("invalid date")), "F300", keep=("page", "pos")).collect()}
+    assert (failed["LEC_77x"]["detail_complete"], failed["LEC_77x"]["title"], failed["LEC_77x"]["page"], failed["LEC_77x"]["pos"]) == (False, "도자기 & 물레", 5, 0)
     asked = [("http://site.example.kr/show?rsrcUnqId=LEC_77x",), ("http://site.example.kr/show?rsrcUnqId=LEC_78",), ("http://site.example.kr/show?rsrcUnqId=EXP_77",), ("http://else.example/x",)]
     pages = spark.createDataFrame([(*u, DETAIL) for u in asked], "detail_url string, html string")
     guarded = normalize.details(html.with_details(pages), HOSTS)
