@@ -60,15 +60,19 @@ def windows(at: np.ndarray, cost: np.ndarray, capacity: int) -> np.ndarray:
     """The places at which windows end in a cheapest cutting of [0, at[-1])."""
     index = np.full(int(at[-1]) + 1, -1, np.int32)
     index[at] = np.arange(len(at))
-    exact: dict[int, list[int]] = {}
+    later, earlier = [], []
     for k in range(capacity.bit_length()):
         back = at - (1 << k)
         hit = np.flatnonzero(back >= 0)
         hit = hit[index[back[hit]] >= 0]
-        for j, i in zip(hit.tolist(), index[back[hit]].tolist()):
-            exact.setdefault(j, []).append(i)
+        later.append(hit)
+        earlier.append(index[back[hit]])
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    order = np.argsort(later, kind="stable")
+    # Pairs of places a power of two apart, by the later one, and an end that is never reached.
+    after, source = [*later[order].tolist(), len(at)], earlier[order].tolist()
     p, c = at.tolist(), cost.tolist()
-    f, before = [0] * len(p), [0] * len(p)
+    f, before, nth = [0] * len(p), [0] * len(p), 0
     queue = deque([(0, 0, 0)])  # f(i) + p(i), p(i), i: growing in the first
     for j in range(1, len(p)):
         here = p[j]
@@ -76,7 +80,9 @@ def windows(at: np.ndarray, cost: np.ndarray, capacity: int) -> np.ndarray:
             queue.popleft()
         best, _, i = queue[0]
         best += capacity - here
-        for e in exact.get(j, ()):
+        while after[nth] == j:
+            e = source[nth]
+            nth += 1
             if f[e] < best:
                 best, i = f[e], e
         best += c[j]
