@@ -11,6 +11,7 @@ from .. import schemas
 from ..functions import hashing, period, strict, text, url
 from ..operators import derive, merge, normalize, quality, runs, serve
 from ..sources import html, landing, slots
+from ..sources.store import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -476,9 +477,9 @@ def page_ingest(spark, sf_dir):
         F.lit('</h4></a><ul class="info"><li>접수기간: '), period_, F.lit("</li></ul></li></ul>"),
     )
     landed = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", card.alias("html"))
-    items = normalize.list_items(html.with_cards(landed), ("reserve.example.kr",), "https://reserve.example.kr/list")
+    items = normalize.list_items(staged(html.with_cards(landed)), ("reserve.example.kr",), "https://reserve.example.kr/list")
     none = spark.createDataFrame([], "resource_id string, title string, organizer string, fields map<string,string>, description string, address string, active_dates array<string>")
-    events = normalize.events(items, normalize.details(none), "F300", keep=("page_id",)).withColumnRenamed("page_id", "pos")
+    events = staged(normalize.events(items, normalize.details(none), "F300", keep=("page_id",)).withColumnRenamed("page_id", "pos"))
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENTS).schema}
     old = events.where("pos % 3 = 0").select("source_item_key").distinct().withColumns({"source_id": F.lit(1).cast("long"), "title": F.lit("old"), "id": F.pmod(F.xxhash64("source_item_key"), F.lit(1 << 40))})
     old = old.select(*((F.col(c) if c in old.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
@@ -878,7 +879,7 @@ def run_cadence(spark, sf_dir):
 def change_dashboard(spark, sf_dir):
     before = _base(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 2 < 1).alias("digest"))
     after = _delta(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).alias("grp"), (F.col("o_totalprice") % 3 < 1).alias("digest"))
-    return derive.dashboard(*(derive.Snapshot(df, ["o_orderkey"], "digest", "grp") for df in (before, after)))
+    return derive.dashboard(*(derive.Snapshot(df, ["o_orderkey"], "digest", "grp", 16) for df in (before, after)))
 
 
 @register(f"""WITH e AS (SELECT count(*) FILTER (CAST(o_orderdate AS DATE) = DATE '{_AS_OF}') AS collected, count(*) FILTER (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) < DATE '{_AS_OF}') AS ended FROM orders),
