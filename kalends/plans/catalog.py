@@ -431,6 +431,15 @@ def response_classes(spark, sf_dir):
     return _props(spark, sf_dir).select("event_id", landing.classify(200 + F.col("user_id") % 310, body, F.lit(True)).alias("outcome"))
 
 
+@register("""SELECT event_id, s IN (408, 425, 429, 500, 502, 503, 504) AND event_id % 4 < 2 AS again, CASE WHEN s IN (408, 425, 429, 500, 502, 503, 504) AND event_id % 4 < 2 THEN 0.5 * pow(2, event_id % 4) + (user_id % 10) / 40.0 END AS wait
+  FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 503 WHEN user_id % 3 = 1 THEN 404 ELSE 200 END AS s FROM events)""")
+def retries(spark, sf_dir):
+    k, attempt = F.col("user_id") % 3, F.col("event_id") % 4
+    outcome = landing.classify(F.when(k == 0, 503).when(k == 1, 404).otherwise(200), F.lit("x"))
+    again = landing.asks_again(outcome, attempt)
+    return _t(spark, sf_dir, "events").select("event_id", again.alias("again"), F.when(again, landing.backoff_seconds(attempt, share=F.col("user_id") % 10 / 10.0)).alias("wait"))
+
+
 # HTML
 
 

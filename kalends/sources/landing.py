@@ -28,9 +28,19 @@ def classify(status: Column, body: Column, json: Column | None = None, mark: str
     return said.otherwise("ok")
 
 
-def backoff_seconds(attempt: Column, base: float = 0.5) -> Column:
-    """The wait before a further attempt, without its jitter."""
-    return F.lit(base) * F.pow(F.lit(2.0), attempt)
+#: How often a request is asked again, and the seconds below which its jitter stays.
+RETRIES, JITTER = 2, 0.25
+
+
+def backoff_seconds(attempt: Column, base: float = 0.5, share: Column | None = None) -> Column:
+    """The wait before a further attempt (0 is the first one made): doubling, and a share (0 to 1, F.rand() say) of the jitter."""
+    wait = F.lit(base) * F.pow(F.lit(2.0), attempt)
+    return wait if share is None else wait + share * JITTER
+
+
+def asks_again(outcome: Column, attempt: Column, retries: int = RETRIES) -> Column:
+    """Whether a request whose attempt came out so is made again: only what may pass, and only within the budget. Null is not."""
+    return F.coalesce((outcome == "retry") & (attempt < retries), F.lit(False))
 
 
 def request_counts(requests: DataFrame) -> DataFrame:

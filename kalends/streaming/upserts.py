@@ -23,7 +23,8 @@ def merge_stream(spark: SparkSession, landed: str, schema: str, table: str, key:
     each row (seen_batch, seen_stream). A batch that is replayed after a failure finds both there and publishes
     nothing, so every batch counts once; another checkpoint is another stream, whose batches count again. The table is
     hashed into buckets by key, and a batch reads and writes those of its keys alone. after: called with the rows of these
-    buckets, and their action, once they are stored.
+    buckets, and their action, once they are stored. If a failure comes between, the batch's replay calls it with its rows and the
+    action `replayed`, so it is called for each batch, maybe more than once.
     """
     columns = [f.name for f in spark.createDataFrame([], schema).schema]
     stored, seen = f"{schema}, seen_batch bigint, seen_stream string", ["seen_batch", "seen_stream"]
@@ -34,7 +35,12 @@ def merge_stream(spark: SparkSession, landed: str, schema: str, table: str, key:
         touched = [r[0] for r in delta.select(bucket).distinct().collect()]  # `buckets` at most
         base = store.read(batch.sparkSession, table, stored, buckets=touched)
         stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        if base.where((base["seen_batch"] == batch_id) & (base["seen_stream"] == stream)).limit(1).count() or batch.isEmpty():
+        own = base.where((base["seen_batch"] == batch_id) & (base["seen_stream"] == stream))
+        if batch.isEmpty():
+            return
+        if own.limit(1).count():
+            if after:
+                after(own.select(*columns, *seen).withColumn("action", F.lit("replayed")), batch_id)
             return
         delta = delta.withColumns({"seen_batch": F.lit(batch_id).cast("long"), "seen_stream": F.lit(stream)})
         result = merge.merged(merge.actions(base, delta, key), [*columns, *seen], {*columns, *seen} - set(key))

@@ -266,6 +266,19 @@ def test_stream_merges_each_batch_once(spark, tmp_path):
     assert rows(store.read(spark, table, f"{schema}, seen_batch bigint"), "k", "v") == [(1, "b"), (2, "y")]
 
 
+def test_a_replayed_batch_tells_again_and_stores_nothing(spark, tmp_path):
+    landed, table, state = (f"file://{tmp_path}/{n}" for n in ("in", "table", "state"))
+    schema, told = "k int, ord int, v string", []
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "x")], schema).coalesce(1).write.parquet(landed)
+    for _ in range(2):
+        merge_stream(spark, landed, schema, table, ["k"], "ord", state, after=lambda df, n: told.append(rows(df, "k", "v", "action"))).awaitTermination()
+        for f in (tmp_path / "state/commits").iterdir():  # as if the driver had died before it noted the batch
+            f.rename(tmp_path / f"gone-{len(told)}-{f.name}")
+    from kalends.sources import store
+
+    assert told == [[(1, "a", "insert"), (2, "x", "insert")], [(1, "a", "replayed"), (2, "x", "replayed")]] and store.versions(spark, table) == [1]
+
+
 def test_a_new_checkpoint_is_a_new_stream(spark, tmp_path):
     table, schema = f"file://{tmp_path}/table", "k int, ord int, v string"
     for n in (1, 2):

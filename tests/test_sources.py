@@ -135,6 +135,10 @@ def test_landing(spark):
     marked = spark.createDataFrame([("<ul class=img-board>", False), ("<p>", False), ("[1]", True)], "body string, json boolean").select(landing.classify(F.lit(200), F.col("body"), F.col("json"), "img-board"))
     assert [r[0] for r in marked.collect()] == ["ok", "malformed", "ok"]
     assert [r[0] for r in spark.range(2).select(landing.backoff_seconds(F.col("id"))).collect()] == [0.5, 1.0]
+    jittered = [r[0] for r in spark.range(50).select(landing.backoff_seconds(F.lit(1), share=F.rand(1))).collect()]
+    assert min(jittered) >= 1.0 and max(jittered) < 1.25 and len(set(jittered)) > 40
+    asked = spark.createDataFrame([("retry", 0), ("retry", 1), ("retry", 2), ("error", 0), (None, 0)], "o string, n int").select(landing.asks_again(F.col("o"), F.col("n")))
+    assert [r[0] for r in asked.collect()] == [True, True, False, False, False]
 
 
 def test_unknown_endpoints_are_not_the_total(spark):
