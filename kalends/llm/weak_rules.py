@@ -30,19 +30,22 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name to vote: 1 good, -1 bad, 0 abstains. Only proportions of the text's own counts, in no one language; its length is left to the base rule."""
+    """Name to vote: 1 good, -1 bad, 0 abstains. Only proportions of the text's own counts, in no one language; its length is left to the base rule.
+
+    Rules may warn early and of much that is good: how far a warning is to be trusted is what the label model finds out.
+    Repeated lines also repeat words, so both are one rule: rules should err apart from each other.
+    """
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     mean = F.col("word_chars") / words
     symbols, dup = F.col("n_symbols") / words, F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
     repeat, letters = F.col("n_repeat_words") / words, F.col("n_letters") / chars
     lines = F.col("n_lines") / words
     return {
-        "mean_word": _vote(mean.between(2.5, 12), (mean < 2) | (mean > 20)),
+        "mean_word": _vote(mean.between(4, 7), (mean < 3.5) | (mean > 7.5)),
         "symbols": _vote(symbols < 0.02, symbols > 0.1),
-        "dup_lines": _vote(dup < 0.1, dup > 0.3),
-        "repeats": _vote(repeat < 0.15, repeat > 0.35),
-        "letters": _vote(letters > 0.9, letters < 0.75),
-        "line_length": _vote(lines < 0.2, lines > 0.5),
+        "repetition": _vote((dup < 0.05) & (repeat < 0.05), (dup > 0.1) | (repeat > 0.1)),
+        "letters": _vote(letters > 0.95, letters < 0.9),
+        "line_length": _vote(lines < 0.05, lines > 0.08),
     }
 
 
@@ -84,27 +87,34 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
+#: What a rule is thought to vote of a bad and of a good document before any is seen, as parts of one document: bad, none, good.
+PRIOR = ((0.4, 0.2, 0.4), (0.1, 0.2, 0.7))
+#: Documents thought bad and good before any is seen.
+PRIOR_SHARE = (1.0, 3.0)
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """EM of the label model over vote patterns (rows of 1, -1, 0) and their document counts.
 
-    A rule has its own odds of voting good, voting bad and abstaining on good and on bad documents, so a rule that says
-    good of nearly everything weighs little and a rare warning weighs much. EM starts from the patterns without a
-    warning as good. Pseudocounts (ten documents of either class to a rule, 9 good to 3 bad documents in all) keep rules
-    that seldom vote near their start, and a warning never counts for a document nor a good vote against it, so the labels can't swap.
+    A rule has its own odds of voting good, voting bad and abstaining on good and on bad documents, so a warning weighs
+    what the other rules bear out, whatever its sign or size. EM starts from the shares of votes, a warning weighing as much
+    as all rules together; the prior of each rule and class is worth one document, so data soon outweigh it. Abstentions
+    carry no weight.
 
     Returns the odds (rule, class bad or good, vote bad, none or good), the share of good documents, and each
     pattern's posterior probability of being good.
     """
     vote = np.stack([patterns < 0, patterns == 0, patterns > 0], axis=2).astype(np.float64)  # pattern, rule, vote
-    prior = np.array([[3.0, 0.5, 6.5], [0.2, 1.0, 8.8]])  # class bad and good: a bad document draws one warning or two of many rules
-    posterior, good, odds = np.where((patterns < 0).any(axis=1), 0.1, 0.9), 0.75, np.empty((patterns.shape[1], 2, 3))
+    prior, n_rules = np.array(PRIOR), patterns.shape[1]
+    warnings, praise = vote[:, :, 0].sum(axis=1), vote[:, :, 2].sum(axis=1)
+    posterior, good, odds = (1 + praise) / (2 + praise + n_rules * warnings), 0.5, np.empty((n_rules, 2, 3))
     for _ in range(rounds):
         weight = counts * np.stack([1 - posterior, posterior])  # class, pattern
         odds = np.einsum("cp,prv->rcv", weight, vote) + prior
         odds /= odds.sum(axis=2, keepdims=True)
-        good = (weight[1].sum() + 9) / (counts.sum() + 12)
+        good = (weight[1].sum() + PRIOR_SHARE[1]) / (counts.sum() + sum(PRIOR_SHARE))
         ratio = np.log(odds[:, 1] / odds[:, 0])  # rule, vote
-        ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), 0, np.maximum(ratio[:, 2], 0)
+        ratio[:, 1] = 0
         score = np.einsum("prv,rv->p", vote, ratio) + math.log(good / (1 - good))
         posterior = 1 / (1 + np.exp(-score))
     return odds, good, posterior
@@ -116,19 +126,18 @@ def judge(docs: DataFrame, keep_above: float = KEEP_ABOVE) -> DataFrame:
     base_failed: fewer than MIN_WORDS words, or more than half of them in repeated 3-word windows. kept: not
     base_failed and quality of keep_above or more. Null, empty and wordless texts have zero counts and fail. Rows
     that repeat come back as often; a null doc_id is judged like any other; other columns are ignored; an empty table
-    gives an empty result. The counts of patterns are over all documents.
+    gives an empty result. The model learns from all documents that the base rule leaves, as only they await its verdict.
     """
     counts = stage(measured(docs))
     votes = F.concat_ws(",", *(v.cast("string") for v in rules().values()))
-    voted = counts.withColumn("votes", votes)
-    seen = voted.groupBy("votes").count().collect()  # 3 ** len(rules()) rows at most
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    voted = counts.withColumn("votes", votes).withColumn("base_failed", failed)
+    seen = voted.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).orderBy("votes").collect()  # 3 ** len(rules()) rows at most
     patterns = np.array([list(map(int, r["votes"].split(","))) for r in seen], np.int64).reshape(-1, len(rules()))
-    _, _, posterior = fit(patterns, np.array([r["count"] for r in seen], np.float64))
+    _, _, posterior = fit(patterns, np.array([r["n"] for r in seen], np.float64))
     spark = docs.sparkSession
     quality = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(seen, posterior)], "votes string, quality double")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        voted.join(F.broadcast(quality), "votes").withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_above))
+        voted.join(F.broadcast(quality), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_above))
         .select("doc_id", *COUNTS, "base_failed", "quality", "kept")
     )

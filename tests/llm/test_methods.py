@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -418,34 +419,35 @@ def test_quality_of_labelled_documents(spark, sf, docs):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"])
 
 
+def slow_votes(r):
+    words, chars, lines = max(r["n_words"], 1), max(r["word_chars"], 1), max(r["n_lines"], 1)
+    mean, symbols, letters, long = r["word_chars"] / words, r["n_symbols"] / words, r["n_letters"] / chars, r["n_lines"] / words
+    dup, repeat = r["n_dup_lines"] / lines, r["n_repeat_words"] / words
+    tests = [
+        (4 <= mean <= 7, mean < 3.5 or mean > 7.5), (symbols < 0.02, symbols > 0.1), (dup < 0.05 and repeat < 0.05, dup > 0.1 or repeat > 0.1),
+        (letters > 0.95, letters < 0.9), (long < 0.05, long > 0.08),
+    ]
+    return [-1 if bad else int(good) for good, bad in tests]
+
+
 def test_verdicts_of_the_label_model_by_brute_force(spark, docs, texts):
     got = {r["doc_id"]: r for r in weak_rules.judge(docs).collect()}
-
-    def votes(r):
-        words, chars, lines = max(r["n_words"], 1), max(r["word_chars"], 1), max(r["n_lines"], 1)
-        mean, letters, long = r["word_chars"] / words, r["n_letters"] / chars, r["n_lines"] / words
-        tests = [
-            (2.5 <= mean <= 12, mean < 2 or mean > 20), (r["n_symbols"] / words < 0.02, r["n_symbols"] / words > 0.1), (r["n_dup_lines"] / lines < 0.1, r["n_dup_lines"] / lines > 0.3),
-            (r["n_repeat_words"] / words < 0.15, r["n_repeat_words"] / words > 0.35), (letters > 0.9, letters < 0.75), (long < 0.2, long > 0.5),
-        ]
-        return [-1 if bad else int(good) for good, bad in tests]
-
-    rows = {d: votes(r) for d, r in got.items()}
-    belief = {d: 0.1 if -1 in v else 0.9 for d, v in rows.items()}
-    start = {0: {-1: 3.0, 0: 0.5, 1: 6.5}, 1: {-1: 0.2, 0: 1.0, 1: 8.8}}
-    for _ in range(100):
-        total = {c: [Counter(start[c]) for _ in range(6)] for c in (0, 1)}
-        for d, v in rows.items():
-            for k, x in enumerate(v):
+    rows = {d: slow_votes(r) for d, r in got.items()}
+    belief = {d: (1 + v.count(1)) / (2 + v.count(1) + 5 * v.count(-1)) for d, v in rows.items()}
+    start = {0: {-1: 0.4, 0: 0.2, 1: 0.4}, 1: {-1: 0.1, 0: 0.2, 1: 0.7}}
+    learned = [d for d in rows if not got[d]["base_failed"]]
+    for _ in range(200):
+        total = {c: [Counter(start[c]) for _ in range(5)] for c in (0, 1)}
+        for d in learned:
+            for k, x in enumerate(rows[d]):
                 total[1][k][x] += belief[d]
                 total[0][k][x] += 1 - belief[d]
-        good = (sum(belief.values()) + 9) / (len(rows) + 12)
+        good = (sum(belief[d] for d in learned) + 3) / (len(learned) + 4)
         for d, v in rows.items():
             score = math.log(good / (1 - good))
             for k, x in enumerate(v):
                 if x:
-                    ratio = math.log(total[1][k][x] / total[1][k].total() / (total[0][k][x] / total[0][k].total()))
-                    score += min(ratio, 0) if x < 0 else max(ratio, 0)
+                    score += math.log(total[1][k][x] / total[1][k].total() / (total[0][k][x] / total[0][k].total()))
             belief[d] = 1 / (1 + math.exp(-score))
     for d, r in got.items():
         assert r["quality"] == pytest.approx(belief[d], abs=1e-6)
@@ -462,6 +464,19 @@ def test_em_recovers_accuracies():
     assert right == pytest.approx([0.95, 0.9, 0.85, 0.8], abs=0.04) and good == pytest.approx(0.8, abs=0.03)
 
 
+def test_one_weak_warning_does_not_reject_and_borne_out_ones_do(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 7))) for _ in range(3000)]
+    plain = [" ".join(rng.sample(vocabulary, 120)) for _ in range(300)]
+    twice = [t + " " + " ".join(t.split()[:20]) for t in plain[:30]]
+    noise = [" | ".join(rng.sample(vocabulary, 60)) + "\n# *" * 8 for _ in range(60)]
+    rows = list(enumerate(plain + twice + noise))
+    got = {r["doc_id"]: r for r in weak_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(-1 in slow_votes(got[d]) for d in range(300, 390))
+    assert all(got[d]["kept"] for d in range(330)) and not any(got[d]["kept"] for d in range(330, 390))
+
+
 # Sharding
 
 
