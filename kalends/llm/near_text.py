@@ -5,6 +5,9 @@ under its least few shingle hashes (its anchors); near copies share one of them
 at exactly 0.8, fewer above. Under an anchor the 64-bit SimHashes are compared bit-sliced within a radius that true pairs
 exceed about once in a hundred thousand, and pairs within it are measured exactly, nearest first, unless links found so
 far connect them. Texts with equal sets are one from the start.
+
+Texts under an anchor that very many share (a stock passage) are compared by prefixes instead: a set's shingles are put
+in one order for all texts, rarest first, and two sets that are alike share one of the first few.
 """
 
 from __future__ import annotations
@@ -27,13 +30,12 @@ SIMILARITY = 0.8
 ANCHORS = 4
 RADIUS = 22
 #: Texts under one key up to which all pairs are compared in one task. Larger keys are split by a second anchor, and if
-#: still larger into parts of this size that share about LEADERS texts; what these leave unconnected is then compared in
-#: blocks of this size, each against each.
+#: still larger into parts of this size that share about LEADERS texts; what these leave unconnected is then found by prefixes.
 BUCKET = 512
 LEADERS = 32
-#: Set sizes of near copies differ by less than this factor, so they are in one band or in neighbouring bands. A little
-#: above 1 / SIMILARITY, as the sets that are measured hold halves of hashes, which may be equal by chance.
-BAND = 1.26
+#: Numbers that tell how often shingles occur in crowded texts, several shingles to a number where they are many. Any
+#: numbers give the same links; good ones give few candidates.
+SLOTS = 1 << 22
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -57,12 +59,12 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            rows = [(*sketch(h), len(h)) for h in map(shingles, b.column(1).cast(pa.large_binary()).to_pylist())]
-            cols = list(zip(*rows)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "id", "fp", "anchors", "size"])
+            rows = [sketch(h) for h in map(shingles, b.column(1).cast(pa.large_binary()).to_pylist())]
+            cols = list(zip(*rows)) or [()] * 3
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "id", "fp", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, fp long, anchors array<long>, size long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, fp long, anchors array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -87,8 +89,9 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _spanning(ids: list[int], fp: np.ndarray, sets: list[np.ndarray], start: np.ndarray, root: list[int], among=None) -> pa.RecordBatch:
-    """Links (u, v) that connect what is alike and not yet connected by root, of pairs j < i from start[i] on that `among` keeps."""
+def _spanning(ids: list[int], fp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Links (u, v) that connect what is alike."""
+    root = list(range(len(ids)))
 
     def find(i):
         while root[i] != i:
@@ -96,12 +99,9 @@ def _spanning(ids: list[int], fp: np.ndarray, sets: list[np.ndarray], start: np.
             i = root[i]
         return i
 
-    pairs, out = list(bit_sliced_links(fp, start, np.full(len(ids), len(ids)), RADIUS)), []
+    pairs, out = list(bit_sliced_links(fp, np.zeros(len(ids), np.int64), np.full(len(ids), len(ids)), RADIUS)), []
     if pairs:
         i, j = (np.concatenate(x) for x in zip(*pairs))
-        if among:
-            keep = among(i, j)
-            i, j = i[keep], j[keep]
         order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
         for a, b in zip(i[order].tolist(), j[order].tolist()):
             u, v = find(a), find(b)
@@ -131,24 +131,7 @@ def _bucket_links(batches):
     for rows in _by_key(batches):
         ids, fp, sets = zip(*rows)
         sets = [np.frombuffer(x, np.uint32) for x in sets]
-        yield _spanning(ids, np.array(fp, np.int64).view(np.uint64), sets, np.zeros(len(ids), np.int64), list(range(len(ids))))
-
-
-def _block_links(batches):
-    """Rows task, side, id, fp, class, set in task order to links (u, v) between classes: of side 0 with side 1, of side 2 within."""
-    for rows in _by_key(batches):
-        side, ids, fp, kind, sets = zip(*sorted(rows, key=lambda r: r[0]))
-        sets = [np.frombuffer(x, np.uint32) for x in sets]
-        side, size = np.array(side), np.array([len(x) for x in sets])
-        _, first, at = np.unique(np.array(kind, np.int64), return_index=True, return_inverse=True)
-        root = first[at]
-        start = np.where(side == 0, np.arange(len(ids)), 0)
-
-        def among(i, j):
-            both = (side[i] == 2) | (side[i] != side[j])
-            return both & (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
-
-        yield _spanning(ids, np.array(fp, np.int64).view(np.uint64), sets, start, root.tolist(), among)
+        yield _spanning(ids, np.array(fp, np.int64).view(np.uint64), sets)
 
 
 def _keyed(nodes: DataFrame, bucket: int) -> DataFrame:
@@ -172,34 +155,123 @@ def _keyed(nodes: DataFrame, bucket: int) -> DataFrame:
 
 
 def _crowded(nodes: DataFrame, bucket: int) -> DataFrame:
-    """key, id, band of the texts under every anchor that more than `bucket` texts share."""
-    single = nodes.select("id", F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)).alias("band"), F.explode("anchors").alias("key"))
+    """key, id of the texts under every anchor that more than `bucket` texts share."""
+    single = nodes.select("id", F.explode("anchors").alias("key"))
     return single.join(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key"), "key")
 
 
-def _blocks(crowded: DataFrame, bucket: int) -> DataFrame:
-    """task, side, id, class from crowded(key, id, band, class): each two texts of one key that can be alike and are of
-    different classes meet in one task, of about 2 x bucket texts at most.
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """For each slot how many shingles of the texts fall there; SLOTS numbers, however many texts there are."""
+
+    def run(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for b in slices(batches):
+            halves = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+            seen += np.bincount(halves & np.uint32(SLOTS - 1), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen[slot])], names=["slot", "n"])
+
+    found = sets.select("set").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.uint32)
+    common[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
+    return common
+
+
+def prefix(halves: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's first shingles, rarest first, and how many of them are its short prefix.
+
+    Of two sets that are alike the first shingle that they share is in the short prefix of the one that is not larger
+    and in the prefix of the other: a smaller set of n has 2 * SIMILARITY / (1 + SIMILARITY) * n of its shingles in common with
+    the larger at least, and a larger one of n has SIMILARITY * n. Shingles of no other text are left out.
+    """
+    n = len(halves)
+    often = common[halves & np.uint32(SLOTS - 1)].astype(np.uint64)
+    order = np.sort(often << np.uint64(32) | halves)[: n - math.ceil(SIMILARITY * n - 1e-6) + 1]
+    short = n - math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-6) + 1
+    alone = int(np.searchsorted(order, np.uint64(2 << 32)))
+    return order[alone:].astype(np.uint32), max(0, min(short, len(order)) - alone)
+
+
+def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """id, fp, class, size, key and short, whether key is in the short prefix, of every set's prefix."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for b in slices(batches, 256):
+            keys, shorts = [], []
+            for x in b.column(4).to_pylist():
+                key, short = prefix(np.frombuffer(x, np.uint32), shared.value)
+                keys.append(key)
+                shorts.append(np.arange(len(key)) < short)
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys]))
+            cols = [*(c.take(at) for c in b.columns[:4]), pa.array(np.concatenate([*keys, np.empty(0, np.uint32)]).astype(np.int64)), pa.array(np.concatenate([*shorts, np.empty(0, bool)]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "class", "size", "key", "short"])
+
+    return sets.select("id", "fp", "class", "size", "set").mapInArrow(run, "id long, fp long, class long, size long, key long, short boolean")
+
+
+def _dealt(entries: DataFrame, bucket: int) -> DataFrame:
+    """task and side of the entries under each key that texts of different classes share, if one has it in its short prefix.
 
-    A class of half a bucket or more in a band has blocks of its own, which are not compared with each other.
+    A key of `bucket` texts at most is one task of side 2. Of a larger one each block of short prefixes (side 0) meets
+    each block of all its texts (side 1).
     """
-    mixed = crowded.groupBy("key").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("key")
-    crowded = stage(crowded.join(mixed, "key"))
-    cell = ["key", "band", "own"]
-    large = crowded.groupBy("key", "band", "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= bucket).select("key", "band", "class", F.col("class").alias("own"))
-    texts = crowded.join(large, ["key", "band", "class"], "left").withColumn("own", F.struct(F.col("own").isNotNull().alias("large"), F.coalesce("own", F.lit(0).cast("long")).alias("class")))
-    cells = texts.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / bucket).alias("parts"))
-    texts = texts.join(cells, cell).select(*cell, F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "class")
-    blocks = stage(cells.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
-    one, two = (blocks.select("key", F.struct("band", "own", "part").alias(x)) for x in ("one", "two"))
-    one = one.withColumn("band", F.explode(F.array("one.band", F.col("one.band") + 1)))
-    met = one.join(two.withColumn("band", F.col("two.band")), ["key", "band"]).where((F.col("one") <= F.col("two")) & ~(F.col("one.own.large") & (F.col("one.own") == F.col("two.own"))))
-    task = F.xxhash64("key", "one.band", "one.own.large", "one.own.class", "one.part", "two.band", "two.own.large", "two.own.class", "two.part")
-    sides = F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(2).alias("side"), F.col("one").alias("b")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("b")), F.struct(F.lit(1).alias("side"), F.col("two").alias("b")))
+    keys = entries.groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / bucket).alias("parts"), F.ceil(F.count_if("short") / bucket).alias("short_parts"), (F.min("class") < F.max("class")).alias("several")
     )
-    dealt = met.select("key", task.alias("task"), F.explode(sides).alias("x")).select("key", "x.b.band", "x.b.own", "x.b.part", "task", "x.side")
-    return texts.join(dealt, [*cell, "part"]).select("task", "side", "id", "class")
+    keys = keys.where("several and short_parts > 0").drop("several")
+    one, two = F.pmod(F.xxhash64("id"), F.col("short_parts")), F.pmod(F.xxhash64("id"), F.col("parts"))
+
+    def dealt(side, parts, place):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1), lambda k: F.struct(F.xxhash64("key", *place(k)).alias("task"), F.lit(side).alias("side")))
+
+    first = F.when(F.col("short"), dealt(0, "parts", lambda k: (one, k))).otherwise(F.array().cast("array<struct<task:bigint,side:int>>"))
+    tasks = F.when(F.col("parts") == 1, F.array(F.struct(F.xxhash64("key").alias("task"), F.lit(2).alias("side")))).otherwise(F.concat(first, dealt(1, "short_parts", lambda k: (k, two))))
+    return entries.join(keys, "key").select(F.explode(tasks).alias("t"), "id", "fp", "class", "size", "short").select("t.task", "t.side", "id", "fp", "class", "size", "short")
+
+
+def _candidates(batches):
+    """Rows task, side, id, fp, class, size, short in order of task and side to pairs (u, v) that may be alike."""
+
+    def solve(task, side, ids, fp, kind, size, short):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+        start, end = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+        out = [np.empty((0, 2), np.int64)]
+        for i, j in bit_sliced_links(fp.view(np.uint64), start, end, RADIUS):
+            met = (side[i] == 2) | (side[i] != side[j])
+            i, j = i[met & (kind[i] != kind[j])], j[met & (kind[i] != kind[j])]
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            keep = (small >= SIMILARITY * large) & ((short[i] & (size[i] == small)) | (short[j] & (size[j] == small)))
+            i, j = ids[i[keep]], ids[j[keep]]
+            out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        held = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if cut:
+            yield solve(*(h[:cut].copy() for h in held))
+            held = [h[cut:] for h in held]
+    if held and len(held[0]):
+        yield solve(*(h.copy() for h in held))
+
+
+def _measured(batches):
+    """Rows u, v and both sets to the links (u, v) of those that are alike."""
+    for b in slices(batches, 64):
+        keep = [_alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def prefix_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """All links (u, v) between alike texts of different classes, within RADIUS, from staged sets(id, fp, class, size, set)."""
+    dealt = _dealt(stage(_prefixes(sets, _commonness(sets))), bucket)
+    pairs = dealt.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_candidates, "u long, v long").distinct()
+    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(_measured, "u long, v long")
 
 
 def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -207,11 +279,10 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     Texts without words are copies of each other. Rows that repeat a doc_id each come back; null doc_ids take their
     group's component_id; other columns are ignored; an empty table gives an empty result. All pairs under an anchor
-    count, whatever `bucket` is; pairs that more than `bucket` unconnected texts of like size make under one anchor are
-    as many as their square.
+    count, whatever `bucket` is. Work grows with the candidates: texts that share a stock passage and nothing rare are none.
     """
     found = stage(_sketches(docs))
-    nodes = found.groupBy("id").agg(F.first("anchors").alias("anchors"), F.first("size").alias("size"))
+    nodes = found.groupBy("id").agg(F.first("anchors").alias("anchors"))
 
     def with_sets(keyed: DataFrame) -> DataFrame:
         wanted = stage(found.join(keyed.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct())
@@ -223,10 +294,11 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     classes = connected_components(links)
     crowded = stage(_crowded(nodes, bucket))
     if not crowded.isEmpty():
-        known = crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("class"))
-        dealt = stage(_blocks(known, bucket))
-        more = with_sets(dealt).select("task", "side", "id", "fp", "class", "set").repartition("task").sortWithinPartitions("task").mapInArrow(_block_links, "u long, v long")
-        classes = connected_components(more.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        known = crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+        several = known.groupBy("key").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("key")
+        texts = stage(known.join(several, "key").select("id", "class").distinct())
+        sets = stage(with_sets(texts).select("id", "fp", "class", F.expr("octet_length(set) div 4").alias("size"), "set"))
+        classes = connected_components(prefix_links(sets, bucket).unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = found.select("doc_id", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("class"))
     named = stage(named)
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))

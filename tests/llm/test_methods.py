@@ -197,6 +197,41 @@ def test_one_large_group_of_near_copies(spark):
     assert got == {d: 0 if d < 5000 else d for d, _ in rows}
 
 
+def as_sets(spark, sets):
+    rows = [(n, 0, n, len(x), np.array(sorted(x), np.uint32).tobytes()) for n, x in sets.items()]  # one fingerprint, so prefixes alone choose
+    return spark.createDataFrame(rows, "id long, fp long, class long, size long, set binary").repartition(4)
+
+
+@pytest.mark.parametrize("bucket", [512, 5])
+def test_prefixes_find_all_alike_sets(spark, bucket):
+    rng, sets = random.Random(8), {0: set(), 1: {7}}
+    for n in range(2, 400):
+        old = sets[rng.randrange(n)]
+        if n % 3 and old:  # a variant, often at the very threshold
+            sets[n] = set(rng.sample(sorted(old), rng.randrange(max(1, len(old) * 3 // 4), len(old) + 1))) | set(rng.sample(range(60), rng.randrange(4)))
+        else:
+            sets[n] = set(rng.sample(range(60), rng.randrange(1, 40)))
+    alike = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(alike) > 100
+    assert {tuple(r) for r in near_text.prefix_links(as_sets(spark, sets), bucket).collect()} == alike
+
+
+def test_a_stock_passage_in_very_many_texts_deals_few_rows(spark):
+    rng, stock = np.random.default_rng(9), set(range(150))
+    dealt = []
+    for many in (5000, 20_000):
+        own = rng.integers(1000, 1 << 32, (many, 50))  # three quarters of each text are the passage
+        sets = {n: stock | set(x.tolist()) for n, x in enumerate(own)}
+        for n in range(0, many, 100):  # one in a hundred is a near copy of the next
+            sets[n] = sets[n + 1] - {0, 1, 2} | {500 + n % 7}
+        texts = as_sets(spark, sets)
+        common = near_text._commonness(texts)
+        dealt.append(near_text._dealt(near_text._prefixes(texts, common), 512).count())
+        got = {tuple(r) for r in near_text.prefix_links(texts).collect()}
+        assert got == {(n, n + 1) for n in range(0, many, 100)}
+    assert dealt[1] < 40_000 and dealt[1] < 6 * dealt[0]
+
+
 # Tokens
 
 
