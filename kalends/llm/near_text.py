@@ -35,7 +35,7 @@ BUCKET = 512
 LEADERS = 32
 #: Numbers that tell how often shingles occur in crowded texts, several shingles to a number where they are many. Any
 #: numbers give the same links; good ones give few candidates.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
