@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import drop_rows, few_enough, slices, stage, with_rows
+from .common import drop_rows, few_enough, slices, stage, tidy, with_rows
 from .components import connected_components
 from .simhash import SEED, bit_sliced_links
 
@@ -64,7 +64,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "id", "fp", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, fp long, anchors array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, id long, fp long, anchors array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "fp", "set"])
 
-    return docs.select("text").mapInArrow(run, "id long, fp long, set binary")
+    return docs.select("text").mapInArrow(tidy(run), "id long, fp long, set binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -171,7 +171,7 @@ def _commonness(sets: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen[slot])], names=["slot", "n"])
 
-    found = sets.select("set").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = sets.select("set").mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(SLOTS, np.uint32)
     common[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
     return common
@@ -207,7 +207,7 @@ def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
             cols = [*(c.take(at) for c in b.columns[:4]), pa.array(np.concatenate([*keys, np.empty(0, np.uint32)]).astype(np.int64)), pa.array(np.concatenate([*shorts, np.empty(0, bool)]))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "class", "size", "key", "short"])
 
-    return sets.select("id", "fp", "class", "size", "set").mapInArrow(run, "id long, fp long, class long, size long, key long, short boolean")
+    return sets.select("id", "fp", "class", "size", "set").mapInArrow(tidy(run), "id long, fp long, class long, size long, key long, short boolean")
 
 
 def _dealt(entries: DataFrame, bucket: int) -> DataFrame:
@@ -269,9 +269,9 @@ def _measured(batches):
 def prefix_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """All links (u, v) between alike texts of different classes, within RADIUS, from staged sets(id, fp, class, size, set)."""
     dealt = _dealt(stage(_prefixes(sets, _commonness(sets))), bucket)
-    pairs = dealt.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_candidates, "u long, v long").distinct()
+    pairs = dealt.repartition("task").sortWithinPartitions("task", "side").mapInArrow(tidy(_candidates), "u long, v long").distinct()
     one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(_measured, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(tidy(_measured), "u long, v long")
 
 
 def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -290,7 +290,7 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return keyed.join(_sets(chosen).dropDuplicates(["id"]), "id")
 
     keyed = stage(_keyed(nodes, bucket))
-    links = with_sets(keyed).select("key", "id", "fp", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
+    links = with_sets(keyed).select("key", "id", "fp", "set").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_links), "u long, v long")
     classes = connected_components(links)
     crowded = stage(_crowded(nodes, bucket))
     if not crowded.isEmpty():

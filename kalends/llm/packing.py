@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_buckets, stage, text_slices
+from .common import n_buckets, stage, text_slices, tidy
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
 #: Pieces that one window sorts, about.
 RANKED_ROWS = 50_000
+#: Bytes of text that are encoded together, about; bounds what a worker holds besides the words it remembers.
+ENCODED_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,29 +93,34 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return sorted(plan)
 
 
+def cut_pieces(batches, vocabulary: str, capacity: int):
+    """Arrow batches of doc_id, text to batches of PIECES."""
+    e = encoder(vocabulary)
+    for b in text_slices(batches, size=ENCODED_BYTES):
+        ids, n = e.encode_column(b.column(1))
+        ids, n = np.insert(ids, np.cumsum(n), END_ID), n + 1
+        cuts, ends = -(-n // capacity), np.cumsum(n)
+        doc = np.repeat(np.arange(len(n)), cuts)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        start = piece * capacity
+        length = np.minimum(n[doc] - start, capacity)
+        at = (ends - n)[doc] + start
+        raw = memoryview(ids).cast("B")
+        crcs = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
+            names=["doc_id", "piece", "start", "length", "ids_crc32"],
+        )
+
+
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Documents as token pieces: one of all ids, or cuts of exactly capacity ids and a rest."""
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batches):
-        e = encoder(vocabulary)
-        for b in text_slices(batches):
-            ids, n = e.encode_column(b.column(1))
-            ids, n = np.insert(ids, np.cumsum(n), END_ID), n + 1
-            cuts, ends = -(-n // capacity), np.cumsum(n)
-            doc = np.repeat(np.arange(len(n)), cuts)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            start = piece * capacity
-            length = np.minimum(n[doc] - start, capacity)
-            at = (ends - n)[doc] + start
-            raw = memoryview(ids).cast("B")
-            crcs = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        yield from cut_pieces(batches, vocabulary, capacity)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def _ranked(table: DataFrame, rows: int, per_bucket: int) -> DataFrame:

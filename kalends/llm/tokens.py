@@ -78,12 +78,11 @@ class WordEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Lower-case letters between spaces need no normalizing and no pattern.
-        self.of_letters = Tokenizer.from_file(path)
-        self.of_letters.normalizer = normalizers.Sequence([])
+        # Lower-case letters between spaces need no normalizing and no pattern. The model is the same, held once.
+        self.of_letters = Tokenizer(self.tokenizer.model)
         self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -256,6 +257,23 @@ def test_words_are_forgotten_and_learnt_anew(texts, whole_ids):
     assert [x + b"\1\0\0\0" for x in got] == [whole_ids[d].tobytes() for d in texts]
 
 
+def test_texts_are_packed_a_megabyte_at_a_time_with_one_model(monkeypatch, whole_ids):
+    e, asked = tokens.WordEncoder(tokens.vocabulary_path()), []
+    merges = e.tokenizer.model.dropout, e.of_letters.model.dropout
+    e.of_letters.model.dropout = 0.5  # seen in both where the model is held once
+    shared = e.tokenizer.model.dropout == e.of_letters.model.dropout
+    e.of_letters.model.dropout = merges[1]
+    assert shared and e.tokenizer.model.dropout == merges[0]
+    whole = e.encode_column
+    monkeypatch.setattr(e, "encode_column", lambda column: asked.append(column.nbytes) or whole(column))
+    monkeypatch.setattr(packing, "encoder", lambda path: e)
+    text = "some words again " * 6000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([text] * 60)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(packing.cut_pieces([batch], "", 4096))
+    assert len(asked) > 4 and max(asked) < 1.2 * (1 << 20)
+    assert sum(got["length"].to_pylist()) == 60 * (len(e.encode(text.encode())) // 4 + 1)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=20), max_size=8))
 def test_blocks_round_trip(rows):
