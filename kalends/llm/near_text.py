@@ -36,6 +36,8 @@ LEADERS = 32
 #: Numbers that tell how often shingles occur in crowded texts, several shingles to a number where they are many. Any
 #: numbers give the same links; good ones give few candidates.
 SLOTS = 1 << 20
+#: Slots whose numbers are one row.
+SLOT_BLOCK = 1 << 12
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -160,21 +162,40 @@ def _crowded(nodes: DataFrame, bucket: int) -> DataFrame:
     return single.join(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key"), "key")
 
 
-def _commonness(sets: DataFrame) -> np.ndarray:
-    """For each slot how many shingles of the texts fall there; SLOTS numbers, however many texts there are."""
+def _counts(sets: DataFrame) -> DataFrame:
+    """block, n: each task's numbers of its texts' shingles, those of SLOT_BLOCK slots to a row, however many texts it has."""
 
     def run(batches):
         seen = np.zeros(SLOTS, np.int64)
         for b in slices(batches):
             halves = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
             seen += np.bincount(halves & np.uint32(SLOTS - 1), minlength=SLOTS)
-        slot = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen[slot])], names=["slot", "n"])
+        yield _blocks(dict(enumerate(seen.reshape(-1, SLOT_BLOCK))))
+
+    return sets.select("set").mapInArrow(tidy(run), "block long, n binary")
+
+
+def _blocks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """block, n of the blocks that hold anything, numbers as unsigned 32-bit integers; larger ones become the largest."""
+    sums = {k: np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes() for k, n in sums.items() if n.any()}
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.binary())], names=["block", "n"])
 
-    found = sets.select("set").mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(SLOTS, np.uint32)
-    common[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
-    return common
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """For each slot how many shingles of the texts fall there; SLOTS numbers, however many texts there are."""
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in slices(batches):
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, "<u4").astype(np.int64)
+        yield _blocks(sums)
+
+    found = _counts(sets).repartition("block").mapInArrow(added, "block long, n binary").toArrow()
+    common = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
+    for k, n in zip(found["block"].to_pylist(), found["n"].to_pylist()):
+        common[k] = np.frombuffer(n, "<u4")
+    return common.ravel()
 
 
 def prefix(halves: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:

@@ -233,6 +233,17 @@ def test_a_stock_passage_in_very_many_texts_deals_few_rows(spark):
     assert dealt[1] < 40_000 and dealt[1] < 6 * dealt[0]
 
 
+def test_counts_of_shingles_take_no_more_rows_with_more_texts(spark):
+    rng, rows = np.random.default_rng(10), []
+    for many in (300, 6000):
+        sets = {n: set(rng.integers(0, 1 << 32, 100).tolist()) for n in range(many)}
+        texts = as_sets(spark, sets)
+        rows.append(near_text._counts(texts).count())
+        slots = np.array([x for s in sets.values() for x in s], np.uint32) % near_text.SLOTS
+        assert np.array_equal(near_text._commonness(texts), np.bincount(slots, minlength=near_text.SLOTS))
+    assert rows[1] <= 4 * near_text.SLOTS // near_text.SLOT_BLOCK and rows[1] <= 1.1 * rows[0]
+
+
 # Tokens
 
 
