@@ -369,27 +369,64 @@ def health(status: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
 
 #: Fixed value: the category of what no rule tells.
 OTHER = "기타"
+#: Bytes of rules, about, that every task gets, and bits of the bitmap that stands for the others.
+NEAR_BYTES, SLOTS = 64 << 20, 1 << 26
+
+
+def words(text: Column, limit: int = -1) -> Column:
+    """Runs of other characters than ASCII white space; with a limit, the last entry is the rest behind limit - 1 words. A text without any has one empty word."""
+    return F.split(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", limit)
 
 
 def categories(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """key and category of each key: that of the longest rule whose words stand in the text in a row, else OTHER.
 
     rules: pattern (words with single spaces), category, priority. Of rules with equally many words the one with more characters
-    counts, then the lesser priority, then the lesser category. Words are runs of other characters than ASCII white space, compared as they are. Each
-    run of words as long as some rule is looked up, so cost doesn't grow with the number of rules. Rows that share a key are
-    one; null texts and patterns match nothing.
+    counts, then the lesser priority, then the lesser category, nulls last. Words are runs of other characters than ASCII white space, compared as
+    they are. Rows that share a key are one; null texts and patterns match nothing.
+
+    Of the rules of one pattern only the first can win, so there is one of each, numbered in the order above. A run of words is looked up
+    by its hash and then compared, and a text keeps the least number: a row for each text is shuffled, not its words. Every task gets the patterns that most rules
+    share and the shortest, up to NEAR_BYTES; runs that may be one of the others, by a bitmap of hashes, are shuffled to them.
     """
-    words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
-    known = rules.where(F.trim("pattern") != "").withColumn("n", F.size(F.split("pattern", " ")))
+    first = lambda c: [F.col(c).isNull(), F.col(c)]
+    one = rules.where(F.trim("pattern") != "").groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("priority", "category"), F.struct(*first("priority"), *first("category"))).alias("r"),
+    )
+    one = staged(one.select("pattern", "copies", "r.*", F.size(F.split("pattern", " ")).alias("n"), F.xxhash64(F.split("pattern", " ")).alias("h")))
+    order = [-F.col("n"), -F.char_length("pattern"), *first("priority"), *first("category"), "pattern"]
+    known = staged(one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()))
+    kinds = [-F.least("copies", F.lit(1000)), F.least("n", F.lit(10)), F.least(F.octet_length("pattern"), F.lit(100))]
+    known = known.withColumn("kind", F.struct(*(c.cast("int").alias(f"k{i}") for i, c in enumerate(kinds))))
     sizes = sorted(r[0] for r in known.select("n").distinct().collect())  # as many as the longest rule has words
-    cut = texts.select(F.col(key).alias("key"), words.alias("w"))
-    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    runs_ = F.flatten(F.array_compact(F.array(*map(gram, sizes)))) if sizes else F.array().cast("array<string>")
-    found = cut.select("key", F.explode(F.array_distinct(runs_)).alias("pattern"))
-    hits = found.join(known, "pattern")
-    best = hits.groupBy("key").agg(F.min_by("category", F.struct(-F.col("n"), -F.char_length("pattern"), "priority", "category")).alias("category"))
-    keys = texts.select(F.col(key).alias("key")).distinct()
-    return keys.join(best, keys["key"].eqNullSafe(best["key"]), "left").select(keys["key"].alias(key), F.coalesce("category", F.lit(OTHER)).alias("category"))
+    last, taken, whole = None, 0, True
+    for kind, size in sorted((tuple(r[0]), r[1]) for r in known.groupBy("kind").agg(F.sum(F.octet_length("pattern") + 100)).collect()):
+        if whole := (taken := taken + size) <= NEAR_BYTES:
+            last = kind
+        else:
+            break
+    near = F.lit(False) if last is None else F.col("kind") <= F.struct(*(F.lit(k) for k in last))
+
+    cut = texts.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).select("key", "w", F.posexplode_outer("w").alias("at", "_"))
+    hashes = F.array(*(F.when(F.col("at") + n <= F.size("w"), F.xxhash64(F.slice("w", F.col("at") + 1, n))) for n in sizes), F.lit(None).cast("long"))
+    runs_ = cut.select("key", "w", "at", F.posexplode(hashes).alias("i", "h"))
+    run = F.array_join(F.slice("w", F.col("at") + 1, F.get(F.array(*map(F.lit, sizes)), F.col("i"))), " ")
+    found = texts.select(F.col(key).alias("key"), F.lit(None).cast("long").alias("rank"))
+    if last is not None:
+        hits = runs_.join(F.broadcast(known.where(near).select("h", "pattern", "rank")), "h")
+        found = found.unionByName(hits.select("key", F.when(run == F.col("pattern"), F.col("rank")).alias("rank")))  # compared behind the join, so its key is a number
+    if not whole:
+        far = known.where(~near).select("h", "pattern", "rank")
+        slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
+        word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+        filled = far.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+        every = texts.sparkSession.range(SLOTS // 64).join(filled, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("s"))
+        bitmap = every.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["bits"])).scalar()
+        maybe = runs_.where(F.call_function("shiftright", F.get(bitmap, word.cast("int")), bit).bitwiseAND(F.lit(1)) == 1)
+        found = found.unionByName(maybe.select("key", run.alias("pattern")).join(far, "pattern").select("key", "rank"))
+    best = found.groupBy("key").agg(F.min("rank").alias("rank"))
+    named = best.join(known.select("rank", "category"), "rank", "left")
+    return named.select(F.col("key").alias(key), F.coalesce("category", F.lit(OTHER)).alias("category"))
 
 
 def stale_days(as_of: Column, verified: Column, limit: int = 7) -> list[Column]:

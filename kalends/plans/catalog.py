@@ -922,10 +922,10 @@ def source_health(spark, sf_dir):
 def categories(spark, sf_dir):
     """Rules by the first words of texts: as many as three for each document."""
     d = _t(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    w = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
+    w = F.col("w")
     firsts = [(1, F.col("source"), F.lit(True)), (2, F.col("lang"), F.lit(True)), (3, F.concat("source", "lang"), F.col("doc_id") % 3 == 0)]
     made = F.array_compact(F.array(*(F.when((F.size(w) >= n) & ok, F.struct(F.array_join(F.slice(w, 1, n), " ").alias("pattern"), c.alias("category"))) for n, c, ok in firsts)))
-    rules = d.select(F.explode(made).alias("r"), F.col("doc_id").alias("priority")).select("r.*", "priority")
+    rules = d.withColumn("w", derive.words(F.col("text"), 4)).select(F.explode(made).alias("r"), F.col("doc_id").alias("priority")).select("r.*", "priority")
     return derive.categories(d, "doc_id", "text", rules)
 
 

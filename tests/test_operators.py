@@ -225,6 +225,55 @@ def test_longest_rule_wins(spark):
     assert rows(derive.categories(texts, "id", "text", rules.limit(0)), "id", "category") == [(n, "기타") for n in range(1, 7)]
 
 
+def shuffled(spark, df):
+    """The rows of df, and how many rows its stages shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (every.apply(i) for every in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(every.size()))}
+    bus, before = spark.sparkContext._jsc.sc().listenerBus(), stages()
+    got = (df() if callable(df) else df).collect()
+    bus.waitUntilEmpty(30_000)
+    return got, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_rules_of_one_pattern_end_with_nulls(spark):
+    rules = spark.createDataFrame([("a", None, 1), ("a", "x", 1), ("b", "y", None), ("b", "z", 7), ("c", None, 1), ("c", "w", 2)], "pattern string, category string, priority int")
+    texts = spark.createDataFrame([(1, "a"), (2, "\x0b b\t"), (3, "c"), (None, "a"), (None, "q")], "id int, text string")
+    assert {r["id"]: r["category"] for r in derive.categories(texts, "id", "text", rules).collect()} == {1: "x", 2: "z", 3: "기타", None: "x"}
+
+
+def test_categories_shuffle_a_row_for_each_text(spark):
+    """Texts of a hundred words, that all begin alike, and as many rules of that beginning."""
+    texts = spark.range(400).select("id", F.concat(F.lit("the"), *(F.concat(F.lit(" "), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5000)).cast("string")) for i in range(100))).alias("text")).repartition(2)
+    rules = texts.select(F.lit("the").alias("pattern"), F.col("id").cast("string").alias("category"), F.col("id").alias("priority")).unionByName(
+        texts.select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("pattern"), F.lit("three").alias("category"), F.col("id").alias("priority")).where("id % 2 = 0"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rules were many
+    try:
+        got, n = shuffled(spark, lambda: derive.categories(texts, "id", "text", rules))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["id"], r["category"]) for r in got) == [(i, "0" if i % 2 else "three") for i in range(400)]
+    assert n < 6000
+
+
+@pytest.mark.parametrize("near", [0, 2000, 1 << 26])
+def test_rules_that_not_every_task_gets(spark, monkeypatch, near):
+    import random
+
+    monkeypatch.setattr(derive, "NEAR_BYTES", near)
+    monkeypatch.setattr(derive, "SLOTS", 256)
+    rnd = random.Random(5)
+    run = lambda n, m: " ".join(rnd.choice("abcdefgh") * rnd.choice([1, 1, 1, 2, 30]) for _ in range(rnd.randint(n, m)))
+    texts = [(k // 2, run(0, 20)) for k in range(80)]
+    rules = [(run(1, 4), rnd.choice("uvwxyz"), rnd.randint(0, 3)) for _ in range(150)]
+    want = {}
+    for k, t in texts:
+        w = t.split()
+        runs_ = {" ".join(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1)}
+        want.setdefault(k, []).extend((-p.count(" "), -len(p), o, c) for p, c, o in rules if p in runs_)
+    got = derive.categories(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame(rules, "pattern string, category string, priority int"))
+    assert rows(got, "id", "category") == [(k, min(v)[-1] if v else "기타") for k, v in sorted(want.items())]
+
+
 def test_what_runs_each_day(spark):
     d = dt.date
     data = [("a", d(2026, 1, 30), d(2026, 2, 2)), ("a", d(2026, 2, 2), None), ("a", d(2026, 3, 5), d(2026, 3, 5)), ("b", d(2026, 5, 1), d(2026, 4, 1)), ("b", None, d(2026, 4, 1)), (None, d(2026, 1, 1), d(2026, 1, 1))]
