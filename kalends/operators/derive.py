@@ -179,6 +179,22 @@ def nearby_points(points: DataFrame, places: DataFrame, lat: str, lon: str, km:
     return met.drop("_row", "_cell", "_reach", "_lat1", "_lon1", "_lat2", "_lon2")
 
 
+def nearby_counts(points: DataFrame, places: DataFrame, key: str, lat: str, lon: str, kms: tuple[float, ...]) -> DataFrame:
+    """key, within_<km> for each distance and nearest (km), for each key with a place within the greatest distance of a point of its own.
+
+    Points that stand in one spot are measured once, and so are places: only different spots meet, with how many places stand there,
+    and a point takes what was counted for its spot.
+    """
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    points = points.where(known).select(F.col(key).alias("key"), F.col(lat).alias("a"), F.col(lon).alias("o"))
+    asked = points.select("a", "o").distinct().withColumns({lat: F.col("a"), lon: F.col("o")})
+    held = places.where(known).groupBy(lat, lon).agg(F.count(F.lit(1)).alias("n"))
+    within = lambda d: F.sum(F.when(F.col("km") <= d, F.col("n")).otherwise(0))
+    spots = nearby_points(asked, held, lat, lon, max(kms)).groupBy("a", "o").agg(*(within(d).alias(f"within_{d}") for d in kms), F.min("km").alias("nearest"))
+    of = points.join(spots, ["a", "o"]).groupBy("key").agg(*(F.sum(f"within_{d}").alias(f"within_{d}") for d in kms), F.min("nearest").alias("nearest"))
+    return of.withColumnRenamed("key", key)
+
+
 def running(df: DataFrame, start: str, end: str, by: str) -> DataFrame:
     """by, day and n: how many rows run on each day, from a group's first day to its last, days without any among them.
 

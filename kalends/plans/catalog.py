@@ -828,9 +828,8 @@ def nearby_counts(spark, sf_dir):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     points = _t(spark, sf_dir, "supplier").select("s_suppkey", (34.9 + k % 97 / 90.0).alias("lat"), (F.when(k % 2 == 0, 179.95).otherwise(129.2) + k % 7 / 100.0).alias("lon"))
     places = _t(spark, sf_dir, "customer").select("c_custkey", (35.0 + c % 100 / 100.0).alias("lat"), (F.when(c % 2 == 0, -180.0).otherwise(129.0) + c % 61 / 100.0).alias("lon"))
-    near = derive.nearby_points(points, places, "lat", "lon", 10)
-    within = [F.count_if(F.col("km") <= d).alias(f"within_{d}") for d in (3, 5, 10)]
-    return near.groupBy("s_suppkey").agg(*within, F.round(F.min("km"), 6).alias("nearest"))
+    near = derive.nearby_counts(points, places, "s_suppkey", "lat", "lon", (3, 5, 10))
+    return near.withColumn("nearest", F.round("nearest", 6))
 
 
 @register("""WITH r AS (SELECT o_orderpriority AS district, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 2 AS INTEGER) AS z FROM orders), s AS (SELECT district, min(a) AS lo, max(z) AS hi FROM r WHERE z >= a GROUP BY 1),

@@ -206,6 +206,23 @@ def test_places_near_many_points(spark, km):
     assert set(got) == want and len(got) == len(want) > 200
 
 
+def test_places_near_points_that_share_spots(spark):
+    """Twenty thousand places and two thousand points stand in a few spots; only spots are measured against each other."""
+    lat, lon = (lambda at: 35.0 + at % 5 / 50.0), (lambda at: F.when(at % 2 == 0, -179.99).otherwise(179.98) + at % 3 / 500.0)
+    points = spark.range(2000).select((F.col("id") % 1000).alias("p"), lat(F.col("id") % 1000).alias("lat"), lon(F.col("id") % 1000).alias("lon"))
+    points = points.unionByName(spark.createDataFrame([(0, None, 1.0), (5000, 10.0, 10.0), (None, 35.0, 180.0)], "p long, lat double, lon double"))
+    places = spark.range(20_000).select(F.col("id").alias("q"), lat(F.col("id")).alias("lat"), lon(F.col("id")).alias("lon")).unionByName(spark.createDataFrame([(-1, None, None), (-2, 35.0, None)], "q long, lat double, lon double"))
+    every = derive.nearby_points(points, places, "lat", "lon", 10)
+    want = every.groupBy("p").agg(*(F.count_if(F.col("km") <= d).alias(f"within_{d}") for d in (3, 5, 10)), F.min("km").alias("nearest"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, n = shuffled(spark, lambda: derive.nearby_counts(points, places, "p", "lat", "lon", (3, 5, 10)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, got)) == sorted(map(str, want.collect())) and len(got) == 1001
+    assert n < 12_000
+
+
 def test_unchanged_buckets_are_not_read(spark):
     before = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("d"))
     after = before.where("id <> 5").withColumn("d", F.when(F.col("id") == 7, "x").otherwise(F.col("d"))).unionByName(spark.range(2000, 2001).select("id", F.lit(2).cast("long").alias("g"), F.lit("n").alias("d")))
